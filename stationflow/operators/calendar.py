@@ -88,10 +88,8 @@ def future_grid(stations: DataFrame, as_of: datetime | Column, horizon_hours: in
     """One row per station and hour from ``as_of`` (cut to the hour) on."""
     start = as_of if isinstance(as_of, Column) else F.lit(as_of).cast(clock.NTZ)
     grid = stations.select("station").distinct().withColumn("_start", clock.hour_floor(start))
-    grid = grid.select(
-        "station",
-        (F.col("_start") + clock.hours(F.explode(F.sequence(F.lit(0), F.lit(horizon_hours - 1)))))
-        .alias("ts"),
-    )
+    step = F.explode(F.sequence(F.lit(0), F.lit(horizon_hours - 1)))
+    grid = grid.withColumn("_step", step).select(
+        "station", (F.col("_start") + clock.hours(F.col("_step"))).alias("ts"))
     grid = grid.withColumns({"date": F.to_date("ts"), "hour": F.hour("ts")})
     return grid.withColumns(_date_parts(F.col("date")))
