@@ -38,65 +38,50 @@ STATION_POINTS = {
 }
 
 
-def geodesic_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, rounds: int = 12) -> Column:
-    """Vincenty's inverse formula (1975), iterated inside one SQL expression.
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with ``value`` bound to ``name``, computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _terms(lam: str) -> str:
+    """Spherical terms of the point pair ``p`` for a longitude difference ``lam``."""
+    sigma = f"""struct(
+        sqrt(pow(p.c2 * sin({lam}), 2) + pow(p.c1 * p.s2 - p.s1 * p.c2 * cos({lam}), 2)) AS ss,
+        p.s1 * p.s2 + p.c1 * p.c2 * cos({lam}) AS cs)"""
+    azimuth = f"coalesce(try_divide(p.c1 * p.c2 * sin({lam}), q.ss), 0D)"
+    return _let("q", sigma, _let("sa", azimuth, """struct(
+        q.ss AS ss, q.cs AS cs, atan2(q.ss, q.cs) AS sigma, sa AS sa, 1 - sa * sa AS c2a,
+        coalesce(q.cs - try_divide(2 * p.s1 * p.s2, 1 - sa * sa), 0D) AS cm)"""))
+
+
+def geodesic_km(lat1: str, lon1: str, lat2: str, lon2: str, rounds: int = 12) -> Column:
+    """Vincenty's inverse formula (1975) over four columns, iterated in one expression.
 
     ``rounds`` steps are far more than needed at city distances; nearly antipodal
     points, where the series does not settle, are outside its use here.
     """
-    u1 = F.atan((1 - FLATTENING) * F.tan(F.radians(lat1)))
-    u2 = F.atan((1 - FLATTENING) * F.tan(F.radians(lat2)))
-    base = F.struct(
-        F.sin(u1).alias("s1"), F.cos(u1).alias("c1"),
-        F.sin(u2).alias("s2"), F.cos(u2).alias("c2"),
-        F.radians(lon2 - lon1).alias("lon"),
-    )
-
-    def terms(p: Column, lam: Column) -> Column:
-        cross = p["c1"] * p["s2"] - p["s1"] * p["c2"] * F.cos(lam)
-        sin_sigma = F.sqrt(F.pow(p["c2"] * F.sin(lam), F.lit(2.0)) + F.pow(cross, F.lit(2.0)))
-        cos_sigma = p["s1"] * p["s2"] + p["c1"] * p["c2"] * F.cos(lam)
-        sin_alpha = F.coalesce(F.try_divide(p["c1"] * p["c2"] * F.sin(lam), sin_sigma), F.lit(0.0))
-        cos2_alpha = 1 - sin_alpha * sin_alpha
-        cos_mid = F.coalesce(
-            cos_sigma - F.try_divide(2 * p["s1"] * p["s2"], cos2_alpha), F.lit(0.0))
-        return F.struct(
-            sin_sigma.alias("ss"), cos_sigma.alias("cs"), F.atan2(sin_sigma, cos_sigma).alias("sigma"),
-            sin_alpha.alias("sa"), cos2_alpha.alias("c2a"), cos_mid.alias("cm"))
-
-    # A one-element transform() binds a struct once, so it is not expanded at every use.
-    def bind(value: Column, use) -> Column:
-        return F.element_at(F.transform(F.array(value), use), 1)
-
-    def step(p: Column, lam: Column) -> Column:
-        def from_terms(t):
-            c = FLATTENING / 16 * t["c2a"] * (4 + FLATTENING * (4 - 3 * t["c2a"]))
-            inner = t["cm"] + c * t["cs"] * (2 * t["cm"] * t["cm"] - 1)
-            return p["lon"] + (1 - c) * FLATTENING * t["sa"] * (t["sigma"] + c * t["ss"] * inner)
-
-        return bind(terms(p, lam), from_terms)
-
-    minor = AXIS * (1 - FLATTENING)
+    f = FLATTENING
+    minor = AXIS * (1 - f)
     second = (AXIS**2 - minor**2) / minor**2
 
-    def length(t: Column) -> Column:
-        def from_series(q):
-            a = 1 + q / 16384 * (4096 + q * (-768 + q * (320 - 175 * q)))
-            b = q / 1024 * (256 + q * (-128 + q * (74 - 47 * q)))
-            mid2 = 2 * t["cm"] * t["cm"] - 1
-            delta = b * t["ss"] * (
-                t["cm"] + b / 4 * (t["cs"] * mid2 - b / 6 * t["cm"]
-                                   * (4 * t["ss"] * t["ss"] - 3) * (4 * t["cm"] * t["cm"] - 3)))
-            return minor * a * (t["sigma"] - delta) / 1000
-
-        return bind(t["c2a"] * second, from_series)
-
-    def distance(p: Column) -> Column:
-        settled = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), p["lon"],
-                              lambda lam, _: step(p, lam))
-        return bind(bind(settled, lambda lam: terms(p, lam)), length)
-
-    return bind(base, distance)
+    def reduced(lat: str) -> str:
+        return f"atan({1 - f}D * tan(radians({lat})))"
+
+    pair = f"""struct(
+        sin({reduced(lat1)}) AS s1, cos({reduced(lat1)}) AS c1,
+        sin({reduced(lat2)}) AS s2, cos({reduced(lat2)}) AS c2, radians({lon2} - {lon1}) AS lon)"""
+    correction = f"{f / 16}D * t.c2a * (4 + {f}D * (4 - 3 * t.c2a))"
+    step = _let("t", _terms("lam"), _let("c", correction, f"""
+        p.lon + (1 - c) * {f}D * t.sa
+          * (t.sigma + c * t.ss * (t.cm + c * t.cs * (2 * t.cm * t.cm - 1)))"""))
+    settled = f"aggregate(sequence(1, {rounds}), p.lon, (lam, i) -> {step})"
+    series = """struct(
+        1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u))) AS a,
+        u / 1024 * (256 + u * (-128 + u * (74 - 47 * u))) AS b)"""
+    delta = """w.b * t.ss * (t.cm + w.b / 4 * (t.cs * (2 * t.cm * t.cm - 1)
+        - w.b / 6 * t.cm * (4 * t.ss * t.ss - 3) * (4 * t.cm * t.cm - 3)))"""
+    length = _let("u", f"{second}D * t.c2a", _let("w", series, f"{minor / 1000}D * w.a * (t.sigma - {delta})"))
+    return F.expr(_let("p", pair, _let("l", settled, _let("t", _terms("l"), length))))
 
 
 def haversine_km(a: tuple[float, float], b: tuple[float, float]) -> float:

@@ -26,14 +26,15 @@ def caption_datetime(text: Column, year: Column, clock_pattern: str = CLOCK) ->
 
     Null when either part is missing or when the date does not exist.
     """
-    day = F.regexp_extract(text, DAY_MONTH, 1)
-    month = F.lower(F.regexp_extract(text, DAY_MONTH, 2))
-    lookup = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
-    hour = F.regexp_extract(text, clock_pattern, 1)
-    minute = F.regexp_extract(text, clock_pattern, 2)
-    found = (day != "") & (hour != "")
-    stamp = F.format_string(
-        "%04d-%02d-%s %s:%s", year.cast("int"), F.try_element_at(lookup, month), day, hour, minute)
+    # One search per pattern; the parts are then cut from the matched text.
+    day_month = F.regexp_extract(text, DAY_MONTH, 0)
+    clock = F.regexp_extract(text, clock_pattern, 0)
+    lookup = F.expr("map(" + ", ".join(f"'{name}', {number}" for name, number in MONTHS.items()) + ")")
+    month = F.try_element_at(lookup, F.lower(F.regexp_extract(day_month, "[a-zA-Z]+", 0)))
+    found = (day_month != "") & (clock != "")
+    stamp = F.concat_ws(
+        "-", year.cast("int").cast("string"), month.cast("string"),
+        F.concat_ws(" ", F.substring(day_month, 1, 2), F.translate(clock, ".", ":")))
     return F.when(found, stamp).try_cast(NTZ)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from stationflow.config import ForecastConfig
 from stationflow.functions import clock
 from stationflow.functions.geo import STATION_POINTS, VENUES, geodesic_km
-from stationflow.operators.shared import keep_first, union_all
+from stationflow.operators.shared import fixed_table, keep_first, text_map, union_all
 
 # The footer row of the event sheet and the place that is left out.
 SHEET_FOOTER = "Niet bijzonder evenementen zijn hierboven niet meegenomen."
@@ -48,8 +48,7 @@ EVENT_COLUMNS = ("source_rank", "ord", "venue", "event_name", "date", "start_sho
 
 
 def _mapped(column: Column, values: dict[str, str]) -> Column:
-    pairs = F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
-    return F.try_element_at(pairs, column)
+    return F.try_element_at(text_map(values), column)
 
 
 def events_clean(sheet: DataFrame, with_time: bool = True) -> DataFrame:
@@ -134,7 +133,8 @@ def from_tickets(tickets: DataFrame, cfg: ForecastConfig) -> DataFrame:
 
 def manual_events(spark) -> DataFrame:
     rows = [(3, i, venue, day) for i, (venue, day) in enumerate(MANUAL_EVENTS)]
-    return spark.createDataFrame(rows, "source_rank int, ord bigint, venue string, date date")
+    listed = fixed_table(spark, rows, ["source_rank", "ord", "venue", "date"])
+    return listed.withColumn("source_rank", F.col("source_rank").cast("int"))
 
 
 def one_spelling(venue: Column) -> Column:
@@ -169,9 +169,8 @@ def events_normalized(events: DataFrame) -> DataFrame:
 def venue_distances(spark, stations: Sequence[str] = tuple(STATION_POINTS)) -> DataFrame:
     """(venue, station, distance_km) for all known venues; a fixed, small table."""
     pairs = [(v, s, *VENUES[v], *STATION_POINTS[s]) for v in VENUES for s in stations]
-    points = spark.createDataFrame(
-        pairs, "venue string, station string, vlat double, vlon double, slat double, slon double")
-    km = geodesic_km(F.col("vlat"), F.col("vlon"), F.col("slat"), F.col("slon"))
+    points = fixed_table(spark, pairs, ["venue", "station", "vlat", "vlon", "slat", "slon"])
+    km = geodesic_km("vlat", "vlon", "slat", "slon")
     return points.select("venue", "station", km.alias("distance_km"))
 
 

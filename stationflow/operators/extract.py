@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stationflow.functions import clock
 from stationflow.functions.text import CLOCK, caption_datetime, first_link, link_count
-from stationflow.operators.shared import flag
+from stationflow.operators.shared import flag, text_map
 
 # Nested schemas of the collected documents.
 POSTS_SCHEMA = """
@@ -54,14 +54,15 @@ def posts_to_events(posts: DataFrame, zone: str, clock_pattern: str = CLOCK) ->
         F.col("p.edge_media_to_caption.edges")[0]["node"]["text"].alias("caption"),
     )
     when = caption_datetime(F.col("caption"), F.year("date_uploaded"), clock_pattern)
-    return rows.withColumn("event_date", when).where("event_date IS NOT NULL")
+    # Exploding the found date, none or one, runs the patterns once; a filter on it would
+    # run them again.
+    return rows.select("*", F.explode(F.array_compact(F.array(when))).alias("event_date"))
 
 
 def ticket_venue(event: Column) -> Column:
     """Venue of a ticketed event; two street addresses override its name."""
     venue = event["_embedded"]["venues"][0]
-    lookup = F.create_map(*[F.lit(x) for kv in ADDRESS_VENUES.items() for x in kv])
-    return F.coalesce(F.try_element_at(lookup, venue["address"]["line1"]), venue["name"])
+    return F.coalesce(F.try_element_at(text_map(ADDRESS_VENUES), venue["address"]["line1"]), venue["name"])
 
 
 def ticket_pages_to_events(pages: DataFrame) -> DataFrame:

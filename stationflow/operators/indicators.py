@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stationflow.functions import clock
+from stationflow.operators.shared import fixed_table
 
 STRINGENCY_DOCUMENT = "map<string,map<string,struct<date_value:string,stringency:double>>>"
 
@@ -107,8 +108,8 @@ def vacation_calendar(school_years: DataFrame, shift_days: int = 1,
     published = ranges.select(
         F.date_add("startdate", shift_days).alias("a"), F.date_add("enddate", shift_days).alias("b"))
     spark = school_years.sparkSession
-    early = spark.createDataFrame(
-        list(EARLY_VACATIONS), "a date, n int").selectExpr("a", "date_add(a, n - 1) AS b")
+    early = fixed_table(spark, EARLY_VACATIONS, ["a", "n"]).select(
+        "a", F.date_add("a", F.col("n").cast("int") - 1).alias("b"))
     spans = published.unionByName(early).distinct()
     return spans.select(F.explode(F.sequence("a", "b")).alias("date")).distinct()
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stationflow.config import ForecastConfig
 from stationflow.functions import clock
-from stationflow.operators.shared import safe_sequence
+from stationflow.operators.shared import safe_sequence, text_array
 
 
 def _first_visitors() -> list[Column]:
@@ -71,7 +71,7 @@ def event_scores(events: DataFrame, distances: DataFrame, cfg: ForecastConfig,
     a distance counts as infinitely far, so it never hides a known one.
     """
     slots = event_slots(events, cfg).withColumn(
-        "station", F.explode(F.array(*[F.lit(s) for s in stations])))
+        "station", F.explode(text_array(stations)))
     if cfg.use_distance:
         known = distances.select("venue", "station", "distance_km")
         slots = slots.join(F.broadcast(known), ["venue", "station"], "left")

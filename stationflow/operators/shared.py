@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -32,5 +33,26 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
+def quoted(text: str) -> str:
+    """SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def text_map(values: dict[str, str]) -> Column:
+    """Constant map of texts."""
+    return F.expr("map(" + ", ".join(f"{quoted(k)}, {quoted(v)}" for k, v in values.items()) + ")")
+
+
+def text_array(values: Sequence[str]) -> Column:
+    """Constant array of texts."""
+    return F.expr("array(" + ", ".join(map(quoted, values)) + ")")
+
+
 def flag(condition: Column) -> Column:
     return F.when(condition, 1).otherwise(0)
+
+
+def fixed_table(spark: SparkSession, rows: Sequence[tuple], names: Sequence[str]) -> DataFrame:
+    """A small constant table, known to the optimizer with its exact size."""
+    columns = list(zip(*rows, strict=True))
+    return spark.createDataFrame(pa.table(dict(zip(names, map(list, columns), strict=True))))

@@ -61,7 +61,7 @@ def weather_history(raw: DataFrame, station_code: str, zone: str,
 
 def latest_predictions(raw: DataFrame, shift_hours: int = 1) -> DataFrame:
     """Per place and hour the prediction made last (smallest offset), in UTC."""
-    renamed = raw.dropDuplicates().withColumnsRenamed(PREDICTED)
+    renamed = raw.withColumnsRenamed(PREDICTED)
     kept = [n for n in FORECAST_KEPT if n in renamed.columns]
     typed = renamed.select(
         "loc",
@@ -69,7 +69,8 @@ def latest_predictions(raw: DataFrame, shift_hours: int = 1) -> DataFrame:
         F.col("offset").cast("double").alias("offset_h"),
         *[F.col(n).try_cast("double").alias(n) for n in kept],
     )
-    # Remaining ties are broken by the values themselves, so reruns agree.
+    # Remaining ties are broken by the values themselves, so reruns agree; exact duplicates
+    # fall away here too and need no shuffle of their own.
     return keep_first(typed, ["loc", "ts"], ["offset_h", *kept]).drop("offset_h")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from stationflow.config import ForecastConfig
 from stationflow.operators import calendar, events, features, flows, forests, indicators, splits, weather
 from stationflow.operators.serving import model_log_rows
+from stationflow.operators.shared import fixed_table
 from stationflow.session import materialise
 from stationflow.sources.readers import Sources
 
@@ -43,7 +44,7 @@ def prepare(src: Sources, cfg: ForecastConfig, as_of: date, measures: dict[str,
         "ord": F.col("source_rank").cast("bigint") * (1 << 56) + F.col("ord")})
     spark = hourly.sparkSession
     years = hourly.select("year").distinct().unionByName(
-        spark.createDataFrame([(as_of.year,), (as_of.year + 1,)], "year int"))
+        fixed_table(spark, [(as_of.year,), (as_of.year + 1,)], ["year"]))
     dims = features.Dimensions(
         weather=weather.weather_history(src.weather, cfg.weather_station, cfg.zone, cfg.weather_hour_mode),
         stringency=indicators.stringency_series(

@@ -18,6 +18,7 @@ from stationflow.functions.geo import VENUES
 from stationflow.functions.text import MONTHS
 from stationflow.operators import calendar, events, features, flows, indicators, weather
 from stationflow.operators.serving import config_document
+from stationflow.operators.shared import text_array
 
 IN_TYPES = ("view", "click")
 OUT_TYPES = ("signup", "purchase")
@@ -31,7 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pick(values, index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+    return F.element_at(text_array(values), (index + 1).cast("int"))
 
 
 def station_of(user: Column) -> Column:
