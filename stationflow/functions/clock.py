@@ -52,15 +52,16 @@ def utc_to_local(ts: Column, zone: str) -> Column:
 
 def parse_date_text(text: Column) -> Column:
     """Date part of ``yyyy-MM-dd...`` or ``yyyyMMdd...`` text, else null."""
+    # The cast is the cheap way; the pattern is only tried on what it leaves.
     return F.coalesce(
-        F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd"),
+        F.substring(text, 1, 10).try_cast("date"),
         F.try_to_date(F.substring(text, 1, 8), "yyyyMMdd"),
     )
 
 
-def try_timestamp(text: Column, pattern: str) -> Column:
-    """Timestamp without zone, null where the text does not fit."""
-    return F.try_to_timestamp(text, F.lit(pattern)).cast(NTZ)
+def clock_text(ts: Column) -> Column:
+    """``HH:mm`` of a timestamp."""
+    return F.substring(ts.cast("string"), 12, 5)
 
 
 def join_date_time(date: Column, clock: Column) -> Column:

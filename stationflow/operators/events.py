@@ -108,7 +108,7 @@ def _dated(rows: DataFrame, rank: int, ts: Column, venue: Column, name: Column)
         F.lit(rank).alias("source_rank"), "ord", venue.alias("venue"), name.alias("event_name"),
         ts.alias("start_ts")).withColumns({
             "date": F.to_date("start_ts"),
-            "start_show": F.date_format("start_ts", "HH:mm"),
+            "start_show": clock.clock_text(F.col("start_ts")),
             "end_ts": F.lit(None).cast(clock.NTZ),
             "visitors": F.lit(None).cast("double")})
 

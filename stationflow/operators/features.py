@@ -20,10 +20,10 @@ from stationflow.operators.planned_event import planned_event
 class Dimensions:
     """Side tables of the enrichment. All but ``events`` are keyed by date or hour."""
 
-    weather: DataFrame            # date, hour, ...
-    stringency: DataFrame         # date, stringency
-    measures: DataFrame           # date, one 0/1 column per measure
-    cases: DataFrame              # date, cases, deaths
+    weather: DataFrame            # date, hour, ...; one row per hour
+    stringency: DataFrame         # date, stringency; one row per date
+    measures: DataFrame           # date, one 0/1 column per measure; one row per date
+    cases: DataFrame              # date, cases, deaths; one row per date
     holidays: DataFrame           # date
     vacations: DataFrame          # date
     events: DataFrame             # venue, date, start_ts, end_ts, visitors, ord
@@ -37,19 +37,24 @@ def _measure_columns(measures: DataFrame) -> list[str]:
 def enrich(flows: DataFrame, dims: Dimensions, cfg: ForecastConfig) -> DataFrame:
     """Left joins of all side tables; gaps of stringency, measures and cases become 0.
 
-    Weather must hold one row per (date, hour), see ``weather_history``.
+    The side tables hold one row per date, the weather one per (date, hour). That bounds
+    them by the calendar (8,784 rows a year at most), so they are broadcast and the
+    flows stay where they are. Event scores grow with the stations; their join is left
+    to the optimizer.
     """
-    out = flows.join(dims.weather, ["date", "hour"], "left")
+    out = flows.join(F.broadcast(dims.weather), ["date", "hour"], "left")
     if cfg.use_stringency:
-        out = out.join(dims.stringency.select("date", "stringency"), "date", "left")
+        out = out.join(F.broadcast(dims.stringency.select("date", "stringency")), "date", "left")
         out = out.fillna({"stringency": 0.0})
     out = calendar.calendar_flags(out, dims.holidays, dims.vacations)
     out = planned_event(out, dims.events, dims.distances, cfg)
     if cfg.use_measures:
-        out = out.join(dims.measures, "date", "left").fillna(0, subset=_measure_columns(dims.measures))
+        out = out.join(F.broadcast(dims.measures), "date", "left").fillna(
+            0, subset=_measure_columns(dims.measures))
     counted = [c for c, on in (("cases", cfg.use_cases), ("deaths", cfg.use_deaths)) if on]
     if counted:
-        out = out.join(dims.cases.select("date", *counted), "date", "left").fillna(0.0, subset=counted)
+        out = out.join(F.broadcast(dims.cases.select("date", *counted)), "date", "left").fillna(
+            0.0, subset=counted)
     return out
 
 
@@ -106,7 +111,7 @@ def future_features(history: DataFrame, dims: Dimensions, cfg: ForecastConfig,
     out = calendar.peak_period(calendar.cyclic_features(grid))
     out = calendar.calendar_flags(out, dims.holidays, dims.vacations)
     out = planned_event(out, dims.events, dims.distances, cfg)
-    out = out.join(dims.weather, ["date", "hour"], "left")
+    out = out.join(F.broadcast(dims.weather), ["date", "hour"], "left")
     if cfg.use_stringency:
         latest = latest_values(dims.stringency, ["stringency"])
         out = out.withColumn("stringency", latest.getField("stringency"))

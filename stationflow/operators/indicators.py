@@ -61,20 +61,28 @@ def measures_daily(raw: DataFrame, country: str, measures: dict[str, str], as_of
 
 
 def cases_deaths(raw: DataFrame, geo_id: str, date_format: str) -> DataFrame:
-    """Reported cases and deaths per date for one area."""
-    return raw.where(F.col("geoId") == geo_id).select(
+    """Reported cases and deaths of one area, one row per date.
+
+    A date that was reported twice keeps its larger figures, so joins never fan out.
+    """
+    typed = raw.where(F.col("geoId") == geo_id).select(
         F.to_date("dateRep", date_format).alias("date"),
         F.col("cases").cast("double").alias("cases"),
         F.col("deaths").cast("double").alias("deaths"),
     )
+    return typed.groupBy("date").agg(F.max("cases").alias("cases"), F.max("deaths").alias("deaths"))
 
 
 def stringency_records(documents: DataFrame, country_code: str) -> DataFrame:
-    """(date, stringency) of one country from JSON text keyed date -> country -> record."""
+    """(date, stringency) of one country from JSON text keyed date -> country -> record.
+
+    Documents may overlap; a date comes out once, with its larger value.
+    """
     parsed = documents.select(F.explode(F.from_json("document", STRINGENCY_DOCUMENT)))
     record = parsed.select(F.try_element_at("value", F.lit(country_code)).alias("r"))
-    return record.where("r IS NOT NULL").select(
-        clock.parse_date_text(F.col("r.date_value")).alias("date"), F.col("r.stringency").alias("stringency"))
+    return record.where("r IS NOT NULL").groupBy(
+        clock.parse_date_text(F.col("r.date_value")).alias("date")).agg(
+        F.max("r.stringency").alias("stringency"))
 
 
 def stringency_series(records: DataFrame, horizon_days: int = 13) -> DataFrame:
@@ -167,9 +175,9 @@ def latest_values(df: DataFrame, columns: Sequence[str], order: str = "date") ->
 
 
 def fill_from_latest(df: DataFrame, source: DataFrame, columns: Sequence[str], key: str = "date") -> DataFrame:
-    """Left join of ``source`` on ``key``; gaps take the latest row's values."""
+    """Left join of ``source``, one row per date, on ``key``; gaps take the latest row's values."""
     latest = latest_values(source, columns, key)
-    joined = df.join(source.select(key, *columns), key, "left")
+    joined = df.join(F.broadcast(source.select(key, *columns)), key, "left")
     return joined.withColumns({c: F.coalesce(c, latest.getField(c)) for c in columns})
 
 

@@ -72,7 +72,7 @@ def station_slice(spark, sf):
 def _stop_trips(spark, sf, status: str) -> DataFrame:
     li = st.table(spark, sf, "lineitem").where(F.col("l_linestatus") == status)
     return li.select(
-        F.to_date(F.date_trunc("month", "l_shipdate")).alias("date"), F.col("l_returnflag").alias("hour_band"),
+        F.trunc("l_shipdate", "month").alias("date"), F.col("l_returnflag").alias("hour_band"),
         F.nullif(F.col("l_linenumber"), F.lit(3)).cast("string").alias("stop_code"),
         st.station_of(F.col("l_suppkey")).alias("station"), F.col("l_quantity").cast("bigint").alias("trips"))
 

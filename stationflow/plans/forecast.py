@@ -57,10 +57,13 @@ def prepare(src: Sources, cfg: ForecastConfig, as_of: date, measures: dict[str,
         distances=events.venue_distances(spark, cfg.stations),
     )
     rows = materialise(features.enrich(hourly, dims, cfg), "enriched")
-    ahead = weather.weather_forecast(
-        src.predictions, cfg.zone, cfg.forecast_shift_hours, cfg.forecast_fill_hours)
+    # One place, or all records taken as one: either way one row per date and hour.
     if forecast_place is not None:
-        ahead = ahead.where(F.col("loc") == forecast_place)
+        predictions = src.predictions.where(F.col("loc") == forecast_place)
+    else:
+        predictions = src.predictions.withColumn("loc", F.lit("all"))
+    ahead = weather.weather_forecast(
+        predictions, cfg.zone, cfg.forecast_shift_hours, cfg.forecast_fill_hours)
     return Prepared(rows, replace(dims, weather=ahead.drop("loc")))
 
 

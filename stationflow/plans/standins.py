@@ -57,7 +57,7 @@ def raw_trips(ev: DataFrame, side: str) -> DataFrame:
     """Trip rows of one side in the layout of the raw files."""
     names = flows.RAW_ORIGIN if side == "in" else flows.RAW_DESTINATION
     to_raw = {v: k for k, v in names.items()}
-    hour = F.date_format("ts", "HH")
+    hour = F.substring(clock.clock_text(F.col("ts")), 1, 2)
     return ev.where(F.col("event_type").isin(*(IN_TYPES if side == "in" else OUT_TYPES))).select(
         F.to_date("ts").cast("string").alias(to_raw["date"]),
         F.concat(hour, F.lit(":00 - "), hour, F.lit(":59")).alias(to_raw["hour_band"]),
@@ -208,9 +208,9 @@ def raw_sheet(ev: DataFrame) -> DataFrame:
         _mod("event_id", 19) == 0, events.PLACE_OTHER).otherwise(venue)
     prefix = F.when(_mod("event_id", 2) == 0, events.EPOCH_PREFIX).otherwise("")
     start = F.when(_mod("event_id", 29) != 0,
-                   F.concat(prefix, F.date_format("ts", "HH"), F.lit(":00:00")))
+                   F.concat(prefix, F.substring(clock.clock_text(F.col("ts")), 1, 2), F.lit(":00:00")))
     end = F.when(_mod("event_id", 5) == 0, "onbekend").otherwise(
-        F.concat(prefix, F.date_format(F.col("ts") + clock.hours(2), "HH"), F.lit(":00:00")))
+        F.concat(prefix, F.substring(clock.clock_text(F.col("ts") + clock.hours(2)), 1, 2), F.lit(":00:00")))
     name = F.concat(F.lit("Event "), F.col("event_id").cast("string"))
 
     def unless_gone(c: Column) -> Column:
@@ -228,7 +228,7 @@ def raw_social(ev: DataFrame) -> DataFrame:
     accounts = [*events.ACCOUNT_VENUES, "newaccount"]
     return ev.where((F.col("event_type") == "purchase") & (_mod("event_id", 3) < 2)).select(
         F.col("event_id").alias("ord"), pick(accounts, _mod("user_id", 10)).alias("venue"),
-        F.concat(F.to_date("ts").cast("string"), F.lit(" "), F.date_format("ts", "HH"), F.lit(":00:00"))
+        F.concat(F.to_date("ts").cast("string"), F.lit(" "), F.substring(clock.clock_text(F.col("ts")), 1, 2), F.lit(":00:00"))
         .alias("event_date"))
 
 
@@ -239,7 +239,7 @@ def raw_tickets(ev: DataFrame) -> DataFrame:
     return ev.where((F.col("event_type") == "purchase") & (_mod("event_id", 3) == 2)).select(
         F.col("event_id").alias("ord"), F.concat(F.lit("Show "), F.col("event_id").cast("string")).alias("name"),
         venue.alias("venue"),
-        F.concat(F.to_date("ts").cast("string"), F.lit("T"), F.date_format("ts", "HH"), F.lit(":00:00Z"))
+        F.concat(F.to_date("ts").cast("string"), F.lit("T"), F.substring(clock.clock_text(F.col("ts")), 1, 2), F.lit(":00:00Z"))
         .alias("datetime"))
 
 
@@ -256,7 +256,7 @@ def caption(ev_id: str = "event_id") -> Column:
     short = F.substring(F.when(month == "maart", "mrt").otherwise(month), 1, 3)
     short = F.when(short.isin("jun", "jul"), month).otherwise(F.upper(short))
     day = F.lpad((1 + _mod(ev_id, 28)).cast("string"), 2, "0")
-    hour, minute = F.date_format("ts", "HH"), F.date_format("ts", "mm")
+    hour, minute = F.substring(clock.clock_text(F.col("ts")), 1, 2), F.substring(clock.clock_text(F.col("ts")), 4, 2)
     return (F.when(_mod(ev_id, 4) == 0, F.concat(F.lit("Show op "), day, F.lit(" "), month, F.lit(" om "),
                                                  hour, F.lit(":"), minute, F.lit(" uur, of 31 dec 23:59")))
             .when(_mod(ev_id, 4) == 1, F.concat(day, F.lit("\n"), short, F.lit(". Deuren "), hour, F.lit("."), minute))
@@ -290,7 +290,7 @@ def ticket_documents(ev: DataFrame) -> DataFrame:
     venue = F.struct(venue_of(F.col("user_id")).alias("name"), F.struct(line1.alias("line1")).alias("address"))
     none = F.array().cast("array<struct<name: string, address: struct<line1: string>>>")
     held = F.when(_mod("event_id", 13) == 0, none).otherwise(F.array(venue))
-    start = F.concat(F.to_date("ts").cast("string"), F.lit("T"), F.date_format("ts", "HH"), F.lit(":00:00Z"))
+    start = F.concat(F.to_date("ts").cast("string"), F.lit("T"), F.substring(clock.clock_text(F.col("ts")), 1, 2), F.lit(":00:00Z"))
     entry = F.struct(
         F.concat(F.lit("Show "), _mod("event_id", 50).cast("string")).alias("name"),
         F.struct(F.struct(start.alias("dateTime")).alias("start")).alias("dates"),
