@@ -58,6 +58,8 @@ class ForecastConfig:
     use_deaths: bool = True
 
     stations: tuple[str, ...] = STATIONS
+    # (station, latitude, longitude) of stations beside the published ones.
+    station_points: tuple[tuple[str, float, float], ...] = ()
     features: tuple[str, ...] = field(default=SELECTABLE_FEATURES)
     zone: str = "Europe/Amsterdam"
     country: str = "Netherlands"

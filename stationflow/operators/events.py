@@ -166,9 +166,17 @@ def events_normalized(events: DataFrame) -> DataFrame:
     return events.withColumn("visitors_normalized", F.try_divide("visitors", top))
 
 
-def venue_distances(spark, stations: Sequence[str] = tuple(STATION_POINTS)) -> DataFrame:
-    """(venue, station, distance_km) for all known venues; a fixed, small table."""
-    pairs = [(v, s, *VENUES[v], *STATION_POINTS[s]) for v in VENUES for s in stations]
+def venue_distances(spark, stations: Sequence[str] = tuple(STATION_POINTS),
+                    points: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """(venue, station, distance_km) for all known venues; a fixed, small table.
+
+    ``points`` adds coordinates of stations that are not among the published ones.
+    """
+    places = STATION_POINTS | (points or {})
+    unknown = [s for s in stations if s not in places]
+    if unknown:
+        raise ValueError(f"no coordinates for stations {unknown}")
+    pairs = [(v, s, *VENUES[v], *places[s]) for v in VENUES for s in stations]
     points = fixed_table(spark, pairs, ["venue", "station", "vlat", "vlon", "slat", "slon"])
     km = geodesic_km("vlat", "vlon", "slat", "slon")
     return points.select("venue", "station", km.alias("distance_km"))

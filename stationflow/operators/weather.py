@@ -79,25 +79,26 @@ def fill_hours(rows: DataFrame, limit: int = 11) -> DataFrame:
 
     A row only needs to know its successor within ``limit`` hours. So rows are cut into
     blocks of ``limit + 1`` hours, each block also sees the next block's times, and the
-    look-ahead runs inside (loc, block): no place ends up in one task whole.
+    look-ahead runs inside (loc, block): no place ends up in one task whole. The last
+    row of a place, where its series ends, is its own successor.
     """
     block_hours = limit + 1
     values = [c for c in rows.columns if c not in ("loc", "ts")]
     block = F.floor(clock.hour_index(F.col("ts")) / block_hours).cast("int")
     own = rows.withColumns({"_block": block, "_own": F.lit(True)})
-    ahead = rows.select("loc", "ts", (block - 1).alias("_block"), F.lit(False).alias("_own"))
-    both = own.unionByName(ahead, allowMissingColumns=True)
-    window = Window.partitionBy("loc", "_block").orderBy("ts")
+    marks = rows.select("loc", "ts", (block - 1).alias("_block"))
+    ends = rows.groupBy("loc").agg(F.max("ts").alias("ts")).withColumn("_block", block)
+    marks = marks.unionByName(ends).withColumn("_own", F.lit(False))
+    both = own.unionByName(marks, allowMissingColumns=True)
+    window = Window.partitionBy("loc", "_block").orderBy("ts", F.desc("_own"))
     lined = both.withColumn("_next", F.lead("ts").over(window)).where("_own")
 
-    last = rows.groupBy("loc").agg(F.max("ts").alias("_last"))
-    lined = lined.join(last, "loc")
     low = clock.hour_index(clock.hour_ceil(F.col("ts")))
+    reach = clock.hour_index(F.col("ts") + clock.hours(limit))
     # Hours strictly before the successor: the hour before its ceiling.
     before_next = clock.hour_index(clock.hour_ceil(F.col("_next"))) - 1
-    reach = clock.hour_index(F.col("ts") + clock.hours(limit))
-    # The grid ends with the last row of the place.
-    high = F.least(reach, before_next, clock.hour_index(F.col("_last")))
+    is_last = F.col("_next") == F.col("ts")
+    high = F.when(is_last, clock.hour_index(F.col("ts"))).otherwise(F.least(reach, before_next))
     return lined.select("loc", F.explode(safe_sequence(low, high)).alias("hour_index"), *values)
 
 

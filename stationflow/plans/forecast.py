@@ -54,7 +54,8 @@ def prepare(src: Sources, cfg: ForecastConfig, as_of: date, measures: dict[str,
         holidays=indicators.holiday_calendar(years),
         vacations=indicators.vacation_calendar(src.school_years, cfg.vacation_shift_days),
         events=scored,
-        distances=events.venue_distances(spark, cfg.stations),
+        distances=events.venue_distances(
+            spark, cfg.stations, {name: (lat, lon) for name, lat, lon in cfg.station_points}),
     )
     rows = materialise(features.enrich(hourly, dims, cfg), "enriched")
     # One place, or all records taken as one: either way one row per date and hour.

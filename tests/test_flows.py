@@ -1,0 +1,162 @@
+from __future__ import annotations
+
+import datetime as dt
+
+import pytest
+
+from stationflow.operators import calendar, features, flows, splits
+
+D = dt.date
+
+
+def trips(spark, rows):
+    return spark.createDataFrame(
+        rows, "date date, hour_band string, stop_code string, station string, trips bigint")
+
+
+def rows(df, *columns):
+    return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
+
+
+def test_duplicates_go_before_the_sum_and_sides_join_fully(spark):
+    band = "08:00 - 08:59"
+    ins = trips(spark, [(D(2021, 3, 1), band, "a", "Zuid", 5), (D(2021, 3, 1), band, "a", "Zuid", 5),
+                        (D(2021, 3, 1), band, "b", "Zuid", 7)])
+    outs = trips(spark, [(D(2021, 3, 1), band, "a", "Noord", 3)])
+    out = flows.hourly_flows(ins, outs)
+    assert rows(out, "station", "check_ins", "check_outs") == [("Noord", None, 3), ("Zuid", 12, None)]
+
+
+def test_same_row_on_both_sides_is_no_duplicate(spark):
+    row = (D(2021, 3, 1), "08:00 - 08:59", "a", "Zuid", 5)
+    out = flows.hourly_flows(trips(spark, [row]), trips(spark, [row]))
+    assert rows(out, "check_ins", "check_outs") == [(5, 5)]
+
+
+def test_null_keys_are_dropped_per_station_and_matched_per_stop(spark):
+    row = (D(2021, 3, 1), "08:00 - 08:59", None, None, 5)
+    ins, outs = trips(spark, [row]), trips(spark, [row])
+    assert flows.hourly_flows(ins, outs).count() == 0
+    assert rows(flows.stop_flows(ins, outs), "check_ins", "check_outs") == [(5, 5)]
+
+
+def test_normalise_trips_parses_both_date_layouts(spark):
+    raw = spark.createDataFrame(
+        [("2021-03-01", "08:00 - 08:59", "a", "Zuid", "5"), ("20210301", "09:00 - 09:59", "a", "Zuid", "6")],
+        "Datum string, `UurgroepOmschrijving (van vertrek)` string, VertrekHalteCode string, "
+        "VertrekHalteNaam string, AantalReizen string")
+    out = flows.normalise_trips(raw, "in")
+    assert rows(out, "date", "trips") == [(D(2021, 3, 1), 5), (D(2021, 3, 1), 6)]
+
+
+def flow(spark, data):
+    base = spark.createDataFrame(
+        data, "station string, date date, hour int, check_ins bigint, check_outs bigint")
+    return base.selectExpr("*", "weekofyear(date) AS week", "year(date) AS year", "weekday(date) AS weekday")
+
+
+def test_calendar_parts_keep_iso_week_beside_calendar_year(spark):
+    base = spark.createDataFrame([("Zuid", D(2021, 1, 1), "07:00 - 07:59")], "station string, date date, hour_band string")
+    r = calendar.calendar_features(base).first()
+    assert (r["week"], r["year"], r["weekday"], r["hour"]) == (53, 2021, 4, 7)
+    assert r["ts"] == dt.datetime(2021, 1, 1, 7)
+
+
+def test_one_hot_has_a_fixed_width(spark):
+    out = calendar.one_hot(flow(spark, [("Zuid", D(2021, 1, 4), 7, 1, 1)]))
+    r = out.first().asDict()
+    hot = {k for k, v in r.items() if k.startswith(("hour_", "weekday_")) and v == 1}
+    assert hot == {"hour_7", "weekday_0"}
+    assert sum(k.startswith(("hour_", "weekday_")) for k in r) == 31
+
+
+@pytest.mark.parametrize(("period", "expected"), [("observed", 1.0), ("fixed", 0.854419)])
+def test_cyclic_features_use_the_observed_maximum_by_default(spark, period, expected):
+    base = flow(spark, [("Zuid", D(2021, 2, 3), h, 1, 1) for h in (0, 11, 22)]).selectExpr(
+        "*", "month(date) AS month")
+    out = calendar.cyclic_features(base, period)
+    # An hour of 22 closes the circle only when 22 is the maximum.
+    assert out.where("hour = 22").first()["cos_hour"] == pytest.approx(
+        expected if period == "observed" else 0.9629, abs=1e-3)
+
+
+def test_cyclic_features_survive_a_zero_maximum(spark):
+    base = flow(spark, [("Zuid", D(2021, 2, 1), 0, 1, 1)]).selectExpr("*", "month(date) AS month")
+    assert calendar.cyclic_features(base).first()["cos_hour"] is None
+
+
+def test_calendar_flags_do_not_fan_out(spark):
+    days = spark.createDataFrame([(D(2021, 1, 1),), (D(2021, 1, 1),)], "date date")
+    out = calendar.calendar_flags(flow(spark, [("Zuid", D(2021, 1, 1), 7, 1, 1), ("Zuid", D(2021, 1, 2), 7, 1, 1)]),
+                                  days, days)
+    assert rows(out, "date", "holiday", "vacation") == [(D(2021, 1, 1), 1, 1), (D(2021, 1, 2), 0, 0)]
+
+
+def test_future_grid_starts_at_the_hour_and_has_168_rows(spark):
+    stations = spark.createDataFrame([("Zuid",), ("Zuid",)], "station string")
+    out = calendar.future_grid(stations, dt.datetime(2021, 3, 27, 10, 40))
+    found = sorted(r["ts"] for r in out.collect())
+    assert len(found) == 168
+    assert (found[0], found[-1]) == (dt.datetime(2021, 3, 27, 10), dt.datetime(2021, 4, 3, 9))
+
+
+def test_week_ago_takes_an_existing_row_even_if_its_count_is_null(spark):
+    data = [("Zuid", D(2021, 3, 1), 7, None, 4), ("Zuid", D(2021, 3, 8), 7, 10, 20)]
+    out = features.week_ago(flow(spark, data)).where("date = '2021-03-08'").first()
+    assert (out["check_ins_week_ago"], out["check_outs_week_ago"]) == (None, 4.0)
+
+
+def test_week_ago_fallback_averages_the_own_week_with_the_row_itself(spark):
+    data = [("Zuid", D(2021, 3, 8), 7, 10, 1), ("Zuid", D(2021, 3, 9), 7, 30, 3)]
+    out = features.week_ago(flow(spark, data))
+    assert {r["check_ins_week_ago"] for r in out.collect()} == {20.0}
+
+
+def test_week_ago_fallback_previous_week(spark):
+    data = [("Zuid", D(2021, 3, 2), 7, 10, 1), ("Zuid", D(2021, 3, 3), 7, 30, 3), ("Zuid", D(2021, 3, 12), 7, 5, 5)]
+    out = features.week_ago(flow(spark, data), fallback="previous_week")
+    assert out.where("date = '2021-03-12'").first()["check_ins_week_ago"] == 20.0
+    with pytest.raises(ValueError, match="unknown fallback"):
+        features.week_ago(flow(spark, data), fallback="none")
+
+
+def test_week_ago_of_future_rows_only_sees_history(spark):
+    history = flow(spark, [("Zuid", D(2021, 3, 1), 7, 10, 1)])
+    future = flow(spark, [("Zuid", D(2021, 3, 8), 7, None, None), ("Zuid", D(2021, 3, 15), 7, None, None)]).drop(
+        "check_ins", "check_outs")
+    out = features.week_ago(history, future)
+    assert set(rows(out, "date", "check_ins_week_ago")) == {(D(2021, 3, 8), 10.0), (D(2021, 3, 15), None)}
+    assert out.count() == 2
+
+
+def test_split_labels_cover_every_complete_row_once(spark):
+    days = [D(2021, 3, 1) + dt.timedelta(i) for i in range(30)]
+    data = [("Zuid", d, 7, 1, 1) for d in days] + [("Noord", d, 7, 1, 1) for d in days[:20]]
+    data.append(("Zuid", D(2021, 4, 20), 7, None, 1))  # incomplete: does not move the split
+    out = splits.split_labels(flow(spark, data))
+    found = {(r["station"], r["split"]): r["n"] for r in
+             out.groupBy("station", "split").count().withColumnRenamed("count", "n").collect()}
+    assert found == {("Zuid", "test"): 7, ("Zuid", "validation"): 7, ("Zuid", "train"): 16,
+                     ("Noord", "test"): 7, ("Noord", "validation"): 7, ("Noord", "train"): 6}
+    assert out.where("station = 'Zuid' AND split = 'test'").agg({"date": "min"}).first()[0] == D(2021, 3, 24)
+    two = splits.split_labels_2way(flow(spark, data)).where("split = 'test'")
+    assert two.count() == 14
+
+
+def test_metrics_against_hand_values(spark):
+    data = [("Zuid", 10, 1, 12, 1), ("Zuid", 20, 3, 18, 5), ("Zuid", 30, 5, 30, 5)]
+    df = spark.createDataFrame(
+        data, "station string, check_ins bigint, check_outs bigint, check_ins_predicted int, check_outs_predicted int")
+    r = splits.forecast_metrics(df).first()
+    assert r["r2"] == pytest.approx(((1 - 8 / 200) + (1 - 4 / 8)) / 2)
+    assert r["mae"] == pytest.approx((4 / 3 + 2 / 3) / 2)
+    assert r["rmse"] == pytest.approx(((8 / 3 + 4 / 3) / 2) ** 0.5)
+    assert splits.quality_gate(splits.forecast_metrics(df), 0.8).count() == 1
+
+
+def test_metrics_of_constant_targets(spark):
+    df = spark.createDataFrame(
+        [("a", 5, 5, 5, 5), ("b", 5, 5, 6, 5)],
+        "station string, check_ins bigint, check_outs bigint, check_ins_predicted int, check_outs_predicted int")
+    found = {r["station"]: r["r2"] for r in splits.forecast_metrics(df).collect()}
+    assert found == {"a": 1.0, "b": 0.5}
