@@ -74,7 +74,7 @@ def peak_counters(flows: DataFrame, hours_back: int = 4) -> DataFrame:
     per (station, hour) lines the values up; only hours with a row of their own remain.
     The first hour of a station is left out.
     """
-    base = flows.select("station", "check_outs", clock.hour_index(F.col("ts")).alias("own"))
+    base = flows.select("station", "check_outs", clock.hour_index("ts").alias("own"))
     spread = base.select("station", "check_outs", "own",
                          F.explode(F.sequence(F.lit(0), F.lit(hours_back - 1))).alias("back"))
     looked = spread.groupBy("station", (F.col("own") + F.col("back")).alias("slot")).agg(
@@ -92,10 +92,9 @@ def peak_counters(flows: DataFrame, hours_back: int = 4) -> DataFrame:
 
 def peak_lead(flows: DataFrame, events: DataFrame, hours_back: int = 4) -> DataFrame:
     """Mean counter per station over events with visitors that start on a known hour."""
-    start = F.col("start_ts")
-    starts = events.where((F.col("visitors") > 0) & (clock.hour_floor(start) == start))
+    starts = events.where((F.col("visitors") > 0) & (clock.hour_floor("start_ts") == F.col("start_ts")))
     # Events only weigh the hours: count them before they meet the flows.
-    weights = starts.groupBy(clock.hour_index(start).alias("slot")).agg(F.count("*").alias("n"))
+    weights = starts.groupBy(clock.hour_index("start_ts").alias("slot")).agg(F.count("*").alias("n"))
     joined = peak_counters(flows, hours_back).join(weights, "slot")
     return joined.groupBy("station").agg(
         F.sum("n").alias("events"),

@@ -36,15 +36,15 @@ def calendar_features(flows: DataFrame, stations: Sequence[str] | None = None) -
         flows = station_slice(flows, *stations)
     return flows.withColumns({
         "hour": F.substring("hour_band", 1, 2).cast("int"),
-        "ts": clock.join_date_time(F.col("date"), F.substring("hour_band", 1, 5)),
+        "ts": clock.join_date_time("date", "substring(hour_band, 1, 5)"),
         **_date_parts(F.col("date")),
     }).drop("hour_band")
 
 
 def one_hot(df: DataFrame) -> DataFrame:
     """0/1 columns for 24 hours and 7 weekdays; the set does not depend on the data."""
-    columns = {f"hour_{h}": flag(F.col("hour") == h) for h in range(24)}
-    columns |= {f"weekday_{d}": flag(F.col("weekday") == d) for d in range(7)}
+    columns = {f"hour_{h}": F.expr(f"IF(hour = {h}, 1, 0)") for h in range(24)}
+    columns |= {f"weekday_{d}": F.expr(f"IF(weekday = {d}, 1, 0)") for d in range(7)}
     return df.withColumns(columns)
 
 
@@ -87,9 +87,9 @@ def calendar_flags(df: DataFrame, holidays: DataFrame, vacations: DataFrame) ->
 def future_grid(stations: DataFrame, as_of: datetime | Column, horizon_hours: int = 168) -> DataFrame:
     """One row per station and hour from ``as_of`` (cut to the hour) on."""
     start = as_of if isinstance(as_of, Column) else F.lit(as_of).cast(clock.NTZ)
-    grid = stations.select("station").distinct().withColumn("_start", clock.hour_floor(start))
+    grid = stations.select("station").distinct().withColumn("_as_of", start)
     step = F.explode(F.sequence(F.lit(0), F.lit(horizon_hours - 1)))
     grid = grid.withColumn("_step", step).select(
-        "station", (F.col("_start") + clock.hours(F.col("_step"))).alias("ts"))
+        "station", (clock.hour_floor("_as_of") + F.expr("make_dt_interval(0, _step)")).alias("ts"))
     grid = grid.withColumns({"date": F.to_date("ts"), "hour": F.hour("ts")})
     return grid.withColumns(_date_parts(F.col("date")))

@@ -75,18 +75,17 @@ def event_times(rows: DataFrame, roll_midnight: bool = False) -> DataFrame:
     A text that is no time of day gives a null timestamp. ``roll_midnight`` moves an end
     before the start to the next day.
     """
-    day = clock.parse_date_text(F.col("Datum").cast("string"))
-    start, end = short_time(F.col("Start show")), short_time(F.col("Einde show"))
     timed = rows.withColumns({
-        "date": day,
-        "start_show": start,
-        "start_ts": clock.join_date_time(day, start),
-        "end_ts": clock.join_date_time(day, end),
-    })
+        "date": clock.parse_date_text("CAST(Datum AS string)"),
+        "start_show": short_time(F.col("Start show")),
+        "_end_show": short_time(F.col("Einde show")),
+    }).withColumns({
+        "start_ts": clock.join_date_time("date", "start_show"),
+        "end_ts": clock.join_date_time("date", "_end_show"),
+    }).drop("_end_show")
     if roll_midnight:
-        late = F.col("end_ts") < F.col("start_ts")
         timed = timed.withColumn(
-            "end_ts", F.when(late, F.col("end_ts") + clock.hours(24)).otherwise(F.col("end_ts")))
+            "end_ts", F.expr(f"IF(end_ts < start_ts, end_ts + {clock.span(24)}, end_ts)"))
     return timed
 
 
@@ -108,7 +107,7 @@ def _dated(rows: DataFrame, rank: int, ts: Column, venue: Column, name: Column)
         F.lit(rank).alias("source_rank"), "ord", venue.alias("venue"), name.alias("event_name"),
         ts.alias("start_ts")).withColumns({
             "date": F.to_date("start_ts"),
-            "start_show": clock.clock_text(F.col("start_ts")),
+            "start_show": clock.clock_text("start_ts"),
             "end_ts": F.lit(None).cast(clock.NTZ),
             "visitors": F.lit(None).cast("double")})
 
@@ -125,9 +124,8 @@ def from_posts(posts: DataFrame) -> DataFrame:
 
 def from_tickets(tickets: DataFrame, cfg: ForecastConfig) -> DataFrame:
     """Event columns from ticketed events (``ord``, ``name``, ``venue``, ``datetime`` UTC text)."""
-    ts = F.regexp_replace("datetime", "Z$", "").try_cast(clock.NTZ)
-    if cfg.ticket_zone_mode == "local":
-        ts = clock.utc_to_local(ts, cfg.zone)
+    text = f"try_cast(regexp_replace(datetime, 'Z$', '') AS {clock.NTZ})"
+    ts = clock.utc_to_local(text, cfg.zone) if cfg.ticket_zone_mode == "local" else F.expr(text)
     return _dated(tickets, 2, ts, F.col("venue"), F.col("name"))
 
 

@@ -50,7 +50,7 @@ def posts_to_events(posts: DataFrame, zone: str, clock_pattern: str = CLOCK) ->
         "venue",
         F.col("p.edge_media_preview_like.count").alias("likes"),
         F.col("p.edge_media_to_comment.count").alias("comments"),
-        clock.utc_to_local(clock.epoch_to_utc(F.col("p.taken_at_timestamp")), zone).alias("date_uploaded"),
+        clock.local_from_epoch("p.taken_at_timestamp", zone).alias("date_uploaded"),
         F.col("p.edge_media_to_caption.edges")[0]["node"]["text"].alias("caption"),
     )
     when = caption_datetime(F.col("caption"), F.year("date_uploaded"), clock_pattern)

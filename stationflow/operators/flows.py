@@ -31,7 +31,7 @@ def normalise_trips(raw: DataFrame, side: str) -> DataFrame:
     names = RAW_ORIGIN if side == "in" else RAW_DESTINATION
     out = raw.withColumnsRenamed(names)
     return out.withColumns({
-        "date": clock.parse_date_text(F.col("date").cast("string")),
+        "date": clock.parse_date_text("CAST(date AS string)"),
         "trips": F.col("trips").cast("bigint"),
     }).select("date", "hour_band", "stop_code", "station", "trips")
 

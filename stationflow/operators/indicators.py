@@ -81,7 +81,7 @@ def stringency_records(documents: DataFrame, country_code: str) -> DataFrame:
     parsed = documents.select(F.explode(F.from_json("document", STRINGENCY_DOCUMENT)))
     record = parsed.select(F.try_element_at("value", F.lit(country_code)).alias("r"))
     return record.where("r IS NOT NULL").groupBy(
-        clock.parse_date_text(F.col("r.date_value")).alias("date")).agg(
+        clock.parse_date_text("r.date_value").alias("date")).agg(
         F.max("r.stringency").alias("stringency"))
 
 
@@ -103,8 +103,8 @@ def vacation_ranges(school_years: DataFrame) -> DataFrame:
         "school_year", F.trim("v.type").alias("vacation"), F.explode_outer("v.regions").alias("r"),
     ).select(
         "school_year", "vacation", F.col("r.region").alias("region"),
-        clock.parse_date_text(F.col("r.startdate")).alias("startdate"),
-        clock.parse_date_text(F.col("r.enddate")).alias("enddate"))
+        clock.parse_date_text("r.startdate").alias("startdate"),
+        clock.parse_date_text("r.enddate").alias("enddate"))
 
 
 def vacation_calendar(school_years: DataFrame, shift_days: int = 1,
@@ -122,51 +122,42 @@ def vacation_calendar(school_years: DataFrame, shift_days: int = 1,
     return spans.select(F.explode(F.sequence("a", "b")).alias("date")).distinct()
 
 
-def easter_sunday(year: Column) -> Column:
-    """Gregorian Easter by the anonymous computus (Meeus/Jones/Butcher)."""
-    def div(x, n):
-        return F.floor(x / n).cast("int")
-
-    golden = F.pmod(year, F.lit(19))
-    century, rest = div(year, 100), F.pmod(year, F.lit(100))
-    moon_shift = div(century + 8, 25)
-    correction = div(century - moon_shift + 1, 3)
-    epact = F.pmod(19 * golden + century - div(century, 4) - correction + 15, F.lit(30))
-    to_sunday = F.pmod(
-        32 + 2 * F.pmod(century, F.lit(4)) + 2 * div(rest, 4) - epact - F.pmod(rest, F.lit(4)), F.lit(7))
-    late = div(golden + 11 * epact + 22 * to_sunday, 451)
-    code = epact + to_sunday - 7 * late + 114
-    return F.make_date(year, div(code, 31), F.pmod(code, F.lit(31)) + 1)
+def easter_sunday(years: DataFrame) -> DataFrame:
+    """Adds Gregorian Easter by the anonymous computus (Meeus/Jones/Butcher)."""
+    steps = (
+        {"_golden": "year % 19", "_century": "year div 100", "_rest": "year % 100"},
+        {"_shift": "(_century + 8) div 25"},
+        {"_epact": "(19 * _golden + _century - _century div 4 - (_century - _shift + 1) div 3 + 15) % 30"},
+        {"_sunday": "(32 + 2 * (_century % 4) + 2 * (_rest div 4) - _epact - _rest % 4) % 7"},
+        {"_late": "(_golden + 11 * _epact + 22 * _sunday) div 451"},
+        {"_code": "CAST(_epact + _sunday - 7 * _late + 114 AS int)"},
+        {"easter": "make_date(year, CAST(_code div 31 AS int), _code % 31 + 1)"},
+    )
+    for step in steps:
+        years = years.withColumns({name: F.expr(text) for name, text in step.items()})
+    return years.drop(*[name for step in steps[:-1] for name in step])
 
 
 def holiday_calendar(years: DataFrame) -> DataFrame:
     """(date, holiday) of the Dutch public holidays in each ``year``."""
-    year = F.col("year")
-    based = years.select(year.cast("int").alias("year")).where("year IS NOT NULL").distinct()
-    based = based.withColumn("easter", easter_sunday(year))
-
-    def fixed(month: int, day: int) -> Column:
-        return F.make_date(year, F.lit(month), F.lit(day))
-
-    # The monarch's day gives way to a Sunday and moved from 30 to 27 April in 2014.
-    royal = F.when(year >= 2014, fixed(4, 27)).otherwise(fixed(4, 30))
-    royal = F.when(F.weekday(royal) == 6, F.date_sub(royal, 1)).otherwise(royal)
+    based = years.selectExpr("CAST(year AS int) AS year").where("year IS NOT NULL").distinct()
+    # The monarch's day moved from 30 to 27 April in 2014 and gives way to a Sunday.
+    based = easter_sunday(based).withColumn("_royal", F.expr("make_date(year, 4, IF(year >= 2014, 27, 30))"))
     days = {
-        "New year": fixed(1, 1),
-        "Good Friday": F.date_sub("easter", 2),
-        "Easter Sunday": F.col("easter"),
-        "Easter Monday": F.date_add("easter", 1),
-        "King's day": royal,
-        "Liberation Day": fixed(5, 5),
-        "Ascension Thursday": F.date_add("easter", 39),
-        "Whit Sunday": F.date_add("easter", 49),
-        "Whit Monday": F.date_add("easter", 50),
-        "Christmas Day": fixed(12, 25),
-        "Boxing Day": fixed(12, 26),
+        "New year": "make_date(year, 1, 1)",
+        "Good Friday": "date_sub(easter, 2)",
+        "Easter Sunday": "easter",
+        "Easter Monday": "date_add(easter, 1)",
+        "King\\'s day": "IF(weekday(_royal) = 6, date_sub(_royal, 1), _royal)",
+        "Liberation Day": "make_date(year, 5, 5)",
+        "Ascension Thursday": "date_add(easter, 39)",
+        "Whit Sunday": "date_add(easter, 49)",
+        "Whit Monday": "date_add(easter, 50)",
+        "Christmas Day": "make_date(year, 12, 25)",
+        "Boxing Day": "make_date(year, 12, 26)",
     }
-    listed = F.array(*[
-        F.struct(d.alias("date"), F.lit(n).alias("holiday")) for n, d in days.items()])
-    return based.select(F.explode(listed).alias("h")).select("h.date", "h.holiday")
+    listed = ", ".join(f"struct({day} AS date, '{name}' AS holiday)" for name, day in days.items())
+    return based.select(F.expr(f"inline(array({listed}))"))
 
 
 def latest_values(df: DataFrame, columns: Sequence[str], order: str = "date") -> Column:

@@ -14,20 +14,15 @@ from stationflow.operators.shared import safe_sequence, text_array
 
 def _first_visitors() -> list[Column]:
     """Per group: number of events, and visitors of the first event that has them."""
-    known = F.col("visitors").isNotNull()
-    return [
-        F.count("*").alias("n"),
-        F.min_by("visitors", F.when(known, F.col("ord"))).alias("visitors"),
-        F.min(F.when(known, F.col("ord"))).alias("ord"),
-    ]
+    return [F.expr(text) for text in (
+        "count(*) AS n",
+        "min_by(visitors, ord) FILTER (WHERE visitors IS NOT NULL) AS visitors",
+        "min(ord) FILTER (WHERE visitors IS NOT NULL) AS ord",
+    )]
 
 
 def _merge_first() -> list[Column]:
-    return [
-        F.sum("n").alias("n"),
-        F.min_by("visitors", "ord").alias("visitors"),
-        F.min("ord").alias("ord"),
-    ]
+    return [F.expr(t) for t in ("sum(n) AS n", "min_by(visitors, ord) AS visitors", "min(ord) AS ord")]
 
 
 def event_slots(events: DataFrame, cfg: ForecastConfig) -> DataFrame:
@@ -43,15 +38,14 @@ def event_slots(events: DataFrame, cfg: ForecastConfig) -> DataFrame:
     if not cfg.use_event_time:
         days = base.where("date IS NOT NULL").withColumn("slot", F.unix_date("date"))
         return days.groupBy("slot", "venue").agg(*_first_visitors())
-    before = clock.hours(cfg.hours_before) + clock.minutes(cfg.minutes_before)
-    after = clock.hours(cfg.hours_after) + clock.minutes(cfg.minutes_after)
-    start, end = F.col("start_ts"), F.col("end_ts")
+    before = clock.span(cfg.hours_before, cfg.minutes_before)
+    after = clock.span(cfg.hours_after, cfg.minutes_after)
     spans = base.select(
         "venue", "visitors", "ord",
-        clock.hour_index(clock.hour_ceil(start - before)).alias("a1"),
-        clock.hour_index(start).alias("b1"),
-        clock.hour_index(clock.hour_ceil(end)).alias("a2"),
-        clock.hour_index(end + after).alias("b2"),
+        clock.hour_index_up(f"(start_ts - {before})").alias("a1"),
+        clock.hour_index("start_ts").alias("b1"),
+        clock.hour_index_up("end_ts").alias("a2"),
+        clock.hour_index(f"(end_ts + {after})").alias("b2"),
     ).where("b1 IS NOT NULL OR b2 IS NOT NULL")
     reduced = spans.groupBy("venue", "a1", "b1", "a2", "b2").agg(*_first_visitors())
     windows = [safe_sequence(F.col("a1"), F.col("b1")), safe_sequence(F.col("a2"), F.col("b2"))]
@@ -79,19 +73,17 @@ def event_scores(events: DataFrame, distances: DataFrame, cfg: ForecastConfig,
     else:
         km = F.lit(0.0)
     slots = slots.withColumn("km", km)
-    visited = F.col("ord").isNotNull()
-    totals = slots.groupBy("station", "slot").agg(
-        F.sum("n").alias("events"),
-        F.min("km").alias("near"),
-        F.min(F.when(visited, F.col("km"))).alias("near_visited"),
-        F.min_by("visitors", F.when(visited, F.struct("km", "ord"))).alias("visitors"),
-    )
+    totals = slots.groupBy("station", "slot").agg(*[F.expr(text) for text in (
+        "sum(n) AS events",
+        "min(km) AS near",
+        "min(km) FILTER (WHERE ord IS NOT NULL) AS near_visited",
+        "min_by(visitors, struct(km, ord)) FILTER (WHERE ord IS NOT NULL) AS visitors",
+    )])
     if cfg.use_attendance:
-        score = F.when(F.col("near_visited").isNull(), F.lit(0.5) / (1 + F.col("near"))).otherwise(
-            F.col("visitors") / (1 + F.col("near_visited")))
+        score = "IF(near_visited IS NULL, 0.5D / (1 + near), visitors / (1 + near_visited))"
     else:
-        score = F.lit(1.0) / (1 + F.col("near"))
-    return totals.select("station", "slot", score.alias("planned_event"), "events")
+        score = "1D / (1 + near)"
+    return totals.selectExpr("station", "slot", f"{score} AS planned_event", "events")
 
 
 def planned_event(hours: DataFrame, events: DataFrame, distances: DataFrame,

@@ -47,16 +47,13 @@ def weather_history(raw: DataFrame, station_code: str, zone: str,
     readings = raw.where(F.col("station_code").cast("string") == station_code).dropDuplicates()
     readings = readings.withColumnsRenamed(OBSERVED)
     names = [n for n in OBSERVED.values() if n != "weather_code" and n in readings.columns]
-    utc = clock.at_hour(clock.parse_date_text(F.col("date").cast("string")),
-                        F.col("hour").cast("int") - 1)
-    local = clock.utc_to_local(utc, zone)
-    hour = F.hour(local) if hour_mode == "local" else F.hour(utc)
-    typed = readings.select(
-        F.to_date(local).alias("date"), hour.alias("hour"),
-        *[F.col(n).try_cast("double").alias(n) for n in names],
-    )
-    means = typed.groupBy("date", "hour").agg(*[F.avg(n).alias(n) for n in names])
-    return means.withColumns({n: F.col(n) / 10 for n in TENTHS if n in names})
+    utc = clock.utc_at_hour("CAST(date AS string)", "hour - 1")
+    timed = readings.withColumn("_utc", utc).withColumn("_local", clock.utc_to_local("_utc", zone))
+    typed = timed.selectExpr(
+        "to_date(_local) AS date", f"hour({'_local' if hour_mode == 'local' else '_utc'}) AS hour",
+        *[f"try_cast({n} AS double) AS {n}" for n in names])
+    return typed.groupBy("date", "hour").agg(
+        *[F.expr(f"avg({n}) / 10 AS {n}" if n in TENTHS else f"avg({n}) AS {n}") for n in names])
 
 
 def latest_predictions(raw: DataFrame, shift_hours: int = 1) -> DataFrame:
@@ -65,9 +62,9 @@ def latest_predictions(raw: DataFrame, shift_hours: int = 1) -> DataFrame:
     kept = [n for n in FORECAST_KEPT if n in renamed.columns]
     typed = renamed.select(
         "loc",
-        (clock.epoch_to_utc(F.col("tijd")) + clock.hours(shift_hours)).alias("ts"),
-        F.col("offset").cast("double").alias("offset_h"),
-        *[F.col(n).try_cast("double").alias(n) for n in kept],
+        clock.utc_from_epoch("tijd", shift_hours).alias("ts"),
+        F.expr("CAST(offset AS double) AS offset_h"),
+        *[F.expr(f"try_cast({n} AS double) AS {n}") for n in kept],
     )
     # Remaining ties are broken by the values themselves, so reruns agree; exact duplicates
     # fall away here too and need no shuffle of their own.
@@ -84,7 +81,7 @@ def fill_hours(rows: DataFrame, limit: int = 11) -> DataFrame:
     """
     block_hours = limit + 1
     values = [c for c in rows.columns if c not in ("loc", "ts")]
-    block = F.floor(clock.hour_index(F.col("ts")) / block_hours).cast("int")
+    block = F.floor(clock.hour_index("ts") / block_hours).cast("int")
     own = rows.withColumns({"_block": block, "_own": F.lit(True)})
     marks = rows.select("loc", "ts", (block - 1).alias("_block"))
     ends = rows.groupBy("loc").agg(F.max("ts").alias("ts")).withColumn("_block", block)
@@ -93,12 +90,12 @@ def fill_hours(rows: DataFrame, limit: int = 11) -> DataFrame:
     window = Window.partitionBy("loc", "_block").orderBy("ts", F.desc("_own"))
     lined = both.withColumn("_next", F.lead("ts").over(window)).where("_own")
 
-    low = clock.hour_index(clock.hour_ceil(F.col("ts")))
-    reach = clock.hour_index(F.col("ts") + clock.hours(limit))
-    # Hours strictly before the successor: the hour before its ceiling.
-    before_next = clock.hour_index(clock.hour_ceil(F.col("_next"))) - 1
+    low = clock.hour_index_up("ts")
+    reach = clock.hour_index(f"(ts + {clock.span(limit)})")
+    # Hours strictly before the successor.
+    before_next = clock.hour_index_up("_next") - 1
     is_last = F.col("_next") == F.col("ts")
-    high = F.when(is_last, clock.hour_index(F.col("ts"))).otherwise(F.least(reach, before_next))
+    high = F.when(is_last, clock.hour_index("ts")).otherwise(F.least(reach, before_next))
     return lined.select("loc", F.explode(safe_sequence(low, high)).alias("hour_index"), *values)
 
 
@@ -112,7 +109,7 @@ def weather_forecast(raw: DataFrame, zone: str, shift_hours: int = 1,
         rows = rows.withColumn("sight", F.col("sight_m") / 333)
     filled = fill_hours(rows, fill_limit)
     values = [c for c in filled.columns if c not in ("loc", "hour_index")]
-    local = clock.utc_to_local(clock.from_hour_index(F.col("hour_index")), zone)
-    placed = filled.select("loc", F.to_date(local).alias("date"), F.hour(local).alias("hour"), *values)
+    placed = filled.withColumn("_local", clock.local_from_index("hour_index", zone)).selectExpr(
+        "loc", "to_date(_local) AS date", "hour(_local) AS hour", *values)
     # The hour that repeats in autumn gives two rows; their mean keeps the key unique.
-    return placed.groupBy("loc", "date", "hour").agg(*[F.avg(v).alias(v) for v in values])
+    return placed.groupBy("loc", "date", "hour").agg(*[F.expr(f"avg({v}) AS {v}") for v in values])

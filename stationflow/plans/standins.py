@@ -57,7 +57,7 @@ def raw_trips(ev: DataFrame, side: str) -> DataFrame:
     """Trip rows of one side in the layout of the raw files."""
     names = flows.RAW_ORIGIN if side == "in" else flows.RAW_DESTINATION
     to_raw = {v: k for k, v in names.items()}
-    hour = F.substring(clock.clock_text(F.col("ts")), 1, 2)
+    hour = F.expr("lpad(hour(ts), 2, '0')")
     return ev.where(F.col("event_type").isin(*(IN_TYPES if side == "in" else OUT_TYPES))).select(
         F.to_date("ts").cast("string").alias(to_raw["date"]),
         F.concat(hour, F.lit(":00 - "), hour, F.lit(":59")).alias(to_raw["hour_band"]),
@@ -80,41 +80,33 @@ def flow_rows(ev: DataFrame) -> DataFrame:
 # --- weather ---------------------------------------------------------------------------
 
 def raw_observations(ev: DataFrame) -> DataFrame:
-    e = F.col("event_id")
-    tenths = F.round(F.col("value") * 10).cast("bigint")
     readings = {
-        "DD": _mod("event_id", 360), "FH": _mod("user_id", 50), "FF": _mod("event_id", 120),
-        "FX": _mod("event_id", 200), "T": tenths,
-        "T10N": F.when(_mod("event_id", 5) != 0, tenths - 5), "TD": tenths - 30,
-        "SQ": _mod("event_id", 11), "Q": _mod("event_id", 300), "DR": _mod("event_id", 10),
-        "RH": _mod("event_id", 40), "P": 10000 + _mod("event_id", 300), "VV": _mod("event_id", 80),
-        "N": _mod("event_id", 9), "U": 50 + _mod("event_id", 50), "WW": _mod("event_id", 100),
-        "IX": _mod("event_id", 7), "M": _mod("event_id", 2), "R": _mod("event_id", 3),
-        "S": _mod("user_id", 2), "O": _mod("user_id", 3), "Y": (e + F.col("user_id")) % 2,
+        "DD": "event_id % 360", "FH": "user_id % 50", "FF": "event_id % 120", "FX": "event_id % 200",
+        "T": "round(value * 10)", "T10N": "IF(event_id % 5 <> 0, round(value * 10) - 5, NULL)",
+        "TD": "round(value * 10) - 30", "SQ": "event_id % 11", "Q": "event_id % 300", "DR": "event_id % 10",
+        "RH": "event_id % 40", "P": "10000 + event_id % 300", "VV": "event_id % 80", "N": "event_id % 9",
+        "U": "50 + event_id % 50", "WW": "event_id % 100", "IX": "event_id % 7", "M": "event_id % 2",
+        "R": "event_id % 3", "S": "user_id % 2", "O": "user_id % 3", "Y": "(event_id + user_id) % 2",
     }
-    return ev.where("event_type = 'error'").select(
-        F.concat(F.to_date("ts").cast("string"), F.lit("T00:00:00.000Z")).alias("date"),
-        (F.hour("ts") + 1).alias("hour"),
-        F.when(_mod("user_id", 2) == 0, "240").otherwise("260").alias("station_code"),
-        *[c.cast("double").alias(k) for k, c in readings.items()])
+    return ev.where("event_type = 'error'").selectExpr(
+        "concat(to_date(ts), 'T00:00:00.000Z') AS date", "hour(ts) + 1 AS hour",
+        "IF(user_id % 2 = 0, '240', '260') AS station_code",
+        *[f"CAST({text} AS double) AS {code}" for code, text in readings.items()])
 
 
 def raw_predictions(ev: DataFrame, one_place: bool = False) -> DataFrame:
     """Forecast records; places are users, or all rows belong to one place."""
-    half = F.when(_mod("event_id", 2) == 0, 0).otherwise(1800)
-    epoch = F.unix_date(F.to_date("ts")).cast("bigint") * 86400 + F.hour("ts") * 3600 + half
     values = {
-        "windr": _mod("event_id", 360), "rv": _mod("event_id", 100), "luchtd": 1000 + _mod("event_id", 30),
-        "temp": F.col("value"), "windb": _mod("event_id", 12), "winds": _mod("event_id", 25),
-        "gust": _mod("event_id", 40), "vis": _mod("event_id", 9000), "neersl": _mod("event_id", 7),
-        "gr": _mod("event_id", 800), "tw": _mod("event_id", 101),
+        "windr": "event_id % 360", "rv": "event_id % 100", "luchtd": "1000 + event_id % 30", "temp": "value",
+        "windb": "event_id % 12", "winds": "event_id % 25", "gust": "event_id % 40", "vis": "event_id % 9000",
+        "neersl": "IF(event_id % 50 = 0, '-', CAST(event_id % 7 AS string))", "gr": "event_id % 800",
+        "tw": "event_id % 101",
     }
-    texts = {k: c.cast("string") for k, c in values.items()}
-    texts["neersl"] = F.when(_mod("event_id", 50) == 0, "-").otherwise(texts["neersl"])
-    place = F.lit("city") if one_place else F.concat(F.lit("L"), F.col("user_id").cast("string"))
-    return ev.where("event_type = 'error'").select(
-        place.alias("loc"), epoch.alias("tijd"), _mod("event_id", 5).cast("string").alias("offset"),
-        *[c.alias(k) for k, c in texts.items()])
+    return ev.where("event_type = 'error'").selectExpr(
+        "'city' AS loc" if one_place else "concat('L', user_id) AS loc",
+        "unix_date(to_date(ts)) * 86400L + hour(ts) * 3600 + IF(event_id % 2 = 0, 0, 1800) AS tijd",
+        "CAST(event_id % 5 AS string) AS offset",
+        *[f"CAST({text} AS string) AS {code}" for code, text in values.items()])
 
 
 # --- date-keyed sources ----------------------------------------------------------------
@@ -180,14 +172,12 @@ def years_of(df: DataFrame, column: str) -> DataFrame:
 
 def venue_events(ev: DataFrame) -> DataFrame:
     """Scored events: every purchase, some without end or attendance."""
-    on_hour = clock.hour_floor(F.col("ts"))
-    start = F.when(_mod("user_id", 2) == 0, on_hour).otherwise(
-        on_hour + F.make_dt_interval(F.lit(0), F.lit(0), F.minute("ts")))
-    return ev.where("event_type = 'purchase'").select(
-        F.col("event_id").alias("ord"), venue_of(F.col("user_id")).alias("venue"),
-        F.to_date("ts").alias("date"), start.alias("start_ts"),
-        F.when(_mod("user_id", 5) != 0, start + clock.hours(2)).alias("end_ts"),
-        F.when(_mod("user_id", 4) != 0, F.col("value")).alias("visitors"))
+    started = ev.where("event_type = 'purchase'").withColumn("_hour", clock.hour_floor("ts")).withColumn(
+        "start_ts", F.expr("IF(user_id % 2 = 0, _hour, _hour + make_dt_interval(0, 0, minute(ts)))"))
+    return started.select(
+        F.expr("event_id AS ord"), venue_of(F.col("user_id")).alias("venue"), F.expr("to_date(ts) AS date"),
+        "start_ts", F.expr(f"IF(user_id % 5 <> 0, start_ts + {clock.span(2)}, NULL) AS end_ts"),
+        F.expr("IF(user_id % 4 <> 0, value, NULL) AS visitors"))
 
 
 def rounded_distances(spark: SparkSession) -> DataFrame:
@@ -208,9 +198,9 @@ def raw_sheet(ev: DataFrame) -> DataFrame:
         _mod("event_id", 19) == 0, events.PLACE_OTHER).otherwise(venue)
     prefix = F.when(_mod("event_id", 2) == 0, events.EPOCH_PREFIX).otherwise("")
     start = F.when(_mod("event_id", 29) != 0,
-                   F.concat(prefix, F.substring(clock.clock_text(F.col("ts")), 1, 2), F.lit(":00:00")))
+                   F.concat(prefix, F.expr("lpad(hour(ts), 2, '0')"), F.lit(":00:00")))
     end = F.when(_mod("event_id", 5) == 0, "onbekend").otherwise(
-        F.concat(prefix, F.substring(clock.clock_text(F.col("ts") + clock.hours(2)), 1, 2), F.lit(":00:00")))
+        F.concat(prefix, F.expr("lpad((hour(ts) + 2) % 24, 2, '0')"), F.lit(":00:00")))
     name = F.concat(F.lit("Event "), F.col("event_id").cast("string"))
 
     def unless_gone(c: Column) -> Column:
@@ -228,7 +218,7 @@ def raw_social(ev: DataFrame) -> DataFrame:
     accounts = [*events.ACCOUNT_VENUES, "newaccount"]
     return ev.where((F.col("event_type") == "purchase") & (_mod("event_id", 3) < 2)).select(
         F.col("event_id").alias("ord"), pick(accounts, _mod("user_id", 10)).alias("venue"),
-        F.concat(F.to_date("ts").cast("string"), F.lit(" "), F.substring(clock.clock_text(F.col("ts")), 1, 2), F.lit(":00:00"))
+        F.concat(F.to_date("ts").cast("string"), F.lit(" "), F.expr("lpad(hour(ts), 2, '0')"), F.lit(":00:00"))
         .alias("event_date"))
 
 
@@ -239,7 +229,7 @@ def raw_tickets(ev: DataFrame) -> DataFrame:
     return ev.where((F.col("event_type") == "purchase") & (_mod("event_id", 3) == 2)).select(
         F.col("event_id").alias("ord"), F.concat(F.lit("Show "), F.col("event_id").cast("string")).alias("name"),
         venue.alias("venue"),
-        F.concat(F.to_date("ts").cast("string"), F.lit("T"), F.substring(clock.clock_text(F.col("ts")), 1, 2), F.lit(":00:00Z"))
+        F.concat(F.to_date("ts").cast("string"), F.lit("T"), F.expr("lpad(hour(ts), 2, '0')"), F.lit(":00:00Z"))
         .alias("datetime"))
 
 
@@ -256,7 +246,7 @@ def caption(ev_id: str = "event_id") -> Column:
     short = F.substring(F.when(month == "maart", "mrt").otherwise(month), 1, 3)
     short = F.when(short.isin("jun", "jul"), month).otherwise(F.upper(short))
     day = F.lpad((1 + _mod(ev_id, 28)).cast("string"), 2, "0")
-    hour, minute = F.substring(clock.clock_text(F.col("ts")), 1, 2), F.substring(clock.clock_text(F.col("ts")), 4, 2)
+    hour, minute = F.expr("lpad(hour(ts), 2, '0')"), F.expr("lpad(minute(ts), 2, '0')")
     return (F.when(_mod(ev_id, 4) == 0, F.concat(F.lit("Show op "), day, F.lit(" "), month, F.lit(" om "),
                                                  hour, F.lit(":"), minute, F.lit(" uur, of 31 dec 23:59")))
             .when(_mod(ev_id, 4) == 1, F.concat(day, F.lit("\n"), short, F.lit(". Deuren "), hour, F.lit("."), minute))
@@ -290,7 +280,7 @@ def ticket_documents(ev: DataFrame) -> DataFrame:
     venue = F.struct(venue_of(F.col("user_id")).alias("name"), F.struct(line1.alias("line1")).alias("address"))
     none = F.array().cast("array<struct<name: string, address: struct<line1: string>>>")
     held = F.when(_mod("event_id", 13) == 0, none).otherwise(F.array(venue))
-    start = F.concat(F.to_date("ts").cast("string"), F.lit("T"), F.substring(clock.clock_text(F.col("ts")), 1, 2), F.lit(":00:00Z"))
+    start = F.concat(F.to_date("ts").cast("string"), F.lit("T"), F.expr("lpad(hour(ts), 2, '0')"), F.lit(":00:00Z"))
     entry = F.struct(
         F.concat(F.lit("Show "), _mod("event_id", 50).cast("string")).alias("name"),
         F.struct(F.struct(start.alias("dateTime")).alias("start")).alias("dates"),
