@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stationflow.config import PUBLISHED_KEYS, ForecastConfig
+from stationflow.config import PUBLISHED_KEYS, SELECTABLE_FEATURES, ForecastConfig
 from stationflow.operators.analysis import crowding_flag
 from stationflow.operators.shared import keep_first, union_all
 
@@ -71,6 +71,15 @@ def model_log(old: DataFrame | None, new: DataFrame, keep: str = "first") -> Dat
     return merged.drop("_age")
 
 
+def active_features(columns: Sequence[str]) -> list[str]:
+    """Selectable features and indicators that a saved forecast was made with.
+
+    Looks at column names only, under their published or internal spelling.
+    """
+    present = {c.replace("check-", "check_") for c in columns}
+    return [f for f in (*SELECTABLE_FEATURES, "stringency", "cases", "deaths") if f in present]
+
+
 def config_flags(documents: DataFrame, column: str = "document") -> DataFrame:
     """Adds ``enabled``, the list of switched-on event options, to JSON documents."""
     schema = ", ".join(f"{k} {'boolean' if t is bool else 'int'}" for k, (_, t) in PUBLISHED_KEYS.items())

@@ -325,21 +325,22 @@ def quality_gate(spark, sf):
 # --- models ----------------------------------------------------------------------------
 
 def _complete_rows(spark, sf) -> DataFrame:
-    rows = materialise(st.enriched(_events(spark, sf), QUICK), "enriched")
+    rows = materialise(st.enriched(_events(spark, sf), QUICK), "enriched", ("station",))
     filled = forests.impute(rows, QUICK).where("check_ins IS NOT NULL AND check_outs IS NOT NULL")
-    return materialise(features.week_ago(filled), "clean")
+    return materialise(features.week_ago(filled), "clean", ("station",))
 
 
 @query
 def imputed_flows(spark, sf):
-    rows = materialise(st.enriched(_events(spark, sf), QUICK), "enriched")
+    rows = materialise(st.enriched(_events(spark, sf), QUICK), "enriched", ("station",))
     return forests.impute(rows, QUICK).select("station", "date", "hour", "check_ins", "check_outs")
 
 
 @query
 def trained_scores(spark, sf):
     rows = _complete_rows(spark, sf)
-    labelled = materialise(splits.split_labels(features.feature_matrix(rows, MODEL_FEATURES)), "labelled")
+    matrix = features.feature_matrix(rows, MODEL_FEATURES)
+    labelled = materialise(splits.split_labels(matrix), "labelled", ("station",))
     models = forests.train(labelled.where("split <> 'test'"), MODEL_FEATURES, QUICK)
     scored = forests.predict(models, labelled.where("split = 'test'"), MODEL_FEATURES, QUICK)
     return splits.forecast_metrics(scored)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, replace
 from datetime import date, datetime
 
@@ -13,6 +14,7 @@ from stationflow.operators import calendar, events, features, flows, forests, in
 from stationflow.operators.serving import model_log_rows
 from stationflow.operators.shared import fixed_table
 from stationflow.session import materialise
+from stationflow.sources import sinks
 from stationflow.sources.readers import Sources
 
 
@@ -57,7 +59,15 @@ def prepare(src: Sources, cfg: ForecastConfig, as_of: date, measures: dict[str,
         distances=events.venue_distances(
             spark, cfg.stations, {name: (lat, lon) for name, lat, lon in cfg.station_points}),
     )
-    rows = materialise(features.enrich(hourly, dims, cfg), "enriched")
+    # Read again for the future: small tables whose raw files need no second pass.
+    dims = replace(
+        dims,
+        stringency=materialise(dims.stringency, "stringency"),
+        measures=materialise(dims.measures, "measures"),
+        cases=materialise(dims.cases, "cases"),
+        vacations=materialise(dims.vacations, "vacations"),
+    )
+    rows = materialise(features.enrich(hourly, dims, cfg), "enriched", ("station",))
     # One place, or all records taken as one: either way one row per date and hour.
     if forecast_place is not None:
         predictions = src.predictions.where(F.col("loc") == forecast_place)
@@ -71,16 +81,21 @@ def prepare(src: Sources, cfg: ForecastConfig, as_of: date, measures: dict[str,
 def clean(rows: DataFrame, cfg: ForecastConfig) -> DataFrame:
     """One-sided gaps filled, then the counts of a week ago."""
     filled = forests.impute(rows, cfg).where("check_ins IS NOT NULL AND check_outs IS NOT NULL")
-    return materialise(features.week_ago(filled, fallback=cfg.week_ago_fallback), "clean")
+    return materialise(features.week_ago(filled, fallback=cfg.week_ago_fallback), "clean", ("station",))
 
 
 def train_and_score(rows: DataFrame, model_features: list[str], cfg: ForecastConfig) -> Trained:
-    """Scores on the last week with a model that has not seen it, then fits on all rows."""
+    """Scores on the last week with a model that has not seen it, then fits on all rows.
+
+    Warns about stations whose score is below the line.
+    """
     matrix = features.feature_matrix(rows, model_features)
-    labelled = materialise(splits.split_labels(matrix), "labelled")
+    labelled = materialise(splits.split_labels(matrix), "labelled", ("station",))
     trial = forests.train(labelled.where("split <> 'test'"), model_features, cfg)
     scored = forests.predict(trial, labelled.where("split = 'test'"), model_features, cfg)
     metrics = materialise(splits.forecast_metrics(scored), "metrics")
+    for row in splits.quality_gate(metrics).select("station", "r2").collect():  # at most one per station
+        warnings.warn(f"model for {row['station']} shows unexpected performance: R2 {row['r2']:.3f}", stacklevel=2)
     final = forests.train(labelled, model_features, cfg)
     return Trained(final, metrics, model_log_rows(metrics, cfg, model_features))
 
@@ -90,3 +105,24 @@ def forecast(trained: Trained, history: DataFrame, dims: features.Dimensions, mo
     """Both predictions for every complete hour of the week from ``as_of`` on."""
     future = features.future_features(history, dims, cfg, as_of, model_features)
     return forests.predict(trained.models, future, model_features, cfg)
+
+
+def run_forecast(src: Sources, cfg: ForecastConfig, as_of: datetime, measures: dict[str, str], out: str,
+                 forecast_place: str | None = None) -> DataFrame:
+    """Everything above in order; saves forecast, model log and configuration under ``out``.
+
+    Each run plans anew from ``cfg``, so every switch takes effect.
+    """
+    if not cfg.features:
+        raise ValueError("choose at least one feature")
+    spark = src.ins.sparkSession
+    model_features = cfg.model_features(tuple(measures.values()))
+    prepared = prepare(src, cfg, as_of.date(), measures, forecast_place)
+    rows = clean(prepared.rows, cfg)
+    trained = train_and_score(rows, model_features, cfg)
+    predictions = materialise(
+        forecast(trained, rows, prepared.future_dims, model_features, cfg, as_of), "forecast")
+    sinks.save_forecasts(predictions, f"{out}/forecasts", as_of)
+    sinks.save_model_log(trained.log_rows, f"{out}/model-log", as_of)
+    sinks.save_config(spark, cfg, f"{out}/config")
+    return predictions

@@ -10,9 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from stationflow.config import ForecastConfig
-from stationflow.operators import forests, splits
+from stationflow.operators import forests, serving, splits
 from stationflow.plans import forecast
-from stationflow.sources import readers
+from stationflow.sources import readers, sinks
 
 CFG = ForecastConfig(stations=("A", "B"), num_trees=8, max_depth=6, max_bins=64, use_stringency=False,
                      station_points=(("A", 52.31, 4.94), ("B", 52.36, 4.88)))
@@ -130,6 +130,18 @@ def _land(root):
         {"type": "Mei", "regions": [{"region": "noord", "startdate": "2021-03-30T22:00:00.000Z", "enddate": "2021-04-04T22:00:00.000Z"}]}]}]}))
 
 
+def test_low_scores_are_warned_about(spark, rows):
+    noise = rows.dropna().withColumns({
+        "check_ins": (F.rand(1) * 100).cast("bigint"), "check_outs": (F.rand(2) * 100).cast("bigint")})
+    with pytest.warns(UserWarning, match="unexpected performance"):
+        forecast.train_and_score(noise, ["hour"], CFG.with_(num_trees=2, max_depth=3))
+
+
+def test_run_needs_features(spark):
+    with pytest.raises(ValueError, match="at least one feature"):
+        forecast.run_forecast(None, CFG.with_(features=()), dt.datetime(2021, 1, 1), {}, "x")
+
+
 def test_run_from_files_to_forecast(spark, tmp_path):
     _land(tmp_path)
     cfg = CFG.with_(use_stringency=True, features=(
@@ -150,6 +162,14 @@ def test_run_from_files_to_forecast(spark, tmp_path):
     out = forecast.forecast(trained, rows, prepared.future_dims, model_features, cfg, as_of)
     found = out.groupBy("station").agg(F.count("*"), F.countDistinct("date", "hour")).collect()
     assert {tuple(x) for x in found} == {("A", 168, 168), ("B", 168, 168)}
+    saved = str(tmp_path / "out")
+    again = forecast.run_forecast(src, cfg, as_of, measures, saved)
+    assert again.count() == 336
+    assert spark.read.parquet(f"{saved}/forecasts").count() == 336
+    assert sinks.read_model_log(spark, f"{saved}/model-log").count() == 2
+    served = serving.forecast_serving(spark.read.parquet(f"{saved}/forecasts"), dt.date(2021, 4, 14))
+    assert served.count() == 48
+    assert set(serving.active_features(served.columns)) >= {"temperature", "cases", "check_ins_week_ago"}
     peak = out.where("station = 'A' AND hour = 6").agg(F.avg("check_ins_predicted")).first()[0]
     low = out.where("station = 'A' AND hour = 18").agg(F.avg("check_ins_predicted")).first()[0]
     assert peak > 2 * low
