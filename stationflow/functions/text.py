@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stationflow.functions.clock import NTZ
@@ -21,21 +21,34 @@ CLOCK = r"([01][0-9]|2[0-3])[:.]([0-5][0-9])"
 CLOCK_BEFORE_20 = r"([01][0-9])[:.]([0-5][0-9])"
 
 
-def caption_datetime(text: Column, year: Column, clock_pattern: str = CLOCK) -> Column:
-    """First day-month and first time of day in ``text``, in ``year``.
+def caption_parts(text: str, clock_pattern: str = CLOCK) -> dict[str, Column]:
+    """First day-month and first time of day in ``text``; empty when there is none."""
+    return {
+        "_day_month": F.regexp_extract(text, DAY_MONTH, 0),
+        "_clock": F.regexp_extract(text, clock_pattern, 0),
+    }
+
+
+def caption_moment(year: str) -> Column:
+    """Timestamp of the parts in ``year``.
 
     Null when either part is missing or when the date does not exist.
     """
-    # One search per pattern; the parts are then cut from the matched text.
-    day_month = F.regexp_extract(text, DAY_MONTH, 0)
-    clock = F.regexp_extract(text, clock_pattern, 0)
-    lookup = F.expr("map(" + ", ".join(f"'{name}', {number}" for name, number in MONTHS.items()) + ")")
-    month = F.try_element_at(lookup, F.lower(F.regexp_extract(day_month, "[a-zA-Z]+", 0)))
-    found = (day_month != "") & (clock != "")
-    stamp = F.concat_ws(
-        "-", year.cast("int").cast("string"), month.cast("string"),
-        F.concat_ws(" ", F.substring(day_month, 1, 2), F.translate(clock, ".", ":")))
-    return F.when(found, stamp).try_cast(NTZ)
+    numbers = ", ".join(f"'{name}', '{number}'" for name, number in MONTHS.items())
+    return F.expr(f"""
+        CASE WHEN _day_month <> '' AND _clock <> '' THEN try_cast(concat(
+            {year}, '-', try_element_at(map({numbers}), lower(regexp_extract(_day_month, '[a-zA-Z]+', 0))), '-',
+            substring(_day_month, 1, 2), ' ', translate(_clock, '.', ':')) AS {NTZ}) END""")
+
+
+def with_caption_datetime(df: DataFrame, text: str, year: str, name: str = "event_date",
+                          clock_pattern: str = CLOCK) -> DataFrame:
+    """Adds the date and time that a caption names, read in ``year`` (SQL text).
+
+    The parts are columns of their own, so each pattern runs once per row.
+    """
+    parts = df.withColumns(caption_parts(text, clock_pattern))
+    return parts.withColumn(name, caption_moment(year)).drop("_day_month", "_clock")
 
 
 def first_link(html: Column, pattern: str) -> Column:

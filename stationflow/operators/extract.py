@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stationflow.functions import clock
-from stationflow.functions.text import CLOCK, caption_datetime, first_link, link_count
+from stationflow.functions.text import CLOCK, caption_moment, caption_parts, first_link, link_count
 from stationflow.operators.shared import flag, text_map
 
 # Nested schemas of the collected documents.
@@ -45,7 +45,9 @@ def posts_to_events(posts: DataFrame, zone: str, clock_pattern: str = CLOCK) ->
     ``posts`` holds ``venue`` (the account) and the nested ``GraphImages``. The year comes
     from the local upload time.
     """
-    post = posts.select("venue", F.explode("GraphImages").alias("p"))
+    # A plain explode makes the optimizer test the array's size below it, which parses
+    # JSON text twice; the outer form does not.
+    post = posts.select("venue", F.explode_outer("GraphImages").alias("p"))
     rows = post.where(F.size("p.edge_media_to_caption.edges") > 0).select(
         "venue",
         F.col("p.edge_media_preview_like.count").alias("likes"),
@@ -53,10 +55,12 @@ def posts_to_events(posts: DataFrame, zone: str, clock_pattern: str = CLOCK) ->
         clock.local_from_epoch("p.taken_at_timestamp", zone).alias("date_uploaded"),
         F.col("p.edge_media_to_caption.edges")[0]["node"]["text"].alias("caption"),
     )
-    when = caption_datetime(F.col("caption"), F.year("date_uploaded"), clock_pattern)
-    # Exploding the found date, none or one, runs the patterns once; a filter on it would
-    # run them again.
-    return rows.select("*", F.explode(F.array_compact(F.array(when))).alias("event_date"))
+    # The found dates, none or one, are exploded: a filter on them would be pushed below
+    # the patterns and run these a second time.
+    parts = rows.withColumns(caption_parts("caption", clock_pattern)).withColumn(
+        "_found", caption_moment("year(date_uploaded)"))
+    dated = parts.withColumn("event_date", F.explode(F.expr("IF(_found IS NULL, array(), array(_found))")))
+    return dated.drop("_day_month", "_clock", "_found")
 
 
 def ticket_venue(event: Column) -> Column:

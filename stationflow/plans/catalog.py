@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stationflow.config import STATIONS, ForecastConfig
 from stationflow.functions import clock
-from stationflow.functions.text import caption_datetime
+from stationflow.functions.text import with_caption_datetime
 from stationflow.operators import (
     analysis, calendar, events, extract, features, flows, forests, indicators, serving, splits, weather,
 )
@@ -408,7 +408,8 @@ def config_flags(spark, sf):
 @query
 def run_caption_datetime(spark, sf):
     ev = _events(spark, sf)
-    return ev.select("event_id", caption_datetime(st.caption(), F.year("ts")).alias("event_date"))
+    captions = ev.select("event_id", "ts", st.caption().alias("caption"))
+    return with_caption_datetime(captions, "caption", "year(ts)").select("event_id", "event_date")
 
 
 @query

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stationflow.config import ForecastConfig
 from stationflow.functions.geo import STATION_POINTS, VENUES, geodesic_km, haversine_km
-from stationflow.functions.text import CLOCK_BEFORE_20, caption_datetime
+from stationflow.functions.text import CLOCK_BEFORE_20, with_caption_datetime
 from stationflow.operators import analysis, events, extract
 from stationflow.operators.planned_event import planned_event
 
@@ -253,12 +253,12 @@ def test_peak_lead_counts_strict_running_maxima(spark):
 ])
 def test_caption_datetime(spark, text, expected):
     df = spark.createDataFrame([(text,)], "t string")
-    assert df.select(caption_datetime(F.col("t"), F.lit(2022))).first()[0] == expected
+    assert with_caption_datetime(df, "t", "2022").first()["event_date"] == expected
 
 
 def test_caption_clock_pattern_is_a_parameter(spark):
     df = spark.createDataFrame([("05 maart 20:30",)], "t string")
-    assert df.select(caption_datetime(F.col("t"), F.lit(2022), CLOCK_BEFORE_20)).first()[0] is None
+    assert with_caption_datetime(df, "t", "2022", clock_pattern=CLOCK_BEFORE_20).first()["event_date"] is None
 
 
 def test_first_measures_link(spark):
