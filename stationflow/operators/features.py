@@ -14,6 +14,7 @@ from stationflow.config import ForecastConfig
 from stationflow.operators import calendar
 from stationflow.operators.indicators import fill_from_latest, latest_values
 from stationflow.operators.planned_event import planned_event
+from stationflow.operators.shared import fixed_table
 
 
 @dataclass(frozen=True)
@@ -48,7 +49,7 @@ def enrich(flows: DataFrame, dims: Dimensions, cfg: ForecastConfig) -> DataFrame
         out = out.fillna({"stringency": 0.0})
     out = calendar.calendar_flags(out, dims.holidays, dims.vacations)
     out = planned_event(out, dims.events, dims.distances, cfg)
-    if cfg.use_measures:
+    if cfg.use_measures and _measure_columns(dims.measures):
         out = out.join(F.broadcast(dims.measures), "date", "left").fillna(
             0, subset=_measure_columns(dims.measures))
     counted = [c for c, on in (("cases", cfg.use_cases), ("deaths", cfg.use_deaths)) if on]
@@ -102,12 +103,13 @@ def week_ago(rows: DataFrame, targets: DataFrame | None = None,
 
 def future_features(history: DataFrame, dims: Dimensions, cfg: ForecastConfig,
                     as_of: datetime | Column, features: Sequence[str] | None = None) -> DataFrame:
-    """Feature rows of the 168 hours from ``as_of`` on, per station in ``history``.
+    """Feature rows of the 168 hours from ``as_of`` on, per station of ``cfg``.
 
     ``dims.weather`` is the forecast (date, hour, ...). Measures and case counts of days
     not yet known take their latest values; stringency is the last one of the series.
     """
-    grid = calendar.future_grid(history.select("station"), as_of)
+    stations = fixed_table(history.sparkSession, [(s,) for s in cfg.stations], ["station"])
+    grid = calendar.future_grid(stations, as_of)
     out = calendar.peak_period(calendar.cyclic_features(grid))
     out = calendar.calendar_flags(out, dims.holidays, dims.vacations)
     out = planned_event(out, dims.events, dims.distances, cfg)
@@ -115,7 +117,7 @@ def future_features(history: DataFrame, dims: Dimensions, cfg: ForecastConfig,
     if cfg.use_stringency:
         latest = latest_values(dims.stringency, ["stringency"])
         out = out.withColumn("stringency", latest.getField("stringency"))
-    if cfg.use_measures:
+    if cfg.use_measures and _measure_columns(dims.measures):
         out = fill_from_latest(out, dims.measures, _measure_columns(dims.measures))
     if features is None or {"check_ins_week_ago", "check_outs_week_ago"} & set(features):
         out = week_ago(history, out, cfg.week_ago_fallback)

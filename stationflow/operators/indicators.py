@@ -34,6 +34,8 @@ def measures_daily(raw: DataFrame, country: str, measures: dict[str, str], as_of
     running sum over dates tells where a measure is on, and only those stretches are
     laid out in days. The shuffle carries at most two rows per measure and date.
     """
+    if not measures:
+        return raw.select(F.col("date_start").alias("date")).where(F.lit(False))
     end = F.coalesce("date_end", as_of if isinstance(as_of, Column) else F.lit(as_of))
     spans = raw.where(
         (F.col("Country") == country) & F.col("date_start").isNotNull()

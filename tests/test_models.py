@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stationflow.config import ForecastConfig
-from stationflow.operators import forests, serving, splits
+from stationflow.operators import features, forests, serving, splits
 from stationflow.plans import forecast
 from stationflow.sources import readers, sinks
 
@@ -56,14 +56,14 @@ def test_imputation_fills_one_sided_gaps_only(spark, rows):
 
 
 def test_forest_beats_the_mean_and_is_repeatable(spark, rows):
-    features = ["hour", "weekday"]
+    chosen = ["hour", "weekday"]
     labelled = splits.split_labels(rows).cache()
     train, test = labelled.where("split <> 'test'"), labelled.where("split = 'test'")
 
     def scores():
-        models = forests.train(train, features, CFG)
+        models = forests.train(train, chosen, CFG)
         assert set(models) == {(s, t) for s in "AB" for t in forests.TARGETS}
-        out = splits.forecast_metrics(forests.predict(models, test, features, CFG))
+        out = splits.forecast_metrics(forests.predict(models, test, chosen, CFG))
         return {r["station"]: (r["n"], r["r2"], r["mae"], r["rmse"]) for r in out.collect()}
 
     first, second = scores(), scores()
@@ -142,6 +142,25 @@ def test_run_needs_features(spark):
         forecast.run_forecast(None, CFG.with_(features=()), dt.datetime(2021, 1, 1), {}, "x")
 
 
+def test_switches_take_sources_out_of_the_tables(spark, tmp_path):
+    _land(tmp_path)
+    cfg = CFG.with_(use_measures=False, use_cases=False, use_event_time=False, use_attendance=False,
+                    include_social_events=False, include_ticketed_events=False, features=("temperature",))
+    as_of = dt.datetime(2021, 4, 12)
+    src = readers.read_sources(spark, str(tmp_path), "Origin", "Destination")
+    prepared = forecast.prepare(src, cfg, as_of.date(), {})
+    assert {"stringency", "cases"}.isdisjoint(prepared.rows.columns) and "deaths" in prepared.rows.columns
+    # Without times an event counts for its whole day, and only its presence counts.
+    scores = {r["date"]: r["n"] for r in prepared.rows.where("planned_event > 0 AND station = 'A'").groupBy("date").agg(
+        F.countDistinct("planned_event").alias("n")).collect()}
+    assert scores == {dt.date(2021, 3, 6): 1}
+    future = features.future_features(prepared.rows, prepared.future_dims, cfg, as_of, cfg.model_features())
+    assert set(future.columns) == {"station", "date", "hour", "temperature", "deaths", "planned_event"}
+    assert future.count() == 336 and future.where("planned_event > 0").count() == 48
+    # With measures switched on but none chosen nothing is joined.
+    assert forecast.prepare(src, cfg.with_(use_measures=True), as_of.date(), {}).rows.columns == prepared.rows.columns
+
+
 def test_run_from_files_to_forecast(spark, tmp_path):
     _land(tmp_path)
     cfg = CFG.with_(use_stringency=True, features=(
