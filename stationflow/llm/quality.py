@@ -80,6 +80,7 @@ class Rule:
 
 RULES = (
     Rule("symbols", "n_symbols / greatest(n_words, 1)", 0.05, 0.2),
+    Rule("symbol_share", "n_symbols / greatest(word_chars, 1)", 0.01, 0.03),
     Rule("repeats", "n_repeat_words / greatest(n_words, 1)", 0.2, 0.4),
     Rule("lines", "n_dup_lines / greatest(n_words, 1) * 10", 0.1, 0.3),
     Rule("capitals", "n_caps / greatest(n_letters, 1)", 0.25, 0.5),
@@ -100,34 +101,37 @@ def votes(rules: tuple[Rule, ...] = RULES) -> Column:
         f"WHEN {r.value} > {r.bad} THEN '-' ELSE '0' END") for r in rules])
 
 
-def fit(patterns: list[tuple[str, int]], prior: float = 0.8, rounds: int = 50) -> dict[str, float]:
+# What is believed of a rule before any text is seen: shares of bad, abstain, good votes.
+PRIOR_GOOD, PRIOR_BAD = (0.002, 0.098, 0.9), (0.25, 0.1, 0.65)
+
+
+def fit(patterns: list[tuple[str, int]], prior: float = 0.8, strength: float = 0.5, rounds: int = 50) -> dict[str, float]:
     """Probability of being good for each vote pattern.
 
-    Starts from rules that hardly ever call a good text bad and that each see only some kinds
-    of bad ones, which is how they are made; EM then moves all of these rates. Counts are
-    smoothed, so nothing is ever impossible; no patterns give no probabilities.
+    Rules hardly ever call a good text bad and each sees only some kinds of bad ones. That is
+    the prior, and it weighs ``strength`` times the corpus; EM moves the rates from there
+    (maximum a posteriori), since a kind of bad text that one rule alone sees would otherwise
+    pass for noise of that rule. No patterns give no probabilities.
     """
     if not patterns:
         return {}
-    marks = np.array([["+-0".index(c) for c in p] for p, _ in patterns])
+    marks = np.array([["-0+".index(c) for c in p] for p, _ in patterns])
     weight = np.array([n for _, n in patterns], float)
     rules = marks.shape[1]
-    table = np.empty((2, rules, 3))  # class (good, bad), rule, vote
-    table[0], table[1] = (0.9, 0.002, 0.098), (0.6, 0.3, 0.1)
-    good = np.ones(len(marks))
+    believed = np.array([PRIOR_GOOD, PRIOR_BAD])[:, None, :].repeat(rules, axis=1)
+    pseudo = believed * (strength * weight.sum()) * np.array([prior, 1 - prior])[:, None, None]
+    table, share, good = believed, prior, np.ones(len(marks))  # class (good, bad), rule, vote
     for _ in range(rounds):
         log = [math.log(p) + np.log(table[k, np.arange(rules), marks]).sum(axis=1)
-               for k, p in enumerate((prior, 1 - prior))]
+               for k, p in enumerate((share, 1 - share))]
         fresh = 1 / (1 + np.exp(np.clip(log[1] - log[0], -500, 500)))
         done, good = np.abs(fresh - good).max() < 1e-6, fresh
         if done:
             break
-        for k, share in enumerate((good, 1 - good)):
-            w = weight * share
-            for v in range(3):
-                table[k, :, v] = ((marks == v) * w[:, None]).sum(axis=0) + 1
-            table[k] /= table[k].sum(axis=1, keepdims=True)
-        prior = float(np.clip((weight * good).sum() / weight.sum(), 0.05, 0.95))
+        counted = np.stack([[((marks == v) * (weight * w)[:, None]).sum(axis=0) for v in range(3)]
+                            for w in (good, 1 - good)]).transpose(0, 2, 1) + pseudo
+        table = counted / counted.sum(axis=2, keepdims=True)
+        share = float(np.clip((weight * good).sum() / weight.sum(), 0.05, 0.95))
     return dict(zip((p for p, _ in patterns), good.tolist(), strict=True))
 
 

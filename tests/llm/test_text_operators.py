@@ -211,11 +211,16 @@ def test_quality_on_fixture(docs, rows, empty):
 
 
 def test_em_finds_the_bad_without_labels():
-    seen = [("+++", 800), ("++0", 60), ("+-+", 50), ("--+", 30), ("-++", 40), ("000", 5)]
-    p = quality.fit(seen)
-    assert p["+++"] > 0.9 and p["++0"] > 0.5 and p["--+"] < 0.1 and p["+-+"] < 0.5
-    noisy = quality.fit([("+++", 600), ("-++", 350), ("---", 40), ("+--", 10)])
-    assert noisy["---"] < 0.1 < 0.5 < noisy["+++"]
+    rng, n = np.random.default_rng(5), 4000
+    bad = rng.random(n) < 0.15
+    kind = rng.integers(0, 2, n)
+    seen = Counter()
+    for b, k in zip(bad, kind, strict=True):  # two kinds of bad texts, each seen by two rules of six
+        v = ["-" if b and i // 2 == k and rng.random() < 0.9 else "0" if rng.random() < 0.1 else "+" for i in range(6)]
+        seen["".join(v), b] += 1
+    p = quality.fit(sorted(Counter({v: sum(seen[v, x] for x in (False, True)) for v, _ in seen}).items()))
+    right = sum(c for (v, b), c in seen.items() if (p[v] < 0.5) == b)
+    assert right / n > 0.97
     assert quality.fit([]) == {}
 
 
