@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationflow.llm import decontaminate, mixing, pii, quality, simhash, url_filter
+from stationflow.llm import decontaminate, mixing, pii, quality, repeats, simhash, url_filter
 from stationflow.llm.base import table
 
 # Names of listed hosts (fixed values).
@@ -20,6 +20,10 @@ def op1_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def op2_repeated_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    return repeats.repeated_bytes(table(spark, sf, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents"))
 
@@ -45,7 +49,7 @@ def op9_personal_data(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_decontamination, op4_simhash, op6_quality_rules, op7_url_filter, op8_mixing, op9_personal_data)}
+    op1_decontamination, op2_repeated_bytes, op4_simhash, op6_quality_rules, op7_url_filter, op8_mixing, op9_personal_data)}
 
 
 def _canonical_sql() -> str:
