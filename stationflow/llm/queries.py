@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationflow.llm import decontaminate, mixing, pii, quality, repeats, simhash, url_filter
+from stationflow.llm import brown, decontaminate, language, licenses, mixing, pii, quality, repeats, simhash, url_filter
 from stationflow.llm.base import table
 
 # Names of listed hosts (fixed values).
@@ -24,10 +24,18 @@ def op2_repeated_bytes(spark: SparkSession, sf: str) -> DataFrame:
     return repeats.repeated_bytes(table(spark, sf, "documents"))
 
 
+def op3_language(spark: SparkSession, sf: str) -> DataFrame:
+    return language.identified(table(spark, sf, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents"))
 
 
+def op5_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf, "documents"))
 
@@ -48,8 +56,13 @@ def op9_personal_data(spark: SparkSession, sf: str) -> DataFrame:
     return pii.personal_data(table(spark, sf, "documents"))
 
 
+def op10_brown_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return brown.perplexity_scores(table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_decontamination, op2_repeated_bytes, op4_simhash, op6_quality_rules, op7_url_filter, op8_mixing, op9_personal_data)}
+    op1_decontamination, op2_repeated_bytes, op3_language, op4_simhash, op5_licenses, op6_quality_rules, op7_url_filter, op8_mixing, op9_personal_data,
+    op10_brown_scores)}
 
 
 def _canonical_sql() -> str:
