@@ -82,8 +82,10 @@ class ForecastConfig:
 
     # Forest settings.
     num_trees: int = 100
-    max_depth: int = 12
-    max_bins: int = 256
+    max_depth: int = 30  # the most that pyspark.ml grows
+    max_bins: int = 256  # candidate splits per feature are taken from so many quantiles
+    # (station, trees, depth) where a station has its own.
+    station_forests: tuple[tuple[str, int, int], ...] = ()
     seed: int = 1
 
     @classmethod
@@ -104,6 +106,11 @@ class ForecastConfig:
         """The 13 published settings under their public names."""
         return {key: getattr(self, attr) for key, (attr, _) in PUBLISHED_KEYS.items()}
 
+    def forest_of(self, station: str) -> tuple[int, int]:
+        """Trees and depth of a station's forests."""
+        own = {name: (trees, depth) for name, trees, depth in self.station_forests}
+        return own.get(station, (self.num_trees, self.max_depth))
+
     def with_(self, **changes) -> "ForecastConfig":
         return replace(self, **changes)
 

@@ -83,9 +83,3 @@ def geodesic_km(lat1: str, lon1: str, lat2: str, lon2: str, rounds: int = 12) ->
     length = _let("u", f"{second}D * t.c2a", _let("w", series, f"{minor / 1000}D * w.a * (t.sigma - {delta})"))
     return F.expr(_let("p", pair, _let("l", settled, _let("t", _terms("l"), length))))
 
-
-def haversine_km(a: tuple[float, float], b: tuple[float, float]) -> float:
-    """Spherical distance, used by tests as a plausibility bound."""
-    la, lo, lb, lp = (math.radians(x) for x in (*a, *b))
-    h = math.sin((lb - la) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin((lp - lo) / 2) ** 2
-    return 2 * 6371.0088 * math.asin(math.sqrt(h))

@@ -75,11 +75,11 @@ def cyclic_features(df: DataFrame, period: str = "observed") -> DataFrame:
 def calendar_flags(df: DataFrame, holidays: DataFrame, vacations: DataFrame) -> DataFrame:
     """0/1 membership of ``date`` in the holiday and vacation dates.
 
-    Both sides are distinct dates, at most 366 a year, which bounds the broadcast.
+    Both sides are made distinct; how they are joined is left to adaptive execution.
     """
     for name, dates in (("holiday", holidays), ("vacation", vacations)):
         marked = dates.select("date").where("date IS NOT NULL").distinct().withColumn("_on", F.lit(1))
-        df = df.join(F.broadcast(marked), "date", "left").withColumn(
+        df = df.join(marked, "date", "left").withColumn(
             name, F.coalesce("_on", F.lit(0))).drop("_on")
     return df
 

@@ -14,7 +14,7 @@ from stationflow.config import ForecastConfig
 from stationflow.operators import calendar
 from stationflow.operators.indicators import fill_from_latest, latest_values
 from stationflow.operators.planned_event import planned_event
-from stationflow.operators.shared import fixed_table
+from stationflow.operators.shared import fixed_table, unique
 
 
 @dataclass(frozen=True)
@@ -38,23 +38,22 @@ def _measure_columns(measures: DataFrame) -> list[str]:
 def enrich(flows: DataFrame, dims: Dimensions, cfg: ForecastConfig) -> DataFrame:
     """Left joins of all side tables; gaps of stringency, measures and cases become 0.
 
-    The side tables hold one row per date, the weather one per (date, hour). That bounds
-    them by the calendar (8,784 rows a year at most), so they are broadcast and the
-    flows stay where they are. Event scores grow with the stations; their join is left
-    to the optimizer.
+    The side tables hold one row per date, the weather one per (date, hour); a second row
+    for a key fails the run. Their joins are left to adaptive execution: a side that turns
+    out small is broadcast, a larger one is shuffled.
     """
-    out = flows.join(F.broadcast(dims.weather), ["date", "hour"], "left")
+    out = flows.join(unique(dims.weather, "date", "hour"), ["date", "hour"], "left")
     if cfg.use_stringency:
-        out = out.join(F.broadcast(dims.stringency.select("date", "stringency")), "date", "left")
+        out = out.join(unique(dims.stringency.select("date", "stringency"), "date"), "date", "left")
         out = out.fillna({"stringency": 0.0})
     out = calendar.calendar_flags(out, dims.holidays, dims.vacations)
     out = planned_event(out, dims.events, dims.distances, cfg)
     if cfg.use_measures and _measure_columns(dims.measures):
-        out = out.join(F.broadcast(dims.measures), "date", "left").fillna(
+        out = out.join(unique(dims.measures, "date"), "date", "left").fillna(
             0, subset=_measure_columns(dims.measures))
     counted = [c for c, on in (("cases", cfg.use_cases), ("deaths", cfg.use_deaths)) if on]
     if counted:
-        out = out.join(F.broadcast(dims.cases.select("date", *counted)), "date", "left").fillna(
+        out = out.join(unique(dims.cases.select("date", *counted), "date"), "date", "left").fillna(
             0.0, subset=counted)
     return out
 
@@ -113,7 +112,7 @@ def future_features(history: DataFrame, dims: Dimensions, cfg: ForecastConfig,
     out = calendar.peak_period(calendar.cyclic_features(grid))
     out = calendar.calendar_flags(out, dims.holidays, dims.vacations)
     out = planned_event(out, dims.events, dims.distances, cfg)
-    out = out.join(F.broadcast(dims.weather), ["date", "hour"], "left")
+    out = out.join(unique(dims.weather, "date", "hour"), ["date", "hour"], "left")
     if cfg.use_stringency:
         latest = latest_values(dims.stringency, ["stringency"])
         out = out.withColumn("stringency", latest.getField("stringency"))

@@ -20,55 +20,64 @@ from pyspark.sql import functions as F
 from stationflow.config import ForecastConfig
 from stationflow.operators.shared import union_all
 
+NODE_MEMORY_MB = 512  # statistics of the tree nodes that one pass over the rows gathers
 TARGETS = ("check_ins", "check_outs")
 IMPUTE_FEATURES = ("hour", "year", "weekday", "month", "holiday")
 Models = dict[tuple[str, str], PipelineModel]
 
 
-def fit_forest(rows: DataFrame, features: Sequence[str], target: str, cfg: ForecastConfig) -> PipelineModel:
+def fit_forest(rows: DataFrame, features: Sequence[str], target: str, cfg: ForecastConfig,
+               station: str = "") -> PipelineModel:
+    trees, depth = cfg.forest_of(station)
     forest = RandomForestRegressor(
         featuresCol="features", labelCol=target, predictionCol=f"{target}_predicted",
-        numTrees=cfg.num_trees, maxDepth=cfg.max_depth, maxBins=cfg.max_bins,
+        numTrees=trees, maxDepth=depth, maxBins=cfg.max_bins, maxMemoryInMB=NODE_MEMORY_MB,
         featureSubsetStrategy="all", seed=cfg.seed)
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
     return Pipeline(stages=[assembler, forest]).fit(rows)
 
 
+def stations_of(rows: DataFrame, condition: str = "true") -> dict[str, int]:
+    """Rows that meet the condition, for each station that has any."""
+    counted = rows.where(condition).groupBy("station").agg(F.count("*").alias("n"))
+    return {r["station"]: r["n"] for r in counted.collect()}
+
+
 def fit_all(rows: DataFrame, jobs: dict[tuple[str, str], Sequence[str]], cfg: ForecastConfig,
             parallelism: int = 4) -> Models:
     """One forest per (station, target); stations without rows get none."""
-    spark = rows.sparkSession
+    spark, present = rows.sparkSession, stations_of(rows)
 
     def run(job):
         (station, target), features = job
         part = rows.where(F.col("station") == station).select(*features, F.col(target).cast("double"))
-        return None if part.isEmpty() else ((station, target), fit_forest(part, features, target, cfg))
+        return (station, target), fit_forest(part, features, target, cfg, station)
 
+    wanted = [job for job in jobs.items() if job[0][0] in present]
     with ThreadPool(parallelism) as pool:
-        done = pool.map(inheritable_thread_target(spark)(run), jobs.items())
-    return dict(d for d in done if d is not None)
+        return dict(pool.map(inheritable_thread_target(spark)(run), wanted))
 
 
 def impute(rows: DataFrame, cfg: ForecastConfig, complete_over: Sequence[str] | None = None) -> DataFrame:
     """Fills a count whose other direction is known; both-missing rows stay.
 
-    Forests learn from rows complete over ``complete_over`` (default: the columns they
-    use). Known counts are never changed. ``rows`` is read several times: give a
-    materialised table.
+    Forests learn from rows complete over ``complete_over`` (default: all columns). Known
+    counts are never changed. Only stations and directions with a gap get a forest.
+    ``rows`` is read several times: give a materialised table.
     """
     shared = [*IMPUTE_FEATURES, *(["stringency"] if cfg.use_stringency else [])]
     features = {t: [*shared, o] for t, o in zip(TARGETS, reversed(TARGETS), strict=True)}
     if cfg.use_stringency:
         rows = rows.fillna({"stringency": 0.0})
-    complete = rows.dropna("any", subset=list(complete_over or [*shared, *TARGETS]))
-    models = fit_all(complete, {(s, t): features[t] for s in cfg.stations for t in TARGETS}, cfg)
+    complete = rows.dropna("any", subset=list(complete_over or rows.columns))
+    gaps = {t: f"{t} IS NULL AND {o} IS NOT NULL" for t, o in zip(TARGETS, reversed(TARGETS), strict=True)}
+    missing = {t: stations_of(rows, gap) for t, gap in gaps.items()}
+    models = fit_all(complete, {(s, t): features[t] for s in cfg.stations for t in TARGETS if s in missing[t]}, cfg)
 
-    ins, outs = F.col("check_ins"), F.col("check_outs")
-    one_sided = {"check_ins": ins.isNull() & outs.isNotNull(), "check_outs": outs.isNull() & ins.isNotNull()}
     modelled = F.lit(False)
     parts = []
     for (station, target), model in models.items():
-        wanted = (F.col("station") == station) & one_sided[target]
+        wanted = (F.col("station") == station) & F.expr(gaps[target])
         modelled = modelled | wanted
         guessed = model.transform(rows.where(wanted))
         # The cast cuts fractions off.
@@ -78,7 +87,7 @@ def impute(rows: DataFrame, cfg: ForecastConfig, complete_over: Sequence[str] |
 
 
 def train(rows: DataFrame, features: Sequence[str], cfg: ForecastConfig) -> Models:
-    """A forest per station and target on complete rows."""
+    """A forest per station and target on complete rows; see ``incomplete`` for the others."""
     complete = rows.dropna("any", subset=[*features, *TARGETS])
     return fit_all(complete, {(s, t): list(features) for s in cfg.stations for t in TARGETS}, cfg)
 

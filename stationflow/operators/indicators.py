@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from datetime import date
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stationflow.functions import clock
-from stationflow.operators.shared import fixed_table
+from stationflow.operators.shared import fixed_table, unique
 
 STRINGENCY_DOCUMENT = "map<string,map<string,struct<date_value:string,stringency:double>>>"
 
@@ -26,14 +27,28 @@ EARLY_VACATIONS = (
 VACATION_REGIONS = ("noord", "heel Nederland")
 
 
+def measure_names(raw: DataFrame, country: str) -> list[str]:
+    """Names of the country's measures: a published list of kinds, a few dozen."""
+    rows = raw.where((F.col("Country") == country) & F.col("Response_measure").isNotNull())
+    return sorted(r[0] for r in rows.select("Response_measure").distinct().collect())
+
+
+def measure_columns(raw: DataFrame, country: str) -> dict[str, str]:
+    """Every measure of the country as a column of its own name."""
+    return {name: name for name in measure_names(raw, country)}
+
+
 def measures_daily(raw: DataFrame, country: str, measures: dict[str, str], as_of: Column | date) -> DataFrame:
     """One row per date with any active measure, one 0/1 column per measure.
 
-    ``measures`` maps measure names to column names, so the schema is known beforehand.
+    ``measures`` maps measure names to column names, so the schema is known beforehand;
+    :func:`measure_columns` makes it from the data. A warning names measures it lacks.
     Intervals are not expanded: starts count +1 and ends -1 per (measure, date), the
     running sum over dates tells where a measure is on, and only those stretches are
     laid out in days. The shuffle carries at most two rows per measure and date.
     """
+    if unlisted := sorted(set(measure_names(raw, country)) - set(measures)):
+        warnings.warn(f"measures without a column are left out: {', '.join(unlisted)}", stacklevel=2)
     if not measures:
         return raw.select(F.col("date_start").alias("date")).where(F.lit(False))
     end = F.coalesce("date_end", as_of if isinstance(as_of, Column) else F.lit(as_of))
@@ -170,7 +185,7 @@ def latest_values(df: DataFrame, columns: Sequence[str], order: str = "date") ->
 def fill_from_latest(df: DataFrame, source: DataFrame, columns: Sequence[str], key: str = "date") -> DataFrame:
     """Left join of ``source``, one row per date, on ``key``; gaps take the latest row's values."""
     latest = latest_values(source, columns, key)
-    joined = df.join(F.broadcast(source.select(key, *columns)), key, "left")
+    joined = df.join(unique(source.select(key, *columns), key), key, "left")
     return joined.withColumns({c: F.coalesce(c, latest.getField(c)) for c in columns})
 
 

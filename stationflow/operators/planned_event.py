@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stationflow.config import ForecastConfig
 from stationflow.functions import clock
-from stationflow.operators.shared import safe_sequence, text_array
+from stationflow.operators.shared import safe_sequence, text_array, unique
 
 
 def _first_visitors() -> list[Column]:
@@ -61,14 +61,14 @@ def event_scores(events: DataFrame, distances: DataFrame, cfg: ForecastConfig,
                  stations: Sequence[str]) -> DataFrame:
     """(station, slot, planned_event, events) for slots with at least one event.
 
-    ``distances`` is the fixed venue-by-station table and is broadcast. A venue without
-    a distance counts as infinitely far, so it never hides a known one.
+    A venue without a distance counts as infinitely far, so it never hides a known one. The
+    join with ``distances`` is left to adaptive execution.
     """
     slots = event_slots(events, cfg).withColumn(
         "station", F.explode(text_array(stations)))
     if cfg.use_distance:
         known = distances.select("venue", "station", "distance_km")
-        slots = slots.join(F.broadcast(known), ["venue", "station"], "left")
+        slots = slots.join(unique(known, "venue", "station"), ["venue", "station"], "left")
         km = F.coalesce("distance_km", F.lit(float("inf")))
     else:
         km = F.lit(0.0)

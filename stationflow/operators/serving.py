@@ -71,13 +71,15 @@ def model_log(old: DataFrame | None, new: DataFrame, keep: str = "first") -> Dat
     return merged.drop("_age")
 
 
-def active_features(columns: Sequence[str]) -> list[str]:
+def active_features(columns: Sequence[str], measures: Sequence[str] = ()) -> list[str]:
     """Selectable features and indicators that a saved forecast was made with.
 
-    Looks at column names only, under their published or internal spelling.
+    Looks at column names only, under their published or internal spelling. ``measures``
+    lists the columns of measures; any of them present adds the option ``measures``.
     """
     present = {c.replace("check-", "check_") for c in columns}
-    return [f for f in (*SELECTABLE_FEATURES, "stringency", "cases", "deaths") if f in present]
+    found = [f for f in (*SELECTABLE_FEATURES, "stringency", "cases", "deaths") if f in present]
+    return found + ["measures"] * bool(present & set(measures))
 
 
 def config_flags(documents: DataFrame, column: str = "document") -> DataFrame:

@@ -20,6 +20,21 @@ def keep_first(df: DataFrame, keys: Sequence, order: Sequence) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(window)).where("_rank = 1").drop("_rank")
 
 
+def unique(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` as it is; a key that occurs twice fails the query that reads it.
+
+    Side tables pass through here before a join, so that no join can fan rows out. The join
+    itself is left to the optimizer and adaptive execution, which see the true sizes.
+    """
+    columns = [c for c in df.columns if c not in keys]
+    twice = F.raise_error(F.concat(F.lit(f"more than one row for one {', '.join(keys)}: "), F.to_json(F.struct(*keys))))
+    rows = df.groupBy(*keys).agg(
+        F.count("*").alias("_n"), F.first(F.struct(*columns) if columns else F.lit(1)).alias("_row"))
+    # The check is part of the key, so no projection can drop it.
+    first = F.when(F.col("_n") > 1, twice.cast(df.schema[keys[0]].dataType)).otherwise(F.col(keys[0])).alias(keys[0])
+    return rows.select(first, *keys[1:], *[F.col("_row").getField(c).alias(c) for c in columns])
+
+
 def safe_sequence(low: Column, high: Column) -> Column:
     """Integer range low..high, empty when a bound is null or low > high."""
     return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stationflow.functions import clock
-from stationflow.operators.shared import keep_first, safe_sequence
+from stationflow.operators.shared import keep_first, safe_sequence, unique
 
 # Observation codes and their names.
 OBSERVED = {
@@ -42,9 +42,16 @@ def weather_history(raw: DataFrame, station_code: str, zone: str,
     """One row per (date, hour) for one weather station.
 
     Hours 1-24 are UTC hour ends. ``hour_mode="utc_hour"`` keeps the UTC hour beside the
-    local date. The two readings of the hour that repeats in autumn are averaged.
+    local date. The two readings of the hour that repeats in autumn are averaged. Of several
+    readings for one UTC hour the one with the greatest ``revision`` is valid; without that
+    column different readings for one hour fail the run.
     """
-    readings = raw.where(F.col("station_code").cast("string") == station_code).dropDuplicates()
+    readings = raw.where(F.col("station_code").cast("string") == station_code)
+    if "revision" in raw.columns:
+        values = sorted(c for c in raw.columns if c not in ("date", "hour", "revision"))
+        readings = keep_first(readings, ["date", "hour"], [F.desc("revision"), *values]).drop("revision")
+    else:
+        readings = unique(readings.dropDuplicates(), "date", "hour")
     readings = readings.withColumnsRenamed(OBSERVED)
     names = [n for n in OBSERVED.values() if n != "weather_code" and n in readings.columns]
     utc = clock.utc_at_hour("CAST(date AS string)", "hour - 1")

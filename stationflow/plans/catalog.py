@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationflow.config import STATIONS, ForecastConfig
@@ -15,14 +15,13 @@ from stationflow.operators import (
     analysis, calendar, events, extract, features, flows, forests, indicators, serving, splits, weather,
 )
 from stationflow.operators.planned_event import planned_event
+from stationflow.operators.shared import flag
 from stationflow.plans import standins as st
 from stationflow.session import fresh_path, materialise
-from stationflow.sources import readers, schemas
+from stationflow.sources import readers, schemas, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 CFG = ForecastConfig()
-# Small forests keep the registered model queries quick; rows are all used.
-QUICK = CFG.with_(num_trees=10, max_depth=6, max_bins=64)
 MODEL_FEATURES = CFG.model_features(tuple(st.MEASURE_NAMES.values()))
 _REGISTRY: dict[str, Query] = {}
 
@@ -146,19 +145,22 @@ def vacation_calendar(spark, sf):
     return indicators.vacation_calendar(st.school_years(_events(spark, sf)))
 
 
+def _next_day(ev: DataFrame):
+    return F.date_add(st.last_day(ev), 1).cast(clock.NTZ)
+
+
 @query
 def future_grid(spark, sf):
     ev = _events(spark, sf)
-    next_day = ev.agg((F.date_add(F.to_date(F.max("ts")), 1)).cast(clock.NTZ)).scalar()
     stations = ev.select(st.station_of(F.col("user_id")).alias("station"))
-    return calendar.future_grid(stations, next_day)
+    return calendar.future_grid(stations, _next_day(ev))
 
 
 # --- date-keyed sources ----------------------------------------------------------------
 
 @query
 def measures_daily(spark, sf):
-    return indicators.measures_daily(st.raw_measures(_events(spark, sf)), CFG.country, st.MEASURE_NAMES, st.AS_OF)
+    return indicators.measures_daily(st.raw_measures(_events(spark, sf)), CFG.country, st.MEASURE_NAMES, st.as_of(_events(spark, sf)))
 
 
 @query
@@ -176,7 +178,7 @@ def stringency_series(spark, sf):
 def fill_from_latest(spark, sf):
     ev = _events(spark, sf)
     known = indicators.cases_deaths(st.raw_cases(ev), CFG.geo_id, CFG.case_date_format).where(
-        F.col("date") < F.lit(date(2024, 1, 20)))
+        F.date_diff(st.last_day(ev), "date") > 10)
     return indicators.fill_from_latest(
         st.flow_rows(ev).select("station", "date", "hour"), known, ["cases", "deaths"])
 
@@ -246,6 +248,12 @@ def planned_event_presence(spark, sf):
     return _score(spark, sf, CFG.with_(use_attendance=False))
 
 
+@query
+def planned_event_no_distance(spark, sf):
+    """Distance off: every event is at the station."""
+    return _score(spark, sf, CFG.with_(use_distance=False))
+
+
 @query
 def peak_lead(spark, sf):
     ev = _events(spark, sf)
@@ -279,9 +287,10 @@ def feature_matrix(spark, sf):
 
 @query
 def future_features(spark, sf):
+    """The week after the last row, with forecasts and planned events for it."""
     ev = _events(spark, sf)
-    history = st.flow_rows(ev).where(F.col("date") < F.lit(st.FUTURE_FROM.date()))
-    out = features.future_features(history, st.dimensions(ev, CFG, future=True), CFG, st.FUTURE_FROM)
+    dims = st.written(st.dimensions(ev, CFG, future=True))
+    out = features.future_features(st.flow_rows(ev), dims, CFG, _next_day(ev))
     return _rounded(out.drop("ts", "wind_direction", "relative_humidity", "pressure", "clouds", "sight_m"))
 
 
@@ -324,37 +333,79 @@ def quality_gate(spark, sf):
 
 # --- models ----------------------------------------------------------------------------
 
+def _enriched_rows(spark, sf) -> DataFrame:
+    return materialise(st.enriched(_events(spark, sf), CFG), "enriched", ("station",))
+
+
 def _complete_rows(spark, sf) -> DataFrame:
-    rows = materialise(st.enriched(_events(spark, sf), QUICK), "enriched", ("station",))
-    filled = forests.impute(rows, QUICK).where("check_ins IS NOT NULL AND check_outs IS NOT NULL")
+    filled = forests.impute(_enriched_rows(spark, sf), CFG).where("check_ins IS NOT NULL AND check_outs IS NOT NULL")
     return materialise(features.week_ago(filled), "clean", ("station",))
 
 
+def _inside(value: str, by_station: DataFrame) -> Column:
+    """1 where a value lies within the range that its station has shown."""
+    return flag(F.col(value).between(F.col(f"min_{value.removesuffix('_predicted')}"),
+                                     F.col(f"max_{value.removesuffix('_predicted')}")))
+
+
+def _ranges(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("station").agg(*[f(t).alias(f"{n}_{t}") for t in forests.TARGETS
+                                         for n, f in (("min", F.min), ("max", F.max))])
+
+
 @query
 def imputed_flows(spark, sf):
-    rows = materialise(st.enriched(_events(spark, sf), QUICK), "enriched", ("station",))
-    return forests.impute(rows, QUICK).select("station", "date", "hour", "check_ins", "check_outs")
+    """Every row; known counts as they were, filled ones as a flag and whether they lie within
+    what the station has shown (a forest averages training rows, so they must)."""
+    before = _enriched_rows(spark, sf)
+    keys = ["station", "date", "hour"]
+    known = before.select(*keys, *[F.col(t).alias(f"known_{t}") for t in forests.TARGETS])
+    out = forests.impute(before, CFG).join(known, keys).join(_ranges(before), "station")
+    filled = {t: F.col(f"known_{t}").isNull() & F.col(t).isNotNull() for t in forests.TARGETS}
+    return out.select(*keys, *[F.when(~filled[t], F.col(t)).alias(t) for t in forests.TARGETS],
+                      *[flag(filled[t]).alias(f"filled_{t}") for t in forests.TARGETS],
+                      *[F.when(filled[t], _inside(t, out)).alias(f"inside_{t}") for t in forests.TARGETS])
 
 
 @query
 def trained_scores(spark, sf):
+    """Test rows per station and what any honest score meets."""
     rows = _complete_rows(spark, sf)
     matrix = features.feature_matrix(rows, MODEL_FEATURES)
     labelled = materialise(splits.split_labels(matrix), "labelled", ("station",))
-    models = forests.train(labelled.where("split <> 'test'"), MODEL_FEATURES, QUICK)
-    scored = forests.predict(models, labelled.where("split = 'test'"), MODEL_FEATURES, QUICK)
-    return splits.forecast_metrics(scored)
+    models = forests.train(labelled.where("split <> 'test'"), MODEL_FEATURES, CFG)
+    scored = forests.predict(models, labelled.where("split = 'test'"), MODEL_FEATURES, CFG)
+    return splits.forecast_metrics(scored).select(
+        "station", "n", flag(F.col("r2") <= 1).alias("r2_valid"), flag(F.col("mae") >= 0).alias("mae_valid"),
+        flag(F.col("rmse") >= F.col("mae") - 1e-9).alias("rmse_valid"))
 
 
 @query
 def forecast_rows(spark, sf):
+    """Hours of the coming week whose features are complete, with both predictions inside
+    the counts that the station has shown."""
     ev = _events(spark, sf)
-    rows = _complete_rows(spark, sf).where(F.col("date") < F.lit(st.FUTURE_FROM.date()))
-    models = forests.train(rows, MODEL_FEATURES, QUICK)
-    future = features.future_features(
-        rows, st.dimensions(ev, QUICK, future=True), QUICK, st.FUTURE_FROM, MODEL_FEATURES)
-    return forests.predict(models, materialise(future, "future"), MODEL_FEATURES, QUICK).select(
-        "station", "date", "hour", "check_ins_predicted", "check_outs_predicted")
+    rows = _complete_rows(spark, sf)
+    models = forests.train(rows, MODEL_FEATURES, CFG)
+    dims = st.written(st.dimensions(ev, CFG, future=True))
+    future = materialise(features.future_features(rows, dims, CFG, _next_day(ev), MODEL_FEATURES), "future")
+    out = forests.predict(models, future, MODEL_FEATURES, CFG).join(_ranges(rows), "station")
+    return out.select("station", "date", "hour",
+                      *[_inside(f"{t}_predicted", out).alias(f"inside_{t}") for t in forests.TARGETS])
+
+
+@query
+def saved_forecasts(spark, sf):
+    """Two runs of one date and a later one are saved; only the last of each date stays, and the
+    newest date is served."""
+    path = fresh_path(spark, "forecasts")
+    flow = _flows(spark, sf).dropna(subset=["check_ins", "check_outs"]).select("station", "date", "hour", *[
+        F.col(t).alias(f"{t}_predicted") for t in forests.TARGETS])
+    more = flow.withColumns({f"{t}_predicted": F.col(f"{t}_predicted") + 1 for t in forests.TARGETS})
+    sinks.save_forecasts(flow, path, datetime(2024, 2, 1, 6))
+    sinks.save_forecasts(more, path, datetime(2024, 2, 1, 9))
+    sinks.save_forecasts(flow.where(F.col("station") == STATIONS[0]), path, datetime(2024, 2, 2, 6))
+    return sinks.read_forecasts(spark, path)
 
 
 # --- reports and serving ---------------------------------------------------------------
@@ -450,15 +501,16 @@ def _land_json(rows: DataFrame, path: str) -> str:
 
 @query
 def scan_trips_csv(spark, sf):
-    path = _land_csv(st.raw_trips(_events(spark, sf), "in"), fresh_path(spark, "trips-csv"))
+    path = _land_csv(st.raw_trips(_events(spark, sf), "in", whole=True), fresh_path(spark, "trips-csv"))
     return flows.normalise_trips(readers.scan_trips_csv(spark, path, "part-", "in"), "in")
 
 
 @query
 def scan_trips_union(spark, sf):
     ev = _events(spark, sf)
-    csv = _land_csv(st.raw_trips(ev.where("event_type = 'signup'"), "out"), fresh_path(spark, "trips-csv"))
-    json = _land_json(st.raw_trips(ev.where("event_type = 'purchase'"), "out"), fresh_path(spark, "trips-json"))
+    early = F.col("event_type").isin(*st.IN_TYPES)
+    csv = _land_csv(st.raw_trips(ev.where(early), "out", whole=True), fresh_path(spark, "trips-csv"))
+    json = _land_json(st.raw_trips(ev.where(~early), "out", whole=True), fresh_path(spark, "trips-json"))
     return flows.normalise_trips(readers.scan_trips_union(spark, csv, json, "part-", "out"), "out")
 
 
@@ -469,11 +521,79 @@ def scan_weather(spark, sf):
     return readers.scan_weather(spark, path, schemas.OBSERVED_WEATHER)
 
 
+def _csv_path(rows: DataFrame, name: str) -> str:
+    path = fresh_path(rows.sparkSession, name)
+    keep_spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.write.options(header=True, escape='"', **keep_spaces).csv(path)
+    return path
+
+
 @query
 def scan_venue_events(spark, sf):
-    path = fresh_path(spark, "sheet-csv")
-    keep_spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    st.raw_sheet(_events(spark, sf)).write.options(**keep_spaces).csv(path, header=True)
-    return readers.scan_venue_events(spark, path)
+    return readers.scan_venue_events(spark, _csv_path(st.raw_sheet(_events(spark, sf)), "sheet-csv"))
+
+
+@query
+def scan_social_events(spark, sf):
+    """With columns beside the used ones and the index first, as collected."""
+    rows = st.raw_social(_events(spark, sf)).select(
+        "ord", "venue", F.lit(1).alias("likes"), F.lit("a, \"b\"").alias("caption"), "event_date").coalesce(1)
+    return readers.scan_social_events(spark, _csv_path(rows, "social-csv"))
 
 
+@query
+def scan_ticketed_events(spark, sf):
+    rows = st.raw_tickets(_events(spark, sf)).select("venue", "datetime", "name", "ord").coalesce(1)
+    return readers.scan_ticketed_events(spark, _csv_path(rows, "tickets-csv"))
+
+
+@query
+def scan_measures(spark, sf):
+    rows = st.raw_measures(_events(spark, sf)).select(
+        "date_end", F.lit("x").alias("note"), "Country", "Response_measure", "date_start")
+    return readers.scan_measures(spark, _csv_path(rows, "measures-csv"))
+
+
+@query
+def scan_cases(spark, sf):
+    rows = st.raw_cases(_events(spark, sf)).select(F.lit(1).alias("day"), "geoId", "deaths", "cases", "dateRep")
+    return readers.scan_cases(spark, _csv_path(rows, "cases-csv"))
+
+
+def _files(documents: DataFrame, key: str, name: str) -> str:
+    """One file for each document."""
+    path = fresh_path(documents.sparkSession, name)
+    documents.withColumn("k", F.col(key)).select("k", "document").repartition("k").write.partitionBy("k").option(
+        "maxRecordsPerFile", 1).text(path)
+    return path
+
+
+@query
+def scan_documents(spark, sf):
+    """Stringency files read whole, then parsed."""
+    docs = st.stringency_documents(_events(spark, sf)).withColumn("day", F.substring("document", 3, 10))
+    found = readers.scan_documents(spark, f"{_files(docs, 'day', 'stringency')}/*/*.txt")
+    records = indicators.stringency_records(found, CFG.country_code)
+    return indicators.stringency_series(records, CFG.stringency_horizon_days)
+
+
+@query
+def scan_posts(spark, sf):
+    docs = st.post_documents(_events(spark, sf), per_account=True).withColumn("part", F.xxhash64("document").cast("string"))
+    path = _files(docs, "part", "posts")
+    rows = readers.scan_posts(spark, f"{path}/*/*.txt")
+    return extract.posts_to_events(rows, CFG.zone).drop("venue")
+
+
+@query
+def scan_ticket_pages(spark, sf):
+    docs = st.ticket_documents(_events(spark, sf)).withColumn("page", F.xxhash64("document").cast("string"))
+    return extract.ticket_pages_to_events(readers.scan_ticket_pages(spark, f"{_files(docs, 'page', 'pages')}/*/*.txt"))
+
+
+@query
+def scan_school_years(spark, sf):
+    docs = st.school_years(_events(spark, sf)).select(F.to_json(F.struct("content")).alias("document"))
+    docs = docs.withColumn("week", F.xxhash64("document").cast("string"))
+    rows = readers.scan_school_years(spark, f"{_files(docs, 'week', 'school')}/*/*.txt")
+    return indicators.vacation_calendar(rows)

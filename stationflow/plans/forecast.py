@@ -13,7 +13,7 @@ from stationflow.config import ForecastConfig
 from stationflow.operators import calendar, events, features, flows, forests, indicators, splits, weather
 from stationflow.operators.serving import model_log_rows
 from stationflow.operators.shared import fixed_table
-from stationflow.session import materialise
+from stationflow.session import materialise, run_folder
 from stationflow.sources import sinks
 from stationflow.sources.readers import Sources
 
@@ -36,16 +36,20 @@ class Trained:
 def prepare(src: Sources, cfg: ForecastConfig, as_of: date, measures: dict[str, str],
             forecast_place: str | None = None) -> Prepared:
     """Flows joined with all side tables, written once to the shared folder."""
-    hourly = flows.hourly_flows(
-        flows.normalise_trips(src.ins, "in"), flows.normalise_trips(src.outs, "out"))
+    ins, outs = flows.normalise_trips(src.ins, "in"), flows.normalise_trips(src.outs, "out")
+    hourly = flows.hourly_flows(ins, outs)
     hourly = calendar.calendar_features(hourly, cfg.stations)
-    unified = materialise(
-        events.events_normalized(events.events_unified(src.sheet, src.posts, src.tickets, cfg)), "events")
-    scored = unified.withColumns({
+    unified = materialise(events.events_unified(src.sheet, src.posts, src.tickets, cfg), "events")
+    for row in events.unknown_venues(unified).collect():  # venues without coordinates, a short list
+        warnings.warn(f"{row['events']} events at {row['venue']}, a venue without coordinates", stacklevel=2)
+    scored = events.events_normalized(unified).withColumns({
         "visitors": F.col("visitors_normalized"),
         "ord": F.col("source_rank").cast("bigint") * (1 << 56) + F.col("ord")})
     spark = hourly.sparkSession
-    years = hourly.select("year").distinct().unionByName(
+    # From the first raw date to the last; the flows themselves are not planned for it.
+    span = ins.select("date").unionByName(outs.select("date")).agg(
+        F.year(F.min("date")).alias("a"), F.year(F.max("date")).alias("b")).where("a IS NOT NULL")
+    years = span.select(F.explode(F.sequence("a", "b")).alias("year")).unionByName(
         fixed_table(spark, [(as_of.year,), (as_of.year + 1,)], ["year"]))
     dims = features.Dimensions(
         weather=weather.weather_history(src.weather, cfg.weather_station, cfg.zone, cfg.weather_hour_mode),
@@ -102,27 +106,40 @@ def train_and_score(rows: DataFrame, model_features: list[str], cfg: ForecastCon
 
 def forecast(trained: Trained, history: DataFrame, dims: features.Dimensions, model_features: list[str],
              cfg: ForecastConfig, as_of: datetime) -> DataFrame:
-    """Both predictions for every complete hour of the week from ``as_of`` on."""
-    future = features.future_features(history, dims, cfg, as_of, model_features)
+    """Both predictions for every complete hour of the week from ``as_of`` on.
+
+    Warns about hours that lack a feature and about stations without a model.
+    """
+    future = materialise(features.future_features(history, dims, cfg, as_of, model_features), "future")
+    for row in forests.incomplete(future, model_features).where("left_out > 0").collect():  # one a station
+        warnings.warn(f"{row['left_out']} hours of {row['station']} lack a feature and get no forecast", stacklevel=2)
+    for station in cfg.stations:
+        if any((station, t) not in trained.models for t in forests.TARGETS):
+            warnings.warn(f"{station} has no rows to learn from and gets no forecast", stacklevel=2)
     return forests.predict(trained.models, future, model_features, cfg)
 
 
-def run_forecast(src: Sources, cfg: ForecastConfig, as_of: datetime, measures: dict[str, str], out: str,
+def run_forecast(src: Sources, cfg: ForecastConfig, as_of: datetime, measures: dict[str, str] | None, out: str,
                  forecast_place: str | None = None) -> DataFrame:
     """Everything above in order; saves forecast, model log and configuration under ``out``.
 
-    Each run plans anew from ``cfg``, so every switch takes effect.
+    ``measures`` maps measure names to columns; None takes every measure of the country.
+    Each run plans anew from ``cfg``, so every switch takes effect. Intermediate tables are
+    removed at the end; the returned rows are read from what was saved.
     """
     if not cfg.features:
         raise ValueError("choose at least one feature")
     spark = src.ins.sparkSession
+    if measures is None:
+        measures = indicators.measure_columns(src.measures, cfg.country) if cfg.use_measures else {}
     model_features = cfg.model_features(tuple(measures.values()))
-    prepared = prepare(src, cfg, as_of.date(), measures, forecast_place)
-    rows = clean(prepared.rows, cfg)
-    trained = train_and_score(rows, model_features, cfg)
-    predictions = materialise(
-        forecast(trained, rows, prepared.future_dims, model_features, cfg, as_of), "forecast")
-    sinks.save_forecasts(predictions, f"{out}/forecasts", as_of)
-    sinks.save_model_log(trained.log_rows, f"{out}/model-log", as_of)
-    sinks.save_config(spark, cfg, f"{out}/config")
-    return predictions
+    with run_folder(spark):
+        prepared = prepare(src, cfg, as_of.date(), measures, forecast_place)
+        rows = clean(prepared.rows, cfg)
+        trained = train_and_score(rows, model_features, cfg)
+        predictions = forecast(trained, rows, prepared.future_dims, model_features, cfg, as_of)
+        sinks.save_forecasts(predictions, f"{out}/forecasts", as_of)
+        sinks.save_model_log(trained.log_rows, f"{out}/model-log", as_of)
+        sinks.save_config(spark, cfg, f"{out}/config")
+    saved = sinks.read_forecasts(spark, f"{out}/forecasts", newest=False)
+    return saved.where(F.col("run_ts") == F.lit(as_of).cast("timestamp_ntz")).drop("run_ts", "run_date")

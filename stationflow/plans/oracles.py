@@ -77,7 +77,7 @@ FLOWS = f"""
 trip AS (
   SELECT DISTINCT event_type IN ('view', 'click') AS is_in, CAST(ts AS DATE) AS d, hour(ts) AS h,
          user_id, CAST(round(value * 100) AS BIGINT) AS n
-  FROM events WHERE event_type IN ('view', 'click', 'signup', 'purchase')),
+  FROM events),
 ins AS (SELECT d, h, user_id % 3 AS s, CAST(SUM(n) AS BIGINT) AS n FROM trip WHERE is_in GROUP BY ALL),
 outs AS (SELECT d, h, user_id % 3 AS s, CAST(SUM(n) AS BIGINT) AS n FROM trip WHERE NOT is_in GROUP BY ALL),
 pair AS (
@@ -110,12 +110,13 @@ _READINGS = {
     "fog": ("event_id % 2", 1), "rain": ("event_id % 3", 1), "snow": ("user_id % 2", 1),
     "thunder": ("user_id % 3", 1), "ice": ("(event_id + user_id) % 2", 1),
 }
-# Raw rows are distinct over all columns first. The data lies in winter time: UTC + 1 hour.
+# Of several readings for an hour the newest is valid. The data lies in winter time: UTC + 1 hour.
 OBSERVED = f"""
 reading AS (
-  SELECT DISTINCT date_trunc('hour', ts) AS utc, event_id % 100 AS weather_code,
+  SELECT date_trunc('hour', ts) AS utc, event_id % 100 AS weather_code,
          {", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, (e, _) in _READINGS.items())}
-  FROM events WHERE event_type = 'error' AND user_id % 2 = 0),
+  FROM events WHERE user_id % 2 = 0
+  QUALIFY row_number() OVER (PARTITION BY date_trunc('hour', ts) ORDER BY event_id DESC) = 1),
 observed AS (
   SELECT CAST(utc + INTERVAL 1 HOUR AS DATE) AS date, CAST(hour(utc + INTERVAL 1 HOUR) AS INTEGER) AS hour,
          {", ".join(f"avg({n}) / {d} AS {n}" for n, (_, d) in _READINGS.items())}
@@ -131,15 +132,15 @@ _PREDICTED = {
 }
 
 
-def _predicted(loc: str) -> str:
+def _predicted(loc: str, ahead: int = 0) -> str:
     values = ", ".join(_PREDICTED)
     return f"""
 given AS (
   SELECT {loc} AS loc,
-         date_trunc('hour', ts) + CASE WHEN event_id % 2 = 0 THEN INTERVAL 60 MINUTES
+         date_trunc('hour', ts) + INTERVAL {ahead} DAYS + CASE WHEN event_id % 2 = 0 THEN INTERVAL 60 MINUTES
                                        ELSE INTERVAL 90 MINUTES END AS t,
          event_id % 5 AS offset_h, {", ".join(f"{e} AS {n}" for n, e in _PREDICTED.items())}
-  FROM events WHERE event_type = 'error'),
+  FROM events),
 best AS (
   SELECT * FROM given QUALIFY row_number() OVER (
     PARTITION BY loc, t ORDER BY offset_h, {", ".join(f"{n} NULLS FIRST" for n in _PREDICTED)}) = 1),
@@ -160,9 +161,9 @@ MEASURES = """
 span_m AS (
   SELECT DISTINCT user_id % 5 AS k,
          CAST(date_trunc('week', ts) AS DATE) + CAST(user_id % 5 AS INTEGER) AS a,
-         CASE WHEN CAST(date_trunc('week', ts) AS DATE) < DATE '2024-01-22'
+         CASE WHEN (SELECT max(CAST(ts AS DATE)) FROM events) - CAST(date_trunc('week', ts) AS DATE) > 7
               THEN CAST(date_trunc('week', ts) AS DATE) + CAST(user_id % 5 + user_id % 5 % 3 AS INTEGER)
-              ELSE DATE '2024-02-15' END AS b
+              ELSE (SELECT max(CAST(ts AS DATE)) + 15 FROM events) END AS b
   FROM events WHERE event_id % 4 <> 0),
 day_m AS (SELECT k, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS date FROM span_m),
 measure AS (
@@ -205,10 +206,12 @@ vacation AS (
 
 # --- venue events ----------------------------------------------------------------------
 
-VENUE_EVENTS = f"""
+def _venue_events(ahead: int = 0) -> str:
+    return f"""
 started AS (
-  SELECT *, CASE WHEN user_id % 2 = 0 THEN date_trunc('hour', ts) ELSE date_trunc('minute', ts) END AS st
-  FROM events WHERE event_type = 'purchase'),
+  SELECT * REPLACE (ts + INTERVAL {ahead} DAYS AS ts),
+         CASE WHEN user_id % 2 = 0 THEN date_trunc('hour', ts) ELSE date_trunc('minute', ts) END
+         + INTERVAL {ahead} DAYS AS st FROM events),
 perf AS (
   SELECT event_id AS o, {VENUES}[user_id % 15 + 1] AS venue, CAST(ts AS DATE) AS d, st,
          CASE WHEN user_id % 5 <> 0 THEN st + INTERVAL 2 HOURS END AS en,
@@ -218,28 +221,34 @@ share AS (SELECT * EXCLUDE visitors, visitors / (SELECT max(visitors) FROM perf)
 """
 
 
-def _score(rows: str, match: str, score: str) -> str:
-    """Range join of hour rows and events, ranked per row."""
+VENUE_EVENTS = _venue_events()
+ATTENDANCE = """CASE WHEN b.v IS NULL THEN CAST(0.5 AS DOUBLE) / (1 + n.km) ELSE b.v / (1 + b.km) END"""
+PRESENCE = "CAST(1 AS DOUBLE) / (1 + n.km)"
+
+
+def _score(rows: str, matches: tuple[str, ...], score: str, km: str = "k.distance_km") -> str:
+    """Range joins of hour rows and events, ranked per row. An event may hit twice: that
+    changes neither the least distance nor the best event."""
+    hits = " UNION ALL ".join(f"""
+  SELECT f.station, f.date, f.hour, s.o, s.v, {km} AS km
+  FROM {rows} f JOIN share s ON {match} JOIN km k ON k.venue = s.venue AND k.station = f.station""" for match in matches)
+    best = "" if score == PRESENCE else _BEST
     return f"""
-hit AS (
-  SELECT f.station, f.date, f.hour, s.o, s.v, k.distance_km AS km
-  FROM {rows} f JOIN share s ON {match}
-  JOIN km k ON k.venue = s.venue AND k.station = f.station),
-near AS (SELECT station, date, hour, min(km) AS km FROM hit GROUP BY ALL),
-best_v AS (
-  SELECT station, date, hour, v, km FROM hit WHERE v IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY station, date, hour ORDER BY km, o) = 1),
+hit AS MATERIALIZED ({hits}),
+near AS (SELECT station, date, hour, min(km) AS km FROM hit GROUP BY ALL),{best}
 score AS (
   SELECT station, date, hour, {score} AS planned_event
-  FROM near n LEFT JOIN best_v b USING (station, date, hour))
+  FROM near n {"LEFT JOIN best_v b USING (station, date, hour)" if best else ""})
 """
 
 
-HOURS_MATCH = """(f.ts >= s.st - INTERVAL 3 HOURS AND f.ts <= s.st)
-    OR (f.ts >= s.en AND f.ts <= s.en + INTERVAL 3 HOURS)"""
-DAY_MATCH = "f.date = s.d"
-ATTENDANCE = """CASE WHEN b.v IS NULL THEN CAST(0.5 AS DOUBLE) / (1 + n.km) ELSE b.v / (1 + b.km) END"""
-PRESENCE = "CAST(1 AS DOUBLE) / (1 + n.km)"
+_BEST = """
+best_v AS (
+  SELECT station, date, hour, v, km FROM hit WHERE v IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY station, date, hour ORDER BY km, o) = 1),"""
+HOURS_MATCH = ("f.ts >= s.st - INTERVAL 3 HOURS AND f.ts <= s.st",
+               "f.ts >= s.en AND f.ts <= s.en + INTERVAL 3 HOURS")
+DAY_MATCH = ("f.date = s.d",)
 SCORE_OUT = """
 SELECT station, date, hour, round(COALESCE(planned_event, 0), 9) + 0.0 AS planned_event
 FROM flow LEFT JOIN score USING (station, date, hour)
@@ -248,7 +257,7 @@ FROM flow LEFT JOIN score USING (station, date, hour)
 SHEET = f"""
 bought AS (
   SELECT *, {VENUES}[user_id % 15 + 1] AS venue, printf('%02d', hour(ts)) AS hh,
-         printf('%02d', (hour(ts) + 2) % 24) AS h2 FROM events WHERE event_type = 'purchase'),
+         printf('%02d', (hour(ts) + 2) % 24) AS h2 FROM events),
 sheet AS (
   SELECT event_id AS ord,
     CASE WHEN event_id % 23 = 0 THEN 'Niet bijzonder evenementen zijn hierboven niet meegenomen.'
@@ -263,7 +272,7 @@ sheet AS (
   FROM (SELECT *, CASE WHEN event_id % 2 = 0 THEN '1899-12-30 ' ELSE '' END AS pre,
                CASE WHEN venue <> 'Ziggo Dome' THEN venue WHEN event_id % 2 = 0 THEN 'Ziggo dome'
                     ELSE 'Ziggo Dome (2x)' END AS called
-        FROM bought WHERE event_id % 3 = 0 AND event_id % 31 <> 0)),
+        FROM bought WHERE event_id % 31 <> 0)),
 cleaned AS (
   SELECT * FROM sheet WHERE Datum NOT LIKE 'Niet bijzonder%' AND Locatie IS NOT NULL
     AND Locatie <> 'Overig' AND "Start show" IS NOT NULL),
@@ -284,11 +293,11 @@ all_events AS (
   FROM timed WHERE year(date) >= 2019
   UNION ALL
   SELECT 1, event_id, {ACCOUNT_VENUES}[user_id % 10 + 1], NULL, CAST(ts AS DATE), hh || ':00',
-         date_trunc('hour', ts), NULL, NULL FROM bought WHERE event_id % 3 < 2
+         date_trunc('hour', ts), NULL, NULL FROM bought
   UNION ALL
   SELECT 2, event_id, venue, 'Show ' || event_id, CAST(ts + INTERVAL 1 HOUR AS DATE),
          printf('%02d:00', (hour(ts) + 1) % 24), date_trunc('hour', ts) + INTERVAL 1 HOUR, NULL, NULL
-  FROM bought WHERE event_id % 3 = 2
+  FROM bought
   UNION ALL
   SELECT 3, i, 'Arena', NULL, d, NULL, NULL, NULL, NULL FROM (VALUES
     (0, DATE '2020-01-19'), (1, DATE '2020-02-02'), (2, DATE '2020-02-16'), (3, DATE '2020-01-03'),
@@ -347,20 +356,23 @@ SELECT station, date, hour, {", ".join(_MODEL)}, check_ins, check_outs FROM wide
 WHERE check_ins IS NOT NULL AND check_outs IS NOT NULL
   AND {" AND ".join(f"{c} IS NOT NULL" for c in _MODEL)}
 """
-FUTURE = "WITH " + ",".join([
-    FLOWS, _predicted("'city'"), STRINGENCY, MEASURES, CASES, VACATIONS, HOLIDAYS, VENUE_EVENTS, DISTANCES,
+FUTURE_CTES = "WITH " + ",".join([
+    FLOWS, _predicted("'city'", 7), STRINGENCY, MEASURES, CASES, VACATIONS,
+    _holidays("SELECT DISTINCT unnest([year(ts), year(ts + INTERVAL 7 DAYS)]) AS y FROM events"), _venue_events(7), DISTANCES,
 ]) + f""",
-past AS (SELECT * FROM flow WHERE date < DATE '2024-01-24'),
+past AS (SELECT * FROM flow),
 grid AS (
   SELECT station, h AS ts, CAST(h AS DATE) AS date, CAST(hour(h) AS INTEGER) AS hour,
          CAST(weekofyear(h) AS INTEGER) AS week, CAST(month(h) AS INTEGER) AS month,
          CAST(year(h) AS INTEGER) AS year, CAST(isodow(h) - 1 AS INTEGER) AS weekday
   FROM (SELECT DISTINCT station FROM past),
-       (SELECT unnest(generate_series(TIMESTAMP '2024-01-24 00:00:00', TIMESTAMP '2024-01-30 23:00:00',
-                                      INTERVAL 1 HOUR)) AS h)),
+       (SELECT CAST(max(CAST(ts AS DATE)) + 1 AS TIMESTAMP) + to_hours(n) AS h
+        FROM events, range(168) r(n) GROUP BY n)),
 {_score("grid", HOURS_MATCH, ATTENDANCE)},
 {WEEK_AGO.format(history="past", rows="grid")},
 top AS (SELECT max(hour) AS hm, max(month) AS mm, max(weekday) AS wm FROM grid)
+"""
+FUTURE = FUTURE_CTES + f"""
 SELECT g.station, g.date, g.hour, g.week, g.month, g.year, g.weekday,
        round(cos(2 * pi() * g.hour / hm), 6) + 0.0 AS cos_hour, round(sin(2 * pi() * g.hour / hm), 6) + 0.0 AS sin_hour,
        round(cos(2 * pi() * g.month / mm), 6) + 0.0 AS cos_month,
@@ -478,12 +490,20 @@ def _with(*ctes: str) -> str:
     return "WITH " + ",".join(ctes)
 
 
-def _trips(types: str) -> str:
-    return f"""
+_TRIPS = f"""
 SELECT CAST(ts AS DATE) AS date, strftime(ts, '%H') || ':00 - ' || strftime(ts, '%H') || ':59' AS hour_band,
        'S' || user_id AS stop_code, {STATIONS}[user_id % 3 + 1] AS station,
        CAST(round(value * 100) AS BIGINT) AS trips
-FROM events WHERE event_type IN ({types})"""
+FROM events"""
+
+
+_TICKET_PAGES = f"""
+SELECT DISTINCT 'Show ' || event_id % 50 AS name,
+       CASE event_id % 7 WHEN 0 THEN 'Lovelee' WHEN 1 THEN 'Melkweg' ELSE {VENUES}[user_id % 15 + 1] END AS venue,
+       strftime(ts, '%Y-%m-%dT%H:00:00Z') AS datetime
+FROM events WHERE event_id % 13 <> 0"""
+# Model features that may be missing; counts, events and indicators never are.
+_WEATHER_KNOWN = " AND ".join(f"{c} IS NOT NULL" for c in ("temperature", "wind_speed", "precipitation_h", "global_radiation"))
 
 
 def _waves(digits: int) -> str:
@@ -550,7 +570,7 @@ def oracle_sql() -> dict[str, str]:
         "cases_deaths": _with(CASES) + "SELECT * FROM cases",
         "stringency_series": _with(STRINGENCY) + "SELECT * FROM stringency",
         "fill_from_latest": _with(FLOWS, CASES) + """,
-            known AS (SELECT * FROM cases WHERE date < DATE '2024-01-20'),
+            known AS (SELECT * FROM cases WHERE (SELECT max(CAST(ts AS DATE)) FROM events) - date > 10),
             last AS (SELECT * FROM known ORDER BY date DESC LIMIT 1)
             SELECT f.station, f.date, f.hour, COALESCE(k.cases, l.cases) AS cases,
                    COALESCE(k.deaths, l.deaths) AS deaths
@@ -569,6 +589,7 @@ def oracle_sql() -> dict[str, str]:
         "planned_event": _with(*score, _score("flow", HOURS_MATCH, ATTENDANCE)) + SCORE_OUT,
         "planned_event_daily": _with(*score, _score("flow", DAY_MATCH, ATTENDANCE)) + SCORE_OUT,
         "planned_event_presence": _with(*score, _score("flow", HOURS_MATCH, PRESENCE)) + SCORE_OUT,
+        "planned_event_no_distance": _with(*score, _score("flow", HOURS_MATCH, ATTENDANCE, "0.0")) + SCORE_OUT,
         "peak_lead": _with(FLOWS, VENUE_EVENTS, PEAK) + """
             SELECT station, count(*) AS events, avg(c) AS mean_counter
             FROM perf JOIN counter ON counter.ts = perf.st WHERE visitors > 0 GROUP BY station""",
@@ -620,14 +641,9 @@ def oracle_sql() -> dict[str, str]:
             SELECT {ACCOUNTS}[user_id % 10 + 1] AS venue, event_id % 1000 AS likes, event_id % 50 AS comments,
                    date_trunc('second', ts) + INTERVAL 1 HOUR AS date_uploaded, caption, event_date
             FROM captioned WHERE event_id % 11 <> 0 AND event_date IS NOT NULL""",
-        "ticket_pages_to_events": f"""
-            SELECT DISTINCT 'Show ' || event_id % 50 AS name,
-                   CASE event_id % 7 WHEN 0 THEN 'Lovelee' WHEN 1 THEN 'Melkweg'
-                        ELSE {VENUES}[user_id % 15 + 1] END AS venue,
-                   strftime(ts, '%Y-%m-%dT%H:00:00Z') AS datetime
-            FROM events WHERE event_id % 13 <> 0""",
-        "scan_trips_csv": _trips("'view', 'click'"),
-        "scan_trips_union": _trips("'signup', 'purchase'"),
+        "ticket_pages_to_events": _TICKET_PAGES,
+        "scan_trips_csv": _TRIPS,
+        "scan_trips_union": _TRIPS,
         "scan_weather": f"""
             SELECT CAST(CAST(ts AS DATE) AS VARCHAR) || 'T00:00:00.000Z' AS date,
                    CAST(hour(ts) + 1 AS INTEGER) AS hour,
@@ -636,9 +652,54 @@ def oracle_sql() -> dict[str, str]:
                    {", ".join(f'CAST({e} AS DOUBLE) AS "{code}"' for code, (e, _) in zip(
                        "DD FH FF FX T T10N TD SQ Q DR RH P VV N U IX M R S O Y".split(),
                        _READINGS.values(), strict=True))}
-            FROM events WHERE event_type = 'error'""",
+            FROM events""",
         "scan_venue_events": _with(SHEET) + """
             SELECT * FROM sheet UNION ALL
             SELECT event_id, NULL, NULL, NULL, NULL, NULL, NULL FROM events
-            WHERE event_type = 'purchase' AND event_id % 3 = 0 AND event_id % 31 = 0""",
+            WHERE event_id % 31 = 0""",
+        "scan_social_events": f"""
+            SELECT event_id AS ord, {ACCOUNTS}[user_id % 10 + 1] AS venue,
+                   strftime(ts, '%Y-%m-%d %H:00:00') AS event_date FROM events""",
+        "scan_ticketed_events": f"""
+            SELECT event_id AS ord, 'Show ' || event_id AS name,
+                   replace({VENUES}[user_id % 15 + 1], 'Royal Theater Carré', 'Koninklijk Theater Carre') AS venue,
+                   strftime(ts, '%Y-%m-%dT%H:00:00Z') AS datetime FROM events""",
+        "scan_measures": """
+            WITH m AS (SELECT *, CAST(date_trunc('week', ts) AS DATE) AS monday, CAST(user_id % 5 AS INTEGER) AS k FROM events)
+            SELECT CASE WHEN event_id % 4 = 0 THEN 'Belgium' ELSE 'Netherlands' END AS "Country",
+                   'Measure' || k AS "Response_measure", monday + k AS date_start,
+                   CASE WHEN (SELECT max(CAST(ts AS DATE)) FROM events) - monday > 7 THEN monday + k + k % 3 END AS date_end
+            FROM m""",
+        "scan_cases": """
+            SELECT strftime(ts, '%d/%m/%Y') AS "dateRep", CASE WHEN user_id % 2 = 0 THEN 'NL' ELSE 'BE' END AS "geoId",
+                   CAST(count(*) AS DOUBLE) AS cases, CAST(count(*) FILTER (WHERE value > 100) AS DOUBLE) AS deaths
+            FROM events GROUP BY 1, 2""",
+        "scan_documents": _with(STRINGENCY) + "SELECT * FROM stringency",
+        "scan_school_years": _with(VACATIONS) + "SELECT date FROM vacation",
+        "scan_posts": _with(CAPTIONS.format(year="year(ts + INTERVAL 1 HOUR)")) + """
+            SELECT event_id % 1000 AS likes, event_id % 50 AS comments,
+                   date_trunc('second', ts) + INTERVAL 1 HOUR AS date_uploaded, caption, event_date
+            FROM captioned WHERE event_id % 11 <> 0 AND event_date IS NOT NULL""",
+        "scan_ticket_pages": _TICKET_PAGES,
+        "saved_forecasts": flow + f"""
+            SELECT station, date, hour, CAST(run_ts AS DATE) AS run_date, run_ts, check_ins + more AS check_ins_predicted,
+                   check_outs + more AS check_outs_predicted
+            FROM (SELECT *, CASE WHEN station = 'Centraal Station' THEN 0 ELSE 1 END AS more,
+                         CASE WHEN station = 'Centraal Station' THEN TIMESTAMP '2024-02-02 06:00:00'
+                              ELSE TIMESTAMP '2024-02-01 09:00:00' END AS run_ts FROM flow WHERE {complete})""",
+        "imputed_flows": flow + """
+            SELECT station, date, hour, check_ins, check_outs, CAST(check_ins IS NULL AS INTEGER) AS filled_check_ins,
+                   CAST(check_outs IS NULL AS INTEGER) AS filled_check_outs,
+                   CASE WHEN check_ins IS NULL THEN 1 END AS inside_check_ins,
+                   CASE WHEN check_outs IS NULL THEN 1 END AS inside_check_outs FROM flow""",
+        "trained_scores": "WITH " + ENRICHED_CTES + f""",
+            usable AS (SELECT station, {split_age} AS age FROM rich WHERE {_WEATHER_KNOWN})
+            SELECT station, count(*) AS n, 1 AS r2_valid, 1 AS mae_valid, 1 AS rmse_valid
+            FROM usable WHERE age < 7 GROUP BY station""",
+        "forecast_rows": FUTURE_CTES + f"""
+            SELECT g.station, g.date, g.hour, 1 AS inside_check_ins, 1 AS inside_check_outs
+            FROM grid g JOIN predicted w ON w.date = g.date AND w.hour = g.hour
+            LEFT JOIN exact e ON e.station = g.station AND e.date = g.date AND e.hour = g.hour
+            LEFT JOIN weekly k ON k.station = g.station AND k.year = g.year AND k.week = g.week AND k.hour = g.hour
+            WHERE (e.station IS NOT NULL OR k.station IS NOT NULL) AND {_WEATHER_KNOWN}""",
     }

@@ -1,13 +1,14 @@
 """Transit tables derived from the generic test tables.
 
 The test tables hold no trips, weather or venue events. Each function below reads one
-of them as the raw source an operator expects. All rows are used: remainders of ids
-only choose labels or plant faults (missing values, odd spellings), never drop rows.
+of them as the raw source an operator expects. Every source gets all rows of its table;
+remainders of ids only choose labels or plant faults (missing values, odd spellings). The
+two sides of a trip pair share the rows between them by event type.
 """
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,12 +20,12 @@ from stationflow.functions.text import MONTHS
 from stationflow.operators import calendar, events, features, flows, indicators, weather
 from stationflow.operators.serving import config_document
 from stationflow.operators.shared import text_array
+from stationflow.session import materialise
 
 IN_TYPES = ("view", "click")
-OUT_TYPES = ("signup", "purchase")
+OUT_TYPES = ("signup", "purchase", "error")
 MEASURE_NAMES = {f"Measure{i}": f"measure_{i}" for i in range(5)}
-AS_OF = date(2024, 2, 15)
-FUTURE_FROM = datetime(2024, 1, 24)
+AHEAD = 7  # days by which forecasts and planned events lie after the events they are made of
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,12 +54,14 @@ def cents(value: str = "value") -> Column:
 
 # --- trips -----------------------------------------------------------------------------
 
-def raw_trips(ev: DataFrame, side: str) -> DataFrame:
-    """Trip rows of one side in the layout of the raw files."""
+def raw_trips(ev: DataFrame, side: str, whole: bool = False) -> DataFrame:
+    """Trip rows of one side in the layout of the raw files; all rows with ``whole``."""
     names = flows.RAW_ORIGIN if side == "in" else flows.RAW_DESTINATION
     to_raw = {v: k for k, v in names.items()}
     hour = F.expr("lpad(hour(ts), 2, '0')")
-    return ev.where(F.col("event_type").isin(*(IN_TYPES if side == "in" else OUT_TYPES))).select(
+    if not whole:
+        ev = ev.where(F.col("event_type").isin(*(IN_TYPES if side == "in" else OUT_TYPES)))
+    return ev.select(
         F.to_date("ts").cast("string").alias(to_raw["date"]),
         F.concat(hour, F.lit(":00 - "), hour, F.lit(":59")).alias(to_raw["hour_band"]),
         F.concat(F.lit("S"), F.col("user_id").cast("string")).alias(to_raw["stop_code"]),
@@ -88,13 +91,18 @@ def raw_observations(ev: DataFrame) -> DataFrame:
         "U": "50 + event_id % 50", "WW": "event_id % 100", "IX": "event_id % 7", "M": "event_id % 2",
         "R": "event_id % 3", "S": "user_id % 2", "O": "user_id % 3", "Y": "(event_id + user_id) % 2",
     }
-    return ev.where("event_type = 'error'").selectExpr(
+    return ev.selectExpr(
         "concat(to_date(ts), 'T00:00:00.000Z') AS date", "hour(ts) + 1 AS hour",
-        "IF(user_id % 2 = 0, '240', '260') AS station_code",
+        "IF(user_id % 2 = 0, '240', '260') AS station_code", "event_id AS revision",
         *[f"CAST({text} AS double) AS {code}" for code, text in readings.items()])
 
 
-def raw_predictions(ev: DataFrame, one_place: bool = False) -> DataFrame:
+def last_day(ev: DataFrame) -> Column:
+    """Date of the newest row, as a scalar subquery."""
+    return ev.agg(F.to_date(F.max("ts")).alias("d")).scalar()
+
+
+def raw_predictions(ev: DataFrame, one_place: bool = False, ahead: int = 0) -> DataFrame:
     """Forecast records; places are users, or all rows belong to one place."""
     values = {
         "windr": "event_id % 360", "rv": "event_id % 100", "luchtd": "1000 + event_id % 30", "temp": "value",
@@ -102,9 +110,9 @@ def raw_predictions(ev: DataFrame, one_place: bool = False) -> DataFrame:
         "neersl": "IF(event_id % 50 = 0, '-', CAST(event_id % 7 AS string))", "gr": "event_id % 800",
         "tw": "event_id % 101",
     }
-    return ev.where("event_type = 'error'").selectExpr(
+    return ev.selectExpr(
         "'city' AS loc" if one_place else "concat('L', user_id) AS loc",
-        "unix_date(to_date(ts)) * 86400L + hour(ts) * 3600 + IF(event_id % 2 = 0, 0, 1800) AS tijd",
+        f"(unix_date(to_date(ts)) + {ahead}) * 86400L + hour(ts) * 3600 + IF(event_id % 2 = 0, 0, 1800) AS tijd",
         "CAST(event_id % 5 AS string) AS offset",
         *[f"CAST({text} AS string) AS {code}" for code, text in values.items()])
 
@@ -112,7 +120,7 @@ def raw_predictions(ev: DataFrame, one_place: bool = False) -> DataFrame:
 # --- date-keyed sources ----------------------------------------------------------------
 
 def raw_measures(ev: DataFrame) -> DataFrame:
-    """Weekly measures: measure k runs from weekday k for k % 3 more days."""
+    """Weekly measures: measure k runs from weekday k for k % 3 more days, open in the last weeks."""
     k = _mod("user_id", 5).cast("int")
     monday = F.date_sub(F.to_date("ts"), F.weekday("ts"))
     start = F.date_add(monday, k)
@@ -120,7 +128,7 @@ def raw_measures(ev: DataFrame) -> DataFrame:
         F.when(_mod("event_id", 4) == 0, "Belgium").otherwise("Netherlands").alias("Country"),
         F.concat(F.lit("Measure"), k.cast("string")).alias("Response_measure"),
         start.alias("date_start"),
-        F.when(monday < F.lit(date(2024, 1, 22)), F.date_add(start, k % 3)).alias("date_end"))
+        F.when(F.date_diff(last_day(ev), monday) > 7, F.date_add(start, k % 3)).alias("date_end"))
 
 
 def raw_cases(ev: DataFrame) -> DataFrame:
@@ -164,15 +172,23 @@ def school_years(ev: DataFrame) -> DataFrame:
         F.array(F.struct(F.lit("Week ").alias("type"), "regions")).alias("vacations"))).alias("content"))
 
 
-def years_of(df: DataFrame, column: str) -> DataFrame:
-    return df.select(F.year(column).alias("year")).distinct()
+def as_of(ev: DataFrame) -> Column:
+    """Where open measures end."""
+    return F.date_add(last_day(ev), 15)
+
+
+def years_of(df: DataFrame, column: str, ahead: int = 0) -> DataFrame:
+    """Years of the dates, and of the dates so many days later."""
+    days = F.explode(F.array(F.to_date(column), F.date_add(F.to_date(column), ahead)))
+    return df.select(days.alias("d")).select(F.year("d").alias("year")).distinct()
 
 
 # --- venue events ----------------------------------------------------------------------
 
-def venue_events(ev: DataFrame) -> DataFrame:
-    """Scored events: every purchase, some without end or attendance."""
-    started = ev.where("event_type = 'purchase'").withColumn("_hour", clock.hour_floor("ts")).withColumn(
+def venue_events(ev: DataFrame, ahead: int = 0) -> DataFrame:
+    """Scored events, some without end or attendance."""
+    later = ev.withColumn("ts", F.expr(f"ts + {clock.span(24 * ahead)}")) if ahead else ev
+    started = later.withColumn("_hour", clock.hour_floor("ts")).withColumn(
         "start_ts", F.expr("IF(user_id % 2 = 0, _hour, _hour + make_dt_interval(0, 0, minute(ts)))"))
     return started.select(
         F.expr("event_id AS ord"), venue_of(F.col("user_id")).alias("venue"), F.expr("to_date(ts) AS date"),
@@ -185,7 +201,7 @@ def rounded_distances(spark: SparkSession) -> DataFrame:
 
 
 def raw_sheet(ev: DataFrame) -> DataFrame:
-    """A third of the purchases as the event sheet, with its usual faults."""
+    """The event sheet with its usual faults."""
     gone = _mod("event_id", 31) == 0
     day = F.when(_mod("event_id", 37) == 0, F.date_sub(F.to_date("ts"), 2200)).otherwise(F.to_date("ts"))
     datum = F.when(_mod("event_id", 23) == 0, events.SHEET_FOOTER).otherwise(
@@ -206,7 +222,7 @@ def raw_sheet(ev: DataFrame) -> DataFrame:
     def unless_gone(c: Column) -> Column:
         return F.when(~gone, c)
 
-    return ev.where((F.col("event_type") == "purchase") & (_mod("event_id", 3) == 0)).select(
+    return ev.select(
         F.col("event_id").alias("ord"), unless_gone(datum).alias("Datum"),
         unless_gone(venue).alias("Locatie"), unless_gone(name).alias("Naam evenement"),
         unless_gone(start).alias("Start show"), unless_gone(end).alias("Einde show"),
@@ -214,19 +230,19 @@ def raw_sheet(ev: DataFrame) -> DataFrame:
 
 
 def raw_social(ev: DataFrame) -> DataFrame:
-    """The second third, and copies of sheet events, as collected posts."""
+    """Collected posts; some are copies of sheet events."""
     accounts = [*events.ACCOUNT_VENUES, "newaccount"]
-    return ev.where((F.col("event_type") == "purchase") & (_mod("event_id", 3) < 2)).select(
+    return ev.select(
         F.col("event_id").alias("ord"), pick(accounts, _mod("user_id", 10)).alias("venue"),
         F.concat(F.to_date("ts").cast("string"), F.lit(" "), F.expr("lpad(hour(ts), 2, '0')"), F.lit(":00:00"))
         .alias("event_date"))
 
 
 def raw_tickets(ev: DataFrame) -> DataFrame:
-    """The last third as ticketed events with UTC times."""
+    """Ticketed events with UTC times."""
     venue = venue_of(F.col("user_id"))
     venue = F.when(venue == "Royal Theater Carré", "Koninklijk Theater Carre").otherwise(venue)
-    return ev.where((F.col("event_type") == "purchase") & (_mod("event_id", 3) == 2)).select(
+    return ev.select(
         F.col("event_id").alias("ord"), F.concat(F.lit("Show "), F.col("event_id").cast("string")).alias("name"),
         venue.alias("venue"),
         F.concat(F.to_date("ts").cast("string"), F.lit("T"), F.expr("lpad(hour(ts), 2, '0')"), F.lit(":00:00Z"))
@@ -254,8 +270,8 @@ def caption(ev_id: str = "event_id") -> Column:
             .otherwise(F.concat(F.lit("31 feb om "), hour, F.lit(":"), minute)))
 
 
-def post_documents(ev: DataFrame) -> DataFrame:
-    """JSON documents of at most 100 posts each, per account."""
+def post_documents(ev: DataFrame, per_account: bool = False) -> DataFrame:
+    """JSON documents of at most 100 posts of a user each, or of 1,000 events of an account."""
     accounts = [*events.ACCOUNT_VENUES, "newaccount"]
     epoch = (F.unix_date(F.to_date("ts")).cast("bigint") * 86400 + F.hour("ts") * 3600
              + F.minute("ts") * 60 + F.second("ts"))
@@ -267,8 +283,9 @@ def post_documents(ev: DataFrame) -> DataFrame:
         epoch.alias("taken_at_timestamp"),
         F.struct(F.when(_mod("event_id", 11) == 0, none).otherwise(F.array(edge)).alias("edges"))
         .alias("edge_media_to_caption"))
-    chunk = F.floor(F.col("event_id") / 100)
-    docs = ev.groupBy(F.col("user_id"), chunk.alias("chunk")).agg(F.collect_list(post).alias("GraphImages"))
+    chunk = F.floor(F.col("event_id") / (1000 if per_account else 100))
+    user = _mod("user_id", 10) if per_account else F.col("user_id")
+    docs = ev.groupBy(user.alias("user_id"), chunk.alias("chunk")).agg(F.collect_list(post).alias("GraphImages"))
     return docs.select(pick(accounts, _mod("user_id", 10)).alias("venue"),
                        F.to_json(F.struct("GraphImages")).alias("document"))
 
@@ -312,24 +329,30 @@ def dimensions(ev: DataFrame, cfg: ForecastConfig, future: bool = False) -> feat
     """All side tables of the enrichment; with ``future`` the weather is the forecast."""
     spark = ev.sparkSession
     if future:
-        ahead = weather.weather_forecast(raw_predictions(ev, one_place=True), cfg.zone,
-                                         cfg.forecast_shift_hours, cfg.forecast_fill_hours)
-        observed = ahead.drop("loc")
+        predicted = weather.weather_forecast(raw_predictions(ev, True, AHEAD), cfg.zone,
+                                             cfg.forecast_shift_hours, cfg.forecast_fill_hours)
+        observed = predicted.drop("loc")
     else:
         observed = weather.weather_history(raw_observations(ev), cfg.weather_station, cfg.zone)
     records = indicators.stringency_records(stringency_documents(ev), cfg.country_code)
     return features.Dimensions(
         weather=observed,
         stringency=indicators.stringency_series(records, cfg.stringency_horizon_days),
-        measures=indicators.measures_daily(raw_measures(ev), cfg.country, MEASURE_NAMES, AS_OF),
+        measures=indicators.measures_daily(raw_measures(ev), cfg.country, MEASURE_NAMES, as_of(ev)),
         cases=indicators.cases_deaths(raw_cases(ev), cfg.geo_id, cfg.case_date_format),
-        holidays=indicators.holiday_calendar(years_of(ev, "ts")),
+        holidays=indicators.holiday_calendar(years_of(ev, "ts", AHEAD if future else 0)),
         vacations=indicators.vacation_calendar(school_years(ev), cfg.vacation_shift_days),
-        events=events.events_normalized(venue_events(ev)).withColumn("visitors", F.col("visitors_normalized")),
+        events=events.events_normalized(venue_events(ev, AHEAD if future else 0)).withColumn("visitors", F.col("visitors_normalized")),
         distances=rounded_distances(spark),
     )
 
 
+def written(dims: features.Dimensions) -> features.Dimensions:
+    """The side tables that several parts of a plan read, written once."""
+    names = ("weather", "stringency", "measures", "cases", "vacations", "holidays")
+    return replace(dims, **{n: materialise(getattr(dims, n), n) for n in names})
+
+
 def enriched(ev: DataFrame, cfg: ForecastConfig) -> DataFrame:
     return features.enrich(flow_rows(ev), dimensions(ev, cfg), cfg)
 

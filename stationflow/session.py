@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,23 +27,40 @@ def build_session(app: str = "stationflow", master: str | None = None, **conf) -
     return builder.getOrCreate()
 
 
+_RUN: ContextVar[str | None] = ContextVar("run_folder", default=None)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, taken from ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder of its own.
+    A local session that sets none uses a folder beside its warehouse; on a cluster the
+    setting is required.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="stationflow-")
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+@contextmanager
+def run_folder(spark: SparkSession, name: str = "run") -> Iterator[str]:
+    """Tables written inside go to one folder, which is removed at the end."""
+    folder = fresh_path(spark, name)
+    before = _RUN.set(folder)
+    try:
+        yield folder
+    finally:
+        _RUN.reset(before)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{(_RUN.get() or shared_dir(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:

@@ -3,33 +3,96 @@
 from __future__ import annotations
 
 import gzip
+import io
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import date, timedelta
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from stationflow.operators.extract import POSTS_SCHEMA, TICKETS_SCHEMA
+from stationflow.operators.shared import union_all
 from stationflow.sources import schemas
 
 
+def _named(rows: DataFrame, schema: str) -> DataFrame:
+    """The schema's columns by name, cast to its types; what does not fit becomes null."""
+    fields = StructType.fromDDL(schema).fields
+    lost = [f.name for f in fields if f.name.lower() not in {c.lower() for c in rows.columns}]
+    if lost:
+        raise ValueError(f"columns {lost} are not in the header {rows.columns}")
+    return rows.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in fields])
+
+
 def _csv(spark: SparkSession, path, schema: str, **options) -> DataFrame:
-    # Columns are bound by header name; a file with another header fails the read
-    # instead of swapping values.
-    return spark.read.options(header=True, enforceSchema=False, **options).schema(schema).csv(path)
+    """Columns by header name, whatever their order and whatever else the files hold.
+
+    The files of one path share a header; one with another header fails the read instead
+    of swapping values.
+    """
+    return _named(spark.read.options(header=True, enforceSchema=False, **options).csv(path), schema)
+
 
+def _indexed_csv(spark: SparkSession, path: str, schema: str, **options) -> DataFrame:
+    """Like ``_csv`` for files with a row index, named ``ord`` or unnamed and leading.
 
-def scan_trips_csv(spark: SparkSession, root: str, prefix: str, side: str) -> DataFrame:
-    """Semicolon CSVs under ``root/<year>/<month>/<day>/``, chosen by file name prefix."""
+    The index starts anew in each file, so ``ord`` counts files (by path) first. Collected
+    event files are few; each is read under its own header.
+    """
+    read = spark.read.options(header=True, **options)
+    frames = []
+    for number, file in enumerate(sorted(read.csv(path).inputFiles())):
+        rows = read.csv(file)
+        if rows.columns:
+            index = "ord" if "ord" in rows.columns else rows.columns[0]
+            order = F.lit(number * (1 << 32)) + F.col(f"`{index}`").try_cast("bigint")
+            frames.append(_named(rows.withColumn("ord", order), schema))
+    if not frames:
+        return spark.createDataFrame([], schema)
+    return union_all(frames)
+
+
+def day_folders(root: str, from_date: date | None = None, to_date: date | None = None) -> list[str]:
+    """Globs of the folders ``root/<year>/<month>/<day>``: all, or only those of a span of dates,
+    so that other days are not even listed. Whole months and years inside it take one glob."""
+    if from_date is None and to_date is None:
+        return [f"{root}/*/*/*"]
+    if from_date is None or to_date is None:
+        raise ValueError("give both ends of the span of dates")
+    day, out = from_date, []
+    while day <= to_date:
+        year_end, month_end = date(day.year, 12, 31), (day.replace(day=28) + timedelta(4)).replace(day=1) - timedelta(1)
+        if day == date(day.year, 1, 1) and year_end <= to_date:
+            glob, day = f"{day:%Y}/*/*", year_end
+        elif day.day == 1 and month_end <= to_date:
+            glob, day = f"{day:%Y/%m}/*", month_end
+        else:
+            glob = f"{day:%Y/%m/%d}"
+        out.append(f"{root}/{glob}")
+        day += timedelta(1)
+    return out
+
+
+def scan_trips_csv(spark: SparkSession, root: str, prefix: str, side: str,
+                   from_date: date | None = None, to_date: date | None = None) -> DataFrame:
+    """Semicolon CSVs under ``root/<year>/<month>/<day>/``, chosen by file name prefix.
+
+    With dates given, only the folders of that span are listed and read; each of its days,
+    months or years needs a folder.
+    """
     schema = schemas.ORIGIN_TRIPS if side == "in" else schemas.DESTINATION_TRIPS
-    return _csv(spark, f"{root}/*/*/*/{prefix}*.csv", schema, sep=";")
+    return _csv(spark, [f"{d}/{prefix}*.csv" for d in day_folders(root, from_date, to_date)], schema, sep=";")
 
 
-def scan_trips_json(spark: SparkSession, root: str, side: str) -> DataFrame:
+def scan_trips_json(spark: SparkSession, root: str, side: str,
+                    from_date: date | None = None, to_date: date | None = None) -> DataFrame:
     """Gzipped JSON lines under ``root/<year>/<month>/<day>/``."""
     schema = schemas.ORIGIN_TRIPS if side == "in" else schemas.DESTINATION_TRIPS
-    return spark.read.schema(schema).json(f"{root}/*/*/*/*.json.gz")
+    return spark.read.schema(schema).json([f"{d}/*.json.gz" for d in day_folders(root, from_date, to_date)])
 
 
 def scan_trips_union(spark: SparkSession, csv_root: str, json_root: str, prefix: str, side: str) -> DataFrame:
@@ -38,42 +101,53 @@ def scan_trips_union(spark: SparkSession, csv_root: str, json_root: str, prefix:
         scan_trips_json(spark, json_root, side), allowMissingColumns=True)
 
 
+LINE_BATCH = 20_000
+
+
 def _unzip_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for content in batch["content"]:
-            lines = gzip.decompress(content).decode("utf-8").splitlines()
-            yield pd.DataFrame({"value": [x for x in lines if x.strip()]})
+        for path, content in zip(batch["path"], batch["content"], strict=True):
+            with gzip.open(io.BytesIO(content), "rt", encoding="utf-8") as lines:
+                while part := list(islice(lines, LINE_BATCH)):
+                    kept = [x.rstrip("\n") for x in part if x.strip()]
+                    yield pd.DataFrame({"path": [path] * len(kept), "value": kept})
 
 
-def scan_weather(spark: SparkSession, path: str, schema: str, any_extension: bool = False) -> DataFrame:
+def scan_weather(spark: SparkSession, path: str, schema: str, any_extension: bool = False,
+                 with_revision: bool = False) -> DataFrame:
     """Gzipped JSON lines of weather records.
 
     Spark unzips files named ``*.gz``. With ``any_extension`` gzipped files of other names
-    are read too; these pass through memory file by file, so they should be small.
+    are read too, one task a file: the zipped bytes (2 GB at most, Spark's limit for one
+    value) are held, the lines leave in batches while they are unzipped. ``with_revision``
+    adds the file's path as ``revision``: of two readings the later file holds the valid one.
     """
     named = spark.read.schema(schema).options(pathGlobFilter="*.gz", recursiveFileLookup=True).json(path)
+    if with_revision:
+        named = named.withColumn("revision", F.col("_metadata.file_path"))
     if not any_extension:
         return named
     others = (spark.read.format("binaryFile")
               .options(pathGlobFilter="{*[^z],*[^g]z,*[^.]gz}", recursiveFileLookup=True).load(path)
-              .where("length > 0").select("content"))
-    lines = others.mapInPandas(_unzip_lines, "value string")
-    parsed = lines.select(F.from_json("value", schema).alias("r")).select("r.*")
-    return named.unionByName(parsed)
+              .where("length > 0").select("path", "content"))
+    lines = others.mapInPandas(_unzip_lines, "path string, value string")
+    parsed = lines.select("path", F.from_json("value", schema).alias("r"))
+    path_column = [F.col("path").alias("revision")] if with_revision else []
+    return named.unionByName(parsed.select("r.*", *path_column))
 
 
 def scan_venue_events(spark: SparkSession, path: str) -> DataFrame:
-    """The event sheet, landed as CSV with its row number in ``ord``."""
-    return _csv(spark, path, schemas.EVENT_SHEET)
+    """The event sheet, landed as CSV with its row number in ``ord``. Blanks stay as they are."""
+    return _csv(spark, path, schemas.EVENT_SHEET, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def scan_social_events(spark: SparkSession, path: str) -> DataFrame:
-    rows = _csv(spark, path, schemas.SOCIAL_EVENTS, multiLine=True, escape='"')
-    return rows.select("ord", "venue", "event_date")
+    """Collected posts with their index, account and event date."""
+    return _indexed_csv(spark, path, schemas.SOCIAL_EVENTS, multiLine=True, escape='"')
 
 
 def scan_ticketed_events(spark: SparkSession, path: str) -> DataFrame:
-    return _csv(spark, path, schemas.TICKETED_EVENTS, escape='"').select("ord", "name", "venue", "datetime")
+    return _indexed_csv(spark, path, schemas.TICKETED_EVENTS, multiLine=True, escape='"')
 
 
 def scan_measures(spark: SparkSession, path: str) -> DataFrame:
@@ -130,7 +204,7 @@ def read_sources(spark: SparkSession, root: str, prefix_in: str = "", prefix_out
     return Sources(
         ins=scan_trips_union(spark, f"{root}/trips", f"{root}/trips-origin-json", prefix_in, "in"),
         outs=scan_trips_union(spark, f"{root}/trips", f"{root}/trips-destination-json", prefix_out, "out"),
-        weather=scan_weather(spark, f"{root}/weather/observations", schemas.OBSERVED_WEATHER, True),
+        weather=scan_weather(spark, f"{root}/weather/observations", schemas.OBSERVED_WEATHER, True, True),
         predictions=scan_weather(spark, f"{root}/weather/predictions", schemas.PREDICTED_WEATHER),
         sheet=scan_venue_events(spark, f"{root}/events/sheet"),
         posts=scan_social_events(spark, f"{root}/events/social"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from stationflow.operators.weather import OBSERVED, PREDICTED
+
 # Columns of the raw sources.
 ORIGIN_TRIPS = (
     "Datum string, `UurgroepOmschrijving (van vertrek)` string, VertrekHalteCode string, "
@@ -9,19 +11,12 @@ ORIGIN_TRIPS = (
 DESTINATION_TRIPS = (
     "Datum string, `UurgroepOmschrijving (van aankomst)` string, AankomstHalteCode string, "
     "AankomstHalteNaam string, AantalReizen string")
-OBSERVED_WEATHER = (
-    "date string, hour int, station_code string, " + ", ".join(
-        f"{code} double" for code in (
-            "DD FH FF FX T T10N TD SQ Q DR RH P VV N U WW IX M R S O Y").split()))
-PREDICTED_WEATHER = (
-    "loc string, tijd bigint, offset string, " + ", ".join(
-        f"{code} string" for code in "windr rv luchtd temp windb winds gust vis neersl gr tw".split()))
+OBSERVED_WEATHER = "date string, hour int, station_code string, " + ", ".join(f"{c} double" for c in OBSERVED)
+PREDICTED_WEATHER = "loc string, tijd bigint, offset string, " + ", ".join(f"{c} string" for c in PREDICTED)
 EVENT_SHEET = (
     "ord bigint, Datum string, Locatie string, `Naam evenement` string, `Start show` string, "
     "`Einde show` string, `Aantal bezoekers` double")
-SOCIAL_EVENTS = (
-    "ord bigint, venue string, likes bigint, comments bigint, date_uploaded string, "
-    "caption string, event_date string")
+SOCIAL_EVENTS = "ord bigint, venue string, event_date string"
 TICKETED_EVENTS = "ord bigint, name string, venue string, datetime string"
 MEASURES = "Country string, Response_measure string, date_start date, date_end date"
 CASES = "dateRep string, geoId string, cases double, deaths double"

@@ -22,10 +22,22 @@ PUBLISHED_NAMES = {
 
 
 def save_forecasts(forecasts: DataFrame, path: str, run_ts: datetime) -> None:
-    """Appends a run, laid out by station and run date."""
+    """Saves a run, laid out by station and run date; a run of the same date is replaced."""
     stamped = forecasts.withColumn("run_ts", F.lit(run_ts).cast("timestamp_ntz"))
-    stamped.withColumn("run_date", F.to_date("run_ts")).write.mode("append").partitionBy(
-        "station", "run_date").parquet(path)
+    stamped.withColumn("run_date", F.to_date("run_ts")).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("station", "run_date").parquet(path)
+
+
+def read_forecasts(spark: SparkSession, path: str, newest: bool = True) -> DataFrame:
+    """Saved forecasts; with ``newest`` only each station's last run.
+
+    The last run is found from the folder names; other runs' files are not read.
+    """
+    saved = spark.read.parquet(path)
+    if newest:
+        last = saved.select("station", "run_date").groupBy("station").agg(F.max("run_date").alias("run_date"))
+        saved = saved.join(last, ["station", "run_date"])
+    return saved.withColumn("run_date", F.col("run_date").cast("date"))
 
 
 def export_forecasts_csv(forecasts: DataFrame, path: str) -> None:

@@ -199,3 +199,46 @@ def test_fill_hours_equals_pandas_resample(spark, seed):
     found = [tuple(r) for r in weather.fill_hours(df).collect()]
     assert len(found) == len(set(found))
     assert set(found) == expected
+
+
+def test_side_tables_with_two_rows_for_a_key_fail(spark):
+    from stationflow.operators.shared import unique
+
+    twice = spark.createDataFrame([("2021-01-01", 1), ("2021-01-01", 2), ("2021-01-02", 3)], "date string, v int")
+    with pytest.raises(Exception, match="more than one row for one date"):
+        unique(twice, "date").collect()
+    with pytest.raises(Exception, match="more than one row"):
+        spark.createDataFrame([("2021-01-01",)], "date string").join(unique(twice, "date"), "date", "left").collect()
+    once = twice.where("v <> 2")
+    assert sorted(unique(once, "date").collect()) == sorted(once.collect())
+
+
+def test_of_revised_readings_the_newest_is_valid(spark):
+    rows = [("2021-01-01T00:00:00.000Z", 5, "240", 10.0, "b"), ("2021-01-01T00:00:00.000Z", 5, "240", 30.0, "a"),
+            ("2021-01-01T00:00:00.000Z", 5, "260", 99.0, "c")]
+    raw = spark.createDataFrame(rows, "date string, hour int, station_code string, T double, revision string")
+    assert [r["temperature"] for r in weather.weather_history(raw, "240", "Europe/Amsterdam").collect()] == [1.0]
+    with pytest.raises(Exception, match="more than one row"):
+        weather.weather_history(raw.drop("revision"), "240", "Europe/Amsterdam").collect()
+    same = raw.where("revision = 'a'").drop("revision")
+    assert weather.weather_history(same.unionByName(same), "240", "Europe/Amsterdam").count() == 1
+
+
+def test_hours_around_both_clock_changes(spark):
+    """One row per local hour: 02 is missing in March and averaged in October."""
+    rows = [(f"{d}T00:00:00.000Z", h, "240", float(10 * h)) for d in ("2021-03-28", "2021-10-31") for h in range(1, 25)]
+    raw = spark.createDataFrame(rows, "date string, hour int, station_code string, T double")
+    got = {(str(r["date"]), r["hour"]): r["temperature"] for r in weather.weather_history(raw, "240", "Europe/Amsterdam").collect()}
+    assert ("2021-03-28", 2) not in got and got["2021-03-28", 3] == 2.0 and got["2021-03-28", 1] == 1.0
+    assert got["2021-10-31", 2] == 1.5 and got["2021-10-31", 3] == 3.0
+    assert len(got) == 47
+
+
+def test_measures_without_a_column_are_named(spark):
+    raw = spark.createDataFrame([("Netherlands", "Masks", dt.date(2021, 1, 1), None), ("Netherlands", "Curfew", dt.date(2021, 1, 2), None),
+                                 ("Belgium", "Other", dt.date(2021, 1, 2), None)],
+                                "Country string, Response_measure string, date_start date, date_end date")
+    assert indicators.measure_columns(raw, "Netherlands") == {"Curfew": "Curfew", "Masks": "Masks"}
+    with pytest.warns(UserWarning, match="Curfew"):
+        out = indicators.measures_daily(raw, "Netherlands", {"Masks": "masks"}, dt.date(2021, 1, 3))
+    assert out.columns == ["date", "masks"] and out.count() == 3

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stationflow.config import ForecastConfig
-from stationflow.functions.geo import STATION_POINTS, VENUES, geodesic_km, haversine_km
+from stationflow.functions.geo import STATION_POINTS, VENUES, geodesic_km
 from stationflow.functions.text import CLOCK_BEFORE_20, with_caption_datetime
 from stationflow.operators import analysis, events, extract
 from stationflow.operators.planned_event import planned_event
@@ -20,6 +20,13 @@ SHEET = ("ord bigint, Datum string, Locatie string, `Naam evenement` string, `St
          "`Einde show` string, `Aantal bezoekers` double")
 
 
+def haversine_km(a, b):
+    """Spherical distance, a plausibility bound."""
+    la, lo, lb, lp = (math.radians(x) for x in (*a, *b))
+    h = math.sin((lb - la) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin((lp - lo) / 2) ** 2
+    return 2 * 6371.0088 * math.asin(math.sqrt(h))
+
+
 def sheet(spark, rows):
     return spark.createDataFrame(rows, SHEET)
 

@@ -8,7 +8,7 @@ import pytest
 
 from stationflow.config import PUBLISHED_KEYS, ForecastConfig
 from stationflow.operators import extract, serving
-from stationflow.session import materialise, shared_dir
+from stationflow.session import materialise, run_folder, shared_dir
 from stationflow.sources import readers, sinks
 
 HEADER = "Datum;UurgroepOmschrijving (van vertrek);VertrekHalteCode;VertrekHalteNaam;AantalReizen\n"
@@ -29,11 +29,25 @@ def test_trip_csv_prefix_and_empty_files(spark, tmp_path):
     assert [r["AantalReizen"] for r in out] == ["12"]
 
 
-def test_trip_csv_with_other_column_order_fails_instead_of_swapping(spark, tmp_path):
-    put(tmp_path / "2021" / "01" / "05" / "x.csv", "Datum;AantalReizen;VertrekHalteCode;VertrekHalteNaam;"
-        "UurgroepOmschrijving (van vertrek)\n2021-01-05;12;S1;Zuid;08:00 - 08:59\n")
-    with pytest.raises(Exception, match="(?i)header|FAILED_READ_FILE"):
+def test_trip_csv_takes_columns_by_name(spark, tmp_path):
+    put(tmp_path / "2021" / "01" / "05" / "x.csv", "Datum;AantalReizen;Extra;VertrekHalteCode;VertrekHalteNaam;"
+        "UurgroepOmschrijving (van vertrek)\n2021-01-05;12;?;S1;Zuid;08:00 - 08:59\n")
+    row = readers.scan_trips_csv(spark, str(tmp_path), "", "in").first()
+    assert (row["AantalReizen"], row["VertrekHalteCode"], row["VertrekHalteNaam"]) == ("12", "S1", "Zuid")
+    put(tmp_path / "2021" / "01" / "06" / "x.csv", HEADER + "2021-01-06;08:00 - 08:59;S1;Zuid;12\n")
+    with pytest.raises(Exception, match="(?i)header|FAILED_READ_FILE"):  # two headers under one path
         readers.scan_trips_csv(spark, str(tmp_path), "", "in").collect()
+    with pytest.raises(ValueError, match="not in the header"):
+        readers.scan_trips_csv(spark, str(tmp_path), "", "out")
+
+
+def test_trip_csv_of_a_span_of_dates(spark, tmp_path):
+    for d in ("2020/12/31", "2021/01/01", "2021/01/02", "2021/02/01"):
+        put(tmp_path / d / "x.csv", HEADER + f"{d.replace('/', '-')};08:00 - 08:59;S1;Zuid;12\n")
+    out = readers.scan_trips_csv(spark, str(tmp_path), "", "in", dt.date(2020, 12, 31), dt.date(2021, 1, 1))
+    assert sorted(r["Datum"] for r in out.collect()) == ["2020-12-31", "2021-01-01"]
+    assert readers.day_folders("r", dt.date(2019, 12, 31), dt.date(2021, 2, 2)) == [
+        "r/2019/12/31", "r/2020/*/*", "r/2021/01/*", "r/2021/02/01", "r/2021/02/02"]
 
 
 def test_trip_union_of_csv_and_zipped_json(spark, tmp_path):
@@ -57,6 +71,8 @@ def test_weather_is_unzipped_whatever_the_extension(spark, tmp_path):
     schema = "date string, hour int, station_code string, T double"
     assert {r["hour"] for r in readers.scan_weather(spark, str(tmp_path), schema).collect()} == {1, 2}
     both = readers.scan_weather(spark, str(tmp_path), schema, any_extension=True).collect()
+    named = readers.scan_weather(spark, str(tmp_path), schema, True, with_revision=True).collect()
+    assert {r["revision"].rsplit("/", 1)[1] for r in named} == {"a.json.gz", "b.json", "c"}
     assert {(r["hour"], r["T"], r["station_code"]) for r in both} == {(h, 10.0 * h, "240") for h in (1, 2, 3, 4)}
 
 
@@ -92,12 +108,26 @@ def test_ticket_pages(spark, tmp_path):
 
 
 def test_event_files(spark, tmp_path):
-    put(tmp_path / "s" / "x.csv", "ord,venue,likes,comments,date_uploaded,caption,event_date\n"
-        '1,paradisoadam,1,2,2022-01-01,"two\nlines, ""quoted""",2022-03-05 20:30:00\n')
-    r = readers.scan_social_events(spark, str(tmp_path / "s")).collect()
-    assert [tuple(x) for x in r] == [(1, "paradisoadam", "2022-03-05 20:30:00")]
-    put(tmp_path / "t" / "x.csv", 'ord,name,venue,datetime\n0,"Joker, live",Carre,2022-02-03T19:00:00Z\n')
-    assert readers.scan_ticketed_events(spark, str(tmp_path / "t")).first()["name"] == "Joker, live"
+    put(tmp_path / "s" / "b.csv", ",venue,likes,comments,date_uploaded,caption,event_date\n"
+        '0,paradisoadam,1,2,2022-01-01,"two\nlines, ""quoted""",2022-03-05 20:30:00\n')
+    put(tmp_path / "s" / "c.csv", "ord,event_date,venue\n0,2022-03-06 20:30:00,afaslive\n")
+    put(tmp_path / "s" / "a.csv", "")
+    r = readers.scan_social_events(spark, str(tmp_path / "s")).orderBy("ord").collect()
+    assert [tuple(x)[1:] for x in r] == [("paradisoadam", "2022-03-05 20:30:00"), ("afaslive", "2022-03-06 20:30:00")]
+    assert r[0]["ord"] < r[1]["ord"]  # the index starts anew in each file, the files' order goes first
+    put(tmp_path / "t" / "x.csv", ',name,venue,datetime\n0,"Joker, live",Carre,2022-02-03T19:00:00Z\n1,B,Arena,\n')
+    found = readers.scan_ticketed_events(spark, str(tmp_path / "t")).orderBy("ord").collect()
+    assert [tuple(x) for x in found] == [(0, "Joker, live", "Carre", "2022-02-03T19:00:00Z"), (1, "B", "Arena", None)]
+
+
+def test_wide_case_and_measure_files(spark, tmp_path):
+    put(tmp_path / "c" / "x.csv", "dateRep,day,month,year,cases,deaths,countries,geoId,code,pop,continent\n"
+        "05/03/2020,5,3,2020,12,1,Netherlands,NL,NLD,17,Europe\n06/03/2020,6,3,2020,x,,Netherlands,NL,NLD,17,Europe\n")
+    r = sorted(readers.scan_cases(spark, str(tmp_path / "c")).collect())
+    assert [tuple(x) for x in r] == [("05/03/2020", "NL", 12.0, 1.0), ("06/03/2020", "NL", None, None)]
+    put(tmp_path / "m" / "x.csv", "date_end,Country,Response_measure,note,date_start\nNA,Netherlands,Masks,a,2020-03-01\n")
+    assert tuple(readers.scan_measures(spark, str(tmp_path / "m")).first()) == (
+        "Netherlands", "Masks", dt.date(2020, 3, 1), None)
 
 
 # --- sinks -----------------------------------------------------------------------------------
@@ -190,3 +220,28 @@ def test_cluster_without_shared_folder_is_refused():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(Session())
+
+
+def test_saving_a_run_again_replaces_it(spark, tmp_path):
+    path = str(tmp_path / "again")
+    rows = spark.createDataFrame([("A", 1, 1.0), ("B", 1, 2.0)], "station string, hour int, check_ins_predicted double")
+    sinks.save_forecasts(rows, path, dt.datetime(2022, 1, 1, 6))
+    sinks.save_forecasts(rows, path, dt.datetime(2022, 1, 1, 6))
+    sinks.save_forecasts(rows.where("station = 'A'"), path, dt.datetime(2022, 1, 2, 6))
+    assert sinks.read_forecasts(spark, path, newest=False).count() == 3
+    newest = {(r["station"], r["run_date"]) for r in sinks.read_forecasts(spark, path).collect()}
+    assert newest == {("A", dt.date(2022, 1, 2)), ("B", dt.date(2022, 1, 1))}
+
+
+def test_features_of_a_saved_forecast_with_measures():
+    columns = ["year", "cases", "AdaptationOfWorkplace"]
+    assert serving.active_features(columns) == ["year", "cases"]
+    assert serving.active_features(columns, ["AdaptationOfWorkplace", "Other"]) == ["year", "cases", "measures"]
+
+
+def test_tables_of_a_run_are_removed_at_its_end(spark):
+    with run_folder(spark) as folder:
+        assert materialise(spark.range(3), "t").count() == 3
+        assert [f for f in spark.read.parquet(f"{folder}/t-*").inputFiles()]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(f"{folder}/t-*")
