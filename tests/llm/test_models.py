@@ -1,0 +1,166 @@
+"""Language identification, licence scans and class bigrams."""
+
+from __future__ import annotations
+
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+
+from stationflow.llm import brown, language, licenses, queries
+from test_text_operators import BLANK_WORD, ascii_lower, table_rows
+
+# --- 3 ---------------------------------------------------------------------------------
+
+
+def held(doc_id, folds):
+    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % folds == 1
+
+
+def test_language_query_on_held_out_texts(spark, sf_dir):
+    got = {r["doc_id"]: r for r in queries.op3_language(spark, sf_dir).collect()}
+    rows = table_rows(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    assert set(got) == {r[0] for r in rows}
+    assert all(got[i]["held_out"] == held(i, 3) and 0 <= got[i]["score"] <= 1 for i, _, _ in rows)
+    right = [got[i]["lang_pred"] == lang for i, text, lang in rows if held(i, 3) and lang and len(text or "") > 200]
+    assert sum(right) / len(right) > 0.97
+
+
+def test_language_on_fixture(spark, docs, rows, empty):
+    got = language.identified(docs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        text = {x[0]: x[1] for x in rows}[r["doc_id"]]
+        assert (r["lang_pred"] == "und") == (not any(c.isalpha() for c in text or ""))
+        assert r["lang_pred"] in ("en", "fr", "und") and 0 <= r["score"] <= 1
+    assert language.identified(empty).collect() == []
+    unlabelled = docs.withColumn("lang", docs["lang"].substr(9, 9)).where("doc_id < 0 OR lang IS NULL")
+    assert {r["lang_pred"] for r in language.identified(unlabelled).collect()} <= {"und"}
+    one = docs.where("lang = 'en'")
+    assert {r["lang_pred"] for r in language.identified(one).collect()} <= {"en", "und"}
+
+
+def test_families_come_first(spark):
+    rng = random.Random(2)
+    alphabets = {"en": "abc", "de": "abd", "fr": "xyz", "es": "xyw", "zz": "mno"}
+    data = [(i, " ".join("".join(rng.choices(alphabets[x], k=5)) for _ in range(40)), x)
+            for i, x in enumerate(list(alphabets) * 40)]
+    frame = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identified(frame, per_lang=20).collect()}
+    assert sum(got[i] == x for i, _, x in data) / len(data) > 0.98
+    assert language.family("de") == language.family("en") != language.family("fr") and language.family("zz") == "zz"
+    sample = language.training_sample(frame, 7).groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in sample} == dict.fromkeys(alphabets, 7)
+
+
+# --- 5 ---------------------------------------------------------------------------------
+
+def test_every_wording_is_found_and_changed_ones_are_not():
+    for name, wordings in licenses.TEMPLATES.items():
+        for w in wordings:
+            assert licenses.confirmed(w)[::2] == (name, 0), w
+            assert licenses.confirmed("See here. " + w.upper() + " Thanks")[0] == name
+    for text in ("He had no license to do that.", "copyright by nobody", "licensed to nobody under any terms", "licence"):
+        assert licenses.confirmed(text) is None
+
+
+def test_licenses_on_fixture(spark, docs, rows, empty):
+    mit = licenses.TEMPLATES["MIT"][0]
+    data = [(1, f"A line\n{mit}\nend"), (2, None), (3, ""), (4, "é\U0001F600 " + mit), (5, ("word " * 5000) + mit + " word" * 50),
+            (1, f"A line\n{mit}\nend"), (None, mit), (6, f"{mit}\n" * 3), (7, "license " * 9000)]
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.license_scan(frame).collect()}
+    assert len(licenses.license_scan(frame).collect()) == len(data)
+    assert got[1]["spans"] == f"MIT:7:{7 + len(mit)}:0:0" and got[4]["spans"].startswith("MIT:0:")
+    assert (got[2]["n_blocks"], got[3]["n_licenses"], got[2]["licenses"]) == (0, 0, "")
+    assert got[5]["licenses"] == "MIT" == got[None]["licenses"] and got[6]["n_licenses"] == 1 and got[7]["n_licenses"] == 0
+    assert got[6]["spans"].count("MIT") == 1 or got[6]["spans"].count("MIT") == 3
+    assert licenses.license_scan(docs).count() == len(rows) and licenses.license_scan(empty).collect() == []
+
+
+def test_license_query_against_a_search_for_the_lines(spark, sf_dir):
+    got = {r["doc_id"]: r["licenses"] for r in queries.op5_licenses(spark, sf_dir).collect()}
+    exact = {w: n for n, ws in licenses.TEMPLATES.items() for w in ws}
+    for doc_id, text in table_rows(spark, sf_dir, "documents", "doc_id", "text"):
+        lines = {exact[x] for x in (text or "").split("\n") if x in exact}
+        assert set(got[doc_id].split(",")) - {""} == lines or lines < set(got[doc_id].split(","))
+
+
+# --- 10 --------------------------------------------------------------------------------
+
+def tokens_slow(text):
+    return [*BLANK_WORD.findall(ascii_lower(text)), "\n"]
+
+
+def base_slow(rows):
+    counts = Counter(t for i, x in rows if not held(i, 5) for t in tokens_slow(x))
+    n, v = sum(counts.values()), len(counts)
+    out = {}
+    for i, x in rows:
+        words = tokens_slow(x)
+        out[i] = (held(i, 5), len(words), sum(w in counts for w in words), n,
+                  sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words))
+    return out, counts
+
+
+def check(got, rows):
+    want, _ = base_slow(rows)
+    assert {r["doc_id"] for r in got} == set(want)
+    for r in got:
+        w = want[r["doc_id"]]
+        assert tuple(r)[1:5] == w[:4]
+        assert math.isclose(r["base_score"], w[4], rel_tol=1e-9) and r["score"] < 0
+
+
+def test_brown_query(spark, sf_dir):
+    rows = table_rows(spark, sf_dir, "documents", "doc_id", "text")
+    got = queries.op10_brown_scores(spark, sf_dir).collect()
+    check(got, rows)
+    out = [r for r in got if r["held_out"]]
+    # The classes must tell more about unseen texts than single words do.
+    assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
+
+
+def test_brown_on_fixture_whatever_the_sizes(spark, docs, rows, empty):
+    pairs = sorted({(r[0], r[1]) for r in rows}, key=repr)
+    results = []
+    for size in (brown.Size(), brown.Size(core=5, classes=3, local=20), brown.Size(core=5, classes=3, local=10**6),
+                 brown.Size(core=0, local=0)):
+        got = brown.perplexity_scores(docs.dropDuplicates(["doc_id", "text"]), size).collect()
+        check(got, pairs)
+        results.append({r["doc_id"]: r["score"] for r in got})
+        again = {r["doc_id"]: r["score"] for r in brown.perplexity_scores(docs, size).collect()}
+        assert set(again) == set(results[-1])
+    assert all(math.isclose(results[1][i], results[2][i], rel_tol=1e-9) for i in results[1])
+    assert brown.perplexity_scores(empty).collect() == []
+
+
+def test_scores_are_those_of_the_classes():
+    rng = np.random.default_rng(3)
+    pairs = rng.integers(0, 9, (30, 30)).astype(float)
+    pairs[:10, 10:20] += 40
+    pairs[10:20, :10] += 40
+    of = brown.exchange(pairs, 20, 2, 10)
+    start = np.concatenate([np.arange(20) % 2, 2 + np.arange(10)])
+    assert brown.likelihood(pairs, of) > brown.likelihood(pairs, start)
+    assert len(set(of[:10])) == 1 == len(set(of[10:20])) and of[0] != of[10]
+    for w in range(20):  # no single move is better
+        for c in range(2):
+            moved = of.copy()
+            moved[w] = c
+            assert brown.likelihood(pairs, moved) <= brown.likelihood(pairs, of) + 1e-6
+    t = brown.transitions(np.array([[3.0, 1], [0, 0]]))
+    assert np.allclose((10 ** t).sum(axis=1), 1)
+
+
+def test_probabilities_of_all_words_sum_to_one(spark):
+    """Over the words that a class knows plus one unknown, emissions sum to one."""
+    rng = random.Random(4)
+    data = [(i, " ".join(rng.choices(["aa", "bb", "cc", "dd", "ee", "ff"], k=12))) for i in range(40)]
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    got = brown.perplexity_scores(frame, brown.Size(core=2, classes=1, local=3)).collect()
+    check(got, data)
+    assert re.fullmatch(r"[0-9]+", str(got[0]["train_tokens"]))
