@@ -12,11 +12,9 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stationflow.session import materialise
-
 Weights = dict[str | None, float]
 
 
@@ -55,7 +53,12 @@ def edf_period(shares: dict[str | None, int], period: int) -> list[tuple[str | N
     return out
 
 
-def square_root_weights(docs: DataFrame, max_sources: int = 1000) -> Weights:
+def source_key() -> Column:
+    """The source as a text that is never null: null is a source like others."""
+    return F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))
+
+
+def square_root_weights(docs: DataFrame, max_sources: int = 100_000) -> Weights:
     """Weights that grow with the square root of a source's documents: large sources keep less
     than their share, small ones more."""
     rows = docs.groupBy("source").agg(F.count("*").alias("n")).limit(max_sources + 1).collect()
@@ -65,42 +68,48 @@ def square_root_weights(docs: DataFrame, max_sources: int = 1000) -> Weights:
 
 
 def numbered(docs: DataFrame, buckets: int = 4096) -> DataFrame:
-    """Adds ``__n``, a number from 0 within the source in the order of a hash of the id.
+    """Adds ``__s``, the source's key, and ``__n``, a number from 0 within the source in the order
+    of a hash of the id.
 
     A source is ranked in ``buckets`` hash ranges side by side; the ranges' sizes, a small
     table, give where each one starts. No source is sorted as a whole. Ties (equal ids) are
     numbered in the order of all columns.
     """
-    rows = docs.withColumn("__hash", F.xxhash64("doc_id")).withColumn(
+    rows = docs.withColumns({"__hash": F.xxhash64("doc_id"), "__s": source_key()}).withColumn(
         "__bucket", F.floor(F.shiftrightunsigned("__hash", 1) / F.lit(2.0 ** 63 / buckets)).cast("int"))
-    sizes = rows.groupBy("source", "__bucket").agg(F.count("*").alias("c"))
-    starts = sizes.withColumn("__start", F.sum("c").over(
-        Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)))
-    starts = starts.select(F.col("source").alias("__s"), F.col("__bucket").alias("__b"), F.coalesce("__start", F.lit(0)).alias("__start"))
-    within = Window.partitionBy("source", "__bucket").orderBy("__hash", *docs.columns)
+    sizes = rows.groupBy("__s", "__bucket").agg(F.count("*").alias("c"))
+    before = Window.partitionBy("__s").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__s", "__bucket", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("__start"))
+    within = Window.partitionBy("__s", "__bucket").orderBy("__hash", *docs.columns)
     rows = rows.withColumn("__rank", F.row_number().over(within) - 1)
-    joined = rows.join(starts, rows["source"].eqNullSafe(starts["__s"]) & (rows["__bucket"] == starts["__b"]))
-    return joined.select(*docs.columns, (F.col("__start") + F.col("__rank")).alias("__n"))
+    # The ranked rows lie as the join needs them: only the sizes move.
+    joined = rows.join(starts, ["__s", "__bucket"])
+    return joined.select(*docs.columns, "__s", (F.col("__start") + F.col("__rank")).alias("__n"))
 
 
 def mix(docs: DataFrame, weights: Weights, block: int = 64, period: int = 1000, buckets: int = 4096) -> DataFrame:
     """Every row of ``docs`` with ``slot`` (long) and ``place`` (its order inside the block).
 
+    The period grows to two slots a source where there are many sources.
+
     Ordered by slot and place, the sources are mixed to the weights until the first source
     has no block left; the others keep their slots, nothing is dropped or repeated. Rows of
     sources without a positive weight have slot null. A null source is a source like others.
     Repeated rows are rows of their own. An empty table stays empty.
     """
     spark = docs.sparkSession
+    period = max(period, 2 * len(weights))
     shares = slot_shares(weights, period)
-    plan = [(s, shares[s], k, at) for s, k, at in edf_period(shares, period)]
-    slots = spark.createDataFrame(plan, "__s string, __share int, __k int, __slot int")
-    of = spark.createDataFrame([(s, n) for s, n in shares.items()], "__s string, __share int")
-    rows = numbered(docs.select(*docs.columns), buckets)
-    rows = rows.join(F.broadcast(of), rows["source"].eqNullSafe(of["__s"]), "left").drop("__s")
+
+    def key(name: str | None) -> str:
+        return "" if name is None else f"s{name}"
+
+    plan = [(key(s), k, at) for s, k, at in edf_period(shares, period)]
+    slots = spark.createDataFrame(plan, "__s string, __k int, __slot int")  # a row for each slot of a period
+    of = spark.createDataFrame([(key(s), n) for s, n in shares.items()], "__s string, __share int")
+    rows = numbered(docs, buckets).join(F.broadcast(of), "__s", "left")
     rows = rows.withColumn("__at", F.floor(F.col("__n") / block)).withColumn("__k", (F.col("__at") % F.col("__share")).cast("int"))
-    slots = F.broadcast(slots.drop("__share"))  # one row for each slot of a period
-    out = rows.join(slots, rows["source"].eqNullSafe(slots["__s"]) & (rows["__k"] == slots["__k"]), "left")
+    out = rows.join(F.broadcast(slots), ["__s", "__k"], "left")
     return out.select(
         *docs.columns, (F.floor(F.col("__at") / F.col("__share")) * period + F.col("__slot")).alias("slot"),
         (F.col("__n") % block).cast("int").alias("place"))
