@@ -521,6 +521,19 @@ def scan_weather(spark, sf):
     return readers.scan_weather(spark, path, schemas.OBSERVED_WEATHER)
 
 
+@query
+def scan_weather_any_extension(spark, sf):
+    """Gzipped files, half of them without the ending that says so."""
+    path = fresh_path(spark, "weather-any")
+    st.raw_observations(_events(spark, sf)).repartition(4).write.json(path, compression="gzip")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    named = sorted(f.getPath().toString() for f in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*.gz")))
+    for name in named[::2]:
+        files.rename(*map(spark._jvm.org.apache.hadoop.fs.Path, (name, name.removesuffix(".gz"))))
+    return readers.scan_weather(spark, path, schemas.OBSERVED_WEATHER, any_extension=True)
+
+
 def _csv_path(rows: DataFrame, name: str) -> str:
     path = fresh_path(rows.sparkSession, name)
     keep_spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}

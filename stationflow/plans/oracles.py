@@ -512,6 +512,17 @@ def _waves(digits: int) -> str:
         for p in ("hour", "month", "weekday") for fn in ("cos", "sin"))
 
 
+_WEATHER_ROWS = f"""
+            SELECT CAST(CAST(ts AS DATE) AS VARCHAR) || 'T00:00:00.000Z' AS date,
+                   CAST(hour(ts) + 1 AS INTEGER) AS hour,
+                   CASE WHEN user_id % 2 = 0 THEN '240' ELSE '260' END AS station_code,
+                   CAST(event_id % 100 AS DOUBLE) AS "WW",
+                   {", ".join(f'CAST({e} AS DOUBLE) AS "{code}"' for code, (e, _) in zip(
+                       "DD FH FF FX T T10N TD SQ Q DR RH P VV N U IX M R S O Y".split(),
+                       _READINGS.values(), strict=True))}
+            FROM events"""
+
+
 def oracle_sql() -> dict[str, str]:
     flow = _with(FLOWS)
     score = [FLOWS, VENUE_EVENTS, DISTANCES]
@@ -644,15 +655,7 @@ def oracle_sql() -> dict[str, str]:
         "ticket_pages_to_events": _TICKET_PAGES,
         "scan_trips_csv": _TRIPS,
         "scan_trips_union": _TRIPS,
-        "scan_weather": f"""
-            SELECT CAST(CAST(ts AS DATE) AS VARCHAR) || 'T00:00:00.000Z' AS date,
-                   CAST(hour(ts) + 1 AS INTEGER) AS hour,
-                   CASE WHEN user_id % 2 = 0 THEN '240' ELSE '260' END AS station_code,
-                   CAST(event_id % 100 AS DOUBLE) AS "WW",
-                   {", ".join(f'CAST({e} AS DOUBLE) AS "{code}"' for code, (e, _) in zip(
-                       "DD FH FF FX T T10N TD SQ Q DR RH P VV N U IX M R S O Y".split(),
-                       _READINGS.values(), strict=True))}
-            FROM events""",
+        "scan_weather": _WEATHER_ROWS, "scan_weather_any_extension": _WEATHER_ROWS,
         "scan_venue_events": _with(SHEET) + """
             SELECT * FROM sheet UNION ALL
             SELECT event_id, NULL, NULL, NULL, NULL, NULL, NULL FROM events

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -27,6 +28,15 @@ def build_session(app: str = "stationflow", master: str | None = None, **conf) -
     return builder.getOrCreate()
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets the Python workers of a local session find this package wherever it was started.
+
+    On a cluster the package is installed or shipped like any other (``--py-files``).
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+
+
 _RUN: ContextVar[str | None] = ContextVar("run_folder", default=None)
 
 

@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 
 from stationflow.operators.extract import POSTS_SCHEMA, TICKETS_SCHEMA
 from stationflow.operators.shared import union_all
+from stationflow.session import importable
 from stationflow.sources import schemas
 
 
@@ -130,6 +131,7 @@ def scan_weather(spark: SparkSession, path: str, schema: str, any_extension: boo
     others = (spark.read.format("binaryFile")
               .options(pathGlobFilter="{*[^z],*[^g]z,*[^.]gz}", recursiveFileLookup=True).load(path)
               .where("length > 0").select("path", "content"))
+    importable(spark)
     lines = others.mapInPandas(_unzip_lines, "path string, value string")
     parsed = lines.select("path", F.from_json("value", schema).alias("r"))
     path_column = [F.col("path").alias("revision")] if with_revision else []
