@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from stationflow.config import ForecastConfig
 from stationflow.operators.shared import union_all
 
+ROWS_PER_TASK = 20_000
 NODE_MEMORY_MB = 512  # statistics of the tree nodes that one pass over the rows gathers
 TARGETS = ("check_ins", "check_outs")
 IMPUTE_FEATURES = ("hour", "year", "weekday", "month", "holiday")
@@ -44,13 +45,17 @@ def stations_of(rows: DataFrame, condition: str = "true") -> dict[str, int]:
 
 
 def fit_all(rows: DataFrame, jobs: dict[tuple[str, str], Sequence[str]], cfg: ForecastConfig,
-            parallelism: int = 4) -> Models:
-    """One forest per (station, target); stations without rows get none."""
+            parallelism: int = 6) -> Models:
+    """One forest per (station, target); stations without rows get none.
+
+    A fit passes over its rows many times, so a station with few rows is read by few tasks.
+    """
     spark, present = rows.sparkSession, stations_of(rows)
 
     def run(job):
         (station, target), features = job
         part = rows.where(F.col("station") == station).select(*features, F.col(target).cast("double"))
+        part = part.coalesce(1 + present[station] // ROWS_PER_TASK)
         return (station, target), fit_forest(part, features, target, cfg, station)
 
     wanted = [job for job in jobs.items() if job[0][0] in present]
