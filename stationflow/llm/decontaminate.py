@@ -1,10 +1,11 @@
 """Benchmark decontamination with a positional inverted index.
 
 The documents' postings (text, position, term) are stored for the terms that test items use;
-a row per text says how long it is. A window of an item can only occur where its rarest terms
-do, so their posting lists, shifted by their offset in the item, are intersected first: that
-leaves (text, item, shift) candidates. Each candidate is then compared word by word with the
-stored postings, and unbroken runs of a window's length or more are exact phrase matches.
+a row per text says how long it is. Each posting names the term at the next position, so two
+neighbouring terms' lists, shifted by one, meet by equality. A window of an item can only occur
+where its rarest pair of neighbours does: those postings, shifted by the pair's place in the
+item, are the (text, item, shift) candidates. Each candidate is then compared word by word with
+the stored postings, and unbroken runs of a window's length or more are exact phrase matches.
 
 Only DataFrame operations; lists of common terms are never joined with anything but the
 candidates of their own texts.
@@ -19,6 +20,7 @@ from stationflow.llm.base import LOWER, UPPER, same, sha256_text
 from stationflow.session import materialise
 
 WINDOW = 10
+BROADCAST_TERMS = 1_000_000
 # ASCII but digits and letters separates words.
 _BREAKS = "".join(map(chr, [*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 END = -1  # term of the row that tells a text's length
@@ -37,22 +39,26 @@ def item_words(items: DataFrame) -> DataFrame:
     return w.select("item_id", "item", F.size("w").alias("n"), F.posexplode("w").alias("ipos", "term"))
 
 
-def build_index(docs: DataFrame, vocabulary: DataFrame, broadcast_terms: int = 1_000_000) -> DataFrame:
-    """Postings doc_id, h, pos, term_id of the vocabulary's terms, stored in the shared folder.
+def build_index(docs: DataFrame, vocabulary: DataFrame, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+    """Postings doc_id, h, pos, term_id, next_id of the vocabulary's terms, stored in the shared folder.
 
-    ``vocabulary`` (term, term_id) is broadcast up to ``broadcast_terms`` rows and shuffled
-    beyond. h tells different texts under one doc_id apart; equal rows have equal postings.
+    next_id is the term at the following position, null if the vocabulary lacks it. ``vocabulary``
+    (term, term_id) is broadcast up to ``broadcast_terms`` rows and shuffled beyond. h tells
+    different texts under one doc_id apart; equal rows have equal postings.
     """
-    if vocabulary.count() <= broadcast_terms:
-        vocabulary = F.broadcast(vocabulary)
-    tokens = docs.select(
-        "doc_id", F.xxhash64("doc_id", "text").alias("h"),
-        F.posexplode(F.concat(words(F.col("text")), F.array(F.lit("")))).alias("pos", "term"))
-    return materialise(tokens.join(vocabulary, "term").select("doc_id", "h", "pos", "term_id"), "postings")
-
-
-def phrase_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, rarest: int = 2,
-                   broadcast_texts: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
+    small = F.broadcast if vocabulary.count() <= broadcast_terms else (lambda df: df)
+    w = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), words(F.col("text")).alias("w"))
+    w = w.withColumn("w", F.concat("w", F.array(F.lit(""))))
+    follows = F.concat(F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), F.array(F.lit("")))
+    tokens = w.select("doc_id", "h", F.posexplode(F.arrays_zip(F.col("w").alias("term"), follows.alias("follow"))).alias("pos", "t"))
+    tokens = tokens.select("doc_id", "h", "pos", "t.term", "t.follow")
+    behind = vocabulary.select(F.col("term").alias("follow"), F.col("term_id").alias("next_id")).where(F.col("next_id") != END)
+    rows = tokens.join(small(vocabulary), "term").join(small(behind), "follow", "left")
+    return materialise(rows.select("doc_id", "h", "pos", "term_id", "next_id"), "postings")
+
+
+def phrase_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_terms: int = BROADCAST_TERMS,
+                   broadcast_texts: int = 500_000) -> tuple[DataFrame, DataFrame]:
     """(runs, lengths): maximal exact matches doc_id, h, item_id, start, ipos, n_match (words),
     and doc_id, h, n_words of every different text."""
     spark = docs.sparkSession
@@ -60,35 +66,38 @@ def phrase_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, rare
     ids = parts.select("term").distinct().withColumn("term_id", F.monotonically_increasing_id())
     vocabulary = materialise(ids.unionByName(
         spark.range(1).select(F.lit("").alias("term"), F.lit(END).cast("bigint").alias("term_id"))), "terms")
-    postings = build_index(docs, vocabulary)
+    postings = build_index(docs, vocabulary, broadcast_terms)
     lengths = postings.where(F.col("term_id") == END).select("doc_id", "h", F.col("pos").alias("n_words")).distinct()
     postings = postings.where(F.col("term_id") != END)
 
-    frequency = postings.groupBy("term_id").agg(F.count("*").alias("df"))
-    parts = materialise(parts.join(vocabulary, "term").join(frequency, "term_id", "left").select(
-        "item_id", "item", "n", "ipos", "term_id", F.coalesce("df", F.lit(0)).alias("df")), "items")
-    # A window starts at each word that has enough words behind it; an item that is shorter is one.
+    small = F.broadcast if parts.count() <= broadcast_terms else (lambda df: df)
     size = F.least(F.col("n"), F.lit(window))
-    spread = parts.withColumn("size", size).withColumn("s", F.explode(F.sequence(
-        F.greatest(F.lit(0), F.col("ipos") - F.col("size") + 1), F.least(F.col("ipos"), F.col("n") - F.col("size")))))
-    of_window = Window.partitionBy("item_id", "item", "s")
-    ranked = spread.withColumns({
-        "rank": F.row_number().over(of_window.orderBy("df", "ipos")), "least": F.min("df").over(of_window)})
-    anchors = ranked.where((F.col("rank") <= rarest) & (F.col("least") > 0)).groupBy(
-        "item_id", "item", "ipos", "term_id").agg(
-        F.bit_or(F.expr("shiftleft(1, rank - 1)")).alias("ranks"), F.first("size").alias("size"))
-    need = F.expr(f"shiftleft(1, least(size, {rarest})) - 1")
-    hits = postings.join(anchors, "term_id").withColumn("shift", F.col("pos") - F.col("ipos"))
-    found = materialise(
-        hits.groupBy("doc_id", "h", "item_id", "item", "shift").agg(
-            F.bit_or("ranks").alias("ranks"), F.first("size").alias("size")).where(F.col("ranks") == need), "candidates")
+    in_item = Window.partitionBy("item_id", "item").orderBy("ipos")
+    parts = materialise(parts.join(vocabulary, "term").select(
+        "item_id", "item", "n", "ipos", "term_id", F.lead("term_id").over(in_item).alias("next_id"), size.alias("size")), "items")
+    # How often each pair of an item's neighbouring words occurs: the lists' intersection sizes.
+    pairs = parts.where("next_id IS NOT NULL")
+    frequency = postings.join(small(pairs.select("term_id", "next_id").distinct()), ["term_id", "next_id"]).groupBy(
+        "term_id", "next_id").agg(F.count("*").alias("df"))
+    # A window starts at each word that has enough words behind it; an item that is shorter is one.
+    spread = pairs.withColumn("s", F.explode(F.sequence(
+        F.greatest(F.lit(0), F.col("ipos") - F.col("size") + 2), F.least(F.col("ipos"), F.col("n") - F.col("size")))))
+    ranked = spread.join(frequency, ["term_id", "next_id"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    rarest = Window.partitionBy("item_id", "item", "s").orderBy("df", "ipos")
+    anchors = materialise(ranked.withColumn("rank", F.row_number().over(rarest)).where("rank = 1 AND df > 0").select(
+        "item_id", "item", "ipos", "term_id", "next_id", "size").distinct(), "anchors")
+    single = parts.where("n = 1").select("item_id", "item", "ipos", "term_id", "size")
+    hits = postings.join(small(anchors), ["term_id", "next_id"]).drop("next_id").unionByName(
+        postings.drop("next_id").join(small(single), "term_id"))
+    found = materialise(hits.select(
+        "doc_id", "h", "item_id", "item", (F.col("pos") - F.col("ipos")).alias("shift"), "size").distinct(), "candidates")
 
     texts = found.select("doc_id", "h").distinct()
     if texts.count() <= broadcast_texts:
         texts = F.broadcast(texts)
     lists = postings.join(texts, same(postings, texts, "doc_id", "h"), "left_semi")
-    wanted = found.join(parts, same(found, parts, "item_id", "item")).select(
-        "doc_id", "h", found["item_id"], found["item"], "shift", "ipos", "term_id", "size",
+    wanted = found.join(small(parts), same(found, parts, "item_id", "item")).select(
+        "doc_id", "h", found["item_id"], found["item"], "shift", "ipos", "term_id", found["size"],
         (F.col("shift") + F.col("ipos")).alias("pos"))
     equal = wanted.join(lists, same(wanted, lists, "doc_id", "h", "pos", "term_id"), "left_semi")
     diagonal = ["doc_id", "h", "item_id", "item", "shift"]
