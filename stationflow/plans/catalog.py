@@ -190,6 +190,15 @@ def weather_history(spark, sf):
     return weather.weather_history(st.raw_observations(_events(spark, sf)), CFG.weather_station, CFG.zone)
 
 
+@query
+def weather_clock_changes(spark, sf):
+    """Readings over years of order dates, across every change of the clocks."""
+    raw = st.table(spark, sf, "orders").selectExpr(
+        "concat(to_date(o_orderdate), 'T00:00:00.000Z') AS date", "CAST(o_orderkey % 24 + 1 AS int) AS hour",
+        "'240' AS station_code", "o_orderkey AS revision", "CAST(o_orderkey % 400 AS double) AS T")
+    return weather.weather_history(raw, CFG.weather_station, CFG.zone)
+
+
 @query
 def weather_forecast(spark, sf):
     return weather.weather_forecast(st.raw_predictions(_events(spark, sf)), CFG.zone)

@@ -587,6 +587,22 @@ def oracle_sql() -> dict[str, str]:
                    COALESCE(k.deaths, l.deaths) AS deaths
             FROM flow f LEFT JOIN known k ON k.date = f.date CROSS JOIN last l""",
         "weather_history": _with(OBSERVED) + "SELECT * FROM observed",
+        "weather_clock_changes": """
+            WITH r AS (
+              SELECT CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + to_hours(o_orderkey % 24) AS utc,
+                     CAST(o_orderkey % 400 AS DOUBLE) AS t FROM orders
+              QUALIFY row_number() OVER (PARTITION BY CAST(o_orderdate AS DATE), o_orderkey % 24 ORDER BY o_orderkey DESC) = 1),
+            ends AS (
+              SELECT *, make_date(year(utc), 3, 31) AS march,
+                     CASE WHEN year(utc) < 1996 THEN make_date(year(utc), 9, 30) ELSE make_date(year(utc), 10, 31) END AS fall
+              FROM r),
+            zoned AS (
+              SELECT t, utc + CASE
+                WHEN utc >= CAST(march - CAST(isodow(march) % 7 AS INTEGER) AS TIMESTAMP) + INTERVAL 1 HOUR
+                 AND utc < CAST(fall - CAST(isodow(fall) % 7 AS INTEGER) AS TIMESTAMP) + INTERVAL 1 HOUR
+                THEN INTERVAL 2 HOURS ELSE INTERVAL 1 HOUR END AS local FROM ends)
+            SELECT CAST(local AS DATE) AS date, CAST(hour(local) AS INTEGER) AS hour, avg(t) / 10 AS temperature
+            FROM zoned GROUP BY 1, 2""",
         "weather_forecast": _with(_predicted("'L' || user_id")) + "SELECT * FROM predicted",
         "events_clean": _with(SHEET) + "SELECT * FROM cleaned",
         "event_times": _with(SHEET) + "SELECT ord, date, start_show, start_ts, end_ts FROM timed",
