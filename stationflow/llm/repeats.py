@@ -247,12 +247,46 @@ def _repeats(ids: list[int], starts: list[int], strings: list[bytes]) -> tuple[n
     return np.concatenate(out_ids), np.concatenate(out_starts)
 
 
+def with_company(mkeys: np.ndarray, strings: list[bytes]) -> np.ndarray:
+    """Which contents can share a window with another one under the same minimizer.
+
+    A window has ``WIDTH - KMER`` bytes beside the minimizer, at least half of them on one side.
+    So two contents with a common window agree in that half next to the minimizer, on the left
+    or on the right; who agrees with nobody on either side goes no further.
+    """
+    half = (WIDTH - KMER + 1) // 2
+    size = np.array([len(s) for s in strings])
+    offset = np.cumsum(size) - size
+    owner = np.repeat(np.arange(len(strings)), size)
+    h = _kmer_hashes(np.frombuffer(b"".join(strings), np.uint8)).view(np.int64)
+    # The minimizer is the first one that the last window holds.
+    at = np.flatnonzero(h == mkeys[owner[:len(h)]])
+    within = at - offset[owner[at]]
+    last = (within >= size[owner[at]] - WIDTH) & (within <= size[owner[at]] - KMER)
+    place = np.full(len(strings), -1)
+    place[owner[at[last]][::-1]] = within[last][::-1]
+    seen: dict[tuple[int, bool, bytes], int] = {}
+    keep = np.zeros(len(strings), bool)
+    for i, (m, p, text) in enumerate(zip(mkeys.tolist(), place.tolist(), strings, strict=True)):
+        if p >= half:
+            other = seen.setdefault((m, True, text[p - half:p]), i)
+            keep[i] |= other != i
+            keep[other] |= other != i
+        if len(text) >= p + KMER + half:
+            other = seen.setdefault((m, False, text[p + KMER:p + KMER + half]), i)
+            keep[i] |= other != i
+            keep[other] |= other != i
+    return keep
+
+
 def _block_rows(block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, starts, strings, last = [], [], [], None
+        mkeys, ids, starts, strings, last = [], [], [], [], None
 
         def done():
-            doc, start = _repeats(ids, starts, strings)
+            at = np.flatnonzero(with_company(np.array(mkeys), strings)).tolist()
+            kept = [[column[i] for i in at] for column in (ids, starts, strings)]
+            doc, start = _repeats(*kept) if at else (np.empty(0, np.int64),) * 2
             return pa.RecordBatch.from_arrays(
                 [pa.array(doc), pa.array(start), pa.array(np.ones(len(doc), np.int32))], ["id", "start", "n"])
 
@@ -260,9 +294,9 @@ def _block_rows(block: int):
             for mkey, doc, start, content in zip(*(batch.column(c).to_pylist() for c in ("mkey", "id", "start", "bytes")), strict=True):
                 if mkey != last and len(strings) >= block:
                     yield done()
-                    ids, starts, strings = [], [], []
+                    mkeys, ids, starts, strings = [], [], [], []
                 last = mkey
-                ids.append(doc), starts.append(start), strings.append(content)
+                mkeys.append(mkey), ids.append(doc), starts.append(start), strings.append(content)
         if strings:
             yield done()
 
@@ -339,6 +373,7 @@ def repeated_bytes(docs: DataFrame, block: int = 1500, crowd: int = 4096) -> Dat
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), "text")
     common = rows.select("text").mapInArrow(_minimizers, "mkey long").groupBy("mkey").agg(
         F.count("*").alias("times")).where("times > 1").select("mkey")
+    common = materialise(common, "common")  # a join of two plain shuffles, so a hot key can be split
     found = rows.select("id", "text").mapInArrow(_stretch_rows, "mkey long, content long, id long, start long, n int")
     found = materialise(found.join(common, "mkey"), "stretches")
     contents = materialise(_folded(found, "mkey", "content"), "contents")
@@ -348,7 +383,7 @@ def repeated_bytes(docs: DataFrame, block: int = 1500, crowd: int = 4096) -> Dat
     later = found.join(first, ["mkey", "content"]).where("id <> fid OR start <> fstart").select("id", "start", "n")
 
     # Different contents under one minimizer are compared.
-    rivals = contents.groupBy("mkey").agg(F.count("*").alias("rivals")).where("rivals > 1")
+    rivals = materialise(contents.groupBy("mkey").agg(F.count("*").alias("rivals")).where("rivals > 1"), "rivals")
     wanted = contents.join(rivals, "mkey").groupBy("id").agg(F.collect_list(
         F.struct("mkey", "start", "n", (F.col("rivals") > crowd).alias("crowded"))).alias("wanted"))
     cut = rows.select("id", "text").join(wanted, "id").mapInArrow(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -90,3 +91,19 @@ def test_stretches_hold_each_window_once():
         for i in range(s, s + n):
             assert by_content.setdefault(pieces[p][i:i + 100], m) == m
         assert len({pieces[p][i:i + 100] for i in range(s, s + n)}) == n
+
+
+def test_contents_that_share_a_window_keep_company():
+    rng = random.Random(9)
+    common = bytes(rng.choices(b"abcdefgh", k=140))
+    pieces = [bytes(rng.choices(b"xyz", k=rng.randint(0, 80))) + common[rng.randint(0, 20):rng.randint(110, 140)]
+              + bytes(rng.choices(b"uvw", k=rng.randint(0, 80))) for _ in range(60)]
+    piece, start, count, mkey = repeats.stretches(pieces)
+    contents = sorted({(int(m), pieces[p][s:s + n + 99]) for p, s, n, m in zip(piece, start, count, mkey, strict=True)})
+    strings = [c for _, c in contents]
+    keep = repeats.with_company(np.array([m for m, _ in contents]), strings)
+    windows = [{s[i:i + 100] for i in range(len(s) - 99)} for s in strings]
+    for i, w in enumerate(windows):
+        if any(w & other for j, other in enumerate(windows) if i != j):
+            assert keep[i]
+    assert not all(keep)
