@@ -8,7 +8,6 @@ a bounded sample of labelled rows.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -30,7 +29,6 @@ UNKNOWN = "und"
 DIM = 1 << 13
 SAMPLE = 400  # labelled texts a language trains on, at most
 _CHUNK = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def family(lang: str) -> str:
@@ -99,7 +97,7 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        rows = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if self.levels[""][0] else []
+        rows = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if self.levels[""][0] else []
         for s in range(0, len(rows), 512):
             part = rows[s:s + 512]
             x = np.stack([features(texts[i]) for i in part])
@@ -114,8 +112,17 @@ class Model:
 
 def training_sample(docs: DataFrame, per_lang: int = SAMPLE) -> DataFrame:
     """text, lang of at most ``per_lang`` labelled texts with a letter per language, chosen by a
-    hash of the id. Reads text only where the hash may be among the smallest."""
-    rows = docs.where("lang IS NOT NULL").select("lang", "text", F.xxhash64("doc_id").alias("pick"))
+    hash of the id.
+
+    Labels are counted first. Only texts whose hash may be among the smallest (twice as many as
+    wanted) are ranked, so a large language moves no more texts than a small one.
+    """
+    rows = docs.where("lang IS NOT NULL").select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("pick"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # the label set
+    if sizes:
+        limit = F.create_map(*[x for r in sizes for x in (
+            F.lit(r["lang"]), F.lit(min(1 << 30, (2 * per_lang + 100) * (1 << 30) // r["n"])))])
+        rows = rows.where(F.col("pick") <= limit[F.col("lang")])
     rows = rows.where(F.col("text").rlike("\\p{L}"))
     first = Window.partitionBy("lang").orderBy("pick", "text")
     return rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_lang).select("lang", "text")
