@@ -362,7 +362,7 @@ def _remainders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_bytes(docs: DataFrame, block: int = 1500, crowd: int = 4096) -> DataFrame:
+def repeated_bytes(docs: DataFrame, block: int = 600, crowd: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of ``docs``.
 
     Every byte goes that a 100-byte string covers which also starts earlier: under a smaller
