@@ -7,21 +7,15 @@ count as empty; an empty table gives an empty result with the full schema.
 
 from __future__ import annotations
 
-import os
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def importable(spark: SparkSession) -> None:
-    """Lets the Python workers of a local session find this package wherever it was started.
+from stationflow.session import importable
 
-    On a cluster the package is installed or shipped like any other (``--py-files``).
-    """
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,3 +43,9 @@ def sha256_text(text: Column) -> Column:
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id is in fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(0))
+
+
+def each_text(texts: pa.Array, at_once: int = 64) -> Iterator[str | None]:
+    """The texts of an Arrow column, few of them as Python objects at a time."""
+    for i in range(0, len(texts), at_once):
+        yield from texts.slice(i, at_once).to_pylist()

@@ -13,11 +13,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from stationflow.llm.base import each_text
 from stationflow.session import materialise
 
 SYMBOLS = frozenset("#*$%&|<>")
@@ -61,10 +62,11 @@ _DROP_CAPS = {i: None for i in range(65, 91)}
 _DROP_LETTERS = _DROP_CAPS | {i: None for i in range(97, 123)}
 
 
-@F.pandas_udf(StructType([StructField(c, LongType()) for c in COUNTS]))
-def count_texts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+@F.arrow_udf(StructType([StructField(c, LongType()) for c in COUNTS]))
+def count_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
-        yield pd.DataFrame([text_counts(t) for t in texts], columns=list(COUNTS), dtype="int64")
+        rows = np.array([text_counts(t) for t in each_text(texts)], np.int64).reshape(-1, len(COUNTS))
+        yield pa.StructArray.from_arrays([pa.array(c) for c in rows.T.copy()], list(COUNTS))
 
 
 @dataclass(frozen=True)
