@@ -17,11 +17,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stationflow.llm.base import each_text
 from stationflow.llm.components import connected_components
 from stationflow.session import materialise
 
@@ -49,10 +50,11 @@ def text_fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
 def fingerprint_column(words: int = 3):
     """Function of a text column: the fingerprint's bits as a signed long."""
 
-    @F.pandas_udf("bigint")
-    def fp(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("bigint")
+    def fp(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series(np.array([text_fingerprint(t, words) for t in texts], np.uint64).view(np.int64))
+            found = np.fromiter((text_fingerprint(t, words) for t in each_text(texts)), np.uint64, len(texts))
+            yield pa.array(found.view(np.int64))
 
     return fp
 
@@ -99,9 +101,12 @@ def links(distinct: DataFrame, radius: int = 3, max_bucket: int = 1024) -> DataF
     max_bucket = max(max_bucket, 1 << radius)
     spark = distinct.sparkSession
 
-    @F.pandas_udf("array<struct<a:bigint,b:bigint>>")
-    def forest(members: pd.Series) -> pd.Series:
-        return pd.Series([spanning_links(np.asarray(m, np.int64), radius) for m in members])
+    kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+
+    @F.arrow_udf("array<struct<a:bigint,b:bigint>>")
+    def forest(buckets: pa.Array) -> pa.Array:
+        found = [spanning_links(b.values.to_numpy(), radius) for b in buckets]
+        return pa.array([[{"a": a, "b": b} for a, b in one] for one in found], kind)
 
     level = [(0, m) for m in covering_masks(0, radius)]
     rows = distinct.select("fp", F.lit(0).cast("bigint").alias("mask"))
@@ -154,11 +159,13 @@ def one_of_each(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     A null id is chosen only where no other is; among rows that share the smallest id, the
     smallest fingerprint decides, and of repeated rows any one (they are equal) stays.
     """
-    fps = materialise(fingerprints(docs, words), "simhash-fps")
-    chosen = fps.join(classes(fps, radius), "fp").groupBy("root").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("c"))
-    chosen = chosen.select(F.col("c.doc_id").alias("__id"), F.col("c.fp").alias("__of"))
-    rows = docs.withColumn("__fp", fingerprint_column(words)("text"))
-    rows = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["__id"]) & (rows["__fp"] == chosen["__of"]))
+    marked = docs.select("doc_id", F.xxhash64("text").alias("h"), fingerprint_column(words)("text").alias("fp"))
+    fps = materialise(marked, "simhash-fps")
+    chosen = fps.join(classes(fps.select("doc_id", "fp"), radius), "fp").groupBy("root").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "h")).alias("c"))
+    chosen = chosen.select(F.col("c.doc_id").alias("__id"), F.col("c.h").alias("__of"))
+    # The texts themselves are found again by their hash under the id, without Python.
+    rows = docs.withColumn("__h", F.xxhash64("text"))
+    rows = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["__id"]) & (rows["__h"] == chosen["__of"]))
     first = Window.partitionBy("__id", "__of").orderBy("text")
     return rows.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*docs.columns)
