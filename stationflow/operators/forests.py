@@ -21,7 +21,7 @@ from stationflow.config import ForecastConfig
 from stationflow.operators.shared import union_all
 
 ROWS_PER_TASK = 20_000
-NODE_MEMORY_MB = 512  # statistics of the tree nodes that one pass over the rows gathers
+NODE_MEMORY_MB = 256  # statistics of the tree nodes that one pass over the rows gathers
 TARGETS = ("check_ins", "check_outs")
 IMPUTE_FEATURES = ("hour", "year", "weekday", "month", "holiday")
 Models = dict[tuple[str, str], PipelineModel]
@@ -45,7 +45,7 @@ def stations_of(rows: DataFrame, condition: str = "true") -> dict[str, int]:
 
 
 def fit_all(rows: DataFrame, jobs: dict[tuple[str, str], Sequence[str]], cfg: ForecastConfig,
-            parallelism: int = 6) -> Models:
+            parallelism: int = 4) -> Models:
     """One forest per (station, target); stations without rows get none.
 
     A fit passes over its rows many times, so a station with few rows is read by few tasks.
