@@ -3,19 +3,35 @@
 Time is counted in slots of one block of documents. Block k (from 0) of a source with weight
 w is released at floor(k / w) and due at ceil((k + 1) / w); in each slot the released block
 with the earliest deadline runs. Then every source has, at any time t, between floor(w t) and
-ceil(w t) blocks: less than one block from its share. Weights are shares of ``period`` slots,
-so the schedule repeats after a period; only one period is worked out, from the weights alone,
-and every block finds its slot by an equality join.
+ceil(w t) blocks: less than one block from its share. Weights are fractions of whole numbers,
+exactly as given, whatever the number of sources. The blocks of the whole run (not its
+documents) are put in order on the driver, and every document finds its slot by equality joins.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from array import array
+from collections.abc import Iterator
+from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Weights = dict[str | None, float]
+BROADCAST_BLOCKS = 500_000
+
+
+def whole_weights(weights: Weights) -> dict[str | None, int]:
+    """Whole numbers in exactly the proportions of the positive weights."""
+    exact = {n: Fraction(w) for n, w in weights.items() if w > 0}
+    scale = math.lcm(*(f.denominator for f in exact.values()))
+    whole = {n: int(exact[n] * scale) for n in sorted(exact, key=lambda n: (n is not None, n or ""))}
+    common = math.gcd(*whole.values())
+    return {n: w // common for n, w in whole.items()}
 
 
 def slot_shares(weights: Weights, period: int) -> dict[str | None, int]:
@@ -33,24 +49,31 @@ def slot_shares(weights: Weights, period: int) -> dict[str | None, int]:
     return shares
 
 
-def edf_period(shares: dict[str | None, int], period: int) -> list[tuple[str | None, int, int]]:
-    """(source, block in the period, slot): earliest deadline first among released blocks."""
-    order = list(shares)
-    waiting = [(0, i, 0) for i in range(len(order))]  # release, source, block
+def schedule(shares: list[int], period: int, blocks: list[int]) -> Iterator[tuple[int, int, int]]:
+    """(source, block, slot) of so many blocks of each source: earliest deadline first among
+    released blocks. A source has ``shares / period`` of the slots."""
+    waiting = [(0, i, 0) for i, n in enumerate(blocks) if n]  # release, source, block
     heapq.heapify(waiting)
     ready: list[tuple[int, int, int]] = []
-    out = []
-    for slot in range(period):
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
             _, i, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(k + 1) * period // shares[order[i]]), i, k))
-        if ready:
-            due, i, k = heapq.heappop(ready)
-            assert slot < due
-            out.append((order[i], k, slot))
-            if k + 1 < shares[order[i]]:
-                heapq.heappush(waiting, ((k + 1) * period // shares[order[i]], i, k + 1))
-    return out
+            heapq.heappush(ready, (-(-(k + 1) * period // shares[i]), i, k))
+        due, i, k = heapq.heappop(ready)
+        assert slot < due
+        yield i, k, slot
+        if k + 1 < blocks[i]:
+            heapq.heappush(waiting, ((k + 1) * period // shares[i], i, k + 1))
+        slot += 1
+
+
+def edf_period(shares: dict[str | None, int], period: int) -> list[tuple[str | None, int, int]]:
+    """(source, block, slot) of one period."""
+    order, counts = list(shares), list(shares.values())
+    return [(order[i], k, slot) for i, k, slot in schedule(counts, period, counts)]
 
 
 def source_key() -> Column:
@@ -87,29 +110,46 @@ def numbered(docs: DataFrame, buckets: int = 4096) -> DataFrame:
     return joined.select(*docs.columns, "__s", (F.col("__start") + F.col("__rank")).alias("__n"))
 
 
-def mix(docs: DataFrame, weights: Weights, block: int = 64, period: int = 1000, buckets: int = 4096) -> DataFrame:
+def mix(docs: DataFrame, weights: Weights, block: int = 64, period: int | None = None, buckets: int = 4096,
+        broadcast_blocks: int = BROADCAST_BLOCKS) -> DataFrame:
     """Every row of ``docs`` with ``slot`` (long) and ``place`` (its order inside the block).
 
-    The period grows to two slots a source where there are many sources.
+    The weights hold exactly; with a ``period`` they are first rounded to whole slots of it
+    (two slots a source at least where there are many). The table of blocks is broadcast up to
+    ``broadcast_blocks`` rows and shuffled beyond.
 
     Ordered by slot and place, the sources are mixed to the weights until the first source
-    has no block left; the others keep their slots, nothing is dropped or repeated. Rows of
-    sources without a positive weight have slot null. A null source is a source like others.
-    Repeated rows are rows of their own. An empty table stays empty.
+    has no block left; the others keep to their shares, slots that would have been its own may
+    stay free, nothing is dropped or repeated. Rows of sources without a positive weight have
+    slot null. A null source is a source like others. Repeated rows are rows of their own. An
+    empty table stays empty.
     """
     spark = docs.sparkSession
-    period = max(period, 2 * len(weights))
-    shares = slot_shares(weights, period)
+    if period is None:
+        shares = whole_weights(weights)
+        total = sum(shares.values())
+    else:
+        total = max(period, 2 * len(weights))
+        shares = slot_shares(weights, total)
 
     def key(name: str | None) -> str:
         return "" if name is None else f"s{name}"
 
-    plan = [(key(s), k, at) for s, k, at in edf_period(shares, period)]
-    slots = spark.createDataFrame(plan, "__s string, __k int, __slot int")  # a row for each slot of a period
-    of = spark.createDataFrame([(key(s), n) for s, n in shares.items()], "__s string, __share int")
+    of = spark.createDataFrame([(key(s), i) for i, s in enumerate(shares)], "__s string, __i int")
+    sizes = docs.groupBy(source_key().alias("__s")).agg(F.count("*").alias("n")).join(F.broadcast(of), "__s")
+    blocks = [0] * len(shares)
+    for r in sizes.select("__i", "n").collect():  # a row for each source
+        blocks[r["__i"]] = -(-r["n"] // block)
+    plan = array("q")
+    for run in schedule(list(shares.values()), total, blocks):
+        if run[2] >= 1 << 63:
+            raise ValueError("a weight is too small: its blocks lie beyond the last slot")
+        plan.extend(run)
+    runs = np.frombuffer(plan, np.int64).reshape(-1, 3)
+    slots = spark.createDataFrame(pa.table({
+        "__i": runs[:, 0].astype(np.int32), "__at": runs[:, 1].astype(np.int32), "__slot": np.ascontiguousarray(runs[:, 2])}))
+    small = F.broadcast if len(runs) <= broadcast_blocks else (lambda df: df)
     rows = numbered(docs, buckets).join(F.broadcast(of), "__s", "left")
-    rows = rows.withColumn("__at", F.floor(F.col("__n") / block)).withColumn("__k", (F.col("__at") % F.col("__share")).cast("int"))
-    out = rows.join(F.broadcast(slots), ["__s", "__k"], "left")
-    return out.select(
-        *docs.columns, (F.floor(F.col("__at") / F.col("__share")) * period + F.col("__slot")).alias("slot"),
-        (F.col("__n") % block).cast("int").alias("place"))
+    rows = rows.withColumn("__at", F.floor(F.col("__n") / block).cast("int"))
+    out = rows.join(small(slots), ["__i", "__at"], "left")
+    return out.select(*docs.columns, F.col("__slot").alias("slot"), (F.col("__n") % block).cast("int").alias("place"))

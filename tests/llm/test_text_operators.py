@@ -323,6 +323,37 @@ def test_mixing_query(spark, sf_dir):
         assert all(abs(done[s] - shares[s] * (t + 1) / 1000) < 1 for s in size)
 
 
+@pytest.mark.parametrize("n", [1, 20, 300])
+def test_every_prefix_keeps_to_the_given_weights(n):
+    weights = {"hot": n / 2, None: 0.3} | {f"s{i}": 1.0 for i in range(n)}
+    whole = mixing.whole_weights(weights)
+    total = sum(map(Fraction, weights.values()))
+    assert all(Fraction(whole[s], sum(whole.values())) == Fraction(w) / total for s, w in weights.items())
+    blocks = [-(-3000 * w // sum(whole.values())) for w in whole.values()]
+    done, order = Counter(), list(whole)
+    for t, (i, k, slot) in enumerate(mixing.schedule(list(whole.values()), sum(whole.values()), blocks)):
+        if t == 2000:
+            break
+        assert (k, slot) == (done[order[i]], t)
+        done[order[i]] += 1
+        assert all(abs(done[s] - Fraction(w) / total * (t + 1)) < 1 for s, w in weights.items())
+
+
+@pytest.mark.parametrize("bound", [0, 10_000])
+def test_mixture_of_a_hot_source_and_many_others(spark, bound):
+    sizes = {"hot": 700, **{f"s{i}": 7 for i in range(100)}}
+    rows = [(i, s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    weights = {s: float(n) for s, n in sizes.items()}
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), weights, block=1, broadcast_blocks=bound).collect()
+    assert sorted((r["doc_id"], r["source"]) for r in got) == rows
+    order = sorted(got, key=lambda r: (r["slot"], r["place"]))
+    assert [r["slot"] for r in order] == list(range(1400))
+    done = Counter()
+    for t, r in enumerate(order, 1):
+        done[r["source"]] += 1
+        assert all(abs(done[s] * 1400 - n * t) < 1400 for s, n in sizes.items())
+
+
 # --- 9 ---------------------------------------------------------------------------------
 
 BASE = {
