@@ -122,7 +122,7 @@ def _minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _stretch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column("id").to_numpy()
+        ids, of = batch.column("id").to_numpy(), batch.column("h").to_numpy()
         for rows, offsets, pieces in _chunks(batch):
             piece, start, count, mkey = stretches(pieces)
             digest = xxhash.xxh64_intdigest
@@ -131,9 +131,9 @@ def _stretch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     piece.tolist(), start.tolist(), count.tolist(), strict=True)), np.uint64, len(piece))
             at = np.array(rows)[piece]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(mkey), pa.array(content.view(np.int64)), pa.array(ids[at]),
+                [pa.array(mkey), pa.array(content.view(np.int64)), pa.array(ids[at]), pa.array(of[at]),
                  pa.array(start + np.array(offsets)[piece]), pa.array(count.astype(np.int32))],
-                ["mkey", "content", "id", "start", "n"])
+                ["mkey", "content", "id", "h", "start", "n"])
 
 
 # --- column-wise construction ------------------------------------------------------------
@@ -235,16 +235,16 @@ def equal_windows(strings: list[bytes], width: int = WIDTH) -> Iterator[tuple[np
         yield owner[a - 1:b], start[a - 1:b]
 
 
-def _repeats(ids: list[int], starts: list[int], strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Windows (id, start) that start earlier in another string of the block, too."""
-    ids, starts = np.array(ids), np.array(starts)
-    out_ids, out_starts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+def _repeats(ids: list[int], hashes: list[int], starts: list[int], strings: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Windows (id, h, start) that start earlier in another string of the block, too."""
+    ids, hashes, starts = np.array(ids), np.array(hashes), np.array(starts)
+    out = [(np.empty(0, np.int64),) * 3]
     for owner, start in equal_windows(strings):
-        doc, begin = ids[owner], starts[owner] + start
-        first = np.lexsort((begin, doc))[0]
-        later = (doc != doc[first]) | (begin != begin[first])
-        out_ids.append(doc[later]), out_starts.append(begin[later])
-    return np.concatenate(out_ids), np.concatenate(out_starts)
+        doc, of, begin = ids[owner], hashes[owner], starts[owner] + start
+        first = np.lexsort((begin, of, doc))[0]
+        later = (doc != doc[first]) | (of != of[first]) | (begin != begin[first])
+        out.append((doc[later], of[later], begin[later]))
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
 
 
 def with_company(mkeys: np.ndarray, strings: list[bytes]) -> np.ndarray:
@@ -281,22 +281,23 @@ def with_company(mkeys: np.ndarray, strings: list[bytes]) -> np.ndarray:
 
 def _block_rows(block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mkeys, ids, starts, strings, last = [], [], [], [], None
+        mkeys, ids, hashes, starts, strings, last = [], [], [], [], [], None
 
         def done():
             at = np.flatnonzero(with_company(np.array(mkeys), strings)).tolist()
-            kept = [[column[i] for i in at] for column in (ids, starts, strings)]
-            doc, start = _repeats(*kept) if at else (np.empty(0, np.int64),) * 2
+            kept = [[column[i] for i in at] for column in (ids, hashes, starts, strings)]
+            doc, of, start = _repeats(*kept) if at else (np.empty(0, np.int64),) * 3
             return pa.RecordBatch.from_arrays(
-                [pa.array(doc), pa.array(start), pa.array(np.ones(len(doc), np.int32))], ["id", "start", "n"])
+                [pa.array(doc), pa.array(of), pa.array(start), pa.array(np.ones(len(doc), np.int32))], ["id", "h", "start", "n"])
 
         for batch in batches:  # sorted by minimizer
-            for mkey, doc, start, content in zip(*(batch.column(c).to_pylist() for c in ("mkey", "id", "start", "bytes")), strict=True):
+            columns = (batch.column(c).to_pylist() for c in ("mkey", "id", "h", "start", "bytes"))
+            for mkey, doc, of, start, content in zip(*columns, strict=True):
                 if mkey != last and len(strings) >= block:
                     yield done()
-                    mkeys, ids, starts, strings = [], [], [], []
+                    mkeys, ids, hashes, starts, strings = [], [], [], [], []
                 last = mkey
-                mkeys.append(mkey), ids.append(doc), starts.append(start), strings.append(content)
+                mkeys.append(mkey), ids.append(doc), hashes.append(of), starts.append(start), strings.append(content)
         if strings:
             yield done()
 
@@ -306,24 +307,24 @@ def _block_rows(block: int):
 # --- the operator ------------------------------------------------------------------------
 
 def _folded(rows: DataFrame, *keys: str) -> DataFrame:
-    """One row per key with its first occurrence (id, start) and how many there are."""
-    out = rows.groupBy(*keys).agg(F.min(F.struct("id", "start")).alias("f"), F.max("n").alias("n"), F.count("*").alias("times"))
-    return out.select(*keys, F.col("f.id").alias("id"), F.col("f.start").alias("start"), "n", "times")
+    """One row per key with its first occurrence (id, h, start) and how many there are."""
+    out = rows.groupBy(*keys).agg(F.min(F.struct("id", "h", "start")).alias("f"), F.max("n").alias("n"), F.count("*").alias("times"))
+    return out.select(*keys, F.col("f.id").alias("id"), F.col("f.h").alias("h"), F.col("f.start").alias("start"), "n", "times")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bytes of the wanted stretches; those of crowded minimizers window by window."""
     for batch in batches:
-        out = {"mkey": [], "window": [], "id": [], "start": [], "bytes": []}
+        out = {"mkey": [], "window": [], "id": [], "h": [], "start": [], "bytes": []}
         size = 0
-        for doc, text, wanted in zip(*(batch.column(c) for c in ("id", "text", "wanted")), strict=True):
-            data, doc = _bytes(text.as_py()), doc.as_py()
+        for doc, of, text, wanted in zip(*(batch.column(c) for c in ("id", "h", "text", "wanted")), strict=True):
+            data, doc, of = _bytes(text.as_py()), doc.as_py(), of.as_py()
             for w in wanted.as_py():
                 begin, n = w["start"], w["n"]
                 parts = [(begin, n)] if not w["crowded"] else [(begin + i, 1) for i in range(n)]
                 for b, k in parts:
                     content = data[b:b + k + WIDTH - 1]
-                    out["mkey"].append(w["mkey"]), out["id"].append(doc), out["start"].append(b)
+                    out["mkey"].append(w["mkey"]), out["id"].append(doc), out["h"].append(of), out["start"].append(b)
                     out["window"].append(hashlib.blake2b(content, digest_size=16).digest() if w["crowded"] else None)
                     out["bytes"].append(None if w["crowded"] else content)
                     size += 1
@@ -334,7 +335,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut_batch(out: dict[str, list]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
+    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
 
 
@@ -367,37 +368,44 @@ def repeated_bytes(docs: DataFrame, block: int = 600, crowd: int = 4096) -> Data
 
     Every byte goes that a 100-byte string covers which also starts earlier: under a smaller
     doc_id or earlier in the same text. Null and empty texts have no bytes, texts under 100
-    bytes lose none. Rows that repeat under one doc_id are the same place, so each gives the
-    same row and none is a copy of the other; a null doc_id comes before all others.
+    bytes lose none. Different texts under one doc_id are places of their own, in the order of
+    their hashes (xxhash64, signed). Equal texts under one doc_id are the same place, so each gives
+    the same row and none is a copy of the other. A null doc_id is an id like others and comes
+    before them.
     """
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), "text")
+    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"),
+                       F.xxhash64("text").alias("h"), "text")
     common = rows.select("text").mapInArrow(_minimizers, "mkey long").groupBy("mkey").agg(
         F.count("*").alias("times")).where("times > 1").select("mkey")
     common = materialise(common, "common")  # a join of two plain shuffles, so a hot key can be split
-    found = rows.select("id", "text").mapInArrow(_stretch_rows, "mkey long, content long, id long, start long, n int")
+    found = rows.select("id", "h", "text").mapInArrow(
+        _stretch_rows, "mkey long, content long, id long, h long, start long, n int")
     found = materialise(found.join(common, "mkey"), "stretches")
     contents = materialise(_folded(found, "mkey", "content"), "contents")
 
     # Later occurrences of equal contents are repeats as a whole.
-    first = contents.where("times > 1").select("mkey", "content", F.col("id").alias("fid"), F.col("start").alias("fstart"))
-    later = found.join(first, ["mkey", "content"]).where("id <> fid OR start <> fstart").select("id", "start", "n")
+    def firsts(folded: DataFrame, key: str) -> DataFrame:
+        return folded.where("times > 1").select(
+            "mkey", key, F.col("id").alias("fid"), F.col("h").alias("fh"), F.col("start").alias("fstart"))
+
+    other = "id <> fid OR h <> fh OR start <> fstart"
+    later = found.join(firsts(contents, "content"), ["mkey", "content"]).where(other).select("id", "h", "start", "n")
 
     # Different contents under one minimizer are compared.
     rivals = materialise(contents.groupBy("mkey").agg(F.count("*").alias("rivals")).where("rivals > 1"), "rivals")
-    wanted = contents.join(rivals, "mkey").groupBy("id").agg(F.collect_list(
+    wanted = contents.join(rivals, "mkey").groupBy("id", "h").agg(F.collect_list(
         F.struct("mkey", "start", "n", (F.col("rivals") > crowd).alias("crowded"))).alias("wanted"))
-    cut = rows.select("id", "text").join(wanted, "id").mapInArrow(
-        _cut, "mkey long, window binary, id long, start long, bytes binary")
+    cut = rows.select("id", "h", "text").join(wanted, ["id", "h"]).mapInArrow(
+        _cut, "mkey long, window binary, id long, h long, start long, bytes binary")
     cut = materialise(cut, "cut")
-    blocks = cut.where("bytes IS NOT NULL").select("mkey", "id", "start", "bytes")
+    blocks = cut.where("bytes IS NOT NULL").select("mkey", "id", "h", "start", "bytes")
     compared = blocks.repartition("mkey").sortWithinPartitions("mkey").mapInArrow(
-        _block_rows(block), "id long, start long, n int")
-    single = cut.where("window IS NOT NULL").select("mkey", "window", "id", "start", F.lit(1).alias("n"))
-    alone = _folded(single, "mkey", "window").where("times > 1").select(
-        "mkey", "window", F.col("id").alias("fid"), F.col("start").alias("fstart"))
-    crowded = single.join(alone, ["mkey", "window"]).where("id <> fid OR start <> fstart").select("id", "start", "n")
+        _block_rows(block), "id long, h long, start long, n int")
+    single = cut.where("window IS NOT NULL").select("mkey", "window", "id", "h", "start", F.lit(1).alias("n"))
+    alone = firsts(_folded(single, "mkey", "window"), "window")
+    crowded = single.join(alone, ["mkey", "window"]).where(other).select("id", "h", "start", "n")
 
-    spans = later.unionByName(compared).unionByName(crowded).groupBy("id").agg(
+    spans = later.unionByName(compared).unionByName(crowded).groupBy("id", "h").agg(
         F.collect_list(F.struct("start", "n")).alias("found"))
-    return rows.join(spans, "id", "left").select("doc_id", "text", "found").mapInArrow(
+    return rows.join(spans, ["id", "h"], "left").select("doc_id", "text", "found").mapInArrow(
         _remainders, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

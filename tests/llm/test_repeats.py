@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import numpy as np
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -59,6 +60,36 @@ def test_query(spark, sf_dir):
     assert found(queries.op2_repeated_bytes(spark, sf_dir)) == slow(pairs)
 
 
+def slow_places(docs, width=100):
+    """Like ``slow``, but different texts under one id are places of their own."""
+    def signed(text):
+        h = xxhash.xxh64_intdigest(text.encode(), 42)
+        return h - (h >> 63 << 64)
+
+    places = sorted(set(docs), key=lambda d: (d[0] is not None, d[0] or 0, signed(d[1])))
+    by_place = {}
+    for row in slow([(i, text) for i, (_, text) in enumerate(places)], width):
+        by_place[places[row[0]]] = row[1:]
+    return sorted(((d[0], *by_place[d]) for d in docs), key=repr)
+
+
+def test_different_texts_under_one_id_are_places_of_their_own(spark):
+    rng = random.Random(3)
+
+    def text(n):
+        return "".join(rng.choices("abcdefgh é", k=n))
+
+    a, b, c, d = (text(n) for n in (150, 140, 130, 400))
+    data = [(None, a + text(300)), (None, text(450)), (None, text(20) + b), (None, b), (None, text(30)),
+            (5, c + text(900)), (5, c + text(50)), (5, text(120)), (5, d), (5, d), (6, text(10) + a), (7, c + c), (7, text(500))]
+    data += [(None, text(110)) for _ in range(30)]
+    want = slow_places(data)
+    assert sum(r[2] for r in want) > 400
+    frame = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    assert found(repeats.repeated_bytes(frame)) == want
+    assert found(repeats.repeated_bytes(frame, block=3, crowd=2)) == want
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(st.sampled_from("ab$"), min_size=1, max_size=12), min_size=1, max_size=8))
 def test_transform_and_prefixes(texts):
