@@ -37,6 +37,7 @@ def _digits(value: Column) -> Column:
 
 
 def _mod97(value: Column) -> Column:
+    value = F.translate(value, " ", "")
     turned = F.concat(F.substring(value, 5, 64), F.substring(value, 1, 4))
 
     def step(rest: Column, c: Column) -> Column:
@@ -46,6 +47,26 @@ def _mod97(value: Column) -> Column:
     return F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), step) == 1
 
 
+# Lengths of the countries' IBANs: where groups end, words in capitals may follow.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV",
+    22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST",
+    26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA",
+    30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban() -> str:
+    """An unbroken run, or groups of four with single blanks and a shorter last one."""
+    forms = ["[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+"]
+    for n, countries in _IBAN_LENGTHS.items():
+        last = f" [A-Z0-9]{{{n % 4}}}" if n % 4 else ""
+        forms.append(f"(?:{countries})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}{last}")
+    known = "|".join(_IBAN_LENGTHS.values())
+    forms.append(f"(?!{known})[A-Z]{{2}}[0-9]{{2}}(?: [A-Z0-9]{{4}}){{3,7}}(?: [A-Z0-9]{{1,3}}(?![A-Za-z0-9]))?")
+    return "(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})(?:" + "|".join(f"(?:{f})(?![A-Za-z0-9])" for f in forms) + ")"
+
+
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 KINDS = (
     Kind("email", "[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)++", "@", lambda v: F.lit(True), 0.9,
@@ -56,11 +77,11 @@ KINDS = (
          lambda v: F.length(_digits(v)).between(14, 19) & F.call_function("luhn_check", _digits(v)), 0.8, "card|visa|pay|credit"),
     Kind("phone", "\\+[0-9][ ().0-9-]+[0-9]", "\\+[0-9]",
          lambda v: F.length(_digits(v)).between(10, 15), 0.7, "tel|phone|call|mobile|fax"),
-    Kind("iban", "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", _mod97, 0.8,
+    Kind("iban", _iban(), "[A-Z]{2}[0-9]{2}", _mod97, 0.8,
          "iban|account|bank", False),
     Kind("ssn", "(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]-[0-9]", lambda v: F.lit(True), 0.3,
          "ssn|social|security", False),
-    Kind("local_phone", "(?<![0-9+() -])(?:[(][0-9]{3}[)] ?|[0-9]{3}[ -])[0-9]{3}-[0-9]{4}(?![0-9-])", "[0-9]-[0-9]",
+    Kind("local_phone", "(?<![0-9+()-])(?<![0-9+()-] )(?:[(][0-9]{3}[)] ?|[0-9]{3}[ -])[0-9]{3}-[0-9]{4}(?![0-9-])", "[0-9]-[0-9]",
          lambda v: F.lit(True), 0.3, "tel|phone|call|mobile|fax", False),
 )
 REACH, BONUS, ACCEPT = 40, 0.3, 0.5
@@ -85,8 +106,10 @@ def _proposals(clean: Column, kind: Kind) -> Column:
 
 def _spans(clean: Column, rank: int, kind: Kind) -> Column:
     def span(m: Column) -> Column:
-        near = F.substring(clean, F.greatest(m["start"] - REACH, F.lit(0)) + 1, F.least(m["start"], F.lit(REACH)))
-        score = F.lit(kind.score) + F.when(near.rlike(f"(?i)(?<![a-z])(?:{kind.context})"), BONUS).otherwise(0.0)
+        before = F.substring(clean, F.greatest(m["start"] - REACH, F.lit(0)) + 1, F.least(m["start"], F.lit(REACH)))
+        after = F.substring(clean, m["end"] + 1, F.lit(REACH))
+        word = f"(?i)(?<![a-z])(?:{kind.context})"
+        score = F.lit(kind.score) + F.when(before.rlike(word) | after.rlike(word), BONUS).otherwise(0.0)
         return F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"),
                         F.lit(kind.name).alias("kind"), F.least(score, F.lit(1.0)).alias("score"))
 

@@ -412,6 +412,19 @@ def test_personal_data_like_the_patterns(spark, texts):
     assert found(pii.personal_data(frame).drop("spans", "scores")) == sorted((i, *base_slow(t)) for i, t in enumerate(texts))
 
 
+def test_ibans_in_groups_and_context_on_both_sides(spark):
+    texts = ["to DE89 3704 0044 0532 0130 00 today", "BE68 5390 0754 7034 BANK BIC", "GB82 WEST 1234 5698 7654 32, GB82WEST12345698765432",
+             "DE89 3704 0044 0532 0130 01", "123-45-6789 (SSN)", "reach me: 555-123-4567, by phone", "123-45-6789 is a part number",
+             "123-45-6789" + " " * 41 + "SSN", "SSN 123-45-6789"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [x for x in r["spans"].split(",") if x.split(":")[0] in ("iban", "ssn", "local_phone")]
+           for r in pii.personal_data(frame).collect()}
+    assert [got[i] for i in range(len(texts))] == [
+        ["iban:3:30"], ["iban:0:19"], ["iban:0:27", "iban:29:51"], [], ["ssn:0:11"], ["local_phone:10:22"], [], [], ["ssn:4:15"]]
+    text = {r["doc_id"]: r["text"] for r in pii.redacted(frame).collect()}
+    assert text[1] == "<IBAN> BANK BIC" and text[4] == "<SSN> (SSN)"
+
+
 def test_personal_data_query(spark, sf_dir):
     got = found(queries.op9_personal_data(spark, sf_dir).drop("spans", "scores"))
     assert got == sorted(((i, *base_slow(t)) for i, t in table_rows(spark, sf_dir, "documents", "doc_id", "text")), key=repr)
