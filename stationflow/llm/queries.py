@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationflow.llm import brown, decontaminate, language, licenses, mixing, pii, quality, repeats, simhash, url_filter
-from stationflow.llm.base import table
+from stationflow.llm import (
+    brown, decontaminate, infill, language, licenses, mixing, pii, quality, repeats, simhash, url_filter,
+)
+from stationflow.llm.base import sha256_text, table
 
 # Names of listed hosts (fixed values).
 LISTED = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
@@ -60,9 +62,21 @@ def op10_brown_scores(spark: SparkSession, sf: str) -> DataFrame:
     return brown.perplexity_scores(table(spark, sf, "documents"))
 
 
+def infill_digests(docs: DataFrame) -> DataFrame:
+    """Digests of the transformed texts and of the texts rebuilt from them."""
+    made = infill.fill_in_middle(docs)
+    made = made.withColumn("restored", infill.restored(F.col("output"), F.col("form")))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha256_text(F.col("output")).alias("output_sha256"),
+                       sha256_text(F.col("restored")).alias("restored_sha256"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
+    return infill_digests(table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_decontamination, op2_repeated_bytes, op3_language, op4_simhash, op5_licenses, op6_quality_rules, op7_url_filter, op8_mixing, op9_personal_data,
-    op10_brown_scores)}
+    op10_brown_scores, op13_fill_in_middle)}
 
 
 def _canonical_sql() -> str:
@@ -70,7 +84,7 @@ def _canonical_sql() -> str:
     path = "coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '')"
     query = "regexp_extract(url, '://[^?#]*[?]([^#]*)', 1)"
     kept = (f"array_to_string(list_sort(list_filter(string_split({query}, '&'), "
-            "x -> x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref)='))), '&')")
+            "lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref)='))), '&')")
     return f"""
 WITH p AS (SELECT page_id, {host} AS host, {path} AS path, {kept} AS q FROM pages),
 c AS (SELECT *, CASE WHEN host <> '' THEN
@@ -88,4 +102,19 @@ SELECT page_id, host, path, rule, CASE
     WHEN hit THEN 'block' ELSE 'allow' END AS verdict, coalesce(hit, false) AS listed FROM r"""
 
 
-SQL: dict[str, str] = {"op7_url_filter": _canonical_sql()}
+INFILL_SQL = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d,
+    regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u FROM documents),
+h AS (SELECT *, len(u) AS n, CAST('0x' || d[1:8] AS BIGINT) AS h1, CAST('0x' || d[9:16] AS BIGINT) AS h2,
+    CAST('0x' || d[17:24] AS BIGINT) AS h3, CAST('0x' || d[25:32] AS BIGINT) AS h4 FROM t),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b, CASE
+    WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+    WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(u[:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+           ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
+
+
+SQL: dict[str, str] = {"op7_url_filter": _canonical_sql(), "op13_fill_in_middle": INFILL_SQL}

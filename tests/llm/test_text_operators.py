@@ -402,14 +402,15 @@ def test_personal_data_on_fixture(spark, docs, rows, empty):
     assert same.columns == docs.columns and same.exceptAll(docs).isEmpty()
     cut = {r["doc_id"]: r["text"] for r in pii.redacted(frame).collect()}
     assert cut[0].startswith("mail <EMAIL>, or <EMAIL>") and cut[10] is None and cut[11] == ""
-    assert cut[3].startswith("<PHONE> +12 ") and cut[4].startswith("<CARD> é \U0001F600 <CARD> + <PHONE>")
+    # Seventeen and sixteen digits are no phone number.
+    assert cut[3].startswith("<PHONE> +12 +1234567890123456 ") and cut[4].startswith("<CARD> é \U0001F600 <CARD> + <PHONE>")
 
 
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.text(st.sampled_from("ab.@-+ 0123456789()é%"), max_size=60), min_size=1, max_size=20))
 def test_personal_data_like_the_patterns(spark, texts):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert found(pii.personal_data(frame).drop("spans", "scores")) == sorted((i, *base_slow(t)) for i, t in enumerate(texts))
+    assert found(pii.personal_data(frame).drop("spans", "scores")) == sorted(((i, *base_slow(t)) for i, t in enumerate(texts)), key=repr)
 
 
 def test_ibans_in_groups_and_context_on_both_sides(spark):
