@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 MARKS = {"prefix": "<P>", "suffix": "<S>", "middle": "<M>"}
 # A unit in UTF-8 bytes, and a byte that UTF-8 never holds.
 UNIT, END = rb"([A-Za-z]+|[\x00-\x7F]|[\xC0-\xFF][\x80-\xBF]*)", b"\xff"
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 RESULT = pa.struct([("n", pa.int64()), ("form", pa.string()), ("output", pa.string()),
                     ("prefix_chars", pa.int64()), ("middle_chars", pa.int64())])
 
@@ -144,7 +144,7 @@ def fill_in_middle(docs: DataFrame, plain_from: int = 90, spm_below: int = 20) -
     suffix-first. Empty and null texts are plain with an empty output, a text that holds a
     marker stays plain; plain texts have null lengths. Repeated rows each give a row with the
     same result, a null id draws like an empty one. Texts are never cut short; a batch
-    is worked off in slices of about 4 MB or one longer text.
+    is worked off in slices of about 1 MB or one longer text.
     """
     form = F.when(draw(F.col("doc_id"), 2) % 100 < plain_from,
                   F.when(draw(F.col("doc_id"), 3) % 100 < spm_below, "spm").otherwise("psm"))

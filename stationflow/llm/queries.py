@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationflow.llm import (
-    brown, decontaminate, infill, language, licenses, mixing, pii, quality, repeats, simhash, url_filter,
+    brown, decontaminate, infill, language, licenses, merkle, mixing, pii, quality, repeats, simhash, url_filter,
 )
 from stationflow.llm.base import sha256_text, table
 
@@ -62,6 +62,20 @@ def op10_brown_scores(spark: SparkSession, sf: str) -> DataFrame:
     return brown.perplexity_scores(table(spark, sf, "documents"))
 
 
+def manifest_digests(docs: DataFrame, height: int = merkle.HEIGHT) -> DataFrame:
+    """The manifest with each proof's digest and the root that a partly tampered table leads to."""
+    half = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    tampered = merkle.leaf(F.when(half, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text")))
+    rows = merkle.manifest(docs, {"tampered": tampered}, height)
+    rows = rows.withColumn("folded_root", merkle.folded(F.col("tampered"), F.col("witness")))
+    return rows.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("witness")).alias("proof_sha256"),
+                       "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return manifest_digests(table(spark, sf, "documents"))
+
+
 def infill_digests(docs: DataFrame) -> DataFrame:
     """Digests of the transformed texts and of the texts rebuilt from them."""
     made = infill.fill_in_middle(docs)
@@ -76,7 +90,7 @@ def op13_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_decontamination, op2_repeated_bytes, op3_language, op4_simhash, op5_licenses, op6_quality_rules, op7_url_filter, op8_mixing, op9_personal_data,
-    op10_brown_scores, op13_fill_in_middle)}
+    op10_brown_scores, op12_merkle_manifest, op13_fill_in_middle)}
 
 
 def _canonical_sql() -> str:
@@ -116,5 +130,51 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_c
     sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
            ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
 
-
-SQL: dict[str, str] = {"op7_url_filter": _canonical_sql(), "op13_fill_in_middle": INFILL_SQL}
+MERKLE_SQL = """
+WITH RECURSIVE
+bits AS (SELECT DISTINCT doc_id, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+    lambda c: list_transform(range(8), lambda k: (ascii(c) >> k) & 1))) AS b FROM documents),
+-- crc32 bit by bit
+odd AS (SELECT doc_id, xor(list_reduce(b, lambda c, x: CASE WHEN xor(c, x) & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END,
+    4294967295), 4294967295) % 2 = 1 AS odd FROM bits),
+base AS (SELECT doc_id, source, text, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-')
+    || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+    || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head FROM documents),
+leaves AS (SELECT *, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) AS other FROM base),
+placed AS (SELECT doc_id, source, leaf, other,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+    count(*) OVER (PARTITION BY source) AS n FROM leaves),
+grow AS (SELECT source, 0 AS h, i, n, leaf AS d FROM placed
+    UNION ALL
+    SELECT source, h + 1, i // 3, (max(n) + 2) // 3, sha256(string_agg(d, '' ORDER BY i)) FROM grow WHERE n > 1 GROUP BY source, h, i // 3),
+subs AS (SELECT source, d AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n
+    FROM grow WHERE n = 1),
+top AS (SELECT 0 AS h, i, n, subroot AS d FROM subs
+    UNION ALL
+    SELECT h + 1, i // 3, (max(n) + 2) // 3, sha256(string_agg(d, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY h, i // 3),
+runs AS (SELECT source, h, i // 3 AS run, list(d ORDER BY i) AS ds FROM grow WHERE n > 1 GROUP BY source, h, i // 3),
+topruns AS (SELECT h, i // 3 AS run, list(d ORDER BY i) AS ds FROM top WHERE n > 1 GROUP BY h, i // 3),
+way AS (SELECT doc_id, p.source, leaf, i, 0 AS h, '' AS proof, i AS at,
+        CASE WHEN coalesce(odd, true) THEN leaf ELSE other END AS now
+    FROM placed p JOIN odd ON odd.doc_id IS NOT DISTINCT FROM p.doc_id
+    UNION ALL
+    SELECT w.doc_id, w.source, w.leaf, w.i, w.h + 1,
+        w.proof || array_to_string(list_concat(ds[:w.at % 3], ds[w.at % 3 + 2:]), ''), w.at // 3,
+        sha256(array_to_string(list_concat(ds[:w.at % 3], [w.now], ds[w.at % 3 + 2:]), ''))
+    FROM way w JOIN runs r ON r.source IS NOT DISTINCT FROM w.source AND r.h = w.h AND r.run = w.at // 3),
+ends AS (SELECT w.*, s.subroot, s.i AS si FROM (SELECT *, row_number() OVER (PARTITION BY source, i ORDER BY h DESC) AS k FROM way) w
+    JOIN subs s ON s.source IS NOT DISTINCT FROM w.source WHERE k = 1),
+up AS (SELECT doc_id, leaf, subroot, source, i, 0 AS h, proof, si AS at, now FROM ends
+    UNION ALL
+    SELECT u.doc_id, u.leaf, u.subroot, u.source, u.i, u.h + 1,
+        u.proof || array_to_string(list_concat(ds[:u.at % 3], ds[u.at % 3 + 2:]), ''), u.at // 3,
+        sha256(array_to_string(list_concat(ds[:u.at % 3], [u.now], ds[u.at % 3 + 2:]), ''))
+    FROM up u JOIN topruns r ON r.h = u.h AND r.run = u.at // 3)
+SELECT doc_id, leaf, subroot, (SELECT d FROM top WHERE n = 1) AS root, sha256(proof) AS proof_sha256, now AS folded_root,
+    now = (SELECT d FROM top WHERE n = 1) AS verified
+FROM (SELECT *, row_number() OVER (PARTITION BY source, i ORDER BY h DESC) AS k FROM up) WHERE k = 1"""
+
+
+SQL: dict[str, str] = {"op7_url_filter": _canonical_sql(), "op12_merkle_manifest": MERKLE_SQL,
+                       "op13_fill_in_middle": INFILL_SQL}
