@@ -155,7 +155,7 @@ top AS (SELECT 0 AS h, i, n, subroot AS d FROM subs
     SELECT h + 1, i // 3, (max(n) + 2) // 3, sha256(string_agg(d, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY h, i // 3),
 runs AS (SELECT source, h, i // 3 AS run, list(d ORDER BY i) AS ds FROM grow WHERE n > 1 GROUP BY source, h, i // 3),
 topruns AS (SELECT h, i // 3 AS run, list(d ORDER BY i) AS ds FROM top WHERE n > 1 GROUP BY h, i // 3),
-way AS (SELECT doc_id, p.source, leaf, i, 0 AS h, '' AS proof, i AS at,
+way AS (SELECT p.doc_id, p.source, leaf, i, 0 AS h, '' AS proof, i AS at,
         CASE WHEN coalesce(odd, true) THEN leaf ELSE other END AS now
     FROM placed p JOIN odd ON odd.doc_id IS NOT DISTINCT FROM p.doc_id
     UNION ALL
