@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationflow.llm import (
-    brown, decontaminate, infill, language, licenses, merkle, mixing, pii, quality, repeats, simhash, url_filter,
+    brown, decontaminate, hyperminhash, infill, language, licenses, merkle, mixing, pii, quality, repeats, simhash, url_filter,
 )
 from stationflow.llm.base import sha256_text, table
 
@@ -62,6 +62,10 @@ def op10_brown_scores(spark: SparkSession, sf: str) -> DataFrame:
     return brown.perplexity_scores(table(spark, sf, "documents"))
 
 
+def op11_hyperminhash(spark: SparkSession, sf: str) -> DataFrame:
+    return hyperminhash.near_duplicates(table(spark, sf, "documents"))
+
+
 def manifest_digests(docs: DataFrame, height: int = merkle.HEIGHT) -> DataFrame:
     """The manifest with each proof's digest and the root that a partly tampered table leads to."""
     half = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
@@ -90,7 +94,7 @@ def op13_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_decontamination, op2_repeated_bytes, op3_language, op4_simhash, op5_licenses, op6_quality_rules, op7_url_filter, op8_mixing, op9_personal_data,
-    op10_brown_scores, op12_merkle_manifest, op13_fill_in_middle)}
+    op10_brown_scores, op11_hyperminhash, op12_merkle_manifest, op13_fill_in_middle)}
 
 
 def _canonical_sql() -> str:
@@ -130,6 +134,23 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_c
     sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
            ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
 
+HYPERMINHASH_SQL = r"""
+WITH RECURSIVE
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END) AS s FROM w),
+k AS (SELECT doc_id, len(s) AS n, CASE WHEN len(s) > 0 THEN sha256(array_to_string(s, chr(10))) END AS k, s FROM s),
+f AS (SELECT k, min(doc_id) AS node, any_value(n) AS n, any_value(s) AS s FROM k WHERE n > 0 GROUP BY k),
+p AS (SELECT node, n, unnest(s) AS x FROM f),
+l AS (SELECT a.node AS a, b.node AS b FROM p a JOIN p b ON a.x = b.x AND a.node < b.node
+    GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT node, node AS at FROM f UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.at),
+c AS (SELECT node, min(at) AS root FROM r GROUP BY node)
+SELECT k.doc_id, k.n AS n_shingles, coalesce(c.root, k.doc_id) AS component_id, coalesce(c.root, k.doc_id) = k.doc_id AS kept
+FROM k LEFT JOIN f ON f.k = k.k LEFT JOIN c ON c.node = f.node"""
+
 MERKLE_SQL = """
 WITH RECURSIVE
 bits AS (SELECT DISTINCT doc_id, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
@@ -176,5 +197,6 @@ SELECT doc_id, leaf, subroot, (SELECT d FROM top WHERE n = 1) AS root, sha256(pr
 FROM (SELECT *, row_number() OVER (PARTITION BY source, i ORDER BY h DESC) AS k FROM up) WHERE k = 1"""
 
 
-SQL: dict[str, str] = {"op7_url_filter": _canonical_sql(), "op12_merkle_manifest": MERKLE_SQL,
+SQL: dict[str, str] = {"op7_url_filter": _canonical_sql(), "op11_hyperminhash": HYPERMINHASH_SQL,
+                       "op12_merkle_manifest": MERKLE_SQL,
                        "op13_fill_in_middle": INFILL_SQL}
