@@ -5,6 +5,8 @@ import random
 import pytest
 from pyspark.sql import types as T
 
+from corpus_prose import prose
+
 DOC = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
     T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()),
@@ -13,11 +15,6 @@ DOC = T.StructType([
 ])
 
 
-def prose(rng: random.Random, n: int) -> str:
-    parts = ["on", "the", "re", "tion", "an", "ing", "st", "er", "é", "ou", "in"]
-    return " ".join("".join(rng.choices(parts, k=rng.randint(1, 4))) for _ in range(n))
-
-
 def fixture_rows() -> list[tuple]:
     rng = random.Random(7)
     long = prose(rng, 300)

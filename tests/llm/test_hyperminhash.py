@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from compare import differences, duck
-from conftest import prose
+from corpus_prose import prose
 from stationflow.llm import hyperminhash as hm
 from stationflow.llm import queries
 
