@@ -146,8 +146,8 @@ p AS (SELECT node, n, unnest(s) AS x FROM f),
 l AS (SELECT a.node AS a, b.node AS b FROM p a JOIN p b ON a.x = b.x AND a.node < b.node
     GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
-r AS (SELECT node, node AS at FROM f UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.at),
-c AS (SELECT node, min(at) AS root FROM r GROUP BY node)
+r AS (SELECT node, node AS seen FROM f UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen),
+c AS (SELECT node, min(seen) AS root FROM r GROUP BY node)
 SELECT k.doc_id, k.n AS n_shingles, coalesce(c.root, k.doc_id) AS component_id, coalesce(c.root, k.doc_id) = k.doc_id AS kept
 FROM k LEFT JOIN f ON f.k = k.k LEFT JOIN c ON c.node = f.node"""
 
