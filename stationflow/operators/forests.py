@@ -1,115 +1,89 @@
 """Random forests per station: filling one-sided gaps, training, forecasting.
 
-``pyspark.ml`` grows the trees on the executors. Its forests have one output, so each
-target has a forest of its own. The loops below run over stations and targets, a list
-that the configuration fixes; they only submit Spark jobs, side by side.
+One fit grows the trees of all stations side by side, see ``trees``. Training splits nodes on
+check-ins and check-outs at once, so a station has one forest with two outputs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stationflow.config import ForecastConfig
+from stationflow.operators import trees
 from stationflow.operators.shared import union_all
+from stationflow.session import materialise
 
-ROWS_PER_TASK = 20_000
-NODE_MEMORY_MB = 256  # statistics of the tree nodes that one pass over the rows gathers
 TARGETS = ("check_ins", "check_outs")
 IMPUTE_FEATURES = ("hour", "year", "weekday", "month", "holiday")
-Models = dict[tuple[str, str], PipelineModel]
 
 
-def fit_forest(rows: DataFrame, features: Sequence[str], target: str, cfg: ForecastConfig,
-               station: str = "") -> PipelineModel:
-    trees, depth = cfg.forest_of(station)
-    forest = RandomForestRegressor(
-        featuresCol="features", labelCol=target, predictionCol=f"{target}_predicted",
-        numTrees=trees, maxDepth=depth, maxBins=cfg.max_bins, maxMemoryInMB=NODE_MEMORY_MB,
-        featureSubsetStrategy="all", seed=cfg.seed)
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
-    return Pipeline(stages=[assembler, forest]).fit(rows)
+def _x(features: Sequence[str]) -> Column:
+    return F.array(*[F.col(f).cast("double") for f in features])
 
 
-def stations_of(rows: DataFrame, condition: str = "true") -> dict[str, int]:
-    """Rows that meet the condition, for each station that has any."""
-    counted = rows.where(condition).groupBy("station").agg(F.count("*").alias("n"))
-    return {r["station"]: r["n"] for r in counted.collect()}
-
-
-def fit_all(rows: DataFrame, jobs: dict[tuple[str, str], Sequence[str]], cfg: ForecastConfig,
-            parallelism: int = 4) -> Models:
-    """One forest per (station, target); stations without rows get none.
-
-    A fit passes over its rows many times, so a station with few rows is read by few tasks.
-    """
-    spark, present = rows.sparkSession, stations_of(rows)
-
-    def run(job):
-        (station, target), features = job
-        part = rows.where(F.col("station") == station).select(*features, F.col(target).cast("double"))
-        part = part.coalesce(1 + present[station] // ROWS_PER_TASK)
-        return (station, target), fit_forest(part, features, target, cfg, station)
-
-    wanted = [job for job in jobs.items() if job[0][0] in present]
-    with ThreadPool(parallelism) as pool:
-        return dict(pool.map(inheritable_thread_target(spark)(run), wanted))
+def _complete(rows: DataFrame, features: Sequence[str]) -> Column:
+    """All features are known."""
+    known = F.lit(True)
+    for f in features:
+        known = known & F.col(f).isNotNull()
+    return known
 
 
 def impute(rows: DataFrame, cfg: ForecastConfig, complete_over: Sequence[str] | None = None) -> DataFrame:
     """Fills a count whose other direction is known; both-missing rows stay.
 
     Forests learn from rows complete over ``complete_over`` (default: all columns). Known
-    counts are never changed. Only stations and directions with a gap get a forest.
-    ``rows`` is read several times: give a materialised table.
+    counts are never changed. Only stations and directions with a gap get a forest. Gaps of rows
+    that lack a feature stay. ``rows`` is read several times: give a materialised table.
     """
     shared = [*IMPUTE_FEATURES, *(["stringency"] if cfg.use_stringency else [])]
-    features = {t: [*shared, o] for t, o in zip(TARGETS, reversed(TARGETS), strict=True)}
+    other = dict(zip(TARGETS, reversed(TARGETS), strict=True))
     if cfg.use_stringency:
         rows = rows.fillna({"stringency": 0.0})
     complete = rows.dropna("any", subset=list(complete_over or rows.columns))
-    gaps = {t: f"{t} IS NULL AND {o} IS NOT NULL" for t, o in zip(TARGETS, reversed(TARGETS), strict=True)}
-    missing = {t: stations_of(rows, gap) for t, gap in gaps.items()}
-    models = fit_all(complete, {(s, t): features[t] for s in cfg.stations for t in TARGETS if s in missing[t]}, cfg)
-
-    modelled = F.lit(False)
-    parts = []
-    for (station, target), model in models.items():
-        wanted = (F.col("station") == station) & F.expr(gaps[target])
-        modelled = modelled | wanted
-        guessed = model.transform(rows.where(wanted))
-        # The cast cuts fractions off.
-        filled = guessed.withColumn(target, F.col(f"{target}_predicted").cast("bigint"))
-        parts.append(filled.select(*rows.columns))
-    return union_all([rows.where(~F.coalesce(modelled, F.lit(False))), *parts])
-
-
-def train(rows: DataFrame, features: Sequence[str], cfg: ForecastConfig) -> Models:
-    """A forest per station and target on complete rows; see ``incomplete`` for the others."""
+    gap = {t: F.col(t).isNull() & F.col(o).isNotNull() for t, o in other.items()}
+    model = {t: F.concat(F.lit(f"{t} "), F.col("station")) for t in TARGETS}
+    any_gap = gap[TARGETS[0]] | gap[TARGETS[1]]
+    named = F.when(gap[TARGETS[0]], model[TARGETS[0]]).otherwise(model[TARGETS[1]])
+    x = F.when(gap[TARGETS[0]], _x([*shared, other[TARGETS[0]]])).otherwise(_x([*shared, other[TARGETS[1]]]))
+    gaps = materialise(rows.where(any_gap).withColumns({
+        "__id": F.monotonically_increasing_id(), "__model": named, "__x": x}), "gaps")
+    learn = union_all([complete.select(
+        model[t].alias("model"), F.xxhash64(*complete.columns).alias("key"), _x([*shared, o]).alias("x"),
+        F.col(t).cast("double").alias("y0")) for t, o in other.items()])
+    learn = learn.join(gaps.select(F.col("__model").alias("model")).distinct(), "model", "left_semi")
+    settings = {f"{t} {s}": cfg.forest_of(s) for s in cfg.stations for t in TARGETS}
+    forest = trees.grow(learn, len(shared) + 1, 1, settings, cfg.max_bins, cfg.seed)
+    asked = gaps.where(_complete(gaps, shared)).select(F.col("__model").alias("model"), F.col("__id").alias("id"), F.col("__x").alias("x"))
+    filled = gaps.join(trees.predict(forest, asked).withColumnRenamed("id", "__id"), "__id", "left")
+    # The cast cuts fractions off.
+    filled = filled.withColumns({t: F.when(gap[t], F.col("p0").cast("bigint")).otherwise(F.col(t)) for t in TARGETS})
+    return rows.where(~any_gap).unionByName(filled.select(*rows.columns))
+
+
+def train(rows: DataFrame, features: Sequence[str], cfg: ForecastConfig) -> trees.Forest:
+    """A forest per station on complete rows, split on both targets at once; see ``incomplete``
+    for the others. Stations without rows get none."""
     complete = rows.dropna("any", subset=[*features, *TARGETS])
-    return fit_all(complete, {(s, t): list(features) for s in cfg.stations for t in TARGETS}, cfg)
-
-
-def predict(models: Models, rows: DataFrame, features: Sequence[str], cfg: ForecastConfig) -> DataFrame:
-    """Adds both predictions; rows that lack a feature are left out, see ``incomplete``."""
-    complete = rows.dropna("any", subset=list(features))
-    parts = []
-    for station in cfg.stations:
-        if all((station, t) in models for t in TARGETS):
-            part = complete.where(F.col("station") == station)
-            for target in TARGETS:
-                part = models[station, target].transform(part).drop("features")
-            parts.append(part)
-    if not parts:
+    learn = complete.select(
+        F.col("station").alias("model"), F.xxhash64(*complete.columns).alias("key"), _x(features).alias("x"),
+        *[F.col(t).cast("double").alias(f"y{i}") for i, t in enumerate(TARGETS)])
+    return trees.grow(learn, len(features), len(TARGETS), {s: cfg.forest_of(s) for s in cfg.stations}, cfg.max_bins, cfg.seed)
+
+
+def predict(forest: trees.Forest, rows: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Adds both predictions; rows that lack a feature or whose station has no forest are left
+    out, see ``incomplete``."""
+    if not forest.models:
         raise ValueError("no station has trained models")
-    return union_all(parts)
+    complete = materialise(rows.dropna("any", subset=list(features)).withColumn("__id", F.monotonically_increasing_id()), "asked")
+    asked = complete.select(F.col("station").alias("model"), F.col("__id").alias("id"), _x(features).alias("x"))
+    found = trees.predict(forest, asked).select(
+        F.col("id").alias("__id"), *[F.col(f"p{i}").alias(f"{t}_predicted") for i, t in enumerate(TARGETS)])
+    return complete.join(found, "__id").drop("__id")
 
 
 def incomplete(rows: DataFrame, features: Sequence[str]) -> DataFrame:

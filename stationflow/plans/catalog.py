@@ -383,7 +383,7 @@ def trained_scores(spark, sf):
     matrix = features.feature_matrix(rows, MODEL_FEATURES)
     labelled = materialise(splits.split_labels(matrix), "labelled", ("station",))
     models = forests.train(labelled.where("split <> 'test'"), MODEL_FEATURES, CFG)
-    scored = forests.predict(models, labelled.where("split = 'test'"), MODEL_FEATURES, CFG)
+    scored = forests.predict(models, labelled.where("split = 'test'"), MODEL_FEATURES)
     return splits.forecast_metrics(scored).select(
         "station", "n", flag(F.col("r2") <= 1).alias("r2_valid"), flag(F.col("mae") >= 0).alias("mae_valid"),
         flag(F.col("rmse") >= F.col("mae") - 1e-9).alias("rmse_valid"))
@@ -398,7 +398,7 @@ def forecast_rows(spark, sf):
     models = forests.train(rows, MODEL_FEATURES, CFG)
     dims = st.written(st.dimensions(ev, CFG, future=True))
     future = materialise(features.future_features(rows, dims, CFG, _next_day(ev), MODEL_FEATURES), "future")
-    out = forests.predict(models, future, MODEL_FEATURES, CFG).join(_ranges(rows), "station")
+    out = forests.predict(models, future, MODEL_FEATURES).join(_ranges(rows), "station")
     return out.select("station", "date", "hour",
                       *[_inside(f"{t}_predicted", out).alias(f"inside_{t}") for t in forests.TARGETS])
 

@@ -13,6 +13,7 @@ from stationflow.config import ForecastConfig
 from stationflow.operators import calendar, events, features, flows, forests, indicators, splits, weather
 from stationflow.operators.serving import model_log_rows
 from stationflow.operators.shared import fixed_table
+from stationflow.operators.trees import Forest
 from stationflow.session import materialise, run_folder
 from stationflow.sources import sinks
 from stationflow.sources.readers import Sources
@@ -28,7 +29,7 @@ class Prepared:
 
 @dataclass(frozen=True)
 class Trained:
-    models: forests.Models
+    models: Forest
     metrics: DataFrame
     log_rows: DataFrame
 
@@ -96,7 +97,7 @@ def train_and_score(rows: DataFrame, model_features: list[str], cfg: ForecastCon
     matrix = features.feature_matrix(rows, model_features)
     labelled = materialise(splits.split_labels(matrix), "labelled", ("station",))
     trial = forests.train(labelled.where("split <> 'test'"), model_features, cfg)
-    scored = forests.predict(trial, labelled.where("split = 'test'"), model_features, cfg)
+    scored = forests.predict(trial, labelled.where("split = 'test'"), model_features)
     metrics = materialise(splits.forecast_metrics(scored), "metrics")
     for row in splits.quality_gate(metrics).select("station", "r2").collect():  # at most one per station
         warnings.warn(f"model for {row['station']} shows unexpected performance: R2 {row['r2']:.3f}", stacklevel=2)
@@ -114,9 +115,9 @@ def forecast(trained: Trained, history: DataFrame, dims: features.Dimensions, mo
     for row in forests.incomplete(future, model_features).where("left_out > 0").collect():  # one a station
         warnings.warn(f"{row['left_out']} hours of {row['station']} lack a feature and get no forecast", stacklevel=2)
     for station in cfg.stations:
-        if any((station, t) not in trained.models for t in forests.TARGETS):
+        if station not in trained.models.models:
             warnings.warn(f"{station} has no rows to learn from and gets no forecast", stacklevel=2)
-    return forests.predict(trained.models, future, model_features, cfg)
+    return forests.predict(trained.models, future, model_features)
 
 
 def run_forecast(src: Sources, cfg: ForecastConfig, as_of: datetime, measures: dict[str, str] | None, out: str,

@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-import gzip
-import io
-from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import date, timedelta
-from itertools import islice
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from stationflow.operators.extract import POSTS_SCHEMA, TICKETS_SCHEMA
-from stationflow.operators.shared import union_all
-from stationflow.session import importable
 from stationflow.sources import schemas
+from stationflow.sources.lines import files_below, scan_gzip_lines
 
 
 def _named(rows: DataFrame, schema: str) -> DataFrame:
@@ -38,23 +32,38 @@ def _csv(spark: SparkSession, path, schema: str, **options) -> DataFrame:
     return _named(spark.read.options(header=True, enforceSchema=False, **options).csv(path), schema)
 
 
-def _indexed_csv(spark: SparkSession, path: str, schema: str, **options) -> DataFrame:
-    """Like ``_csv`` for files with a row index, named ``ord`` or unnamed and leading.
+def _lower(cells: str) -> Column:
+    return F.transform(cells, lambda c: F.coalesce(F.lower(c), F.lit("")))
 
-    The index starts anew in each file, so ``ord`` counts files (by path) first. Collected
-    event files are few; each is read under its own header.
+
+def _indexed_csv(spark: SparkSession, path: str, schema: str, most_columns: int = 64, **options) -> DataFrame:
+    """Like ``_csv`` for files that each have a header of their own, all in one scan.
+
+    A file's header is the row that holds all names of the schema; it says for this file where
+    each column lies. A file without one fails the read. The row index is named ``ord``, or
+    unnamed and leading. It starts anew in each file, so ``ord`` counts files (by path) first.
+    Columns beyond ``most_columns`` are not seen.
     """
-    read = spark.read.options(header=True, **options)
-    frames = []
-    for number, file in enumerate(sorted(read.csv(path).inputFiles())):
-        rows = read.csv(file)
-        if rows.columns:
-            index = "ord" if "ord" in rows.columns else rows.columns[0]
-            order = F.lit(number * (1 << 32)) + F.col(f"`{index}`").try_cast("bigint")
-            frames.append(_named(rows.withColumn("ord", order), schema))
-    if not frames:
-        return spark.createDataFrame([], schema)
-    return union_all(frames)
+    fields = StructType.fromDDL(schema).fields
+    names = [f.name for f in fields if f.name != "ord"]
+    cells = [f"c{i}" for i in range(most_columns)]
+    read = spark.read.options(header=False, **options).schema(", ".join(f"{c} string" for c in cells)).csv(path)
+    rows = read.select(F.array(*cells).alias("cells"), F.col("_metadata.file_path").alias("file"))
+    named = F.lit(True)
+    for name in names:
+        named = named & F.array_contains(_lower("cells"), name.lower())
+    heads = rows.where(named).groupBy("file").agg(F.min("cells").alias("head"))
+    heads = heads.withColumn("number", F.row_number().over(Window.orderBy("file")) - 1)  # a row a file
+    rows = rows.join(heads, "file", "left")
+    missing = F.raise_error(F.concat(F.lit(f"no header with {', '.join(names)} in "), "file"))
+    rows = rows.withColumn("head", F.coalesce("head", missing.cast("array<string>"))).where("cells <> head")
+
+    def at(name: str) -> Column:
+        return F.array_position(_lower("head"), name.lower())
+
+    index = F.get("cells", F.greatest(at("ord"), F.lit(1)).cast("int") - 1).try_cast("bigint")
+    values = {n: F.get("cells", at(n).cast("int") - 1) for n in names} | {"ord": F.col("number") * (1 << 32) + index}
+    return rows.select(*[values[f.name].try_cast(f.dataType).alias(f.name) for f in fields])
 
 
 def day_folders(root: str, from_date: date | None = None, to_date: date | None = None) -> list[str]:
@@ -102,37 +111,20 @@ def scan_trips_union(spark: SparkSession, csv_root: str, json_root: str, prefix:
         scan_trips_json(spark, json_root, side), allowMissingColumns=True)
 
 
-LINE_BATCH = 20_000
-
-
-def _unzip_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for path, content in zip(batch["path"], batch["content"], strict=True):
-            with gzip.open(io.BytesIO(content), "rt", encoding="utf-8") as lines:
-                while part := list(islice(lines, LINE_BATCH)):
-                    kept = [x.rstrip("\n") for x in part if x.strip()]
-                    yield pd.DataFrame({"path": [path] * len(kept), "value": kept})
-
-
 def scan_weather(spark: SparkSession, path: str, schema: str, any_extension: bool = False,
                  with_revision: bool = False) -> DataFrame:
     """Gzipped JSON lines of weather records.
 
     Spark unzips files named ``*.gz``. With ``any_extension`` gzipped files of other names
-    are read too, one task a file: the zipped bytes (2 GB at most, Spark's limit for one
-    value) are held, the lines leave in batches while they are unzipped. ``with_revision``
-    adds the file's path as ``revision``: of two readings the later file holds the valid one.
+    are read too, as streams of any length, one task a file. ``with_revision`` adds the file's
+    path as ``revision``: of two readings the later file holds the valid one.
     """
     named = spark.read.schema(schema).options(pathGlobFilter="*.gz", recursiveFileLookup=True).json(path)
     if with_revision:
         named = named.withColumn("revision", F.col("_metadata.file_path"))
     if not any_extension:
         return named
-    others = (spark.read.format("binaryFile")
-              .options(pathGlobFilter="{*[^z],*[^g]z,*[^.]gz}", recursiveFileLookup=True).load(path)
-              .where("length > 0").select("path", "content"))
-    importable(spark)
-    lines = others.mapInPandas(_unzip_lines, "path string, value string")
+    lines = scan_gzip_lines(spark, files_below(spark, path, without=".gz"))
     parsed = lines.select("path", F.from_json("value", schema).alias("r"))
     path_column = [F.col("path").alias("revision")] if with_revision else []
     return named.unionByName(parsed.select("r.*", *path_column))

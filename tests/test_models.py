@@ -62,8 +62,8 @@ def test_forest_beats_the_mean_and_is_repeatable(spark, rows):
 
     def scores():
         models = forests.train(train, chosen, CFG)
-        assert set(models) == {(s, t) for s in "AB" for t in forests.TARGETS}
-        out = splits.forecast_metrics(forests.predict(models, test, chosen, CFG))
+        assert models.models == ("A", "B") and models.trees.count() == 16
+        out = splits.forecast_metrics(forests.predict(models, test, chosen))
         return {r["station"]: (r["n"], r["r2"], r["mae"], r["rmse"]) for r in out.collect()}
 
     first, second = scores(), scores()
@@ -74,15 +74,16 @@ def test_forest_beats_the_mean_and_is_repeatable(spark, rows):
 def test_rows_without_a_feature_are_left_out_and_counted(spark, rows):
     models = forests.train(rows, ["hour"], CFG)
     future = spark.createDataFrame([("A", 5), ("A", None), ("B", 3)], "station string, hour int")
-    assert forests.predict(models, future, ["hour"], CFG).count() == 2
+    assert forests.predict(models, future, ["hour"]).count() == 2
     assert {r["station"]: r["left_out"] for r in forests.incomplete(future, ["hour"]).collect()} == {"A": 1, "B": 0}
 
 
 def test_station_without_rows_gets_no_model(spark, rows):
     models = forests.train(rows.where("station = 'A'"), ["hour"], CFG)
-    assert {s for s, _ in models} == {"A"}
+    assert models.models == ("A",)
+    none = forests.train(rows.where("station = 'C'"), ["hour"], CFG)
     with pytest.raises(ValueError, match="no station"):
-        forests.predict({}, rows, ["hour"], CFG)
+        forests.predict(none, rows, ["hour"])
 
 
 # --- the whole run from landed files -------------------------------------------------------------
