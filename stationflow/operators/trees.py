@@ -70,37 +70,54 @@ def poisson_weight(drawn: Column) -> Column:
     return weight
 
 
+NODE = ("model", "tree", "node")
+
+
+def with_totals(rows: DataFrame, targets: int) -> DataFrame:
+    """Adds what a node holds to each of its rows: the weights' sum ``all_n`` and the targets' sums."""
+    of = Window.partitionBy(*NODE)
+    return rows.withColumns({"all_n": F.sum("w").over(of)} | {
+        f"all_{t}": F.sum(F.col("w") * F.col(f"y{t}")).over(of) for t in range(targets)})
+
+
 def best_splits(rows: DataFrame, targets: int) -> DataFrame:
-    """One row for each (model, tree, node) of ``rows``: n, the targets' means and the best split.
+    """One row for each (model, tree, node) of ``rows``: its sums and the best split.
 
-    ``rows`` has weight, bins and y0, y1, ... The split (feature f, last bin b of the left side) is
-    null where no split lowers the error. Of equally good splits the first feature and bin win.
+    ``rows`` has weight, bins, y0, y1, ... and the node's sums. The split (feature f, last bin b
+    of the left side, the left side's sums) is null where no split lowers the error. Of equally good
+    splits the first feature and bin win.
     """
-    node = ["model", "tree", "node"]
-    sums = {f"s{t}": F.sum(F.col("w") * F.col(f"y{t}")) for t in range(targets)}
-    squares = sum((F.col(f"y{t}") * F.col(f"y{t}") for t in range(1, targets)), F.col("y0") * F.col("y0"))
-    cells = rows.select(*node, "w", *[f"y{t}" for t in range(targets)], F.posexplode("bins").alias("f", "b")).groupBy(
-        *node, "f", "b").agg(F.sum("w").alias("n"), F.sum(F.col("w") * squares).alias("q"), *[c.alias(k) for k, c in sums.items()])
-    of = Window.partitionBy(*node, "f")
-    up = of.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = {f"all_{c}": F.sum(c).over(of) for c in ("n", "q", *sums)}
-    lefts = {f"left_{c}": F.sum(c).over(up) for c in ("n", *sums)}
-    cells = cells.withColumns(totals | lefts)
-    right = F.col("all_n") - F.col("left_n")
-    gain = error = None
-    for s in sums:
-        left, whole = F.col(f"left_{s}"), F.col(f"all_{s}")
-        flat = whole * whole / F.col("all_n")
-        part = left * left / F.col("left_n") + (whole - left) * (whole - left) / F.nullif(right, F.lit(0)) - flat
-        gain = part if gain is None else gain + part
-        error = F.col("all_q") - flat if error is None else error - flat
-    # What is left of equal targets is rounding.
-    usable = (right > 0) & (error > F.col("all_q") * 1e-12) & (gain > F.col("all_q") * 1e-13)
-    split = F.when(usable, F.struct(gain.alias("gain"), (-F.col("f")).alias("f"), (-F.col("b")).alias("b")))
-    best = cells.withColumn("split", split).groupBy(*node).agg(
-        F.max("all_n").alias("n"), *[F.max(f"all_{s}").alias(s) for s in sums], F.max("split").alias("split"))
-    return best.select(*node, "n", *[(F.col(s) / F.col("n")).alias(f"m{i}") for i, s in enumerate(sums)],
-                       (-F.col("split.f")).alias("f"), (-F.col("split.b")).cast("smallint").alias("b"))
+    sums = ["n", *map(str, range(targets))]
+    parts = [F.sum("w").alias("n"), *[F.sum(F.col("w") * F.col(f"y{t}")).alias(str(t)) for t in range(targets)]]
+    kept = [f"all_{s}" for s in sums]
+    cells = rows.select(*NODE, "w", *[f"y{t}" for t in range(targets)], *kept, F.posexplode("bins").alias("f", "b")).groupBy(
+        *NODE, "f", "b").agg(*parts, *[F.max(c).alias(c) for c in kept])
+    up = Window.partitionBy(*NODE, "f").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = cells.withColumns({f"left_{s}": F.sum(s).over(up) for s in sums})
+    right = F.nullif(F.col("all_n") - F.col("left_n"), F.lit(0))
+    split_error, flat = F.lit(0.0), F.lit(0.0)
+    for t in range(targets):
+        left, whole = F.col(f"left_{t}"), F.col(f"all_{t}")
+        flat = flat + whole * whole / F.col("all_n")
+        split_error = split_error + left * left / F.col("left_n") + (whole - left) * (whole - left) / right
+    gain = split_error - flat
+    # Less is rounding, where all targets of a node are equal.
+    split = F.when(gain > flat * 1e-12, F.struct(
+        gain.alias("gain"), (-F.col("f")).alias("f"), (-F.col("b")).alias("b"), *[f"left_{s}" for s in sums]))
+    best = cells.withColumn("split", split).groupBy(*NODE).agg(*[F.max(c).alias(c) for c in kept], F.max("split").alias("split"))
+    return best.select(*NODE, *kept, (-F.col("split.f")).alias("f"), (-F.col("split.b")).cast("smallint").alias("b"),
+                       *[f"split.left_{s}" for s in sums])
+
+
+def children(rows: DataFrame, best: DataFrame, targets: int) -> DataFrame:
+    """The rows of nodes with a split under their new nodes."""
+    sums = ["n", *map(str, range(targets))]
+    splits = best.where("f IS NOT NULL").select(*NODE, "f", "b", *[f"left_{s}" for s in sums])
+    moved = rows.join(splits, [*NODE]).withColumn("right", F.col("bins")[F.col("f").cast("int")] > F.col("b"))
+    return moved.select(
+        "model", "tree", (F.col("node") * 2 + F.col("right").cast("int")).alias("node"), "depth", "w", "bins",
+        *[f"y{t}" for t in range(targets)],
+        *[F.when(F.col("right"), F.col(f"all_{s}") - F.col(f"left_{s}")).otherwise(F.col(f"left_{s}")).alias(f"all_{s}") for s in sums])
 
 
 def grow(rows: DataFrame, features: int, targets: int, settings: Settings, max_bins: int, seed: int) -> Forest:
@@ -118,24 +135,18 @@ def grow(rows: DataFrame, features: int, targets: int, settings: Settings, max_b
     start = rows.join(cuts, "model", "left").select(
         "model", "depth", "key", *ys, _bins(features).alias("bins"), F.explode(F.sequence(F.lit(0), F.col("trees").cast("int") - 1)).alias("tree"))
     start = start.withColumn("w", poisson_weight(F.xxhash64(F.lit(seed), "tree", "key"))).where("w > 0")
-    now = materialise(start.select("model", "tree", F.lit(1).cast("bigint").alias("node"), "depth", "w", "bins", *ys), "forest-level")
-    folder, level = fresh_path(spark, "forest-nodes"), 0
-    while True:
-        best = best_splits(now.repartition("model", "tree"), targets)
-        seen = Observation()
+    start = start.select("model", "tree", F.lit(1).cast("bigint").alias("node"), "depth", "w", "bins", *ys)
+    now = materialise(with_totals(start, targets), "forest-level")
+    deepest = max(d for _, d in settings.values())
+    folder, level, splits = fresh_path(spark, "forest-nodes"), 0, 1
+    while splits:
+        best, seen = best_splits(now.repartition("model", "tree"), targets), Observation()
         best.observe(seen, F.count("f").alias("splits")).write.parquet(f"{folder}/level={level}")
         best = spark.read.schema(best.schema).parquet(f"{folder}/level={level}")
-        if seen.get["splits"] == 0:
-            break
-        level += 1
-        child = F.col("node") * 2 + (F.col("bins")[F.col("f").cast("int")] > F.col("b")).cast("int")
-        moved = now.where(F.col("depth") > level - 1).join(
-            best.where("f IS NOT NULL").select("model", "tree", "node", "f", "b"), ["model", "tree", "node"])
-        now = materialise(moved.select("model", "tree", child.alias("node"), "depth", "w", "bins", *ys), "forest-level")
-        if level >= max(d for _, d in settings.values()):
-            last = best_splits(now.repartition("model", "tree"), targets)
-            last.write.parquet(f"{folder}/level={level}")
-            break
+        splits = seen.get["splits"] if level < deepest else 0
+        if splits:
+            now = materialise(children(now.where(F.col("depth") > level), best, targets), "forest-level")
+            level += 1
     nodes = spark.read.schema(T.StructType([*best.schema, T.StructField("level", T.IntegerType())])).parquet(folder)
     return _forest(nodes, cuts, targets, plan, level)
 
@@ -151,7 +162,7 @@ def _forest(nodes: DataFrame, cuts: DataFrame, targets: int, plan: DataFrame, de
     left = F.when(F.col("f").isNotNull(), (1 + 2 * F.coalesce(F.count("f").over(before), F.lit(0))).cast("int"))
     placed = nodes.withColumn("left", left).join(cuts, "model", "left")
     node = F.struct("node", "left", F.col("f").cast("int").alias("f"), F.col("cuts")[F.col("f")][F.col("b").cast("int")].alias("cut"),
-                    F.array(*[f"m{t}" for t in range(targets)]).alias("means"))
+                    F.array(*[F.col(f"all_{t}") / F.col("all_n") for t in range(targets)]).alias("means"))
     trees = placed.groupBy("model", "tree").agg(F.array_sort(F.collect_list(node)).alias("nodes"))
     trees = materialise(trees, "forest")
     models = tuple(sorted(r["model"] for r in trees.select("model").distinct().collect()))  # at most one a setting

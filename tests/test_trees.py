@@ -44,13 +44,13 @@ def test_best_splits_like_all_tries(spark):
     by = {}
     for r in frame.collect():
         by.setdefault((r["model"], r["tree"], r["node"]), []).append(r)
-    got = {(r["model"], r["tree"], r["node"]): r for r in trees.best_splits(frame, 2).collect()}
+    got = {(r["model"], r["tree"], r["node"]): r for r in trees.best_splits(trees.with_totals(frame, 2), 2).collect()}
     assert set(got) == set(by)
     for key, members in by.items():
         r, w = got[key], [m["w"] for m in members]
-        assert r["n"] == sum(w)
+        assert r["all_n"] == sum(w)
         for t in (0, 1):
-            assert r[f"m{t}"] == pytest.approx(np.average([m[f"y{t}"] for m in members], weights=w))
+            assert r[f"all_{t}"] == pytest.approx(np.dot([m[f"y{t}"] for m in members], w))
         assert (None if r["f"] is None else (r["f"], r["b"])) == split_slow(members)
 
 
