@@ -26,14 +26,15 @@ RAW_DESTINATION = {
 }
 
 
-def normalise_trips(raw: DataFrame, side: str) -> DataFrame:
-    """Raw trip rows of one side (``"in"`` or ``"out"``) with common names and types."""
+def normalise_trips(raw: DataFrame, side: str, kept: Sequence[str] = ()) -> DataFrame:
+    """Raw trip rows of one side (``"in"`` or ``"out"``) with common names and types; ``kept`` names
+    further columns that stay."""
     names = RAW_ORIGIN if side == "in" else RAW_DESTINATION
     out = raw.withColumnsRenamed(names)
     return out.withColumns({
         "date": clock.parse_date_text("CAST(date AS string)"),
         "trips": F.col("trips").cast("bigint"),
-    }).select("date", "hour_band", "stop_code", "station", "trips")
+    }).select("date", "hour_band", "stop_code", "station", "trips", *kept)
 
 
 def dedup_rows(df: DataFrame) -> DataFrame:

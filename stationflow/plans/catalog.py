@@ -14,11 +14,12 @@ from stationflow.functions.text import with_caption_datetime
 from stationflow.operators import (
     analysis, calendar, events, extract, features, flows, forests, indicators, serving, splits, weather,
 )
+from stationflow.operators.asof import as_of
 from stationflow.operators.planned_event import planned_event
 from stationflow.operators.shared import flag
 from stationflow.plans import standins as st
 from stationflow.session import fresh_path, materialise
-from stationflow.sources import readers, schemas, sinks
+from stationflow.sources import readers, schemas, sinks, typed
 
 Query = Callable[[SparkSession, str], DataFrame]
 CFG = ForecastConfig()
@@ -35,6 +36,10 @@ def all_queries() -> dict[str, Query]:
     return dict(_REGISTRY)
 
 
+def _mod_of(column: str, n: int) -> Column:
+    return F.pmod(F.col(column), F.lit(n))
+
+
 def _events(spark: SparkSession, sf: str) -> DataFrame:
     return st.table(spark, sf, "events")
 
@@ -204,6 +209,15 @@ def weather_forecast(spark, sf):
     return weather.weather_forecast(st.raw_predictions(_events(spark, sf)), CFG.zone)
 
 
+@query
+def weather_as_of(spark, sf):
+    """The prediction valid at the minute of every event, made for the same or an earlier time."""
+    ev = _events(spark, sf)
+    latest = weather.latest_predictions(st.raw_predictions(ev)).select("loc", "ts", "temperature", "clouds")
+    moments = ev.select("event_id", F.concat(F.lit("L"), F.col("user_id").cast("string")).alias("loc"), "ts")
+    return as_of(moments, latest, ["loc"], within_hours=11)
+
+
 # --- venue events ----------------------------------------------------------------------
 
 @query
@@ -417,6 +431,22 @@ def saved_forecasts(spark, sf):
     return sinks.read_forecasts(spark, path)
 
 
+@query
+def published_forecasts(spark, sf):
+    """A date's files are published twice, the second time with other figures, and then another
+    date's of one station; the first date's are read back."""
+    path, day = fresh_path(spark, "published"), date(2024, 2, 1)
+    flow = _flows(spark, sf).dropna(subset=["check_ins", "check_outs"]).select("station", "date", "hour", *[
+        F.col(t).alias(f"{t}_predicted") for t in forests.TARGETS])
+    more = flow.withColumns({f"{t}_predicted": F.col(f"{t}_predicted") + 1 for t in forests.TARGETS})
+    sinks.publish_forecasts(flow, path, day)
+    sinks.publish_forecasts(more, path, day)
+    sinks.publish_forecasts(flow.where(F.col("station") == STATIONS[0]), path, date(2024, 2, 2))
+    back = sinks.read_published(spark, path, day).withColumnsRenamed({new: old for old, new in sinks.PUBLISHED_NAMES.items()})
+    return back.select("station", F.col("date").cast("date").alias("date"), F.col("hour").cast("int").alias("hour"), *[
+        F.col(f"{t}_predicted").cast("bigint").alias(f"{t}_predicted") for t in forests.TARGETS])
+
+
 # --- reports and serving ---------------------------------------------------------------
 
 @query
@@ -457,6 +487,17 @@ def model_log(spark, sf):
     return serving.model_log(old, again.unionByName(other))
 
 
+@query
+def logged_runs(spark, sf):
+    """Three runs log through files: the second meets the first one's keys, the third has its own."""
+    path, metrics = fresh_path(spark, "log"), materialise(_metrics(spark, sf), "metrics")
+    fair, flat = metrics.where("run = 'fair'"), metrics.where("run = 'flat'")
+    runs = [(fair, CFG, MODEL_FEATURES), (flat, CFG, MODEL_FEATURES), (flat, CFG.with_(hours_before=2), ["hour"])]
+    for day, (rows, cfg, chosen) in enumerate(runs, 1):
+        sinks.save_model_log(serving.model_log_rows(rows, cfg, chosen), path, datetime(2024, 2, day))
+    return sinks.read_model_log(spark, path).withColumn("logged_at", F.to_date("logged_at"))
+
+
 @query
 def config_flags(spark, sf):
     out = serving.config_flags(st.config_documents(_events(spark, sf)))
@@ -490,6 +531,16 @@ def ticket_pages_to_events(spark, sf):
     return extract.ticket_pages_to_events(pages)
 
 
+@query
+def collected_events(spark, sf):
+    """Pages of events, some of them collected two and three times."""
+    path, page = fresh_path(spark, "collected"), _mod_of("ord", 50)
+    rows = st.raw_tickets(_events(spark, sf)).withColumn("source", F.concat(F.lit("page-"), page.cast("string")))
+    for day, pages in enumerate((30, 40, 50), 1):
+        sinks.append_events(rows.where(page < pages), path, datetime(2024, 2, day))
+    return sinks.read_events(spark, path, rows.schema)
+
+
 # --- scans: tables are written to the shared folder in the raw layout and read back ------
 
 def _landed(rows: DataFrame, day: str) -> DataFrame:
@@ -543,6 +594,23 @@ def scan_weather_any_extension(spark, sf):
     return readers.scan_weather(spark, path, schemas.OBSERVED_WEATHER, any_extension=True)
 
 
+@query
+def typed_trips(spark, sf):
+    """Raw days go into the typed layer once; some of them are landed anew and only these are
+    read again. Back come the last ten days."""
+    ev = _events(spark, sf)
+    raw, layer = fresh_path(spark, "trips-csv"), fresh_path(spark, "trips-typed")
+    trips = st.raw_trips(ev, "in", whole=True)
+    _land_csv(trips, raw)
+    typed.update_trips(spark, raw, layer, "part-", "in")
+    again = trips.where(F.substring("Datum", 9, 2).cast("int") % 7 == 0)
+    more = (F.col("AantalReizen").cast("bigint") + 1).cast("string")
+    _landed(again.withColumn("AantalReizen", more), "Datum").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("y", "m", "d").csv(raw, sep=";", header=True)
+    typed.update_trips(spark, raw, layer, "part-", "in")
+    return typed.read_trips(spark, layer, F.date_sub(st.last_day(ev), 9))
+
+
 def _csv_path(rows: DataFrame, name: str) -> str:
     path = fresh_path(rows.sparkSession, name)
     keep_spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
@@ -555,18 +623,31 @@ def scan_venue_events(spark, sf):
     return readers.scan_venue_events(spark, _csv_path(st.raw_sheet(_events(spark, sf)), "sheet-csv"))
 
 
+def _day_files(rows: DataFrame, name: str, *layouts: list) -> str:
+    """One file a day, the days by turns with one or the other layout of columns."""
+    path = fresh_path(rows.sparkSession, name)
+    for turn, columns in enumerate(layouts):
+        part = rows.where(F.dayofmonth(F.col("day").cast("date")) % len(layouts) == turn).select("day", *columns)
+        part.repartition("day").sortWithinPartitions("day", "ord").write.mode("append").partitionBy("day").options(
+            header=True, escape='"').csv(path)
+    return path
+
+
 @query
 def scan_social_events(spark, sf):
-    """With columns beside the used ones and the index first, as collected."""
-    rows = st.raw_social(_events(spark, sf)).select(
-        "ord", "venue", F.lit(1).alias("likes"), F.lit("a, \"b\"").alias("caption"), "event_date").coalesce(1)
-    return readers.scan_social_events(spark, _csv_path(rows, "social-csv"))
+    """With columns beside the used ones, in files that differ in them."""
+    rows = st.raw_social(_events(spark, sf)).withColumn("day", F.substring("event_date", 1, 10))
+    caption = F.lit("a, \"b\"\nc").alias("caption")
+    path = _day_files(rows, "social-csv", ["ord", "venue", F.lit(1).alias("likes"), caption, "event_date"],
+                      ["event_date", caption, "ord", "venue"])
+    return readers.scan_social_events(spark, path)
 
 
 @query
 def scan_ticketed_events(spark, sf):
-    rows = st.raw_tickets(_events(spark, sf)).select("venue", "datetime", "name", "ord").coalesce(1)
-    return readers.scan_ticketed_events(spark, _csv_path(rows, "tickets-csv"))
+    rows = st.raw_tickets(_events(spark, sf)).withColumn("day", F.substring("datetime", 1, 10))
+    path = _day_files(rows, "tickets-csv", ["venue", "datetime", "name", "ord"], ["ord", "name", F.lit(5).alias("price"), "venue", "datetime"])
+    return readers.scan_ticketed_events(spark, path)
 
 
 @query

@@ -430,9 +430,9 @@ round_even(r2, 3) AS "R-squared", round_even(mae, 3) AS "MAE", round_even(rmse,
 """
 
 
-def _log(run: str, before: int, on: str) -> str:
+def _log(run: str, before: int, on: str, more: str = "") -> str:
     settings = _SETTINGS.format(before=before, on=on)
-    return f"""SELECT station AS "Station", 'RandomForestRegressor' AS "Model", {settings} FROM metric WHERE run = '{run}'"""
+    return f"""SELECT station AS "Station", 'RandomForestRegressor' AS "Model", {settings}{more and ", " + more} FROM metric WHERE run = '{run}'"""
 
 
 BUSY = """
@@ -677,10 +677,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT event_id, NULL, NULL, NULL, NULL, NULL, NULL FROM events
             WHERE event_id % 31 = 0""",
         "scan_social_events": f"""
-            SELECT event_id AS ord, {ACCOUNTS}[user_id % 10 + 1] AS venue,
+            SELECT (dense_rank() OVER (ORDER BY CAST(ts AS DATE)) - 1) * 4294967296 + event_id AS ord, {ACCOUNTS}[user_id % 10 + 1] AS venue,
                    strftime(ts, '%Y-%m-%d %H:00:00') AS event_date FROM events""",
         "scan_ticketed_events": f"""
-            SELECT event_id AS ord, 'Show ' || event_id AS name,
+            SELECT (dense_rank() OVER (ORDER BY CAST(ts AS DATE)) - 1) * 4294967296 + event_id AS ord, 'Show ' || event_id AS name,
                    replace({VENUES}[user_id % 15 + 1], 'Royal Theater Carré', 'Koninklijk Theater Carre') AS venue,
                    strftime(ts, '%Y-%m-%dT%H:00:00Z') AS datetime FROM events""",
         "scan_measures": """
@@ -706,6 +706,26 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT *, CASE WHEN station = 'Centraal Station' THEN 0 ELSE 1 END AS more,
                          CASE WHEN station = 'Centraal Station' THEN TIMESTAMP '2024-02-02 06:00:00'
                               ELSE TIMESTAMP '2024-02-01 09:00:00' END AS run_ts FROM flow WHERE {complete})""",
+        "published_forecasts": flow + f"""
+            SELECT station, date, hour, check_ins + 1 AS check_ins_predicted, check_outs + 1 AS check_outs_predicted
+            FROM flow WHERE {complete}""",
+        "logged_runs": _with(FLOWS, METRICS) + _log("fair", 3, "true", "DATE '2024-02-01' AS logged_at")
+            + " UNION ALL " + _log("flat", 2, "false", "DATE '2024-02-03' AS logged_at"),
+        "typed_trips": """
+            SELECT CAST(ts AS DATE) AS date, strftime(ts, '%H:00 - %H:59') AS hour_band, 'S' || user_id AS stop_code,
+                   ['Centraal Station', 'Station Zuid', 'Station Bijlmer ArenA'][user_id % 3 + 1] AS station,
+                   CAST(round(value * 100) AS BIGINT) + CASE WHEN day(ts) % 7 = 0 THEN 1 ELSE 0 END AS trips
+            FROM events WHERE CAST(ts AS DATE) > (SELECT max(CAST(ts AS DATE)) - 10 FROM events)""",
+        "collected_events": f"""
+            SELECT event_id AS ord, 'Show ' || event_id AS name, 'page-' || event_id % 50 AS source,
+                   replace({VENUES}[user_id % 15 + 1], 'Royal Theater Carré', 'Koninklijk Theater Carre') AS venue,
+                   strftime(ts, '%Y-%m-%dT%H:00:00Z') AS datetime FROM events""",
+        "weather_as_of": "WITH " + _predicted("'L' || user_id") + """,
+            asked AS (SELECT e.event_id, 'L' || e.user_id AS loc, e.ts, b.t, b.temperature, b.clouds
+                      FROM events e ASOF LEFT JOIN best b ON 'L' || e.user_id = b.loc AND e.ts >= b.t)
+            SELECT event_id, loc, ts, CASE WHEN ts <= t + INTERVAL 11 HOURS THEN t END AS found_ts,
+                   CASE WHEN ts <= t + INTERVAL 11 HOURS THEN temperature END AS temperature,
+                   CASE WHEN ts <= t + INTERVAL 11 HOURS THEN clouds END AS clouds FROM asked""",
         "imputed_flows": flow + """
             SELECT station, date, hour, check_ins, check_outs, CAST(check_ins IS NULL AS INTEGER) AS filled_check_ins,
                    CAST(check_outs IS NULL AS INTEGER) AS filled_check_outs,

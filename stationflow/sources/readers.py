@@ -14,13 +14,13 @@ from stationflow.sources import schemas
 from stationflow.sources.lines import files_below, scan_gzip_lines
 
 
-def _named(rows: DataFrame, schema: str) -> DataFrame:
-    """The schema's columns by name, cast to its types; what does not fit becomes null."""
+def _named(rows: DataFrame, schema: str, *more: Column) -> DataFrame:
+    """The schema's columns by name, cast to its types; what does not fit becomes null. And more columns."""
     fields = StructType.fromDDL(schema).fields
     lost = [f.name for f in fields if f.name.lower() not in {c.lower() for c in rows.columns}]
     if lost:
         raise ValueError(f"columns {lost} are not in the header {rows.columns}")
-    return rows.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in fields])
+    return rows.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in fields], *more)
 
 
 def _csv(spark: SparkSession, path, schema: str, **options) -> DataFrame:
@@ -98,6 +98,13 @@ def scan_trips_csv(spark: SparkSession, root: str, prefix: str, side: str,
     return _csv(spark, [f"{d}/{prefix}*.csv" for d in day_folders(root, from_date, to_date)], schema, sep=";")
 
 
+def scan_trips_folders(spark: SparkSession, folders: list[str], prefix: str, side: str) -> DataFrame:
+    """The trip CSVs of given folders, with the path of each row's file in ``_file``."""
+    schema = schemas.ORIGIN_TRIPS if side == "in" else schemas.DESTINATION_TRIPS
+    read = spark.read.options(header=True, enforceSchema=False, sep=";", pathGlobFilter=f"{prefix}*.csv").csv(folders)
+    return _named(read, schema, F.col("_metadata.file_path").alias("_file"))
+
+
 def scan_trips_json(spark: SparkSession, root: str, side: str,
                     from_date: date | None = None, to_date: date | None = None) -> DataFrame:
     """Gzipped JSON lines under ``root/<year>/<month>/<day>/``."""

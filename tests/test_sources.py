@@ -5,11 +5,12 @@ import gzip
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from stationflow.config import PUBLISHED_KEYS, ForecastConfig
 from stationflow.operators import extract, serving
 from stationflow.session import materialise, run_folder, shared_dir
-from stationflow.sources import readers, sinks
+from stationflow.sources import lines, readers, sinks, typed, versions
 
 HEADER = "Datum;UurgroepOmschrijving (van vertrek);VertrekHalteCode;VertrekHalteNaam;AantalReizen\n"
 
@@ -146,8 +147,33 @@ def test_model_log_keeps_the_old_row(spark, tmp_path):
     sinks.save_model_log(serving.model_log_rows(metric(spark, 0.4), CFG.with_(use_cases=False), []), path, dt.datetime(2022, 1, 3))
     log = sinks.read_model_log(spark, path)
     assert sorted(r["R-squared"] for r in log.collect()) == [0.4, 0.812]
-    assert sorted(r["R-squared"] for r in sinks.read_model_log(spark, path, "latest").collect()) == [0.4, 0.5]
     assert set(PUBLISHED_KEYS) <= set(log.columns)
+    sinks.save_model_log(serving.model_log_rows(metric(spark, 0.6), CFG, ["global_radiation"]), path, dt.datetime(2022, 1, 4), "latest")
+    assert sorted(r["R-squared"] for r in sinks.read_model_log(spark, path).collect()) == [0.4, 0.6]
+    assert len(log.collect()) == 2  # the version that was read before is still there
+    assert versions.current_version(spark, path) == 4
+
+
+def test_log_before_the_first_run_is_empty(spark, tmp_path):
+    log = sinks.read_model_log(spark, str(tmp_path / "none"))
+    assert log.count() == 0 and "R-squared" in log.columns
+
+
+def test_tables_are_replaced_whole(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), spark.range(1).schema
+    assert versions.read_table(spark, path, schema).count() == 0
+    for n in range(3):
+        versions.replace_table(versions.read_table(spark, path, schema).union(spark.range(n, n + 1)), path, n)
+    assert sorted(r["id"] for r in versions.read_table(spark, path, schema).collect()) == [0, 1, 2]
+    # A run that read an older version does not undo the later ones.
+    with pytest.raises(RuntimeError, match="another run"):
+        versions.replace_table(spark.range(9, 10), path, 2)
+    # A marker being written, and data without a marker, are not seen.
+    (tmp_path / "t" / "0000000004.version").write_text("data-half")
+    spark.range(5).write.parquet(str(tmp_path / "t" / "data-lost"))
+    assert versions.read_table(spark, path, schema).count() == 3
+    folders = [f.name for f in (tmp_path / "t").iterdir() if f.name.startswith("data-") and f.name != "data-lost"]
+    assert len(folders) == 2
 
 
 def test_model_log_operator_latest(spark):
@@ -189,16 +215,46 @@ def test_forecasts_are_saved_by_station_and_served_from_the_newest_run(spark, tm
     assert {(r["station"], r["total"], r["crowded"]) for r in out.collect()} == {
         ("Centraal Station", 9000.0, 1), ("Station Zuid", 6000.0, 1)}
     assert serving.forecast_serving(spark.read.parquet(path), dt.date(2022, 1, 5), station="Station Zuid").count() == 1
-    sinks.export_forecasts_csv(run("Station Zuid", 2000.0), str(tmp_path / "csv"))
-    exported = spark.read.csv(str(tmp_path / "csv"), header=True)
-    assert {"datetime", "check-ins_predicted", "check-outs_predicted", "station"} <= set(exported.columns)
 
 
-def test_collected_events_are_appended(spark, tmp_path):
-    df = spark.createDataFrame([("a", "X", "t")], "name string, venue string, datetime string")
-    for _ in range(2):
-        sinks.append_events(df, str(tmp_path / "e"))
-    assert spark.read.parquet(str(tmp_path / "e")).count() == 2
+def test_published_files_are_sorted_and_replaced(spark, tmp_path):
+    path, day = str(tmp_path / "csv"), dt.date(2022, 1, 5)
+
+    def run(n):
+        rows = [(s, day + dt.timedelta(h // 24), h % 24, float(h + n), 1.0) for h in range(47, -1, -1) for s in ("Zuid", "A & B/C")]
+        return spark.createDataFrame(rows, "station string, date date, hour int, check_ins_predicted double, "
+                                           "check_outs_predicted double").repartition(5)
+
+    for n in (0, 100):
+        sinks.publish_forecasts(run(n), path, day)
+    sinks.publish_forecasts(run(7).where("station = 'Zuid'"), path, day + dt.timedelta(1))
+    got = sinks.read_published(spark, path, day).collect()
+    assert len(got) == 96 and {r["station"] for r in got} == {"Zuid", "A & B/C"}
+    assert {"datetime", "check-ins_predicted", "check-outs_predicted"} <= set(got[0].asDict())
+    files = sorted(f.name for f in (tmp_path / "csv" / "station=Zuid").iterdir() if f.name.endswith(".csv"))
+    assert files == ["prediction_next_week_Jan-05-2022.csv", "prediction_next_week_Jan-06-2022.csv"]
+    lines = (tmp_path / "csv" / "station=Zuid" / files[0]).read_text().splitlines()
+    assert [float(x.split(",")[2]) for x in lines[1:]] == [100.0 + h for h in range(48)]
+    assert not [f for f in (tmp_path / "csv").iterdir() if f.name.startswith(".writing")]
+
+
+def test_collected_events_come_once(spark, tmp_path):
+    path = str(tmp_path / "e")
+
+    def page(*rows):
+        return spark.createDataFrame(rows, "source string, name string, venue string")
+
+    schema = page(("", "", "")).schema
+    assert sinks.read_events(spark, path, schema).count() == 0
+    first = page(("p0", "a", "X"), ("p0", "a", "X"), ("p1", "b", "Y"))
+    for hour in (1, 2):
+        sinks.append_events(first, path, dt.datetime(2022, 1, 1, hour))
+    sinks.append_events(first.union(page(("p2", "c", "Z"))), path, dt.datetime(2022, 1, 1, 3))
+    # A run that wrote its events but ended before the ledger; then the page comes again.
+    page(("p3", "d", "Z")).withColumn("batch", F.lit("20220101T040000-x")).write.mode("append").partitionBy("batch").parquet(f"{path}/events")
+    sinks.append_events(page(("p3", "d", "Z")), path, dt.datetime(2022, 1, 1, 5))
+    got = sorted(tuple(r) for r in sinks.read_events(spark, path, schema).collect())
+    assert got == [("p0", "a", "X"), ("p0", "a", "X"), ("p1", "b", "Y"), ("p2", "c", "Z"), ("p3", "d", "Z")]
 
 
 # --- shared folder -----------------------------------------------------------------------------
@@ -245,3 +301,64 @@ def test_tables_of_a_run_are_removed_at_its_end(spark):
         assert [f for f in spark.read.parquet(f"{folder}/t-*").inputFiles()]
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(f"{folder}/t-*")
+
+
+# --- typed layer ---------------------------------------------------------------------------------
+
+def test_typed_layer_reads_changed_days_only(spark, tmp_path):
+    raw, layer = tmp_path / "raw", str(tmp_path / "typed")
+    folders = [f"2021/{d}" for d in ("01/31", "02/01", "02/02")]
+
+    def land(folder, n):
+        day = folder.replace("/", "-")
+        put(raw / folder / "Origin_a.csv", HEADER + "".join(f"{day};{h:02d}:00 - {h:02d}:59;S1;Zuid;{n + h}\n" for h in range(3)))
+        put(raw / folder / "Destination_a.csv", "x\n")
+
+    for f in folders:
+        land(f, 10)
+    assert typed.update_trips(spark, str(raw), layer, "Origin", "in") == folders
+    assert typed.update_trips(spark, str(raw), layer, "Origin", "in") == []
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "typed").rglob("*.parquet")}
+    land("2021/02/02", 50)
+    land("2021/02/03", 70)
+    assert typed.update_trips(spark, str(raw), layer, "Origin", "in") == ["2021/02/02", "2021/02/03"]
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "typed").rglob("*.parquet")}
+    assert len([p for p in before if after.get(p) == before[p]]) == 2  # the other days' files
+    rows = typed.read_trips(spark, layer)
+    assert sorted((str(r["date"]), r["trips"]) for r in rows.collect()) == [
+        (d, n + h) for d, n in (("2021-01-31", 10), ("2021-02-01", 10), ("2021-02-02", 50), ("2021-02-03", 70)) for h in range(3)]
+    part = typed.read_trips(spark, layer, dt.date(2021, 2, 1), dt.date(2021, 2, 2))
+    assert part.count() == 6
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull" in plan or "PartitionFilters: [(make_date" in plan
+    assert len(part.where("trips > 0").inputFiles()) >= 2 and "make_date(year" in plan
+
+
+# --- gzip streams ----------------------------------------------------------------------------------
+
+def test_unzipping_in_pieces():
+    text = b"".join(b"line %d\n" % i for i in range(300_000)) + b"z" * 9_000_000 + b"\nend"
+    packed = gzip.compress(text[:1_000_000]) + gzip.compress(text[1_000_000:]) + b"\0" * 7
+    for size in (1, 1000, 1 << 20):
+        cut = packed if size > 1 else packed[:0] + gzip.compress(b"a\n\nb\r\nc")
+        pieces = [cut[i:i + size] for i in range(0, len(cut), size)]
+        content = b"".join(lines.unzipped(iter(pieces)))
+        assert content == (text if size > 1 else b"a\n\nb\r\nc")
+        found = [x for part in lines.lines(lines.unzipped(iter(pieces))) for x in part]
+        assert found == [x.decode() for x in content.replace(b"\r", b"").split(b"\n") if x]
+    with pytest.raises(EOFError):
+        list(lines.unzipped(iter([packed[:100_000]])))
+    assert list(lines.lines(lines.unzipped(iter([])))) == []
+
+
+def test_many_event_files_are_one_scan(spark, tmp_path):
+    for i in range(40):
+        names = ["ord", "venue", "event_date", f"other{i}"][:: 1 if i % 2 else -1]
+        row = {"ord": "0", "venue": f"v{i}", "event_date": "2022-03-06 20:30:00", f"other{i}": "x"}
+        put(tmp_path / f"{i:02d}.csv", ",".join(names) + "\n" + ",".join(row[n] for n in names) + "\n")
+    out = readers.scan_social_events(spark, str(tmp_path))
+    assert [tuple(r) for r in out.orderBy("ord").collect()] == [(i << 32, f"v{i}", "2022-03-06 20:30:00") for i in range(40)]
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan csv") == 2  # rows and headers
+    put(tmp_path / "99.csv", "a,b\n1,2\n")
+    with pytest.raises(Exception, match="no header with"):
+        readers.scan_social_events(spark, str(tmp_path)).collect()
