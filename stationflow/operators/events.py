@@ -180,9 +180,8 @@ def venue_distances(spark, stations: Sequence[str] = tuple(STATION_POINTS),
     return points.select("venue", "station", km.alias("distance_km"))
 
 
-def unknown_venues(events: DataFrame) -> DataFrame:
-    """Events per venue without coordinates; these keep a null distance."""
-    return events.where(~F.col("venue").isin(*VENUES)).groupBy("venue").agg(
-        F.count("*").alias("events"))
-
-
+def unknown_venues() -> dict[str, Column]:
+    """Aggregates of events: how many are at venues without coordinates, which keep a null
+    distance, and the venues' names."""
+    unknown = ~F.col("venue").isin(*VENUES)
+    return {"events": F.count_if(unknown), "venues": F.sort_array(F.collect_set(F.when(unknown, F.col("venue"))))}

@@ -83,6 +83,43 @@ def ticket_pages_to_events(pages: DataFrame) -> DataFrame:
     ).dropDuplicates()
 
 
+# Where a ticketed event holds what is taken from it, most usual place first.
+TICKET_PATHS = {
+    "name": ("$.name",),
+    "venue": ("$._embedded.venues[0].name", "$._embedded.venues.name"),
+    "address": ("$._embedded.venues[0].address.line1", "$._embedded.venues.address.line1"),
+    "datetime": ("$.dates.start.dateTime",),
+}
+TICKET_FIELDS = ("name", "dates", "_embedded")
+
+
+def drifting_ticket_pages(documents: DataFrame, column: str = "document") -> DataFrame:
+    """name, venue, datetime, unknown, misfits for each event of pages whose shape drifts.
+
+    The pages are read as VARIANT, without a fixed schema: a value is found at any of its places
+    and under any type that can be written as text. ``unknown`` lists fields that nothing is
+    taken from, ``misfits`` the values that are there but are no text (an object, a list), so
+    neither gets lost unseen. A document that is no JSON, null or empty gives one row with the
+    misfit ``document``, a page without events none. Repeated pages and events each give their
+    rows.
+    """
+    page = documents.select(F.try_parse_json(F.coalesce(F.col(column), F.lit(""))).alias("page"))
+    events = F.when(F.col("page").isNull(), F.array(F.lit(None).cast("variant"))).otherwise(
+        F.try_variant_get("page", "$._embedded.events", "array<variant>"))
+    event = page.select(F.col("page").isNull().alias("broken"), F.explode(events).alias("e"))
+
+    held = {n: F.coalesce(*[F.try_variant_get("e", path, "variant") for path in paths]) for n, paths in TICKET_PATHS.items()}
+    typed = event.select("broken", "e", *[v.alias(f"_{n}") for n, v in held.items()])
+    nested = {n: F.coalesce(F.schema_of_variant(f"_{n}").rlike("^(OBJECT|ARRAY)<"), F.lit(False)) for n in held}
+    typed = typed.withColumns({n: F.when(~nested[n], F.try_variant_get(f"_{n}", "$", "string")) for n in held})
+    keys = F.map_keys(F.try_variant_get("e", "$", "map<string, variant>"))
+    unknown = F.array_sort(F.array_except(keys, F.array(*map(F.lit, TICKET_FIELDS))))
+    misfits = F.array_compact(F.array(F.when(F.col("broken"), "document"), *[F.when(nested[n], n) for n in held]))
+    venue = F.coalesce(F.try_element_at(text_map(ADDRESS_VENUES), F.col("address")), F.col("venue"))
+    return typed.select("name", venue.alias("venue"), "datetime", F.coalesce(unknown, F.array().cast("array<string>")).alias("unknown"),
+                        misfits.alias("misfits"))
+
+
 def link_extract(pages: DataFrame, pattern: str = MEASURES_LINK, column: str = "html") -> DataFrame:
     """Adds the first link that fits, the number of links and whether there is one."""
     return pages.withColumns({

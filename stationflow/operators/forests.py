@@ -24,7 +24,7 @@ def _x(features: Sequence[str]) -> Column:
     return F.array(*[F.col(f).cast("double") for f in features])
 
 
-def _complete(rows: DataFrame, features: Sequence[str]) -> Column:
+def _complete(features: Sequence[str]) -> Column:
     """All features are known."""
     known = F.lit(True)
     for f in features:
@@ -57,7 +57,7 @@ def impute(rows: DataFrame, cfg: ForecastConfig, complete_over: Sequence[str] |
     learn = learn.join(gaps.select(F.col("__model").alias("model")).distinct(), "model", "left_semi")
     settings = {f"{t} {s}": cfg.forest_of(s) for s in cfg.stations for t in TARGETS}
     forest = trees.grow(learn, len(shared) + 1, 1, settings, cfg.max_bins, cfg.seed)
-    asked = gaps.where(_complete(gaps, shared)).select(F.col("__model").alias("model"), F.col("__id").alias("id"), F.col("__x").alias("x"))
+    asked = gaps.where(_complete(shared)).select(F.col("__model").alias("model"), F.col("__id").alias("id"), F.col("__x").alias("x"))
     filled = gaps.join(trees.predict(forest, asked).withColumnRenamed("id", "__id"), "__id", "left")
     # The cast cuts fractions off.
     filled = filled.withColumns({t: F.when(gap[t], F.col("p0").cast("bigint")).otherwise(F.col(t)) for t in TARGETS})
@@ -86,9 +86,6 @@ def predict(forest: trees.Forest, rows: DataFrame, features: Sequence[str]) -> D
     return complete.join(found, "__id").drop("__id")
 
 
-def incomplete(rows: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Rows per station that a forecast must leave out."""
-    missing = F.lit(False)
-    for f in features:
-        missing = missing | F.col(f).isNull()
-    return rows.groupBy("station").agg(F.count_if(missing).alias("left_out"))
+def incomplete(features: Sequence[str], stations: Sequence[str]) -> dict[str, Column]:
+    """Aggregates: for each station the rows that a forecast must leave out."""
+    return {s: F.count_if(~_complete(features) & (F.col("station") == s)) for s in stations}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Sequence
 from datetime import date
 
@@ -38,17 +37,21 @@ def measure_columns(raw: DataFrame, country: str) -> dict[str, str]:
     return {name: name for name in measure_names(raw, country)}
 
 
+def unlisted(country: str, measures: dict[str, str]) -> Column:
+    """Aggregate: the country's measures that have no column, of a published list of kinds."""
+    known = F.col("Response_measure").isin(*measures) if measures else F.lit(False)
+    return F.sort_array(F.collect_set(F.when((F.col("Country") == country) & ~known, F.col("Response_measure"))))
+
+
 def measures_daily(raw: DataFrame, country: str, measures: dict[str, str], as_of: Column | date) -> DataFrame:
     """One row per date with any active measure, one 0/1 column per measure.
 
     ``measures`` maps measure names to column names, so the schema is known beforehand;
-    :func:`measure_columns` makes it from the data. A warning names measures it lacks.
+    :func:`measure_columns` makes it from the data, :func:`unlisted` finds what it lacks.
     Intervals are not expanded: starts count +1 and ends -1 per (measure, date), the
     running sum over dates tells where a measure is on, and only those stretches are
     laid out in days. The shuffle carries at most two rows per measure and date.
     """
-    if unlisted := sorted(set(measure_names(raw, country)) - set(measures)):
-        warnings.warn(f"measures without a column are left out: {', '.join(unlisted)}", stacklevel=2)
     if not measures:
         return raw.select(F.col("date_start").alias("date")).where(F.lit(False))
     end = F.coalesce("date_end", as_of if isinstance(as_of, Column) else F.lit(as_of))

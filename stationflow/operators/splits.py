@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -61,3 +61,8 @@ def forecast_metrics(rows: DataFrame, keys: Sequence[str] = ("station",),
 def quality_gate(metrics: DataFrame, least_r2: float = 0.7) -> DataFrame:
     """Models whose R2 is below the line."""
     return metrics.where(F.col("r2") < least_r2)
+
+
+def below_line(least_r2: float = 0.7) -> Column:
+    """Aggregate of metrics: station and R2 of the models that the gate holds."""
+    return F.collect_list(F.when(F.col("r2") < least_r2, F.struct("station", "r2")))

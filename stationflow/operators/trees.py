@@ -92,7 +92,9 @@ def best_splits(rows: DataFrame, targets: int) -> DataFrame:
     kept = [f"all_{s}" for s in sums]
     cells = rows.select(*NODE, "w", *[f"y{t}" for t in range(targets)], *kept, F.posexplode("bins").alias("f", "b")).groupBy(
         *NODE, "f", "b").agg(*parts, *[F.max(c).alias(c) for c in kept])
-    up = Window.partitionBy(*NODE, "f").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Sorting goes by one number first, which tells nearly all nodes apart.
+    cells = cells.withColumn("h", F.xxhash64(*NODE))
+    up = Window.partitionBy("h", *NODE, "f").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cells = cells.withColumns({f"left_{s}": F.sum(s).over(up) for s in sums})
     right = F.nullif(F.col("all_n") - F.col("left_n"), F.lit(0))
     split_error, flat = F.lit(0.0), F.lit(0.0)
@@ -104,7 +106,7 @@ def best_splits(rows: DataFrame, targets: int) -> DataFrame:
     # Less is rounding, where all targets of a node are equal.
     split = F.when(gain > flat * 1e-12, F.struct(
         gain.alias("gain"), (-F.col("f")).alias("f"), (-F.col("b")).alias("b"), *[f"left_{s}" for s in sums]))
-    best = cells.withColumn("split", split).groupBy(*NODE).agg(*[F.max(c).alias(c) for c in kept], F.max("split").alias("split"))
+    best = cells.withColumn("split", split).groupBy("h", *NODE).agg(*[F.max(c).alias(c) for c in kept], F.max("split").alias("split"))
     return best.select(*NODE, *kept, (-F.col("split.f")).alias("f"), (-F.col("split.b")).cast("smallint").alias("b"),
                        *[f"split.left_{s}" for s in sums])
 

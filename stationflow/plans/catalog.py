@@ -392,15 +392,22 @@ def imputed_flows(spark, sf):
 
 @query
 def trained_scores(spark, sf):
-    """Test rows per station and what any honest score meets."""
+    """Test rows per station, what any honest score meets, and whether the forest explains more
+    than the station's mean for the weekday and hour does."""
     rows = _complete_rows(spark, sf)
     matrix = features.feature_matrix(rows, MODEL_FEATURES)
     labelled = materialise(splits.split_labels(matrix), "labelled", ("station",))
     models = forests.train(labelled.where("split <> 'test'"), MODEL_FEATURES, CFG)
-    scored = forests.predict(models, labelled.where("split = 'test'"), MODEL_FEATURES)
-    return splits.forecast_metrics(scored).select(
+    learnt, test = labelled.where("split <> 'test'"), labelled.where("split = 'test'")
+    profile = learnt.groupBy("station", "weekday", "hour").agg(*[F.avg(t).alias(f"{t}_hourly") for t in forests.TARGETS])
+    level = learnt.groupBy("station").agg(*[F.avg(t).alias(f"{t}_mean") for t in forests.TARGETS])
+    plain = test.join(level, "station").join(profile, ["station", "weekday", "hour"], "left").withColumns({
+        f"{t}_predicted": F.coalesce(f"{t}_hourly", f"{t}_mean") for t in forests.TARGETS})
+    plain = splits.forecast_metrics(plain).select("station", F.col("r2").alias("plain_r2"))
+    return splits.forecast_metrics(forests.predict(models, test, MODEL_FEATURES)).join(plain, "station").select(
         "station", "n", flag(F.col("r2") <= 1).alias("r2_valid"), flag(F.col("mae") >= 0).alias("mae_valid"),
-        flag(F.col("rmse") >= F.col("mae") - 1e-9).alias("rmse_valid"))
+        flag(F.col("rmse") >= F.col("mae") - 1e-9).alias("rmse_valid"),
+        flag(F.col("r2") > F.col("plain_r2")).alias("beats_profile"))
 
 
 @query
@@ -474,7 +481,7 @@ def forecast_serving(spark, sf):
     forecasts = forecasts.select(
         "station", "run_ts", "date", "hour", (F.col("check_ins") + shift).alias("check_ins_predicted"),
         (F.col("check_outs") + shift).alias("check_outs_predicted"))
-    return serving.forecast_serving(forecasts, date(2024, 1, 15))
+    return serving.forecast_serving(forecasts, st.last_day(_events(spark, sf)))
 
 
 @query
@@ -541,6 +548,13 @@ def collected_events(spark, sf):
     return sinks.read_events(spark, path, rows.schema)
 
 
+@query
+def drifting_ticket_pages(spark, sf):
+    """Pages whose fields come, go and change their types."""
+    out = extract.drifting_ticket_pages(st.drifting_documents(_events(spark, sf)))
+    return out.withColumns({c: F.array_join(c, ",") for c in ("unknown", "misfits")})
+
+
 # --- scans: tables are written to the shared folder in the raw layout and read back ------
 
 def _landed(rows: DataFrame, day: str) -> DataFrame:

@@ -14,7 +14,7 @@ from stationflow.operators import calendar, events, features, flows, forests, in
 from stationflow.operators.serving import model_log_rows
 from stationflow.operators.shared import fixed_table
 from stationflow.operators.trees import Forest
-from stationflow.session import materialise, run_folder
+from stationflow.session import materialise, materialise_counted, run_folder
 from stationflow.sources import sinks
 from stationflow.sources.readers import Sources
 
@@ -40,9 +40,13 @@ def prepare(src: Sources, cfg: ForecastConfig, as_of: date, measures: dict[str,
     ins, outs = flows.normalise_trips(src.ins, "in"), flows.normalise_trips(src.outs, "out")
     hourly = flows.hourly_flows(ins, outs)
     hourly = calendar.calendar_features(hourly, cfg.stations)
-    unified = materialise(events.events_unified(src.sheet, src.posts, src.tickets, cfg), "events")
-    for row in events.unknown_venues(unified).collect():  # venues without coordinates, a short list
-        warnings.warn(f"{row['events']} events at {row['venue']}, a venue without coordinates", stacklevel=2)
+    unified, seen = materialise_counted(
+        events.events_unified(src.sheet, src.posts, src.tickets, cfg), "events", events.unknown_venues())
+    if seen["events"]:
+        warnings.warn(f"{seen['events']} events at venues without coordinates: {', '.join(seen['venues'])}", stacklevel=2)
+    typed, seen = materialise_counted(src.measures, "measures-typed", {"names": indicators.unlisted(cfg.country, measures)})
+    if seen["names"] and cfg.use_measures:
+        warnings.warn(f"measures without a column are left out: {', '.join(seen['names'])}", stacklevel=2)
     scored = events.events_normalized(unified).withColumns({
         "visitors": F.col("visitors_normalized"),
         "ord": F.col("source_rank").cast("bigint") * (1 << 56) + F.col("ord")})
@@ -56,7 +60,7 @@ def prepare(src: Sources, cfg: ForecastConfig, as_of: date, measures: dict[str,
         weather=weather.weather_history(src.weather, cfg.weather_station, cfg.zone, cfg.weather_hour_mode),
         stringency=indicators.stringency_series(
             indicators.stringency_records(src.stringency, cfg.country_code), cfg.stringency_horizon_days),
-        measures=indicators.measures_daily(src.measures, cfg.country, measures, as_of),
+        measures=indicators.measures_daily(typed, cfg.country, measures, as_of),
         cases=indicators.cases_deaths(src.cases, cfg.geo_id, cfg.case_date_format),
         holidays=indicators.holiday_calendar(years),
         vacations=indicators.vacation_calendar(src.school_years, cfg.vacation_shift_days),
@@ -98,9 +102,9 @@ def train_and_score(rows: DataFrame, model_features: list[str], cfg: ForecastCon
     labelled = materialise(splits.split_labels(matrix), "labelled", ("station",))
     trial = forests.train(labelled.where("split <> 'test'"), model_features, cfg)
     scored = forests.predict(trial, labelled.where("split = 'test'"), model_features)
-    metrics = materialise(splits.forecast_metrics(scored), "metrics")
-    for row in splits.quality_gate(metrics).select("station", "r2").collect():  # at most one per station
-        warnings.warn(f"model for {row['station']} shows unexpected performance: R2 {row['r2']:.3f}", stacklevel=2)
+    metrics, seen = materialise_counted(splits.forecast_metrics(scored), "metrics", {"low": splits.below_line()})
+    for station, r2 in seen["low"]:  # at most one per station
+        warnings.warn(f"model for {station} shows unexpected performance: R2 {r2:.3f}", stacklevel=2)
     final = forests.train(labelled, model_features, cfg)
     return Trained(final, metrics, model_log_rows(metrics, cfg, model_features))
 
@@ -111,10 +115,12 @@ def forecast(trained: Trained, history: DataFrame, dims: features.Dimensions, mo
 
     Warns about hours that lack a feature and about stations without a model.
     """
-    future = materialise(features.future_features(history, dims, cfg, as_of, model_features), "future")
-    for row in forests.incomplete(future, model_features).where("left_out > 0").collect():  # one a station
-        warnings.warn(f"{row['left_out']} hours of {row['station']} lack a feature and get no forecast", stacklevel=2)
+    future, left_out = materialise_counted(
+        features.future_features(history, dims, cfg, as_of, model_features), "future",
+        forests.incomplete(model_features, cfg.stations))
     for station in cfg.stations:
+        if left_out[station]:
+            warnings.warn(f"{left_out[station]} hours of {station} lack a feature and get no forecast", stacklevel=2)
         if station not in trained.models.models:
             warnings.warn(f"{station} has no rows to learn from and gets no forecast", stacklevel=2)
     return forests.predict(trained.models, future, model_features)
@@ -143,4 +149,6 @@ def run_forecast(src: Sources, cfg: ForecastConfig, as_of: datetime, measures: d
         sinks.save_model_log(trained.log_rows, f"{out}/model-log", as_of)
         sinks.save_config(spark, cfg, f"{out}/config")
     saved = sinks.read_forecasts(spark, f"{out}/forecasts", newest=False)
-    return saved.where(F.col("run_ts") == F.lit(as_of).cast("timestamp_ntz")).drop("run_ts", "run_date")
+    saved = saved.where(F.col("run_ts") == F.lit(as_of).cast("timestamp_ntz")).drop("run_ts", "run_date")
+    sinks.publish_forecasts(saved, f"{out}/published", as_of.date())
+    return saved

@@ -647,7 +647,7 @@ def oracle_sql() -> dict[str, str]:
                           ELSE TIMESTAMP '2024-02-02 06:00:00' END AS run_ts,
                      CASE station WHEN 'Centraal Station' THEN 8845 WHEN 'Station Zuid' THEN 5428 ELSE 3562 END
                      AS threshold
-              FROM flow WHERE {complete} AND date = DATE '2024-01-15')
+              FROM flow WHERE {complete} AND date = (SELECT max(CAST(ts AS DATE)) FROM events))
             SELECT station, run_ts, date, hour, check_ins + shift AS check_ins_predicted,
                    check_outs + shift AS check_outs_predicted, CAST(threshold AS BIGINT) AS threshold,
                    check_ins + check_outs + 2 * shift AS total,
@@ -716,6 +716,15 @@ def oracle_sql() -> dict[str, str]:
                    ['Centraal Station', 'Station Zuid', 'Station Bijlmer ArenA'][user_id % 3 + 1] AS station,
                    CAST(round(value * 100) AS BIGINT) + CASE WHEN day(ts) % 7 = 0 THEN 1 ELSE 0 END AS trips
             FROM events WHERE CAST(ts AS DATE) > (SELECT max(CAST(ts AS DATE)) - 10 FROM events)""",
+        "drifting_ticket_pages": f"""
+            SELECT CASE WHEN event_id % 6 = 2 THEN CAST(event_id AS VARCHAR) ELSE 'Show ' || event_id % 50 END AS name,
+                   CASE WHEN event_id % 6 <> 5 THEN {VENUES}[user_id % 15 + 1] END AS venue,
+                   CASE WHEN event_id % 6 <> 3 THEN strftime(ts, '%Y-%m-%dT%H:00:00Z') END AS datetime,
+                   CASE WHEN event_id % 6 = 1 THEN 'currency,price' ELSE '' END AS unknown,
+                   CASE WHEN event_id % 6 = 3 THEN 'datetime' ELSE '' END AS misfits
+            FROM events WHERE event_id // 200 % 9 <> 0
+            UNION ALL SELECT NULL, NULL, NULL, '', 'document' FROM events
+            WHERE event_id // 200 % 9 = 0 GROUP BY event_id // 200""",
         "collected_events": f"""
             SELECT event_id AS ord, 'Show ' || event_id AS name, 'page-' || event_id % 50 AS source,
                    replace({VENUES}[user_id % 15 + 1], 'Royal Theater Carré', 'Koninklijk Theater Carre') AS venue,
@@ -733,7 +742,7 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN check_outs IS NULL THEN 1 END AS inside_check_outs FROM flow""",
         "trained_scores": "WITH " + ENRICHED_CTES + f""",
             usable AS (SELECT station, {split_age} AS age FROM rich WHERE {_WEATHER_KNOWN})
-            SELECT station, count(*) AS n, 1 AS r2_valid, 1 AS mae_valid, 1 AS rmse_valid
+            SELECT station, count(*) AS n, 1 AS r2_valid, 1 AS mae_valid, 1 AS rmse_valid, 1 AS beats_profile
             FROM usable WHERE age < 7 GROUP BY station""",
         "forecast_rows": FUTURE_CTES + f"""
             SELECT g.station, g.date, g.hour, 1 AS inside_check_ins, 1 AS inside_check_outs

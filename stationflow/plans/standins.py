@@ -309,6 +309,24 @@ def ticket_documents(ev: DataFrame) -> DataFrame:
     return pages.select(document.alias("document"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).drop("col")
 
 
+def drifting_documents(ev: DataFrame) -> DataFrame:
+    """JSON pages of at most 200 events in six shapes; every ninth page is cut short."""
+    shape = _mod("event_id", 6)
+    start = F.concat(F.to_date("ts").cast("string"), F.lit("T"), F.expr("lpad(hour(ts), 2, '0')"), F.lit(":00:00Z"))
+    name, venue = F.concat(F.lit("Show "), _mod("event_id", 50).cast("string")), F.struct(venue_of(F.col("user_id")).alias("name"))
+    usual = {"name": name, "dates": F.struct(F.struct(start.alias("dateTime")).alias("start")),
+             "_embedded": F.struct(F.array(venue).alias("venues"))}
+    shapes = [
+        usual, {"price": F.col("value"), **usual, "currency": F.lit("EUR")}, {**usual, "name": F.col("event_id")},
+        {**usual, "dates": F.struct(F.struct(F.struct(start.alias("utc")).alias("dateTime")).alias("start"))},
+        {**usual, "_embedded": F.struct(venue.alias("venues"))}, {**usual, "_embedded": F.struct(F.lit("none").alias("note"))}]
+    texts = [F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()])) for fields in shapes]
+    entry = F.coalesce(*[F.when(shape == i, t) for i, t in enumerate(texts)])
+    pages = ev.groupBy(F.floor(F.col("event_id") / 200).alias("p")).agg(F.array_join(F.collect_list(entry), ",").alias("events"))
+    end = F.when(_mod("p", 9) == 0, "").otherwise("]}}")
+    return pages.select(F.concat(F.lit('{"_embedded":{"events":['), "events", end).alias("document"))
+
+
 def config_documents(ev: DataFrame) -> DataFrame:
     """One settings document per user, switches taken from the user's activity."""
     kinds = ["click", "error", "purchase", "signup", "view"]

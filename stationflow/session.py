@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def build_session(app: str = "stationflow", master: str | None = None, **conf) -> SparkSession:
@@ -73,6 +73,17 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{(_RUN.get() or shared_dir(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def materialise_counted(df: DataFrame, name: str, counts: dict[str, Column],
+                        partition_by: tuple[str, ...] = ()) -> tuple[DataFrame, dict]:
+    """Like :func:`materialise`, with aggregates of the rows that are written.
+
+    They are taken while the rows pass by, so they cost no job of their own.
+    """
+    seen = Observation()
+    df = materialise(df.observe(seen, *[c.alias(n) for n, c in counts.items()]), name, partition_by)
+    return df, seen.get
+
+
 def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

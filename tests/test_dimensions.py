@@ -239,6 +239,7 @@ def test_measures_without_a_column_are_named(spark):
                                  ("Belgium", "Other", dt.date(2021, 1, 2), None)],
                                 "Country string, Response_measure string, date_start date, date_end date")
     assert indicators.measure_columns(raw, "Netherlands") == {"Curfew": "Curfew", "Masks": "Masks"}
-    with pytest.warns(UserWarning, match="Curfew"):
-        out = indicators.measures_daily(raw, "Netherlands", {"Masks": "masks"}, dt.date(2021, 1, 3))
+    assert raw.agg(indicators.unlisted("Netherlands", {"Masks": "masks"})).first()[0] == ["Curfew"]
+    assert raw.agg(indicators.unlisted("Netherlands", {})).first()[0] == ["Curfew", "Masks"]
+    out = indicators.measures_daily(raw, "Netherlands", {"Masks": "masks"}, dt.date(2021, 1, 3))
     assert out.columns == ["date", "masks"] and out.count() == 3

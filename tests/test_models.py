@@ -75,7 +75,8 @@ def test_rows_without_a_feature_are_left_out_and_counted(spark, rows):
     models = forests.train(rows, ["hour"], CFG)
     future = spark.createDataFrame([("A", 5), ("A", None), ("B", 3)], "station string, hour int")
     assert forests.predict(models, future, ["hour"]).count() == 2
-    assert {r["station"]: r["left_out"] for r in forests.incomplete(future, ["hour"]).collect()} == {"A": 1, "B": 0}
+    left_out = future.agg(*[c.alias(s) for s, c in forests.incomplete(["hour"], ["A", "B"]).items()]).first()
+    assert left_out.asDict() == {"A": 1, "B": 0}
 
 
 def test_station_without_rows_gets_no_model(spark, rows):
@@ -186,6 +187,7 @@ def test_run_from_files_to_forecast(spark, tmp_path):
     again = forecast.run_forecast(src, cfg, as_of, measures, saved)
     assert again.count() == 336
     assert spark.read.parquet(f"{saved}/forecasts").count() == 336
+    assert sinks.read_published(spark, f"{saved}/published", as_of.date()).count() == 336
     assert sinks.read_model_log(spark, f"{saved}/model-log").count() == 2
     served = serving.forecast_serving(spark.read.parquet(f"{saved}/forecasts"), dt.date(2021, 4, 14))
     assert served.count() == 48
