@@ -353,7 +353,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, least: float = 0.8, max_buc
     linked = linked.join(least_id, "root").select("sid", "least_id")
     named = sets.select("sid", "first").join(linked, "sid", "left").select(
         F.col("sid").alias("of"), F.coalesce("least_id", "first").alias("least_id"))
-    # Rows without shingles, which may be very many, find no partner and are dealt out evenly.
+    # Both sides are plain shuffles of written tables, so copies of one text, however many, are split.
+    named = materialise(named, "hyper-named")
     key = F.when(F.col("n") > 0, F.col("sid"))
     out = rows.join(named, key == F.col("of"), "left")
     component = F.when(F.col("n") > 0, F.col("least_id")).otherwise(F.col("doc_id"))
