@@ -23,6 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def named(name: str) -> Column:
+    """The column of just that name, dots and back-ticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def columns(docs: DataFrame) -> list[Column]:
+    return [named(c) for c in docs.columns]
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z; other letters stay as they are."""
     return F.translate(text, UPPER, LOWER)

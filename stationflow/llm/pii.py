@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stationflow.llm.base import sha256_text
+from stationflow.llm.base import columns, named, sha256_text
 
 _MARK, _STAND_IN = "\ue000", "\ue001"
 
@@ -85,39 +85,73 @@ KINDS = (
          lambda v: F.lit(True), 0.3, "tel|phone|call|mobile|fax", False),
 )
 REACH, BONUS, ACCEPT = 40, 0.3, 0.5
+RUN = 64  # values that a running fold takes at once
+CUT = 512  # characters of a piece from which texts are put together again
 _SPAN = "struct<start:int,rank:int,end:int,kind:string,score:double>"
 _NONE = f"array<{_SPAN}>"
 
 
-def _proposals(clean: Column, kind: Kind) -> Column:
-    """Array of struct start, end, value of the kind's leftmost matches that do not overlap."""
-    pieces = F.split(F.regexp_replace(clean, kind.pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)
-    empty = F.expr("CAST(array() AS array<struct<start:int,end:int,value:string>>)")
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, use: Callable[[Callable[[Column], Column]], Column], merge: Callable[[Column, Column], Column]) -> Column:
+    """``use`` of a function that gives the fold of all values before a place.
+
+    Values are folded in runs of RUN and the runs one by one, so that a place costs a part of
+    its own run only, however many values there are.
+    """
+    zero = F.lit(0)
+
+    def runs(v: Column) -> Column:
+        numbers = F.sequence(zero, F.floor(F.size(v) / RUN).cast("int"))
+        each = F.transform(numbers, lambda r: F.aggregate(F.slice(v, r * RUN + 1, RUN), zero, merge))
+        first = F.struct(zero.alias("at"), F.expr("CAST(array() AS array<int>)").alias("out"))
+        return F.aggregate(each, first, lambda state, x: F.struct(
+            merge(state["at"], x).alias("at"), F.concat(state["out"], F.array(state["at"])).alias("out")), lambda state: state["out"])
 
-    def step(state: Column, piece: Column) -> Column:
-        end = state["at"] + F.length(piece)
-        found = F.struct(state["at"].alias("start"), end.alias("end"), piece.alias("value"))
-        return F.struct((~state["hit"]).alias("hit"), end.alias("at"),
-                        F.when(state["hit"], F.concat(state["out"], F.array(found))).otherwise(state["out"]).alias("out"))
+    def before(v: Column, starts: Column, place: Column) -> Column:
+        within = place % RUN
+        return F.aggregate(F.slice(v, place - within + 1, within), F.get(starts, F.floor(place / RUN).cast("int")), merge)
 
-    start = F.struct(F.lit(False).alias("hit"), F.lit(0).alias("at"), empty.alias("out"))
-    return F.aggregate(pieces, start, step, lambda s: s["out"])
+    return _let(values, lambda v: _let(runs(v), lambda starts: use(lambda place: before(v, starts, place))))
 
 
 def _spans(clean: Column, rank: int, kind: Kind) -> Column:
-    def span(m: Column) -> Column:
-        before = F.substring(clean, F.greatest(m["start"] - REACH, F.lit(0)) + 1, F.least(m["start"], F.lit(REACH)))
-        after = F.substring(clean, m["end"] + 1, F.lit(REACH))
-        word = f"(?i)(?<![a-z])(?:{kind.context})"
-        score = F.lit(kind.score) + F.when(before.rlike(word) | after.rlike(word), BONUS).otherwise(0.0)
-        return F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"),
-                        F.lit(kind.name).alias("kind"), F.least(score, F.lit(1.0)).alias("score"))
-
-    confirmed = F.filter(_proposals(clean, kind), lambda m: kind.check(m["value"]))
-    spans = F.transform(confirmed, span)
+    """The kind's leftmost matches that do not overlap and pass, as _SPAN.
+
+    Pieces at odd places are matches. Neighbouring pieces give the context: two of them hold
+    a character at least, so twice REACH of them hold REACH characters.
+    """
+    word = f"(?i)(?<![a-z])(?:{kind.context})"
+
+    def near(pieces: Column, place: Column) -> Column:
+        first = F.greatest(place - 2 * REACH, F.lit(0))
+        before = F.transform(F.slice(pieces, first + 1, place - first), lambda p: F.right(p, F.lit(REACH)))
+        after = F.transform(F.slice(pieces, place + 2, 2 * REACH), lambda p: F.left(p, F.lit(REACH)))
+        return (F.right(F.array_join(before, ""), F.lit(REACH)).rlike(word)
+                | F.left(F.array_join(after, ""), F.lit(REACH)).rlike(word))
+
+    def found(pieces: Column) -> Column:
+        matches = F.filter(F.transform(pieces, lambda p, i: F.struct(i.alias("place"), p.alias("value"))),
+                           lambda m: (m["place"] % 2 == 1) & kind.check(m["value"]))
+
+        def span(m: Column, position: Callable[[Column], Column]) -> Column:
+            score = F.lit(kind.score) + F.when(near(pieces, m["place"]), BONUS).otherwise(0.0)
+            return _let(position(m["place"]), lambda at: F.struct(
+                at.alias("start"), F.lit(rank).alias("rank"), (at + F.length(m["value"])).alias("end"),
+                F.lit(kind.name).alias("kind"), F.least(score, F.lit(1.0)).alias("score")))
+
+        return _let(matches, lambda ms: F.when(F.size(ms) > 0, _running(
+            F.transform(pieces, F.length), lambda position: F.transform(ms, lambda m: span(m, position)),
+            lambda x, y: x + y).cast(_NONE)).otherwise(F.expr(f"CAST(array() AS {_NONE})")))
+
+    pieces = F.split(F.regexp_replace(clean, kind.pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)
+    spans = _let(pieces, found)
     if not kind.base:
         spans = F.filter(spans, lambda s: s["score"] >= ACCEPT)
-    return F.when(clean.rlike(kind.trigger), spans.cast(_NONE)).otherwise(F.expr(f"CAST(array() AS {_NONE})"))
+    return F.when(clean.rlike(kind.trigger), spans).otherwise(F.expr(f"CAST(array() AS {_NONE})"))
 
 
 def with_spans(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
@@ -125,7 +159,7 @@ def with_spans(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     clean = F.translate(F.coalesce("text", F.lit("")), _MARK, _STAND_IN)
     rows = docs.withColumn("__clean", clean)
     names = [f"__kind{i}" for i in range(len(kinds))]
-    rows = rows.select(*docs.columns, *[_spans(F.col("__clean"), i, k).alias(n)
+    rows = rows.select(*columns(docs), *[_spans(F.col("__clean"), i, k).alias(n)
                                         for i, (k, n) in enumerate(zip(kinds, names, strict=True))])
     return rows.withColumn("__spans", F.array_sort(F.concat(*names))).drop(*names)
 
@@ -162,14 +196,24 @@ def redacted(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     rows = with_spans(docs, kinds)
     text = F.col("text")
 
-    def step(state: Column, s: Column) -> Column:
-        before = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        fresh = s["start"] >= state["at"]
-        put = F.concat(state["out"], before, F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(fresh, put).otherwise(state["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    whole = F.aggregate("__spans", start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    def part(cuts: Column, start: Column, end: Column) -> Column:
+        """Characters from start to end, from the cuts that hold them."""
+        first = F.floor(start / CUT).cast("int")
+        held = F.array_join(F.slice(cuts, first + 1, F.floor(end / CUT).cast("int") - first + 1), "")
+        return F.substring(held, start - first * CUT + 1, end - start)
+
+    def replaced(spans: Column, cuts: Column, reached: Callable[[Column], Column]) -> Column:
+        # A span that starts inside an earlier one is replaced with it.
+        numbered = F.transform(spans, lambda s, i: F.struct(i.alias("place"), s["start"].alias("start"), s["kind"].alias("kind")))
+        fresh = F.filter(F.transform(numbered, lambda s: F.struct(
+            reached(s["place"]).alias("at"), s["start"].alias("start"), s["kind"].alias("kind"))), lambda s: s["at"] <= s["start"])
+        put = F.transform(fresh, lambda s: F.concat(part(cuts, s["at"], s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")))
+        rest = part(cuts, reached(F.size(spans)), F.length(text))
+        return F.concat(F.array_join(put, ""), rest)
+
+    cuts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))
+    whole = _let(F.col("__spans"), lambda spans: _let(cuts, lambda c: _running(
+        F.transform(spans, lambda s: s["end"]), lambda reached: replaced(spans, c, reached), lambda x, y: F.greatest(x, y))))
     rows = rows.withColumn("__text", F.when(F.size("__spans") > 0, whole).otherwise(text))
     out = []
     for c in docs.columns:
@@ -179,5 +223,5 @@ def redacted(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
             changed = F.size("__spans") > 0
             out.append(F.when(changed, F.length("__text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c))
         else:
-            out.append(F.col(c))
+            out.append(named(c))
     return rows.select(*out)
