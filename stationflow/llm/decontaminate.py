@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stationflow.llm.base import LOWER, UPPER, same, sha256_text
+from stationflow.llm.base import LOWER, UPPER, columns, same, sha256_text
 from stationflow.session import materialise
 
 WINDOW = 10
@@ -136,4 +136,4 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     hit = materialise(runs.select(F.col("doc_id").alias("__id"), F.col("h").alias("__hit")).distinct(), "contaminated")
     rows = docs.withColumn("__h", F.xxhash64("doc_id", "text"))
     found = rows["doc_id"].eqNullSafe(hit["__id"]) & (rows["__h"] == hit["__hit"])
-    return rows.join(hit, found, "left_anti").select(*docs.columns)
+    return rows.join(hit, found, "left_anti").select(*columns(docs))

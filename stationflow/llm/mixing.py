@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stationflow.llm.base import columns, named
+
 Weights = dict[str | None, float]
 BROADCAST_BLOCKS = 500_000
 
@@ -34,21 +36,6 @@ def whole_weights(weights: Weights) -> dict[str | None, int]:
     return {n: w // common for n, w in whole.items()}
 
 
-def slot_shares(weights: Weights, period: int) -> dict[str | None, int]:
-    """Whole slots per period, by largest remainder, one at least for each positive weight."""
-    names = sorted((n for n, w in weights.items() if w > 0), key=lambda n: (n is not None, n or ""))
-    if not names:
-        return {}
-    if len(names) > period:
-        raise ValueError(f"{len(names)} sources need a period of as many slots at least")
-    total, free = sum(weights[n] for n in names), period - len(names)
-    exact = {n: weights[n] / total * free for n in names}
-    shares = {n: 1 + int(exact[n]) for n in names}
-    for n in sorted(names, key=lambda n: int(exact[n]) - exact[n])[:period - sum(shares.values())]:
-        shares[n] += 1
-    return shares
-
-
 def schedule(shares: list[int], period: int, blocks: list[int]) -> Iterator[tuple[int, int, int]]:
     """(source, block, slot) of so many blocks of each source: earliest deadline first among
     released blocks. A source has ``shares / period`` of the slots."""
@@ -70,12 +57,6 @@ def schedule(shares: list[int], period: int, blocks: list[int]) -> Iterator[tupl
         slot += 1
 
 
-def edf_period(shares: dict[str | None, int], period: int) -> list[tuple[str | None, int, int]]:
-    """(source, block, slot) of one period."""
-    order, counts = list(shares), list(shares.values())
-    return [(order[i], k, slot) for i, k, slot in schedule(counts, period, counts)]
-
-
 def source_key() -> Column:
     """The source as a text that is never null: null is a source like others."""
     return F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))
@@ -103,34 +84,29 @@ def numbered(docs: DataFrame, buckets: int = 4096) -> DataFrame:
     sizes = rows.groupBy("__s", "__bucket").agg(F.count("*").alias("c"))
     before = Window.partitionBy("__s").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("__s", "__bucket", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("__start"))
-    within = Window.partitionBy("__s", "__bucket").orderBy("__hash", *docs.columns)
+    within = Window.partitionBy("__s", "__bucket").orderBy("__hash", *columns(docs))
     rows = rows.withColumn("__rank", F.row_number().over(within) - 1)
     # The ranked rows lie as the join needs them: only the sizes move.
     joined = rows.join(starts, ["__s", "__bucket"])
-    return joined.select(*docs.columns, "__s", (F.col("__start") + F.col("__rank")).alias("__n"))
+    return joined.select(*columns(docs), "__s", (F.col("__start") + F.col("__rank")).alias("__n"))
 
 
-def mix(docs: DataFrame, weights: Weights, block: int = 64, period: int | None = None, buckets: int = 4096,
+def mix(docs: DataFrame, weights: Weights, block: int = 64, buckets: int = 4096,
         broadcast_blocks: int = BROADCAST_BLOCKS) -> DataFrame:
     """Every row of ``docs`` with ``slot`` (long) and ``place`` (its order inside the block).
 
-    The weights hold exactly; with a ``period`` they are first rounded to whole slots of it
-    (two slots a source at least where there are many). The table of blocks is broadcast up to
-    ``broadcast_blocks`` rows and shuffled beyond.
+    The weights hold exactly. The table of blocks is broadcast up to ``broadcast_blocks`` rows
+    and shuffled beyond.
 
     Ordered by slot and place, the sources are mixed to the weights until the first source
     has no block left; the others keep to their shares, slots that would have been its own may
     stay free, nothing is dropped or repeated. Rows of sources without a positive weight have
     slot null. A null source is a source like others. Repeated rows are rows of their own. An
-    empty table stays empty.
+    empty table stays empty. Columns of the input that are called slot or place are replaced.
     """
     spark = docs.sparkSession
-    if period is None:
-        shares = whole_weights(weights)
-        total = sum(shares.values())
-    else:
-        total = max(period, 2 * len(weights))
-        shares = slot_shares(weights, total)
+    shares = whole_weights(weights)
+    total = sum(shares.values())
 
     def key(name: str | None) -> str:
         return "" if name is None else f"s{name}"
@@ -152,4 +128,5 @@ def mix(docs: DataFrame, weights: Weights, block: int = 64, period: int | None =
     rows = numbered(docs, buckets).join(F.broadcast(of), "__s", "left")
     rows = rows.withColumn("__at", F.floor(F.col("__n") / block).cast("int"))
     out = rows.join(small(slots), ["__i", "__at"], "left")
-    return out.select(*docs.columns, F.col("__slot").alias("slot"), (F.col("__n") % block).cast("int").alias("place"))
+    taken = [named(c) for c in docs.columns if c.lower() not in ("slot", "place")]
+    return out.select(*taken, F.col("__slot").alias("slot"), (F.col("__n") % block).cast("int").alias("place"))

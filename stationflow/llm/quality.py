@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from stationflow.llm.base import each_text
+from stationflow.llm.base import columns, each_text
 from stationflow.session import materialise
 
 SYMBOLS = frozenset("#*$%&|<>")
@@ -164,8 +164,12 @@ def quality_verdicts(docs: DataFrame, at: float = 0.5) -> DataFrame:
 
 
 def kept(docs: DataFrame, at: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that pass the base rules and whose posterior is at least ``at``."""
-    counted = docs.select("*", count_texts("text").alias("__c")).select(
-        *[F.col(f"`{c}`").alias(f"__{c}") for c in docs.columns], "__c.*")
-    fine = judged(counted, materialise(docs.select(count_texts("text").alias("c")).select("c.*"), "quality-counts"), at)
-    return fine.where("__kept").select(*[F.col(f"__{c}").alias(c) for c in docs.columns])
+    """The rows of ``docs`` that pass the base rules and whose posterior is at least ``at``.
+
+    Texts are counted once: rows are written with their counts, EM and the verdicts read those.
+    Null and blank texts have no words and go. Repeated rows stay or go together. An empty
+    table stays empty. Columns come back as they were, whatever they are called.
+    """
+    stored = materialise(docs.select(F.struct(*columns(docs)).alias("doc"), count_texts("text").alias("c")), "quality-counted")
+    counted = stored.select("doc", "c.*")
+    return judged(counted, counted.select(*COUNTS), at).where("__kept").select("doc.*")

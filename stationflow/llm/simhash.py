@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stationflow.llm.base import each_text
+from stationflow.llm.base import columns, each_text
 from stationflow.llm.components import connected_components
 from stationflow.session import materialise
 
@@ -168,4 +168,4 @@ def one_of_each(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     rows = docs.withColumn("__h", F.xxhash64("text"))
     rows = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["__id"]) & (rows["__h"] == chosen["__of"]))
     first = Window.partitionBy("__id", "__of").orderBy("text")
-    return rows.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*docs.columns)
+    return rows.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*columns(docs))

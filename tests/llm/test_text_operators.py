@@ -13,6 +13,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from compare import differences, duck
@@ -279,22 +280,22 @@ def test_bloom_filter_has_no_false_negatives(spark):
 # --- 8 ---------------------------------------------------------------------------------
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.floats(0.01, 10), min_size=1, max_size=12), st.sampled_from([12, 60, 200]))
-def test_every_source_stays_within_a_block_of_its_share(weights, period):
-    shares = mixing.slot_shares({f"s{i}": w for i, w in enumerate(weights)}, period)
-    assert sum(shares.values()) == period and min(shares.values()) >= 1
-    plan = mixing.edf_period(shares, period)
-    assert [p[2] for p in plan] == list(range(period))
+@given(st.lists(st.integers(1, 60), min_size=1, max_size=12))
+def test_every_source_stays_within_a_block_of_its_share(weights):
+    whole = list(mixing.whole_weights({f"s{i:02}": w for i, w in enumerate(weights)}).values())
+    assert [Fraction(n, sum(whole)) for n in whole] == [Fraction(w, sum(weights)) for w in weights]
+    plan = list(mixing.schedule(whole, sum(whole), [2 * n for n in whole]))
+    assert [p[2] for p in plan] == list(range(2 * sum(whole)))
     done = Counter()
     for t, (s, k, slot) in enumerate(plan):
         assert k == done[s] and slot == t
         done[s] += 1
-        for name, n in shares.items():
-            assert abs(done[name] - Fraction(n * (t + 1), period)) < 1
+        for i, n in enumerate(whole):
+            assert abs(done[i] - Fraction(n * (t + 1), sum(whole))) < 1
 
 
 def test_mixture_on_fixture(spark, docs, rows, empty):
-    got = mixing.mix(docs.drop("slot"), {"s0": 2, "s1": 1, None: 1, "s2": 0}, block=2, period=8, buckets=4).collect()
+    got = mixing.mix(docs, {"s0": 2, "s1": 1, None: 1, "s2": 0}, block=2, buckets=4).collect()
     assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r[0]) for r in rows)
     assert all((r["slot"] is None) == (r["source"] == "s2") for r in got)
     order = sorted((r for r in got if r["slot"] is not None), key=lambda r: (r["slot"], r["place"]))
@@ -304,8 +305,12 @@ def test_mixture_on_fixture(spark, docs, rows, empty):
         by_slot.setdefault(r["slot"], set()).add(r["source"])
     assert all(len(s) == 1 for s in by_slot.values())
     first = [next(iter(by_slot[s])) for s in sorted(by_slot)][:4]
-    assert first.count("s0") == 2 and mixing.mix(empty.drop("slot"), {"s0": 1}).collect() == []
-    assert mixing.mix(empty.drop("slot"), {}).collect() == []
+    assert first.count("s0") == 2 and mixing.mix(empty, {"s0": 1}).collect() == []
+    assert mixing.mix(empty, {}).collect() == []
+    # Columns of these names give way to the result's.
+    named = mixing.mix(docs.withColumn("Place", F.lit("x")), {"s0": 1})
+    assert named.columns == [*(c for c in docs.columns if c != "slot"), "slot", "place"]
+    assert dict(named.dtypes)["slot"] == "bigint" and dict(named.dtypes)["place"] == "int" and named.count() == len(rows)
 
 
 def test_mixing_query(spark, sf_dir):
@@ -314,13 +319,14 @@ def test_mixing_query(spark, sf_dir):
     assert sorted((r["doc_id"], r["source"]) for r in got) == sorted(rows)
     assert len({(r["slot"], r["place"]) for r in got}) == len(rows)
     size = Counter(s for _, s in rows)
-    shares = mixing.slot_shares({s: n ** 0.5 for s, n in size.items()}, 1000)
+    weights = {s: Fraction(n ** 0.5) for s, n in size.items()}
+    total = sum(weights.values())
     slots = {r["slot"]: r["source"] for r in got}
     end = min(max(r["slot"] for r in got if r["source"] == s) for s in size)
     done = Counter()
     for t in range(end):
         done[slots[t]] += 1
-        assert all(abs(done[s] - shares[s] * (t + 1) / 1000) < 1 for s in size)
+        assert all(abs(done[s] - weights[s] / total * (t + 1)) < 1 for s in size)
 
 
 @pytest.mark.parametrize("n", [1, 20, 300])
@@ -426,6 +432,42 @@ def test_ibans_in_groups_and_context_on_both_sides(spark):
     assert text[1] == "<IBAN> BANK BIC" and text[4] == "<SSN> (SSN)"
 
 
+def redacted_slow(text, spans):
+    out, at = [], 0
+    for kind, start, end in (x.split(":") for x in spans.split(",") if x):
+        if int(start) >= at:
+            out.append(text[at:int(start)] + f"<{kind.upper()}>")
+        at = max(at, int(end))
+    return "".join(out) + text[at:]
+
+
+def test_very_many_spans_in_one_text(spark):
+    """Spans inside others, longer than a cut, over many runs; time grows with the text only."""
+    rng = random.Random(3)
+    bits = ["a.b@c.de", "1.2.3.4.5.6.7.8@x.yz", "é" * 700, "+49 30 1234567", "SSN 078-05-1120", "4111 1111 1111 1111", "\n", "to",
+            "+1 " + "(" * 600 + "988 555 24 85", "9" * 600 + "@x.yz", "\U0001F600"]
+    texts = [" ".join(rng.choices(bits, k=n)) for n in (1, 31, 32, 64, 65, 700)]
+    texts.append(" ".join(f"user{i}@host{i % 97}.example.com, é" for i in range(20_000)))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = pii.personal_data(frame)
+    assert found(got.drop("spans", "scores")) == sorted(((i, *base_slow(t)) for i, t in enumerate(texts)), key=repr)
+    spans = {r["doc_id"]: r["spans"] for r in got.collect()}
+    for r in pii.redacted(frame).collect():
+        assert r["text"] == redacted_slow(texts[r["doc_id"]], spans[r["doc_id"]])
+
+
+def test_columns_with_dots_and_marks(spark, docs, empty):
+    """Columns come back under their names, whatever these are."""
+    odd = docs.drop("slot").withColumn("a.b", F.lit(1)).withColumn("c`d", F.lit("é"))
+    items = spark.createDataFrame([("i", "no such passage")], "item_id string, text string")
+    mixed = mixing.mix(odd, {"s0": 1, "s1": 1})
+    assert mixed.columns == [*odd.columns, "slot", "place"] and mixed.count() == docs.count()
+    kept = quality.kept(odd)
+    assert kept.columns == odd.columns and {r["kept"] for r in kept.collect()} <= {"x", None}
+    for out in (pii.redacted(odd), decontaminate.clean(odd, items), simhash.one_of_each(odd)):
+        assert out.columns == odd.columns and {r["a.b"] for r in out.collect()} == {1}
+
+
 def test_personal_data_query(spark, sf_dir):
     got = found(queries.op9_personal_data(spark, sf_dir).drop("spans", "scores"))
     assert got == sorted(((i, *base_slow(t)) for i, t in table_rows(spark, sf_dir, "documents", "doc_id", "text")), key=repr)
