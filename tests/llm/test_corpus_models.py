@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from stationflow.llm import brown, language, licenses, queries
 from test_text_operators import BLANK_WORD, ascii_lower, table_rows
@@ -81,6 +83,64 @@ def test_licenses_on_fixture(spark, docs, rows, empty):
     assert licenses.license_scan(docs).count() == len(rows) and licenses.license_scan(empty).collect() == []
 
 
+def wrapped(wording, width, mark):
+    return "\n".join(mark + line for line in textwrap.wrap(wording, width, break_on_hyphens=False))
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", "-- ", ";; "])
+def test_wrapped_and_commented_notices(mark):
+    for name, wording in licenses.wordings():
+        for width in (40, 72):
+            notice = wrapped(wording, width, mark)
+            text = "int main() {}\n" + notice + "\n" + "other words follow here. " * 30
+            assert [f[0] for f in licenses.scan(text)[1]] == [name], text
+            (_, a, b, saved, differing, _), = licenses.scan(text)[1]
+            assert differing == 0 and saved > 0 and text[a:b] == notice
+
+
+def test_adjacent_notices_and_false_friends():
+    def names(text):
+        return [f[0] for f in licenses.scan(text)[1]]
+
+    assert names("Released under the MIT License. Licensed under CC BY 4.0.") == ["MIT", "CC-BY-4.0"]
+    every = licenses.wordings()
+    assert names(" ".join(w for _, w in every)) == [n for n, _ in every]
+    assert names("".join(w + "\n" for _, w in every) * 2) == 2 * [n for n, _ in every]
+    mit = licenses.TEMPLATES["MIT"][1].split()
+    assert names(" ".join(mit[:9] + ["kindly"] + mit[9:20] + mit[21:])) == ["MIT"]  # a word more, a word less
+    assert names(" ".join(mit[::2])) == [] == names(" ".join(reversed(mit)))
+    for text in ("This work is licensed under the GNU General Public License, version 1.", "Licensed under CC BY 3.0.",
+                 "Licensed under the Apache License, Version 1.1.", "SPDX-License-Identifier: LicenseRef-Own",
+                 "Licensed under terms by which 4.0 cc of it may leave.", "license " * 9000, "copyright " + "\U0001F600" * 3000):
+        assert names(text) == [], text
+
+
+def spans_slow(wording, mine):
+    """Cheapest alignment of the wording with any run of the words, by trying every run."""
+    def cost(run):
+        row = [i * licenses.ADDED for i in range(len(run) + 1)]
+        for i, want in enumerate(wording, 1):
+            now = [i * licenses.CHANGED]
+            for j, w in enumerate(run, 1):
+                now.append(min(row[j - 1] + (want != w) * licenses.CHANGED, row[j] + licenses.CHANGED, now[-1] + licenses.ADDED))
+            row = now
+        return row[-1]
+
+    return min(cost(mine[a:b]) for a in range(len(mine) + 1) for b in range(a, len(mine) + 1))
+
+
+def test_alignment_like_every_run():
+    rng = random.Random(5)
+    for _ in range(60):
+        wording = tuple(rng.choices("abcd", k=rng.randint(1, 9)))
+        mine = rng.choices("abcde", k=rng.randint(1, 14))
+        if rng.random() < 0.5:
+            mine[rng.randint(0, len(mine)):0] = wording
+        got, limit = licenses.aligned(wording, mine), licenses.CHANGED * licenses.MISSING * len(wording)
+        best = spans_slow(wording, mine)
+        assert (min(g[0] for g in got) == best) if best <= limit else got == []
+
+
 def test_license_query_against_a_search_for_the_lines(spark, sf_dir):
     got = {r["doc_id"]: r["licenses"] for r in queries.op5_licenses(spark, sf_dir).collect()}
     exact = {w: n for n, ws in licenses.TEMPLATES.items() for w in ws}
