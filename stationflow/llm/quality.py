@@ -107,24 +107,27 @@ def votes(rules: tuple[Rule, ...] = RULES) -> Column:
 PRIOR_GOOD, PRIOR_BAD = (0.002, 0.098, 0.9), (0.25, 0.1, 0.65)
 
 
-def fit(patterns: list[tuple[str, int]], prior: float = 0.8, strength: float = 0.5, rounds: int = 50) -> dict[str, float]:
-    """Probability of being good for each vote pattern.
+PSEUDO, PSEUDO_GOOD = 200, 0.8  # texts that the belief counts as, and the share of good ones among them
+
+
+def estimate(patterns: list[tuple[str, int]], rounds: int = 200) -> tuple[float, np.ndarray, np.ndarray]:
+    """Share of good texts, rates[class (good, bad), rule, vote (bad, abstain, good)] and the
+    posterior of each vote pattern.
 
     Rules hardly ever call a good text bad and each sees only some kinds of bad ones. That is
-    the prior, and it weighs ``strength`` times the corpus; EM moves the rates from there
-    (maximum a posteriori), since a kind of bad text that one rule alone sees would otherwise
-    pass for noise of that rule. No patterns give no probabilities.
+    the prior; it counts as PSEUDO texts (at most as half the corpus), so what the texts say
+    outweighs it as soon as there are some hundreds. Without it a kind of bad text that one
+    rule alone sees would pass for noise of that rule (maximum a posteriori).
     """
-    if not patterns:
-        return {}
     marks = np.array([["-0+".index(c) for c in p] for p, _ in patterns])
     weight = np.array([n for _, n in patterns], float)
-    rules = marks.shape[1]
-    believed = np.array([PRIOR_GOOD, PRIOR_BAD])[:, None, :].repeat(rules, axis=1)
-    pseudo = believed * (strength * weight.sum()) * np.array([prior, 1 - prior])[:, None, None]
-    table, share, good = believed, prior, np.ones(len(marks))  # class (good, bad), rule, vote
+    rules, believed_texts = marks.shape[1], min(PSEUDO, weight.sum() / 2)
+    rates = np.array([PRIOR_GOOD, PRIOR_BAD])[:, None, :].repeat(rules, axis=1)
+    classes = np.array([PSEUDO_GOOD, 1 - PSEUDO_GOOD]) * believed_texts
+    pseudo = rates * classes[:, None, None]
+    share, good = PSEUDO_GOOD, np.ones(len(marks))
     for _ in range(rounds):
-        log = [math.log(p) + np.log(table[k, np.arange(rules), marks]).sum(axis=1)
+        log = [math.log(p) + np.log(rates[k, np.arange(rules), marks]).sum(axis=1)
                for k, p in enumerate((share, 1 - share))]
         fresh = 1 / (1 + np.exp(np.clip(log[1] - log[0], -500, 500)))
         done, good = np.abs(fresh - good).max() < 1e-6, fresh
@@ -132,9 +135,16 @@ def fit(patterns: list[tuple[str, int]], prior: float = 0.8, strength: float = 0
             break
         counted = np.stack([[((marks == v) * (weight * w)[:, None]).sum(axis=0) for v in range(3)]
                             for w in (good, 1 - good)]).transpose(0, 2, 1) + pseudo
-        table = counted / counted.sum(axis=2, keepdims=True)
-        share = float(np.clip((weight * good).sum() / weight.sum(), 0.05, 0.95))
-    return dict(zip((p for p, _ in patterns), good.tolist(), strict=True))
+        rates = counted / counted.sum(axis=2, keepdims=True)
+        share = float(((weight * good).sum() + classes[0]) / (weight.sum() + believed_texts))
+    return share, rates, good
+
+
+def fit(patterns: list[tuple[str, int]]) -> dict[str, float]:
+    """Probability of being good for each vote pattern. No patterns give no probabilities."""
+    if not patterns:
+        return {}
+    return dict(zip((p for p, _ in patterns), estimate(patterns)[2].tolist(), strict=True))
 
 
 def judged(docs: DataFrame, counted: DataFrame, at: float = 0.5) -> DataFrame:

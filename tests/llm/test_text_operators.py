@@ -225,6 +225,22 @@ def test_em_finds_the_bad_without_labels():
     assert quality.fit([]) == {}
 
 
+@pytest.mark.parametrize("share", [0.01, 0.05, 0.3])
+def test_em_recovers_planted_rates(share):
+    """Rates of rules of different worth, whatever the share of bad texts."""
+    rng, n = np.random.default_rng(11), 60_000
+    bad = rng.random(n) < share
+    rates = np.array([[(0.01, 0.04, 0.95), (0.02, 0.18, 0.8), (0.005, 0.295, 0.7), (0.03, 0.07, 0.9), (0.01, 0.39, 0.6)],
+                      [(0.9, 0.05, 0.05), (0.6, 0.2, 0.2), (0.75, 0.2, 0.05), (0.5, 0.1, 0.4), (0.3, 0.6, 0.1)]])
+    below = rates[bad.astype(int)].cumsum(axis=2)
+    drawn = (rng.random((n, 5, 1)) > below[..., :2]).sum(axis=2)
+    seen = Counter("".join("-0+"[v] for v in row) for row in drawn)
+    good, found_rates, _ = quality.estimate(sorted(seen.items()))
+    assert abs(1 - good - share) < 0.005 + 0.05 * share
+    assert np.abs(found_rates[0] - rates[0]).max() < 0.01
+    assert np.abs(found_rates[1] - rates[1]).max() < (0.15 if share == 0.01 else 0.05)
+
+
 def test_quality_query_agrees_with_labels(spark, sf_dir):
     got = {r["doc_id"]: r for r in queries.op6_quality_rules(spark, sf_dir).collect()}
     texts = dict(table_rows(spark, sf_dir, "documents", "doc_id", "text"))
