@@ -41,8 +41,26 @@ def table_rows(spark, sf, name, *cols):
 
 # --- 1 ---------------------------------------------------------------------------------
 
+def near_items_slow(w, items, window=10, edits=2):
+    """Ids of the (id, words) items with a near window: every window and every band is counted."""
+    places, ids = {}, set()
+    for p, pair in enumerate(zip(w, w[1:], strict=False)):
+        places.setdefault(pair, []).append(p)
+    need = max(1, window - 1 - 2 * edits)
+    for item_id, v in items:
+        if len(v) < window:
+            continue
+        hits = {(i, p - i) for i, pair in enumerate(zip(v, v[1:], strict=False)) for p in places.get(pair, ())}
+        if len({i for i, _ in hits}) >= need and any(
+                len({i for i, e in hits if s <= i <= s + window - 2 and d <= e <= d + edits}) >= need
+                for s in range(len(v) - window + 1) for d in {e - k for _, e in hits for k in range(edits + 1)}):
+            ids.add(item_id)
+    return sorted(str(i) for i in ids if i is not None)
+
+
 def contamination_slow(docs, items, window=10):
     windows = {}
+    worded = [(i, WORD.findall(ascii_lower(t))) for i, t in set(items)]
     for item_id, text in set(items):
         w = WORD.findall(ascii_lower(text))
         k = min(window, len(w))
@@ -58,7 +76,8 @@ def contamination_slow(docs, items, window=10):
                     hit.update(range(s, s + k))
                     ids |= owner
         listed = sorted(str(i) for i in ids if i is not None)
-        out.append((doc_id, len(w), len(hit), len(listed), sha(",".join(listed)), bool(hit)))
+        near = near_items_slow(w, worded, window)
+        out.append((doc_id, len(w), len(hit), len(listed), sha(",".join(listed)), bool(hit), len(near), sha(",".join(near))))
     return sorted(out, key=repr)
 
 
@@ -74,10 +93,53 @@ def test_contamination_on_fixture(spark, docs, rows, empty):
     assert not any(r["contaminated"] for r in none.collect()) and none.count() == len({r[:2] for r in rows})
     left = decontaminate.clean(docs, frame)
     assert left.columns == docs.columns
-    bad = {r[0] for r in contamination_slow([(r[0], r[1]) for r in rows], items) if r[-1]}
+    bad = {r[0] for r in contamination_slow([(r[0], r[1]) for r in rows], items) if r[5]}
     assert {r["doc_id"] for r in left.collect()} == {r[0] for r in rows} - bad
 
 
+def test_near_passages_are_found(spark):
+    draw = random.Random(7)
+    passage = [f"w{draw.randrange(400)}" for _ in range(60)]
+    filler = [f"f{draw.randrange(400)}" for _ in range(80)]
+
+    def text(words):
+        return " ".join(filler[:40] + words + filler[40:])
+
+    inserted = [x for i, w in enumerate(passage) for x in ([w, "and"] if i % 7 == 3 else [w])]
+    dropped = [w for i, w in enumerate(passage) if i % 8 != 3]
+    changed = ["other" if i % 6 == 2 else w for i, w in enumerate(passage)]
+    scattered = ["other" if i % 2 else w for i, w in enumerate(passage)]
+    shuffled = random.Random(8).sample(passage, 60)
+    docs = [(1, text(inserted)), (2, text(dropped)), (3, text(changed)), (4, text(scattered)), (5, text(shuffled)),
+            (6, " ".join(filler)), (7, None), (8, text(passage)), (8, text(passage)), (9, ""), (None, text(changed))]
+    items = [(1, " ".join(passage)), (2, " ".join(passage[:9])), (None, " ".join(passage[5:40])), (3, None), (4, "")]
+    got = decontaminate.contamination(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert found(got) == contamination_slow(docs, items)
+    rows = {r["doc_id"]: r for r in got.collect()}
+    assert {i for i, r in rows.items() if r["n_near_items"]} == {1, 2, 3, 8, None}
+    assert {i for i, r in rows.items() if r["contaminated"]} == {8}
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    left = decontaminate.clean(frame, spark.createDataFrame(items, "item_id long, text string"), edits=2)
+    assert sorted(r["doc_id"] for r in left.collect()) == [4, 5, 6, 7, 9]
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abcd"), max_size=14), min_size=1, max_size=5),
+       st.lists(st.lists(st.sampled_from("abcd"), max_size=9), min_size=1, max_size=4), st.sampled_from([(4, 0), (4, 1), (5, 1), (3, 2)]))
+def test_near_windows_like_counting_all(spark, texts, passages, setting):
+    window, edits = setting
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(passages)], "item_id long, text string")
+    near = decontaminate.proximity_matches(decontaminate.index_of(docs, items, window), edits).collect()
+    got = {}
+    for r in near:
+        got.setdefault(r["doc_id"], set()).add(str(r["item_id"]))
+    worded = list(enumerate(passages))
+    assert {i: sorted(v) for i, v in got.items()} == {
+        i: ids for i, t in enumerate(texts) if (ids := near_items_slow(t, worded, window, edits))}
+
+
 def test_contamination_query(spark, sf_dir):
     got = queries.op1_decontamination(spark, sf_dir)
     assert found(got) == contamination_slow(
