@@ -280,13 +280,25 @@ def with_company(mkeys: np.ndarray, strings: list[bytes]) -> np.ndarray:
 
 
 def _block_rows(block: int):
+    """Compares contents sorted by minimizer: whole groups are sifted, and what has company is
+    put together in blocks of at least ``block`` strings, the last one aside."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mkeys, ids, hashes, starts, strings, last = [], [], [], [], [], None
+        mkeys: list[int] = []
+        rows = ids, hashes, starts, strings = [], [], [], []
+        kept = [], [], [], []
+        last = None
 
-        def done():
+        def sift():
             at = np.flatnonzero(with_company(np.array(mkeys), strings)).tolist()
-            kept = [[column[i] for i in at] for column in (ids, hashes, starts, strings)]
-            doc, of, start = _repeats(*kept) if at else (np.empty(0, np.int64),) * 3
+            for column, values in zip(kept, rows, strict=True):
+                column.extend([values[i] for i in at])
+                values.clear()
+            mkeys.clear()
+
+        def repeats():
+            doc, of, start = _repeats(*kept)
+            for column in kept:
+                column.clear()
             return pa.RecordBatch.from_arrays(
                 [pa.array(doc), pa.array(of), pa.array(start), pa.array(np.ones(len(doc), np.int32))], ["id", "h", "start", "n"])
 
@@ -294,12 +306,15 @@ def _block_rows(block: int):
             columns = (batch.column(c).to_pylist() for c in ("mkey", "id", "h", "start", "bytes"))
             for mkey, doc, of, start, content in zip(*columns, strict=True):
                 if mkey != last and len(strings) >= block:
-                    yield done()
-                    mkeys, ids, hashes, starts, strings = [], [], [], [], []
+                    sift()
+                    if len(kept[0]) >= block:
+                        yield repeats()
                 last = mkey
                 mkeys.append(mkey), ids.append(doc), hashes.append(of), starts.append(start), strings.append(content)
         if strings:
-            yield done()
+            sift()
+        if kept[0]:
+            yield repeats()
 
     return run
 
