@@ -357,16 +357,17 @@ def _cut_batch(out: dict[str, list]) -> pa.RecordBatch:
 def _remainders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for text, found in zip(batch.column("text"), batch.column("found"), strict=True):
+        found = batch.column("found")
+        offsets = found.offsets.to_numpy()
+        starts, sizes = (found.values.field(c).to_numpy(zero_copy_only=False) for c in ("start", "n"))
+        for text, low, high in zip(batch.column("text"), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
             data = _bytes(text.as_py())
-            spans = found.as_py() or []
-            if not spans:
+            if low == high:
                 rows.append((len(data), 0, 0, hashlib.sha256(data).hexdigest()))
                 continue
-            edge = np.zeros(len(data) + 1, np.int64)
-            begin = np.array([s["start"] for s in spans])
-            np.add.at(edge, begin, 1)
-            np.add.at(edge, begin + [s["n"] + WIDTH - 1 for s in spans], -1)
+            begin = starts[low:high]
+            end = begin + sizes[low:high] + (WIDTH - 1)
+            edge = np.bincount(begin, minlength=len(data) + 1) - np.bincount(end, minlength=len(data) + 1)
             gone = np.cumsum(edge[:-1]) > 0
             kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
             runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
