@@ -34,6 +34,7 @@ from stationflow.session import materialise
 
 WIDTH, KMER = 100, 24
 CHUNK = 1 << 20  # bytes that are hashed together
+ROW_BITS = 24  # of a 32-bit number, beside a symbol
 _RANDOM = np.random.default_rng(2024).integers(1, 1 << 63, 256, dtype=np.uint64)
 NO_ID = -(1 << 63)  # stands for a null doc_id inside
 
@@ -160,10 +161,19 @@ class _Column:
 
 def _range_least(values: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """min(values[l + 1 : r + 1]) for each pair l < r."""
-    size = right - left
-    ends = np.cumsum(size)
-    index = np.arange(ends[-1]) + np.repeat(left + 1 - (ends - size), size)
-    return np.minimum.reduceat(values[index], ends - size)
+    down = np.argsort(-left)  # from the last range to the first, so what lies between two is one value
+    edges = np.empty(2 * len(left), np.int64)
+    edges[::2], edges[1::2] = left[down] + 1, right[down] + 1
+    out = np.empty(len(left), values.dtype)
+    out[down] = np.minimum.reduceat(np.append(values, values.dtype.type(0)), edges)[::2]
+    return out
+
+
+def _by_symbol(bwt: np.ndarray) -> tuple[np.ndarray, np.unsignedinteger]:
+    """Symbol and row as one number each (symbol in front), in order, and the bits of the row."""
+    kind = np.uint32 if len(bwt) <= 1 << ROW_BITS else np.uint64
+    bits = ROW_BITS if kind is np.uint32 else 2 * ROW_BITS
+    return np.sort(bwt.astype(kind) << kind(bits) | np.arange(len(bwt), dtype=kind)), kind(bits)
 
 
 def column_wise(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -183,24 +193,24 @@ def column_wise(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     active, at = np.arange(m), np.arange(m)  # strings not yet complete, row of their last suffix
     for j in range(1, int(length.max()) + 1):
         bwt, lcp = bwt_file.read(), lcp_file.read()
-        order = np.argsort(bwt, kind="stable")
-        rank = np.empty(len(bwt), np.int64)
-        rank[order] = np.arange(len(bwt))
-        complete = int((bwt == 0).sum())
-        r = rank[at]
+        order, bits = _by_symbol(bwt)
+        complete = int(np.count_nonzero(bwt == 0))
+        last = bwt[at]
+        r = np.searchsorted(order, last.astype(order.dtype) << bits | at.astype(order.dtype))
         row = m + r - complete  # of the suffix of length j among all rows after this round
         # Symbols before the new suffixes; 0 where the string is complete.
         left = np.where(length[active] > j, flat[np.maximum(ends[active] - j - 1, 0)], 0).astype(np.uint8)
-        fresh = np.zeros(len(bwt) + len(active), bool)
-        fresh[row] = True
-        merged, common = np.empty(len(fresh), np.uint8), np.empty(len(fresh), np.uint8)
-        merged[~fresh], common[~fresh] = bwt, lcp
+        old = np.ones(len(bwt) + len(active), bool)
+        old[row] = False
+        merged, common = np.empty(len(old), np.uint8), np.empty(len(old), np.uint8)
+        merged[old], common[old] = bwt, lcp
         merged[row], common[row] = left, 0
-        before, after = order[np.maximum(r - 1, 0)], order[np.minimum(r + 1, len(bwt) - 1)]
-        has = (r > 0) & (bwt[before] == bwt[at])
+        mask = (order.dtype.type(1) << bits) - order.dtype.type(1)
+        before, after = ((order[np.clip(k, 0, len(bwt) - 1)] & mask).astype(np.int64) for k in (r - 1, r + 1))
+        has = (r > 0) & (bwt[before] == last)
         if has.any():
             common[row[has]] = 1 + _range_least(lcp, before[has], at[has])
-        has = (r + 1 < len(bwt)) & (bwt[after] == bwt[at])
+        has = (r + 1 < len(bwt)) & (bwt[after] == last)
         if has.any():
             common[row[has] + 1] = 1 + _range_least(lcp, at[has], after[has])
         bwt_file.write(merged)
