@@ -264,28 +264,26 @@ def with_company(mkeys: np.ndarray, strings: list[bytes]) -> np.ndarray:
     So two contents with a common window agree in that half next to the minimizer, on the left
     or on the right; who agrees with nobody on either side goes no further.
     """
-    half = (WIDTH - KMER + 1) // 2
+    half = (WIDTH - KMER + 1) // 2  # two hashes of KMER bytes cover it; a collision only keeps more
     size = np.array([len(s) for s in strings])
     offset = np.cumsum(size) - size
-    owner = np.repeat(np.arange(len(strings)), size)
-    h = _kmer_hashes(np.frombuffer(b"".join(strings), np.uint8)).view(np.int64)
+    h = _kmer_hashes(np.frombuffer(b"".join(strings), np.uint8))
     # The minimizer is the first one that the last window holds.
-    at = np.flatnonzero(h == mkeys[owner[:len(h)]])
-    within = at - offset[owner[at]]
-    last = (within >= size[owner[at]] - WIDTH) & (within <= size[owner[at]] - KMER)
+    at = np.flatnonzero(h.view(np.int64) == np.repeat(mkeys, size)[:len(h)])
+    owner = np.searchsorted(offset, at, side="right") - 1
+    within = at - offset[owner]
+    last = (within >= size[owner] - WIDTH) & (within <= size[owner] - KMER)
     place = np.full(len(strings), -1)
-    place[owner[at[last]][::-1]] = within[last][::-1]
-    seen: dict[tuple[int, bool, bytes], int] = {}
-    keep = np.zeros(len(strings), bool)
-    for i, (m, p, text) in enumerate(zip(mkeys.tolist(), place.tolist(), strings, strict=True)):
-        if p >= half:
-            other = seen.setdefault((m, True, text[p - half:p]), i)
-            keep[i] |= other != i
-            keep[other] |= other != i
-        if len(text) >= p + KMER + half:
-            other = seen.setdefault((m, False, text[p + KMER:p + KMER + half]), i)
-            keep[i] |= other != i
-            keep[other] |= other != i
+    place[owner[last][::-1]] = within[last][::-1]
+    first, known = offset + place, place >= 0
+    keep = ~known
+    for has, begin, end in ((place >= half, first - half, first - KMER),
+                            (size >= place + KMER + half, first + KMER, first + half)):
+        of = np.flatnonzero(known & has)
+        side = np.stack([h[begin[of]], h[end[of]], mkeys[of].view(np.uint64)])
+        order = np.lexsort(side)
+        same = (side[:, order[1:]] == side[:, order[:-1]]).all(axis=0)
+        keep[of[order[1:][same]]] = keep[of[order[:-1][same]]] = True
     return keep
 
 
