@@ -14,6 +14,7 @@ bucket only a spanning forest of links goes on, never all pairs.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stationflow.llm.base import columns, each_text
-from stationflow.llm.components import connected_components
-from stationflow.session import materialise
+from stationflow.llm.components import connected_components, few_tasks
+from stationflow.session import materialise, materialise_counted
 
 BITS = 64
 
@@ -97,7 +98,8 @@ def spanning_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 
 def links(distinct: DataFrame, radius: int = 3, max_bucket: int = 1024) -> DataFrame:
-    """a, b: links that connect what is within ``radius``; ``distinct`` holds each fp once."""
+    """a, b: links that connect what is within ``radius``, some of them repeated; ``distinct`` holds
+    each fp once."""
     max_bucket = max(max_bucket, 1 << radius)
     spark = distinct.sparkSession
 
@@ -109,30 +111,33 @@ def links(distinct: DataFrame, radius: int = 3, max_bucket: int = 1024) -> DataF
         return pa.array([[{"a": a, "b": b} for a, b in one] for one in found], kind)
 
     level = [(0, m) for m in covering_masks(0, radius)]
-    rows = distinct.select("fp", F.lit(0).cast("bigint").alias("mask"))
+    rows, n = distinct.select("fp", F.lit(0).cast("bigint").alias("mask")), distinct.count()
     found = None
     while True:
+        n *= max(Counter(p for p, _ in level).values())  # rows at most
         children = F.create_map(*[x for parent in dict.fromkeys(p for p, _ in level) for x in (
             F.lit(_signed(parent)).cast("bigint"),
             F.array(*[F.lit(_signed(c)).cast("bigint") for p, c in level if p == parent]))])
         rows = rows.select("fp", F.explode(children[F.col("mask")]).alias("mask"))
         rows = rows.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
         counts = rows.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
-        shared = materialise(rows.join(counts, ["mask", "key"]), "simhash-buckets")
+        shared, seen = materialise_counted(few_tasks(rows.join(counts, ["mask", "key"]), n), "simhash-buckets", {
+            "small": F.count_if(F.col("n") <= max_bucket), "large": F.count_if(F.col("n") > max_bucket)})
         small = shared.where(F.col("n") <= max_bucket).groupBy("mask", "key").agg(F.collect_list("fp").alias("m"))
-        part = small.select(F.explode(forest("m")).alias("l")).select("l.a", "l.b")
+        part = few_tasks(small, seen["small"]).select(F.explode(forest("m")).alias("l")).select("l.a", "l.b")
         found = part if found is None else found.unionByName(part)
-        rows = shared.where(F.col("n") > max_bucket)
+        rows, n = shared.where(F.col("n") > max_bucket), seen["large"]
         parents = [r["mask"] % (1 << BITS) for r in rows.select("mask").distinct().collect()]  # masks, not data
         if not parents:
-            return found.distinct()
+            return found
         level = [(p, c) for p in parents for c in covering_masks(p, radius)]
         rows = rows.select("fp", "mask")
 
 
 def classes(fps: DataFrame, radius: int = 3, max_bucket: int = 1024) -> DataFrame:
     """fp, root, component_id for each different fingerprint of fps (doc_id, fp)."""
-    distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    distinct = few_tasks(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), fps.count())
+    distinct = materialise(distinct, "simhash-distinct")
     roots = connected_components(links(distinct.select("fp"), radius, max_bucket))
     of = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     of = of.withColumn("root", F.coalesce("root", "fp"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from compare import differences, duck
+from stationflow import session
 from stationflow.llm import components, decontaminate, mixing, pii, queries, quality, simhash, url_filter
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -241,6 +242,31 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{i: 0 for i in range(301)}, -5: -5, 700: -5}
 
 
+def test_components_take_few_tables(spark, monkeypatch):
+    """Many partitions and a chain: each task contracts what it holds, so rounds are few."""
+    made = []
+    fresh = session.fresh_path
+    monkeypatch.setattr(session, "fresh_path", lambda s, name: made.append(name) or fresh(s, name))
+    chain = spark.range(0, 400, 1, 40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    roots = components.connected_components(chain.repartition(40, "a"))
+    assert {(r["node"], r["root"]) for r in roots.collect()} == {(i, 0) for i in range(401)}
+    assert len(made) <= 5
+    nothing = spark.createDataFrame([(1, 1)], "a long, b long")
+    assert components.connected_components(nothing).collect() == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(-9, 9), st.integers(-9, 9)), max_size=25))
+def test_stars_of_links(pairs):
+    pairs = [(a, b) for a, b in pairs if a != b]
+    a, b = components.stars(*np.array(pairs, np.int64).reshape(-1, 2).T)
+    low = {x: x for p in pairs for x in p}
+    for _ in low:
+        for x, y in pairs:
+            low[x] = low[y] = min(low[x], low[y])
+    assert dict(zip(a.tolist(), b.tolist(), strict=True)) == {x: r for x, r in low.items() if x != r}
+
+
 # --- 6 ---------------------------------------------------------------------------------
 
 def counts_slow(text):
