@@ -678,10 +678,10 @@ def scan_cases(spark, sf):
 
 
 def _files(documents: DataFrame, key: str, name: str) -> str:
-    """One file for each document."""
+    """One file for each document, all in one folder: it is listed at once, while a folder of
+    their own would cost each file a listing task and a step of the commit."""
     path = fresh_path(documents.sparkSession, name)
-    documents.withColumn("k", F.col(key)).select("k", "document").repartition("k").write.partitionBy("k").option(
-        "maxRecordsPerFile", 1).text(path)
+    documents.repartition(F.col(key)).select("document").write.option("maxRecordsPerFile", 1).text(path)
     return path
 
 
@@ -689,7 +689,7 @@ def _files(documents: DataFrame, key: str, name: str) -> str:
 def scan_documents(spark, sf):
     """Stringency files read whole, then parsed."""
     docs = st.stringency_documents(_events(spark, sf)).withColumn("day", F.substring("document", 3, 10))
-    found = readers.scan_documents(spark, f"{_files(docs, 'day', 'stringency')}/*/*.txt")
+    found = readers.scan_documents(spark, _files(docs, "day", "stringency"))
     records = indicators.stringency_records(found, CFG.country_code)
     return indicators.stringency_series(records, CFG.stringency_horizon_days)
 
@@ -697,20 +697,19 @@ def scan_documents(spark, sf):
 @query
 def scan_posts(spark, sf):
     docs = st.post_documents(_events(spark, sf), per_account=True).withColumn("part", F.xxhash64("document").cast("string"))
-    path = _files(docs, "part", "posts")
-    rows = readers.scan_posts(spark, f"{path}/*/*.txt")
+    rows = readers.scan_posts(spark, _files(docs, "part", "posts"))
     return extract.posts_to_events(rows, CFG.zone).drop("venue")
 
 
 @query
 def scan_ticket_pages(spark, sf):
     docs = st.ticket_documents(_events(spark, sf)).withColumn("page", F.xxhash64("document").cast("string"))
-    return extract.ticket_pages_to_events(readers.scan_ticket_pages(spark, f"{_files(docs, 'page', 'pages')}/*/*.txt"))
+    return extract.ticket_pages_to_events(readers.scan_ticket_pages(spark, _files(docs, "page", "pages")))
 
 
 @query
 def scan_school_years(spark, sf):
     docs = st.school_years(_events(spark, sf)).select(F.to_json(F.struct("content")).alias("document"))
     docs = docs.withColumn("week", F.xxhash64("document").cast("string"))
-    rows = readers.scan_school_years(spark, f"{_files(docs, 'week', 'school')}/*/*.txt")
+    rows = readers.scan_school_years(spark, _files(docs, "week", "school"))
     return indicators.vacation_calendar(rows)

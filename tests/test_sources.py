@@ -3,12 +3,14 @@ from __future__ import annotations
 import datetime as dt
 import gzip
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from stationflow.config import PUBLISHED_KEYS, ForecastConfig
 from stationflow.operators import extract, serving
+from stationflow.plans import catalog
 from stationflow.session import materialise, run_folder, shared_dir
 from stationflow.sources import lines, readers, sinks, typed, versions
 
@@ -362,3 +364,12 @@ def test_many_event_files_are_one_scan(spark, tmp_path):
     put(tmp_path / "99.csv", "a,b\n1,2\n")
     with pytest.raises(Exception, match="no header with"):
         readers.scan_social_events(spark, str(tmp_path)).collect()
+
+
+def test_many_documents_lie_in_one_folder(spark, sf_dir):
+    """No folder a file: such folders cost a listing task each."""
+    docs = spark.range(70).select(F.col("id").cast("string").alias("k"), F.concat(F.lit("text "), "id").alias("document"))
+    path = catalog._files(docs.unionByName(docs), "k", "one-folder")
+    found = [f for f in Path(path).rglob("*.txt")]
+    assert len(found) == 140 and {f.parent for f in found} == {Path(path)}
+    assert sorted(f.read_text() for f in found) == sorted(2 * [f"text {i}\n" for i in range(70)])
