@@ -116,7 +116,14 @@ def weather_forecast(raw: DataFrame, zone: str, shift_hours: int = 1,
         rows = rows.withColumn("sight", F.col("sight_m") / 333)
     filled = fill_hours(rows, fill_limit)
     values = [c for c in filled.columns if c not in ("loc", "hour_index")]
-    placed = filled.withColumn("_local", clock.local_from_index("hour_index", zone)).selectExpr(
-        "loc", "to_date(_local) AS date", "hour(_local) AS hour", *values)
-    # The hour that repeats in autumn gives two rows; their mean keeps the key unique.
-    return placed.groupBy("loc", "date", "hour").agg(*[F.expr(f"avg({v}) AS {v}") for v in values])
+    placed = filled.withColumn("_local", clock.local_from_index("hour_index", zone))
+    # Two hours share a local date and hour only where the clocks change less than a day away.
+    day_before, day_after = (clock.local_from_index(f"(hour_index {d} 24)", zone) for d in "-+")
+    changing = F.unix_timestamp(day_after) - F.unix_timestamp(day_before) != 48 * 3600
+    keyed = placed.withColumn("_changing", changing).selectExpr(
+        "loc", "to_date(_local) AS date", "hour(_local) AS hour", *values, "_changing")
+    # The hour that repeats in autumn gives two rows; their mean keeps the key unique. Other
+    # hours are not grouped: filled, they are many times the rows read, and a task would hold them.
+    steady = keyed.where("NOT _changing").selectExpr(
+        "loc", "date", "hour", *[f"CAST({v} AS double) AS {v}" for v in values])
+    return steady.unionByName(keyed.where("_changing").groupBy("loc", "date", "hour").agg(*[F.expr(f"avg({v}) AS {v}") for v in values]))

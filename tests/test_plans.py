@@ -7,6 +7,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from stationflow.operators import weather
 
 QUERIES = entry.queries()
 MODELS = {"imputed_flows", "trained_scores", "forecast_rows"}
@@ -79,3 +80,14 @@ def test_planning_runs_no_job(spark, sf_dir):
         assert all(len(r.stageIds) == 1 for r in reads if r) and len(started) <= 6
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_filled_hours_are_grouped_only_around_clock_changes(spark):
+    """Filled hours are many times the rows read: a task that groups them holds them all."""
+    raw = spark.createDataFrame([("a", 1711756800 + 86400 * d, "1", str(d)) for d in range(220)], "loc string, tijd long, offset string, temp string")
+    out = weather.weather_forecast(raw, "Europe/Amsterdam")
+    top = out._jdf.queryExecution().optimizedPlan()
+    parts = [top.children().apply(i).toString().split("\n")[0] for i in range(top.children().size())]
+    assert top.nodeName() == "Union" and ["Aggregate [loc" in p for p in parts] == [False, True]
+    rows = out.collect()
+    assert len(rows) == len({(r["loc"], r["date"], r["hour"]) for r in rows}) > 220
