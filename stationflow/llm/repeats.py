@@ -2,9 +2,10 @@
 
 A string of ``width`` bytes that starts at several places is found like this:
 
-1. Every window of ``width`` bytes belongs to its minimizer, the ``kmer`` with the least hash in
-   it. Neighbouring windows with the same minimizer occurrence form a stretch. Equal windows have
-   equal minimizers, so only stretches whose minimizer occurs twice in the corpus matter.
+1. Every window of ``width`` bytes belongs to its minimizer, the ``kmer`` with the least hash (its
+   first 40 bits, the leftmost of equal ones) in it. Neighbouring windows with the same minimizer
+   occurrence form a stretch. Equal windows have equal minimizers, so only stretches whose
+   minimizer occurs twice in the corpus matter.
 2. Stretches of equal content are folded into their first occurrence before anything meets;
    every later one is a repeat as a whole. Within one stretch no window repeats, since the
    minimizer would have to sit at two places.
@@ -35,6 +36,7 @@ from stationflow.session import materialise
 WIDTH, KMER = 100, 24
 CHUNK = 1 << 20  # bytes that are hashed together
 ROW_BITS = 24  # of a 32-bit number, beside a symbol
+PLACE_BITS = 24  # of a hash's 64; pieces hashed together have 2 * CHUNK + WIDTH bytes at most
 _RANDOM = np.random.default_rng(2024).integers(1, 1 << 63, 256, dtype=np.uint64)
 NO_ID = -(1 << 63)  # stands for a null doc_id inside
 
@@ -64,17 +66,18 @@ def _kmer_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def _first_least(h: np.ndarray, window: int) -> np.ndarray:
-    """Leftmost position of the least value in each window."""
-    low, at, have = h, np.arange(len(h), dtype=np.int32), 1
-
-    def meet(low, at, step):
-        right = low[step:] < low[:-step]
-        return np.where(right, low[step:], low[:-step]), np.where(right, at[step:], at[:-step])
-
+    """Leftmost position of the least value, but for its last PLACE_BITS bits, in each window."""
+    if len(h) > 1 << PLACE_BITS:
+        raise ValueError("too many values for their places")
+    place = np.uint64((1 << PLACE_BITS) - 1)
+    # Value in front, place behind, in one number: of equal values the leftmost is the least.
+    low, have = h & ~place | np.arange(len(h), dtype=np.uint64), 1
     while have * 2 <= window:
-        low, at = meet(low, at, have)
+        low = np.minimum(low[have:], low[:-have])
         have *= 2
-    return meet(low, at, window - have)[1] if window > have else at
+    if window > have:
+        low = np.minimum(low[window - have:], low[:have - window])
+    return (low & place).astype(np.int32)
 
 
 def stretches(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

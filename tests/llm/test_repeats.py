@@ -55,6 +55,15 @@ def test_crowded_minimizers_and_small_blocks(spark):
     assert found(repeats.repeated_bytes(frame, block=3, crowd=2)) == want
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=9, max_size=60), st.integers(1, 9))
+def test_places_of_the_least_values(values, window):
+    """Values that differ in their last bits only count as equal, wherever they lie."""
+    h = np.array([v >> 1 << repeats.PLACE_BITS | v & 1 for v in values], np.uint64)
+    want = [min(range(i, i + window), key=lambda j: (values[j] >> 1, j)) for i in range(len(values) - window + 1)]
+    assert repeats._first_least(h, window).tolist() == want
+
+
 def test_query(spark, sf_dir):
     pairs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     assert found(queries.op2_repeated_bytes(spark, sf_dir)) == slow(pairs)
