@@ -224,3 +224,81 @@ def test_probabilities_of_all_words_sum_to_one(spark):
     got = brown.perplexity_scores(frame, brown.Size(core=2, classes=1, local=3)).collect()
     check(got, data)
     assert re.fullmatch(r"[0-9]+", str(got[0]["train_tokens"]))
+
+
+def scores_slow(rows, size):
+    """Every word of the training texts moves alone, by its own occurrences; no Spark."""
+    texts = {i: [w.encode() for w in tokens_slow(x)] for i, x in rows}
+    train = [t for i, t in texts.items() if not held(i, 5)]
+    counts = Counter(w for t in train for w in t)
+    words = sorted((w for w in counts if w != brown.END), key=lambda w: (-counts[w], w))
+    core = {w: i for i, w in enumerate(words[:size.core])}
+
+    def table_of(of, n):
+        out = np.zeros((n, n))
+        for t in train:
+            for a, b in zip([brown.END, *t], t, strict=False):
+                out[of(a), of(b)] += 1
+        return out
+
+    end = len(core) + brown.TAILS
+
+    def symbol(w):
+        return end if w == brown.END else core.get(w, len(core) + brown.tail(w))
+
+    first = brown.exchange(table_of(symbol, end + 1), len(core), size.classes, size.sweeps)
+    n = int(first.max()) + 1
+    of = {w: first[symbol(w)] for w in counts}
+
+    def learned(of):
+        held_by = np.bincount(list(of.values()), minlength=n).astype(float)
+        held_by[-1] = 1
+        return brown.Model(table_of(of.get, n), held_by)
+
+    model = learned(of)
+    for _ in range(size.rounds):
+        left, right = np.split(model.gains(), [n])
+        gain = {w: np.zeros(n - 1) for w in counts}
+        for t in train:
+            for a, w, b in zip([brown.END, *t], t, t[1:], strict=False):
+                gain[w] += left[of[a]] + right[of[b]]
+        then = {w: n - 1 if w == brown.END else int(g.argmax()) for w, g in gain.items()}
+        better = learned(then)
+        if better.likelihood <= model.likelihood:
+            break
+        of, model = then, better
+    out = {}
+    for i, t in texts.items():
+        cls = [of.get(w, first[symbol(w)]) for w in [brown.END, *t]]
+        out[i] = sum(model.trans[a, b] + math.log10((counts[w] + 0.5) / model.room[b])
+                     for a, b, w in zip(cls, cls[1:], t, strict=False))
+    return out, of
+
+
+def test_every_training_word_moves_by_its_own_occurrences(spark):
+    rng = random.Random(6)
+    kinds = [[f"{k}{i}" for i in range(60)] for k in "abc"]
+    data = [(i, " ".join(rng.choice(kinds[j % 3][:rng.choice([3, 60])]) for j in range(rng.randint(0, 40)))) for i in range(60)]
+    data += [(100, None), (101, "never seen before " * 3)]
+    frame = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    for rounds, local in ((1, 30), (1, 10**6), (3, 30)):
+        size = brown.Size(core=6, classes=3, local=local, rounds=rounds)
+        want, of = scores_slow(data, size)
+        beyond = [w for w in of if w != brown.END and not w.endswith((b"0", b"1", b"2"))]
+        assert len(beyond) > 100 and len({of[w] for w in beyond if brown.tail(w) == brown.tail(beyond[0])}) > 1
+        got = brown.perplexity_scores(frame, size).collect()
+        check(got, data)
+        for r in got:
+            assert math.isclose(r["score"], want[r["doc_id"]], rel_tol=1e-9)
+
+
+def test_words_beyond_the_core_are_told_apart_by_their_neighbours(spark):
+    """Two kinds of words with one ending and equal counts: only their neighbours differ."""
+    train = [i for i in range(1000) if not held(i, 5)]
+    first, second = [i for i in range(1000, 2000) if held(i, 5)][:2]
+    texts = [f"the n{j}zz did v{j}zz" for j in range(2, 32) for _ in range(3)] + [f"the n{j}zz did v{j}zz" for j in (0, 1) for _ in range(20)]
+    data = [*zip(train, texts, strict=False), (first, "the n5zz did v9zz"), (second, "the v9zz did n5zz")]
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in brown.perplexity_scores(frame, brown.Size(core=6, classes=4, local=10)).collect()}
+    assert got[first]["base_score"] == pytest.approx(got[second]["base_score"])
+    assert got[first]["score"] > got[second]["score"] + 3
