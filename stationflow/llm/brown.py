@@ -446,7 +446,7 @@ def perplexity_scores(docs: DataFrame, size: Size = Size()) -> DataFrame:
             times = batch.column("c").flatten().to_numpy(zero_copy_only=False)[flat.which].astype(float)
             value = np.zeros((3, len(flat.classes)))  # known, base, score of each token
             ends_at = flat.last - 1
-            value[:, ends_at] = [[1], [end_base], [end_own]]
+            value[:, ends_at] = [[ends > 0], [end_base], [end_own]]
             value[:, flat.at[flat.kept]] = [np.ones(len(flat.kept)), base[flat.ids[flat.kept]], own[flat.ids[flat.kept]]]
             value[:, flat.at[flat.rare]] = [times > 0, np.log10((times + 0.5) / all_room), np.log10(times + 0.5)]
             value[2] += trans[flat.before, flat.classes] - room[flat.classes]

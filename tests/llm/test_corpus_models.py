@@ -302,3 +302,10 @@ def test_words_beyond_the_core_are_told_apart_by_their_neighbours(spark):
     got = {r["doc_id"]: r for r in brown.perplexity_scores(frame, brown.Size(core=6, classes=4, local=10)).collect()}
     assert got[first]["base_score"] == pytest.approx(got[second]["base_score"])
     assert got[first]["score"] > got[second]["score"] + 3
+
+
+def test_without_training_texts_nothing_is_known(spark):
+    data = [(i, "a b a") for i in range(100) if held(i, 5)]
+    got = brown.perplexity_scores(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    check(got, data)
+    assert {r["n_known"] for r in got} == {0}
